@@ -28,6 +28,15 @@ def _renamed(frame: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return frame.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 
+def _large_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+
+
+def has_large_groups(rows: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> bool:
+    """Whether some key holds more rows than one task should take; runs one job."""
+    return not _large_groups(rows, keys, limit).isEmpty()
+
+
 def numbered(
     rows: DataFrame,
     keys: Sequence[str],
@@ -48,16 +57,13 @@ def numbered(
     groups gets the plain plan.
     """
     sizes = rows if sized_by is None else sized_by
-    # At most rows / limit groups qualify, so broadcasting them is bounded.
-    large = (
-        sizes.groupBy(*keys)
-        .agg(F.count("*").alias("_size"))
-        .where(F.col("_size") > limit)
-        .select(*(F.col(k).alias(f"_large_{k}") for k in keys), F.lit(True).alias("_large"))
-    )
-    cuts = [] if large.isEmpty() else [f"_band{i}" for i in range(len(bands))]
+    cuts = [f"_band{i}" for i in range(len(bands))] if has_large_groups(sizes, keys, limit) else []
     marked = rows
     if cuts:
+        # At most rows / limit groups qualify, so broadcasting them is bounded.
+        large = _large_groups(sizes, keys, limit).select(
+            *(F.col(k).alias(f"_large_{k}") for k in keys), F.lit(True).alias("_large")
+        )
         marked = (
             rows.join(F.broadcast(large), same(rows, large, keys, "_large_"), "left")
             .drop(*(f"_large_{k}" for k in keys))
@@ -125,16 +131,25 @@ def dense_ranks(
     rows: DataFrame,
     key: str,
     measures: dict[str, str],
-    sized_by: DataFrame | None = None,
+    split: bool,
     width: int = 1000,
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add a dense rank, highest first, for each amount column in ``measures``.
 
-    Equal amounts share a rank, so only the distinct ones are numbered and then
-    joined back. Amounts have two decimals: a band ``width`` wide holds at most
-    ``100 * width`` of them. ``sized_by`` is as in :func:`numbered`.
+    With ``split``, for data with large groups, only the distinct amounts are
+    numbered, since equal ones share a rank, and then joined back. Amounts have
+    two decimals: a band ``width`` wide holds at most ``100 * width`` of them.
     """
+    if not split:
+        return rows.withColumns(
+            {
+                rank: F.dense_rank()
+                .over(Window.partitionBy(key).orderBy(F.desc(measure)))
+                .cast("bigint")
+                for measure, rank in measures.items()
+            }
+        )
     for measure, rank in measures.items():
         amounts = rows.select(key, (-F.col(measure)).alias("_falling")).distinct()
         places = numbered(
@@ -143,7 +158,6 @@ def dense_ranks(
             ["_falling"],
             [F.floor(F.col("_falling") / width)],
             position=rank,
-            sized_by=sized_by,
             limit=limit,
         ).withColumnRenamed(key, f"_of_{key}")
         rows = rows.join(
@@ -152,3 +166,12 @@ def dense_ranks(
             & (-rows[measure]).eqNullSafe(places["_falling"]),
         ).drop(f"_of_{key}", "_falling")
     return rows
+
+
+def group_totals(rows: DataFrame, key: str, amount: str, name: str, split: bool) -> DataFrame:
+    """Add the group's sum of ``amount``; with ``split``, from an aggregate joined back."""
+    if not split:
+        return rows.withColumn(name, F.sum(amount).over(Window.partitionBy(key)))
+    totals = rows.groupBy(key).agg(F.sum(amount).alias(name))
+    totals = totals.withColumnRenamed(key, f"_of_{key}")
+    return rows.join(totals, same(rows, totals, [key], "_of_")).drop(f"_of_{key}")

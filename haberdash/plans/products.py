@@ -26,7 +26,7 @@ from haberdash.functions.metrics import (
     unsold_at,
     valid_sales,
 )
-from haberdash.operators.numbering import ROWS_PER_TASK, dense_ranks, same
+from haberdash.operators.numbering import ROWS_PER_TASK, dense_ranks, group_totals, has_large_groups
 
 
 def product_sales(items: DataFrame, cutoff: dt.date) -> DataFrame:
@@ -104,20 +104,15 @@ def rank_in_category(
     sold = product_sales(items, cutoff).join(
         products.select("product_id", "product_name", "category"), "product_id"
     )
-    ranked = dense_ranks(
-        sold,
-        "category",
-        {
-            "net_revenue": "revenue_rank_in_category",
-            "gross_profit": "profit_rank_in_category",
-        },
-        sized_by=products,
-        limit=limit,
-    )
-    totals = sold.groupBy("category").agg(F.sum("net_revenue").alias("_revenue"))
-    totals = totals.withColumnRenamed("category", "_of_category")
+    # A category has no more sold products than products.
+    split = has_large_groups(products, ["category"], limit)
+    totalled = group_totals(sold, "category", "net_revenue", "_revenue", split)
+    places = {
+        "net_revenue": "revenue_rank_in_category",
+        "gross_profit": "profit_rank_in_category",
+    }
     return (
-        ranked.join(totals, same(ranked, totals, ["category"], "_of_"))
+        dense_ranks(totalled, "category", places, split, limit=limit)
         .withColumn("category_revenue_share_percent", percent(F.col("net_revenue"), F.col("_revenue"), 4))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haberdash.functions.columns import PRICE
-from haberdash.operators.numbering import numbered
+from haberdash.operators.numbering import ROWS_PER_TASK, numbered
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, shared_folder
 
@@ -30,6 +30,19 @@ UNSOLD_PIECES = 10
 
 BLANK = "  "
 
+LINE_ORDER = (
+    "l_linenumber",
+    "l_partkey",
+    "l_suppkey",
+    "l_shipdate",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+)
+
 
 def _choose(key: Column, cases: dict[int, Column], otherwise: Column) -> Column:
     result = otherwise
@@ -67,8 +80,9 @@ class Testbed:
 
     __test__ = False
 
-    def __init__(self, store: Store, folder: str) -> None:
+    def __init__(self, store: Store, folder: str, limit: int = ROWS_PER_TASK) -> None:
         self.store = store
+        self.limit = limit
         self.folder = folder.rstrip("/")
 
     def __call__(self, relation: str) -> DataFrame:
@@ -179,23 +193,27 @@ class Testbed:
         Stored, because items and sold stock are both cut from it.
         """
         key = F.col("l_orderkey")
-        order = [
-            "l_linenumber",
-            "l_partkey",
-            "l_suppkey",
-            "l_shipdate",
-            "l_quantity",
-            "l_extendedprice",
-            "l_discount",
-            "l_tax",
-            "l_returnflag",
-            "l_linestatus",
-        ]
+        rows = self._read("lineitem")
+        columns = [c for c in LINE_ORDER if c != "l_linenumber"]
+        # Lines alike in every column are told apart by where they are stored.
+        placed = rows.select(
+            "*",
+            F.xxhash64("_metadata.file_path").alias("_file"),
+            F.col("_metadata.row_index").alias("_row"),
+        )
         lines = numbered(
-            self._read("lineitem"),
+            placed,
             ["l_orderkey"],
-            order,
-            [F.col("l_linenumber"), F.expr("l_partkey div 10000")],
+            [*LINE_ORDER, "_file", "_row"],
+            [
+                F.col("l_linenumber"),
+                F.expr("l_partkey div 10000"),
+                F.struct(*columns),
+                F.col("_file"),
+                F.expr("_row div 1000000"),
+            ],
+            sized_by=rows,
+            limit=self.limit,
         ).withColumn(
             "line_key",
             F.when(
@@ -291,7 +309,12 @@ class Testbed:
             self._read("events").withColumn("day", F.to_date("ts")),
             ["user_id", "day"],
             ["ts", "event_id"],
-            [F.hour("ts") * 60 + F.minute("ts"), F.second("ts")],
+            [
+                F.hour("ts") * 60 + F.minute("ts"),
+                F.expr("extract(SECOND FROM ts)"),
+                F.expr("event_id div 1000000"),
+            ],
+            limit=self.limit,
         )
         kind = F.col("event_type")
         return steps.select(

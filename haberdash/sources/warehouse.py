@@ -71,6 +71,11 @@ class Store:
             for name in [n for n in self._written if n.startswith(prefix)]:
                 del self._written[name]
 
+    def stored(self, layer: str) -> list[str]:
+        """Sorted names of the tables of ``layer`` that are written."""
+        head = f"{layer}/"
+        return sorted(n[len(head) :] for n in self._written if n.startswith(head))
+
 
 class Warehouse:
     """Relations by layer, for one import and one pair of cutoff dates.

@@ -7,7 +7,7 @@ import decimal
 
 import duckdb
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 _TYPES = {
     "string": "VARCHAR",
