@@ -15,19 +15,26 @@ _CSV = {
     "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
 }
+_WRITTEN_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+# Also the forms in which databases export UTC times.
+_READ_TIME = "yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][' UTC']['+00:00']"
 
 
 def read_csv(spark: SparkSession, relation: str, path: str) -> DataFrame:
     """One relation from CSV; a row that does not fit the schema fails the job."""
-    options = {**_CSV, "mode": "FAILFAST", "enforceSchema": False}
+    options = {
+        **_CSV,
+        "timestampNTZFormat": _READ_TIME,
+        "mode": "FAILFAST",
+        "enforceSchema": False,
+    }
     return spark.read.schema(SOURCE_SCHEMAS[relation]).options(**options).csv(path)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
     """Write a relation in the format :func:`read_csv` reads back unchanged."""
-    frame.write.mode("overwrite").options(**_CSV).csv(path)
+    frame.write.mode("overwrite").options(**_CSV, timestampNTZFormat=_WRITTEN_TIME).csv(path)
 
 
 def read_parquet(spark: SparkSession, relation: str, path: str) -> DataFrame:

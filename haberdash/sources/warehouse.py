@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import threading
+from collections import defaultdict
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -22,6 +24,9 @@ from haberdash.sources.schemas import MODEL_KEYS, SOURCE_SCHEMAS
 
 LAYERS = ("src", "cleaned", "analytics", "reporting")
 
+# Tables of a layer written at the same time.
+WRITERS = 4
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
@@ -47,11 +52,18 @@ class Store:
         self.root = root
         self._written: dict[str, tuple[str, StructType]] = {}
         self._versions: dict[str, int] = {}
-        self._lock = threading.RLock()
+        self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
+        self._lock = threading.Lock()
 
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stored table ``name``, written from ``build()`` on first use."""
+        """The stored table ``name``, written from ``build()`` on first use.
+
+        Different tables may be written at the same time; a second caller of the
+        same one waits for the first.
+        """
         with self._lock:
+            one_writer = self._locks[name]
+        with one_writer:
             if name not in self._written:
                 version = self._versions.get(name, 0) + 1
                 frame = build()
@@ -108,7 +120,11 @@ class Warehouse:
         event_cutoff: dt.date,
         root: str | None = None,
     ) -> Warehouse:
-        """Import ``folder/<relation>.csv`` for each of the seven relations."""
+        """Import ``folder/<relation>.csv`` for each of the seven relations.
+
+        ``root`` is where the stored layers go, by default a folder of this
+        application under the shared one.
+        """
         store = Store(spark, root or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
         return cls(
             store,
@@ -174,10 +190,19 @@ class Warehouse:
         }
         return sorted(catalogs[layer])
 
+    def build(self, layer: str) -> None:
+        """Write every table of a stored layer that is not written yet.
+
+        Independent tables are submitted together, so small ones fill the
+        executors a large one leaves idle.
+        """
+        read = {"src": self.source, "analytics": self.model}[layer]
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(read, self.names(layer)))
+
     def build_model(self) -> None:
-        """Write every star-schema table that is not stored yet."""
-        for name in MODEL_KEYS:
-            self.model(name)
+        self.build("src")
+        self.build("analytics")
 
     def rebuild_model(self) -> None:
         """Drop the star schema and write it again from the cleaned layer."""

@@ -55,6 +55,23 @@ def test_csv_with_other_columns_fails(spark, tmp_path):
         files.read_csv(spark, "distribution_centers", f"{tmp_path}/centers.csv").collect()
 
 
+def test_exported_times_are_understood(spark, tmp_path):
+    forms = (
+        "2023-01-02 03:04:05",
+        "2023-01-02T03:04:05",
+        "2023-01-02 03:04:05 UTC",
+        "2023-01-02 03:04:05+00:00",
+        "2023-01-02 03:04:05.000000 UTC",
+        "",
+    )
+    lines = ["id,product_id,created_at,sold_at,cost,product_category,product_name,product_brand,"
+             "product_retail_price,product_department,product_sku,product_distribution_center_id"]
+    lines += [f"{n},1,{form},,1.0,a,b,c,2.0,d,e,3" for n, form in enumerate(forms)]
+    (tmp_path / "stock.csv").write_text("\n".join(lines) + "\n")
+    stock = files.read_csv(spark, "inventory_items", f"{tmp_path}/stock.csv")
+    assert values(stock, "created_at") == [(at("2023-01-02 03:04:05"),)] * 5 + [(None,)]
+
+
 def test_parquet_import(spark, tmp_path):
     relation(spark, "events", *ROWS["events"]).write.parquet(f"{tmp_path}/events")
     assert files.read_parquet(spark, "events", f"{tmp_path}/events").count() == 1
