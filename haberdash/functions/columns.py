@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PRICE = "decimal(12,2)"  # one price, cost or rate
-TOTAL = "decimal(38,2)"  # a sum of prices, as reported
+PRICE = "decimal(12,2)"  # one price or cost
+# A sum of prices or a rate, as reported: wide enough that one extreme group, such
+# as a customer with a third of all sales, cannot overflow and fail the report.
+TOTAL = "decimal(38,2)"
 MEAN = "decimal(38,6)"  # an average reported unrounded
 _EXACT = "decimal(22,2)"  # operand of a division: leaves 12 digits for the quotient
 
@@ -42,12 +44,12 @@ def _quotient(numerator: Column, denominator: Column, factor: str) -> Column:
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` as a percentage of ``whole``; NULL when ``whole`` is zero."""
-    return _quotient(part, whole, "100.0").cast(f"decimal(12,{digits})")
+    return _quotient(part, whole, "100.0").cast(f"decimal(38,{digits})")
 
 
 def ratio(amount: Column, count: Column) -> Column:
     """``amount`` per ``count``, to two decimals; NULL when ``count`` is zero."""
-    return _quotient(amount, count, "1.0").cast(PRICE)
+    return _quotient(amount, count, "1.0").cast(TOTAL)
 
 
 def mean(total: Column, count: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haberdash.functions.columns import PRICE, growth, percent, ratio
+from haberdash.functions.columns import PRICE, TOTAL, growth, percent, ratio
 from haberdash.functions.metrics import add_up, money
 from haberdash.operators.keys import stacked
 
@@ -115,7 +115,7 @@ def category_vs_average_margin(products: DataFrame) -> DataFrame:
         margins.withColumn("average_category_margin_percent", line)
         .withColumn(
             "above_average_points",
-            (F.col("gross_margin_percent") - F.col("average_category_margin_percent")).cast(PRICE),
+            (F.col("gross_margin_percent") - F.col("average_category_margin_percent")).cast(TOTAL),
         )
         .withColumns(money("net_revenue", "gross_profit"))
         .orderBy(F.desc("net_revenue"), "category")

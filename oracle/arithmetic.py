@@ -24,7 +24,7 @@ def _placed(whole: str, digits: int, kind: str) -> str:
 
 
 def quotient(numerator: str, denominator: str, digits: int = 2) -> str:
-    return _placed(_scaled(numerator, denominator, digits), digits, f"DECIMAL(12,{digits})")
+    return _placed(_scaled(numerator, denominator, digits), digits, f"DECIMAL(38,{digits})")
 
 
 def percent(part: str, whole: str, digits: int = 2) -> str:
@@ -50,4 +50,4 @@ def mean6(total: str, count: str) -> str:
 
 def mean2(total: str, count: str) -> str:
     """An average to six decimals, then rounded to two."""
-    return quotient(_scaled(total, count, 6), "1000000")
+    return f"{quotient(_scaled(total, count, 6), '1000000')}::DECIMAL(12,2)"

@@ -738,7 +738,7 @@ ORDER BY r DESC, acquisition_source DESC NULLS LAST LIMIT 1""",
     "customers_per_age": "SELECT age, count(*) AS total_customers FROM customer_performance GROUP BY ALL",
     "category_vs_average_margin": f"""
 SELECT c.*, average_category_margin_percent,
-  (gross_margin_percent - average_category_margin_percent)::DECIMAL(12,2) AS above_average_points
+  (gross_margin_percent - average_category_margin_percent)::DECIMAL(38,2) AS above_average_points
 FROM category_margins AS c,
   (SELECT {mean2('sum(gross_margin_percent * 100)', '100 * count(gross_margin_percent)')}
      AS average_category_margin_percent FROM category_margins)""",
