@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,28 +69,30 @@ def average(value: Column) -> Column:
     return F.avg(value.cast(PRICE)).cast(MEAN)
 
 
-def age_band(age: Column) -> Column:
-    """Customer age bands; an unknown age falls in the last one."""
-    return (
-        F.when(age < 25, "Under 25")
-        .when(age.between(25, 34), "25-34")
-        .when(age.between(35, 44), "35-44")
-        .when(age.between(45, 54), "45-54")
-        .when(age.between(55, 64), "55-64")
-        .otherwise("65+")
-    )
-
-
-# Stock age bands in report order: label and first day past the band.
+# Customer age bands, as label and first age past the band.
+AGE_BANDS = (("Under 25", 25), ("25-34", 35), ("35-44", 45), ("45-54", 55), ("55-64", 65))
+OLDEST_AGES = "65+"
+
+# Stock age bands in report order, as label and first day past the band.
 STOCK_BANDS = (("Under 30 days", 30), ("30-89 days", 90), ("90-179 days", 180))
 OLDEST_STOCK = "180+ days"
 OLD_STOCK_DAYS = 180
 
 
+def _band(value: Column, ends: Iterable[tuple[object, int]], last: object) -> Column:
+    """The first entry whose end lies above ``value``, else ``last`` (also for NULL)."""
+    result = F.lit(last)
+    for entry, end in reversed(list(ends)):
+        result = F.when(value < end, entry).otherwise(result)
+    return result
+
+
+def age_band(age: Column) -> Column:
+    """Customer age band; an unknown age falls in the last one."""
+    return _band(age, AGE_BANDS, OLDEST_AGES)
+
+
 def stock_band(days: Column) -> tuple[Column, Column]:
     """Label and sort position of a stock age."""
-    label, position = F.lit(OLDEST_STOCK), F.lit(len(STOCK_BANDS) + 1)
-    for index, (name, end) in reversed(list(enumerate(STOCK_BANDS, start=1))):
-        label = F.when(days < end, name).otherwise(label)
-        position = F.when(days < end, index).otherwise(position)
-    return label, position
+    places = ((place, end) for place, (_, end) in enumerate(STOCK_BANDS, start=1))
+    return _band(days, STOCK_BANDS, OLDEST_STOCK), _band(days, places, len(STOCK_BANDS) + 1)

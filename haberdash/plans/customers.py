@@ -17,14 +17,18 @@ from haberdash.operators.numbering import ROWS_PER_TASK, numbered
 from haberdash.plans.sales import customer_orders, year
 
 
+# Customer types.
+ONE_TIME, NEW, REPEAT = "One-time customer", "New customer", "Repeat customer"
+
+
 def loyalty(valid_orders: Column) -> Column:
     """By orders in total: one, or more."""
-    return F.when(valid_orders == 1, "One-time customer").otherwise("Repeat customer")
+    return F.when(valid_orders == 1, ONE_TIME).otherwise(REPEAT)
 
 
 def standing(year: Column, first_year: Column) -> Column:
     """By year: the customer's first, or a later one."""
-    return F.when(year == first_year, "New customer").otherwise("Repeat customer")
+    return F.when(year == first_year, NEW).otherwise(REPEAT)
 
 
 def customer_totals(items: DataFrame, cutoff: dt.date) -> DataFrame:

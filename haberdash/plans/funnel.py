@@ -11,7 +11,7 @@ from haberdash.functions.columns import flag, percent
 
 SESSION = ("session_id", "traffic_source", "browser")
 
-# Flag -> event type that sets it.
+# Flag and the event type that sets it.
 STEPS = {"product_view_flag": "product", "cart_flag": "cart", "purchase_flag": "purchase"}
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haberdash.functions.columns import PRICE, TOTAL, growth, percent, ratio
 from haberdash.functions.metrics import add_up, money
 from haberdash.operators.keys import stacked
+from haberdash.plans.customers import REPEAT
 
 
 def headline_sales(monthly: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def cart_abandonment(sessions: DataFrame) -> DataFrame:
 
 def returning_share(yearly: DataFrame) -> DataFrame:
     """Customers who bought again in a later year, of all customers."""
-    came_back = F.max(F.when(F.col("customer_type") == "Repeat customer", 1).otherwise(0))
+    came_back = F.max(F.when(F.col("customer_type") == REPEAT, 1).otherwise(0))
     return (
         yearly.groupBy("customer_id")
         .agg(came_back.alias("_returned"))

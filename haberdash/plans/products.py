@@ -188,7 +188,7 @@ def items_per_product_histogram(items: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-# Shown in place of a missing attribute.
+# Labels shown in place of a missing attribute.
 UNKNOWN = {
     "product_name": "Unknown product",
     "category": "Unknown category",

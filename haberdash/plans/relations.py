@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haberdash.functions.columns import unpadded
 from haberdash.operators.keys import mismatches, orphans, stacked
 
-# Issue, child relation, reference, parent relation, parent key.
+# Issue label. Then child relation, reference, parent relation, parent key.
 REFERENCES = (
     ("Orders without users", "orders", "user_id", "users", "id"),
     ("Order items without orders", "order_items", "order_id", "orders", "order_id"),

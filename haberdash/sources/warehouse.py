@@ -18,9 +18,10 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from haberdash.operators.keys import assert_keys
 from haberdash.plans import cleaned, funnel, model, reporting
 from haberdash.sources import files
-from haberdash.sources.schemas import MODEL_KEYS, SOURCE_SCHEMAS
+from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
 
 LAYERS = ("src", "cleaned", "analytics", "reporting")
 
@@ -168,6 +169,9 @@ class Warehouse:
             lambda: funnel.session_flags(self.model("fact_events"), self.event_cutoff),
         )
 
+    def drop_session_flags(self) -> None:
+        self.store.drop("work/session_flags")
+
     # -- layer administration ---------------------------------------------------
 
     def relation(self, layer: str, name: str) -> DataFrame:
@@ -200,9 +204,16 @@ class Warehouse:
         with ThreadPoolExecutor(WRITERS) as pool:
             list(pool.map(read, self.names(layer)))
 
+    def assert_keys(self, layer: str) -> None:
+        """Fail if a table of a stored layer has a missing or repeated primary key."""
+        tables = {"src": SOURCE_KEYS, "analytics": MODEL_KEYS}[layer]
+        assert_keys({name: (self.relation(layer, name), key) for name, key in tables.items()})
+
     def build_model(self) -> None:
+        """Import the sources, write the star schema and check its primary keys."""
         self.build("src")
         self.build("analytics")
+        self.assert_keys("analytics")
 
     def rebuild_model(self) -> None:
         """Drop the star schema and write it again from the cleaned layer."""

@@ -107,6 +107,21 @@ def test_rebuild_writes_the_model_again(imported):
     assert set(before).isdisjoint(imported.model("dim_customer").inputFiles())
 
 
+def test_model_with_repeated_keys_is_refused(spark, folder, tmp_path):
+    twice = relation(spark, "users", *ROWS["users"], *ROWS["users"])
+    files.write_csv(twice, f"{folder}/users.csv")
+    broken = Warehouse.from_csv(spark, folder, CUTOFF, CUTOFF, root=f"{tmp_path}/broken")
+    with pytest.raises(ValueError, match="dim_customer: 0 NULL, 1 repeated"):
+        broken.build_model()
+
+
+def test_session_flags_are_kept_until_dropped(imported):
+    files_before = imported.session_flags().inputFiles()
+    assert imported.session_flags().inputFiles() == files_before
+    imported.drop_session_flags()
+    assert imported.session_flags().inputFiles() != files_before
+
+
 def test_catalog(spark, imported):
     imported.create_layers()
     imported.create_layers()
@@ -166,3 +181,14 @@ def test_a_cluster_needs_a_shared_folder(spark):
 def test_cutoff_is_a_parameter(spark, folder, tmp_path):
     early = Warehouse.from_csv(spark, folder, dt.date(2022, 1, 1), CUTOFF, root=f"{tmp_path}/early")
     assert values(early.report("order_fulfilment"), "order_id") == []
+
+
+def test_command_line(spark, folder, tmp_path):
+    from haberdash.__main__ import main
+
+    main(["--csv", folder, "--store", f"{tmp_path}/store", "--out", f"{tmp_path}/results",
+          "row_counts_src", "annual_performance"])
+    assert spark.read.parquet(f"{tmp_path}/results/row_counts_src").count() == 7
+    assert spark.read.parquet(f"{tmp_path}/results/annual_performance").count() == 0
+    with pytest.raises(SystemExit):
+        main(["--csv", folder, "--out", f"{tmp_path}/results", "no_such_query"])
