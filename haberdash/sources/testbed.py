@@ -12,6 +12,7 @@ import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
 from haberdash.operators.numbering import ROWS_PER_TASK, numbered
@@ -78,18 +79,23 @@ def _fitted(frame: DataFrame, relation: str) -> DataFrame:
 class Testbed:
     """Builds raw relations from the test tables in ``folder``."""
 
-    __test__ = False
+    # Plain projections of files that are Parquet already.
+    in_place = ("users", "products", "orders", "order_items", "distribution_centers")
 
     def __init__(self, store: Store, folder: str, limit: int = ROWS_PER_TASK) -> None:
         self.store = store
         self.limit = limit
+        self._schemas: dict[str, StructType] = {}
         self.folder = folder.rstrip("/")
 
     def __call__(self, relation: str) -> DataFrame:
         return _fitted(getattr(self, relation)(), relation)
 
     def _read(self, table: str) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path, read = f"{self.folder}/{table}.parquet", self.store.spark.read
+        if table not in self._schemas:
+            self._schemas[table] = read.parquet(path).schema
+        return read.schema(self._schemas[table]).parquet(path)
 
     def users(self) -> DataFrame:
         key, nation = F.col("c_custkey"), F.col("n_nationkey")
@@ -220,7 +226,7 @@ class Testbed:
                 F.col("position") < LINES_PER_ORDER, key * LINES_PER_ORDER + F.col("position")
             ).otherwise(F.raise_error(F.lit("an order has more lines than its keys allow"))),
         )
-        orders = self.store.table("src/orders", lambda: self("orders"))
+        orders = self("orders")
         return lines.join(orders, key == F.col("order_id"), "left").select(
             "line_key",
             key.alias("order_id"),
@@ -360,6 +366,12 @@ def _fingerprint(spark: SparkSession, folder: str) -> str:
     return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
+def warehouse_over(store: Store, folder: str, limit: int = ROWS_PER_TASK) -> Warehouse:
+    """The tables in ``folder`` as a warehouse; groups above ``limit`` rows are split."""
+    load = Testbed(store, folder, limit)
+    return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place)
+
+
 def open_testbed(spark: SparkSession, folder: str) -> Warehouse:
     """The warehouse over the test tables in ``folder``, one per session and file state."""
     application = spark.sparkContext.applicationId
@@ -367,5 +379,5 @@ def open_testbed(spark: SparkSession, folder: str) -> Warehouse:
         key = (application, folder, _fingerprint(spark, folder))
         if key not in _open:
             store = Store(spark, f"{shared_folder(spark)}/haberdash/{application}/{key[2]}")
-            _open[key] = Warehouse(store, Testbed(store, folder), SALES_CUTOFF, EVENT_CUTOFF)
+            _open[key] = warehouse_over(store, folder)
     return _open[key]

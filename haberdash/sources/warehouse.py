@@ -1,9 +1,10 @@
 """The four layers and the store that keeps two of them.
 
-``src`` and ``analytics`` are written once as Parquet and read back, so a later
-query starts from a column-pruned scan instead of repeating joins, and its
-lineage is cut at files that outlive a lost executor. ``cleaned`` and
-``reporting`` stay lazy. A table is written when a query first needs it.
+``src``, unless it is columnar already, and ``analytics`` are written once as
+Parquet and read back, so a later query starts from a column-pruned scan instead
+of repeating joins, and its lineage is cut at files that outlive a lost executor.
+``cleaned`` and ``reporting`` stay lazy. A table is written when a query first
+needs it.
 """
 
 from __future__ import annotations
@@ -12,11 +13,10 @@ import datetime as dt
 import tempfile
 import threading
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
 from haberdash.operators.keys import assert_keys
 from haberdash.plans import cleaned, funnel, model, reporting
@@ -51,7 +51,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
-        self._written: dict[str, tuple[str, StructType]] = {}
+        self._written: dict[str, DataFrame] = {}
         self._versions: dict[str, int] = {}
         self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
         self._lock = threading.Lock()
@@ -71,9 +71,9 @@ class Store:
                 path = f"{self.root}/{name}/v{version}"
                 frame.write.mode("overwrite").parquet(path)
                 self._versions[name] = version
-                self._written[name] = (path, frame.schema)
-            path, schema = self._written[name]
-        return self.spark.read.schema(schema).parquet(path)
+                # Kept as a frame, so its files are listed once.
+                self._written[name] = self.spark.read.schema(frame.schema).parquet(path)
+            return self._written[name]
 
     def drop(self, prefix: str) -> None:
         """Forget the tables under ``prefix``; next use writes a new version.
@@ -90,11 +90,17 @@ class Store:
         return sorted(n[len(head) :] for n in self._written if n.startswith(head))
 
 
+def _own_store(spark: SparkSession, root: str | None) -> Store:
+    return Store(spark, root or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+
+
 class Warehouse:
     """Relations by layer, for one import and one pair of cutoff dates.
 
-    ``load`` maps a relation name to the raw DataFrame to import. The cutoffs
-    leave out the last, incomplete period of orders and stock, and of events.
+    ``load`` maps a relation name to the raw DataFrame to import; the relations
+    in ``in_place`` already lie in a columnar form and are read without a copy.
+    The cutoffs leave out the last, incomplete period of orders and stock, and
+    of events.
     """
 
     def __init__(
@@ -103,12 +109,15 @@ class Warehouse:
         load: Callable[[str], DataFrame],
         sales_cutoff: dt.date,
         event_cutoff: dt.date,
+        in_place: Collection[str] = (),
     ) -> None:
         self.store = store
         self.spark = store.spark
         self.sales_cutoff = sales_cutoff
         self.event_cutoff = event_cutoff
         self._load = load
+        self._in_place = frozenset(in_place)
+        self._read: dict[str, DataFrame] = {}
         self._exported: set[str] = set()
         self._exporting = threading.Lock()
 
@@ -126,17 +135,38 @@ class Warehouse:
         ``root`` is where the stored layers go, by default a folder of this
         application under the shared one.
         """
-        store = Store(spark, root or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
         return cls(
-            store,
+            _own_store(spark, root),
             lambda name: files.read_csv(spark, name, f"{folder}/{name}.csv"),
             sales_cutoff,
             event_cutoff,
         )
 
+    @classmethod
+    def from_parquet(
+        cls,
+        spark: SparkSession,
+        folder: str,
+        sales_cutoff: dt.date,
+        event_cutoff: dt.date,
+        root: str | None = None,
+    ) -> Warehouse:
+        """Read ``folder/<relation>.parquet`` for each of the seven relations, in place."""
+        return cls(
+            _own_store(spark, root),
+            lambda name: files.read_parquet(spark, name, f"{folder}/{name}.parquet"),
+            sales_cutoff,
+            event_cutoff,
+            in_place=SOURCE_SCHEMAS,
+        )
+
     # -- layers ---------------------------------------------------------------
 
     def source(self, name: str) -> DataFrame:
+        if name in self._in_place:
+            if name not in self._read:
+                self._read[name] = self._load(name)
+            return self._read[name]
         return self.store.table(f"src/{name}", lambda: self._load(name))
 
     def cleaned(self, name: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from haberdash.plans import customers, products
 from haberdash.registry import QUERIES
-from haberdash.sources.testbed import EVENT_CUTOFF, SALES_CUTOFF, TABLES, Testbed
-from haberdash.sources.warehouse import Store, Warehouse
+from haberdash.sources.testbed import SALES_CUTOFF, TABLES, warehouse_over
+from haberdash.sources.warehouse import Store
 from oracle import ORACLE_SQL
 
 # Queries whose plan depends on group sizes, and some that join or count by hot keys.
@@ -69,7 +69,7 @@ def skewed(tmp_path_factory):
 def split(spark, skewed, tmp_path_factory):
     """A warehouse in which every group above 20 rows is split."""
     store = Store(spark, str(tmp_path_factory.mktemp("split")))
-    return Warehouse(store, Testbed(store, skewed, limit=20), SALES_CUTOFF, EVENT_CUTOFF)
+    return warehouse_over(store, skewed, limit=20)
 
 
 @pytest.fixture(scope="module")

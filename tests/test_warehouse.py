@@ -84,6 +84,16 @@ def test_layers_from_csv(imported):
     assert imported.store.stored("analytics") == ["dim_customer", "fact_order_items"]
 
 
+def test_parquet_sources_are_read_in_place(spark, tmp_path):
+    for name, rows in ROWS.items():
+        relation(spark, name, *rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    held = Warehouse.from_parquet(spark, str(tmp_path), CUTOFF, CUTOFF, root=f"{tmp_path}/out")
+    assert held.source("users").collect() == relation(spark, "users", *ROWS["users"]).collect()
+    held.build_model()
+    assert held.store.stored("src") == []
+    assert held.model("fact_order_items").count() == 1
+
+
 def test_stored_tables_are_built_once(spark, tmp_path):
     store, built = Store(spark, str(tmp_path)), []
 
