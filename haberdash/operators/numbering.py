@@ -50,81 +50,48 @@ def numbered(
     """Add ``position``: 1, 2, ... inside each key group, by ascending ``order``.
 
     ``bands`` cut a large group, coarse to fine; each must never decrease along
-    ``order`` among rows that agree on the bands before it. ``previous`` names
-    the leading order column and the output for its value one row earlier.
-    ``sized_by`` is a cheaper frame to size the groups with: it must hold at
-    least as many rows per key. Sizing runs one job, so that data without large
-    groups gets the plain plan.
+    ``order`` among rows that agree on the bands before it, and the next one is
+    used only where a band is still large. ``previous`` names the leading order
+    column and the output for its value one row earlier. ``sized_by`` is a
+    cheaper frame to size the groups with: it must hold at least as many rows
+    per key. Sizing runs one job, so that data without large groups gets the
+    plain plan.
     """
     sizes = rows if sized_by is None else sized_by
-    cuts = [f"_band{i}" for i in range(len(bands))] if has_large_groups(sizes, keys, limit) else []
-    marked = rows
-    if cuts:
-        # At most rows / limit groups qualify, so broadcasting them is bounded.
-        large = _large_groups(sizes, keys, limit).select(
-            *(F.col(k).alias(f"_large_{k}") for k in keys), F.lit(True).alias("_large")
-        )
-        marked = (
-            rows.join(F.broadcast(large), same(rows, large, keys, "_large_"), "left")
-            .drop(*(f"_large_{k}" for k in keys))
-            .withColumns({c: F.when(F.col("_large"), b) for c, b in zip(cuts, bands)})
-        )
-
-    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
-    added = {position: F.row_number().over(inside).cast("bigint")}
-    if previous:
-        added[previous[1]] = F.lag(previous[0]).over(inside)
-    local = marked.withColumns(added)
-    if not cuts:
-        return local
-
-    carried = previous[0] if previous else order[0]
-    at = [*keys, *cuts]
-    start = _renamed(_band_starts(marked.where("_large"), keys, cuts, carried), at, "_at_")
-    result = local.join(start, same(local, start, at, "_at_"), "left").withColumn(
-        position, F.col(position) + F.coalesce(F.col("_before"), F.lit(0))
+    if not bands or not has_large_groups(sizes, keys, limit):
+        window = Window.partitionBy(*keys).orderBy(*order)
+        added = {position: F.row_number().over(window).cast("bigint")}
+        if previous:
+            added[previous[1]] = F.lag(previous[0]).over(window)
+        return rows.withColumns(added)
+
+    # At most rows / limit groups qualify, so broadcasting them is bounded.
+    large = F.broadcast(_renamed(_large_groups(sizes, keys, limit).select(*keys), keys, "_large_"))
+    is_large = same(rows, large, keys, "_large_")
+    small = numbered(rows.join(large, is_large, "left_anti"), keys, order, (), position, previous)
+
+    band = f"_band{len(bands)}"
+    banded = rows.join(large, is_large, "left_semi").withColumn(band, bands[0])
+    inner = [*keys, band]
+    inside = numbered(banded, inner, order, bands[1:], position, previous, limit=limit)
+    earlier = (
+        Window.partitionBy(*keys).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)
     )
-    if previous:
-        result = result.withColumn(previous[1], F.coalesce(previous[1], "_last"))
-    return result.drop("_large", "_before", "_last", *cuts, *(f"_at_{n}" for n in at))
-
-
-def _band_starts(
-    large: DataFrame, keys: Sequence[str], cuts: Sequence[str], carried: str
-) -> DataFrame:
-    """Per band: rows before it in its group, and the value that ends them."""
-    sizes = large.groupBy(*keys, *cuts).agg(
-        F.count("*").alias("_rows"), F.max(carried).alias("_end")
-    )
-    starts = None
-    for depth in range(1, len(cuts) + 1):
-        level = [*keys, *cuts[:depth]]
-        totals = (
-            sizes
-            if depth == len(cuts)
-            else sizes.groupBy(*level).agg(F.sum("_rows").alias("_rows"), F.max("_end").alias("_end"))
-        )
-        earlier = (
-            Window.partitionBy(*level[:-1])
-            .orderBy(level[-1])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        here = totals.select(
-            *level,
+    starts = (
+        banded.groupBy(*inner)
+        .agg(F.count("*").alias("_rows"), F.max(order[0]).alias("_end"))
+        .select(
+            *(F.col(n).alias(f"_at_{n}") for n in inner),
             F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
             F.max("_end").over(earlier).alias("_last"),
         )
-        if starts is None:
-            starts = here
-            continue
-        outer_names = level[:-1]
-        outer = _renamed(starts, [*outer_names, "_before", "_last"], "_outer_")
-        starts = here.join(outer, same(here, outer, outer_names, "_outer_"), "left").select(
-            *level,
-            (F.col("_before") + F.col("_outer__before")).alias("_before"),
-            F.coalesce("_last", "_outer__last").alias("_last"),
-        )
-    return starts
+    )
+    placed = inside.join(starts, same(inside, starts, inner, "_at_")).withColumn(
+        position, F.col(position) + F.col("_before")
+    )
+    if previous:
+        placed = placed.withColumn(previous[1], F.coalesce(previous[1], "_last"))
+    return small.unionByName(placed.drop("_before", "_last", band, *(f"_at_{n}" for n in inner)))
 
 
 def dense_ranks(

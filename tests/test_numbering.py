@@ -67,9 +67,16 @@ def test_sizes_may_come_from_a_larger_frame(crowded):
 def test_large_group_in_plan_is_not_one_partition(crowded):
     split = numbered(crowded, ["key"], ["day", "id"], [F.col("day")], limit=50)
     plan = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "_band0" in plan
+    assert "_band1" in plan
     whole = numbered(crowded, ["key"], ["day", "id"], [F.col("day")])
-    assert "_band0" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "_band" not in whole._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_finer_bands_are_used_only_where_needed(crowded):
+    bands = [F.col("day"), F.expr("id div 50")]
+    split = numbered(crowded, ["key"], ["day", "id"], bands, limit=70)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "_band2" in plan and "_band1" not in plan
 
 
 def test_dense_ranks_and_totals_equal_plain_window(crowded):
