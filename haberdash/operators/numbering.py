@@ -28,13 +28,14 @@ def _renamed(frame: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
     return frame.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
 
 
-def _large_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+def large_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than ``limit`` rows, and their ``_size``: at most rows / limit of them."""
     return rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
 
 
 def has_large_groups(rows: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> bool:
     """Whether some key holds more rows than one task should take; runs one job."""
-    return not _large_groups(rows, keys, limit).isEmpty()
+    return not large_groups(rows, keys, limit).isEmpty()
 
 
 def numbered(
@@ -45,6 +46,7 @@ def numbered(
     position: str = "position",
     previous: tuple[str, str] | None = None,
     sized_by: DataFrame | None = None,
+    split: bool | None = None,
     limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``position``: 1, 2, ... inside each key group, by ascending ``order``.
@@ -54,11 +56,13 @@ def numbered(
     used only where a band is still large. ``previous`` names the leading order
     column and the output for its value one row earlier. ``sized_by`` is a
     cheaper frame to size the groups with: it must hold at least as many rows
-    per key. Sizing runs one job, so that data without large groups gets the
-    plain plan.
+    per key. ``split`` says whether there are large groups; if it is not given,
+    one job finds out, so that data without them gets the plain plan.
     """
     sizes = rows if sized_by is None else sized_by
-    if not bands or not has_large_groups(sizes, keys, limit):
+    if split is None:
+        split = bool(bands) and has_large_groups(sizes, keys, limit)
+    if not split:
         window = Window.partitionBy(*keys).orderBy(*order)
         added = {position: F.row_number().over(window).cast("bigint")}
         if previous:
@@ -66,7 +70,7 @@ def numbered(
         return rows.withColumns(added)
 
     # At most rows / limit groups qualify, so broadcasting them is bounded.
-    large = F.broadcast(_renamed(_large_groups(sizes, keys, limit).select(*keys), keys, "_large_"))
+    large = F.broadcast(_renamed(large_groups(sizes, keys, limit).select(*keys), keys, "_large_"))
     is_large = same(rows, large, keys, "_large_")
     small = numbered(rows.join(large, is_large, "left_anti"), keys, order, (), position, previous)
 

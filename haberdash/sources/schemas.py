@@ -33,7 +33,7 @@ SOURCE_SCHEMAS: dict[str, str] = {
     ),
     "distribution_centers": "id BIGINT, name STRING, latitude DOUBLE, longitude DOUBLE",
     "events": (
-        "id BIGINT, user_id BIGINT, sequence_number INT, session_id STRING, "
+        "id BIGINT, user_id BIGINT, sequence_number BIGINT, session_id STRING, "
         "created_at TIMESTAMP_NTZ, ip_address STRING, city STRING, state STRING, "
         "postal_code STRING, browser STRING, traffic_source STRING, uri STRING, event_type STRING"
     ),

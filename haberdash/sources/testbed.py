@@ -10,12 +10,12 @@ from __future__ import annotations
 import datetime as dt
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
-from haberdash.operators.numbering import ROWS_PER_TASK, numbered
+from haberdash.operators.numbering import ROWS_PER_TASK, has_large_groups, large_groups, numbered
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, shared_folder
 
@@ -24,8 +24,10 @@ EVENT_CUTOFF = dt.date(2024, 1, 30)
 
 TABLES = ("customer", "nation", "supplier", "part", "orders", "lineitem", "events")
 
-# Item keys leave room for this many lines per order.
-LINES_PER_ORDER = 8_000_000
+# Line keys are order * LINES_PER_ORDER + position; lines past that room, in the few
+# orders with so many, are numbered on from FAR_LINES.
+LINES_PER_ORDER = 1_000_000
+FAR_LINES = 5_000_000_000_000_000_000
 # Each part has this many unsold pieces; piece n lies in center n.
 UNSOLD_PIECES = 10
 
@@ -82,9 +84,16 @@ class Testbed:
     # Plain projections of files that are Parquet already.
     in_place = ("users", "products", "orders", "order_items", "distribution_centers")
 
-    def __init__(self, store: Store, folder: str, limit: int = ROWS_PER_TASK) -> None:
+    def __init__(
+        self,
+        store: Store,
+        folder: str,
+        limit: int = ROWS_PER_TASK,
+        lines_per_order: int = LINES_PER_ORDER,
+    ) -> None:
         self.store = store
         self.limit = limit
+        self.lines_per_order = max(limit, lines_per_order)
         self._schemas: dict[str, StructType] = {}
         self.folder = folder.rstrip("/")
 
@@ -207,6 +216,7 @@ class Testbed:
             F.xxhash64("_metadata.file_path").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
         )
+        split = has_large_groups(rows, ["l_orderkey"], self.limit)
         lines = numbered(
             placed,
             ["l_orderkey"],
@@ -219,13 +229,24 @@ class Testbed:
                 F.expr("_row div 1000000"),
             ],
             sized_by=rows,
+            split=split,
             limit=self.limit,
-        ).withColumn(
-            "line_key",
-            F.when(
-                F.col("position") < LINES_PER_ORDER, key * LINES_PER_ORDER + F.col("position")
-            ).otherwise(F.raise_error(F.lit("an order has more lines than its keys allow"))),
         )
+        near = key * self.lines_per_order + F.col("position")
+        if split:
+            earlier = Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1)
+            # One row per order of that size, at most rows / lines_per_order.
+            far = large_groups(rows, ["l_orderkey"], self.lines_per_order).select(
+                F.col("l_orderkey").alias("_order"),
+                F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_room"),
+            )
+            lines = lines.join(F.broadcast(far), key == F.col("_order"), "left")
+            line_key = F.when(F.col("position") <= self.lines_per_order, near).otherwise(
+                F.lit(FAR_LINES) + F.col("_room") + F.col("position")
+            )
+        else:
+            line_key = near
+        lines = lines.withColumn("line_key", line_key)
         orders = self("orders")
         return lines.join(orders, key == F.col("order_id"), "left").select(
             "line_key",
@@ -366,9 +387,14 @@ def _fingerprint(spark: SparkSession, folder: str) -> str:
     return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
-def warehouse_over(store: Store, folder: str, limit: int = ROWS_PER_TASK) -> Warehouse:
+def warehouse_over(
+    store: Store,
+    folder: str,
+    limit: int = ROWS_PER_TASK,
+    lines_per_order: int = LINES_PER_ORDER,
+) -> Warehouse:
     """The tables in ``folder`` as a warehouse; groups above ``limit`` rows are split."""
-    load = Testbed(store, folder, limit)
+    load = Testbed(store, folder, limit, lines_per_order)
     return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place)
 
 
