@@ -46,26 +46,73 @@ def status_contradicts_dates() -> Column:
     return condition | (status.isin("Processing", "Cancelled") & present)
 
 
-# Check -> relation, output column, condition of an offending row.
-RULES: dict[str, tuple[str, str, Callable[[], Column]]] = {
-    "blank_users": ("users", "users_with_blank_dimensions", lambda: blank("country", "traffic_source")),
-    "blank_products": ("products", "products_with_blank_dimensions", lambda: blank("category", "brand", "department")),
-    "blank_orders": ("orders", "orders_with_blank_status", lambda: blank("status")),
-    "blank_events": ("events", "events_with_blank_dimensions", lambda: blank("session_id", "event_type", "traffic_source", "browser")),
-    "invalid_ages": ("users", "invalid_ages", lambda: (F.col("age") < 0) | (F.col("age") > 120)),
-    "invalid_product_prices": ("products", "products_with_invalid_prices", lambda: bad_prices("cost", "retail_price")),
-    "invalid_sale_prices": ("order_items", "invalid_sale_prices", lambda: F.col("sale_price") <= 0),
-    "invalid_item_counts": ("orders", "invalid_item_counts", lambda: F.col("num_of_item") <= 0),
-    "invalid_inventory_prices": ("inventory_items", "inventory_with_invalid_prices", lambda: bad_prices("cost", "product_retail_price")),
-    "invalid_event_sequences": ("events", "invalid_event_sequences", lambda: F.col("sequence_number") <= 0),
-    "orders_bad_dates": ("orders", "orders_with_invalid_date_sequence", impossible_dates),
-    "items_bad_dates": ("order_items", "order_items_with_invalid_date_sequence", impossible_dates),
-    "items_shipped_before_created": ("order_items", "shipped_before_created", lambda: F.col("shipped_at") < F.col("created_at")),
-    "items_delivered_before_shipped": ("order_items", "delivered_before_shipped", lambda: F.col("delivered_at") < F.col("shipped_at")),
-    "items_returned_before_delivered": ("order_items", "returned_before_delivered", lambda: F.col("returned_at") < F.col("delivered_at")),
-    "sold_before_created": ("inventory_items", "inventory_sold_before_creation", lambda: F.col("sold_at") < F.col("created_at")),
-    "orders_status_dates": ("orders", "orders_with_status_date_issues", status_contradicts_dates),
-    "items_status_dates": ("order_items", "order_items_with_status_date_issues", status_contradicts_dates),
+def _before(later: str, earlier: str) -> Callable[[], Column]:
+    """Condition: the step ``later`` is dated before the step it follows."""
+    return lambda: F.col(later) < F.col(earlier)
+
+
+def _not_positive(name: str) -> Callable[[], Column]:
+    return lambda: F.col(name) <= 0
+
+
+# Relation -> check -> output column, condition of an offending row.
+_RULES: dict[str, dict[str, tuple[str, Callable[[], Column]]]] = {
+    "users": {
+        "blank_users": ("users_with_blank_dimensions", lambda: blank("country", "traffic_source")),
+        "invalid_ages": ("invalid_ages", lambda: (F.col("age") < 0) | (F.col("age") > 120)),
+    },
+    "products": {
+        "blank_products": (
+            "products_with_blank_dimensions",
+            lambda: blank("category", "brand", "department"),
+        ),
+        "invalid_product_prices": (
+            "products_with_invalid_prices",
+            lambda: bad_prices("cost", "retail_price"),
+        ),
+    },
+    "orders": {
+        "blank_orders": ("orders_with_blank_status", lambda: blank("status")),
+        "invalid_item_counts": ("invalid_item_counts", _not_positive("num_of_item")),
+        "orders_bad_dates": ("orders_with_invalid_date_sequence", impossible_dates),
+        "orders_status_dates": ("orders_with_status_date_issues", status_contradicts_dates),
+    },
+    "order_items": {
+        "invalid_sale_prices": ("invalid_sale_prices", _not_positive("sale_price")),
+        "items_bad_dates": ("order_items_with_invalid_date_sequence", impossible_dates),
+        "items_shipped_before_created": (
+            "shipped_before_created",
+            _before("shipped_at", "created_at"),
+        ),
+        "items_delivered_before_shipped": (
+            "delivered_before_shipped",
+            _before("delivered_at", "shipped_at"),
+        ),
+        "items_returned_before_delivered": (
+            "returned_before_delivered",
+            _before("returned_at", "delivered_at"),
+        ),
+        "items_status_dates": ("order_items_with_status_date_issues", status_contradicts_dates),
+    },
+    "inventory_items": {
+        "invalid_inventory_prices": (
+            "inventory_with_invalid_prices",
+            lambda: bad_prices("cost", "product_retail_price"),
+        ),
+        "sold_before_created": ("inventory_sold_before_creation", _before("sold_at", "created_at")),
+    },
+    "events": {
+        "blank_events": (
+            "events_with_blank_dimensions",
+            lambda: blank("session_id", "event_type", "traffic_source", "browser"),
+        ),
+        "invalid_event_sequences": ("invalid_event_sequences", _not_positive("sequence_number")),
+    },
+}
+
+# Check -> relation, output column, condition.
+RULES = {
+    check: (relation, *rule) for relation, rules in _RULES.items() for check, rule in rules.items()
 }
 
 
@@ -78,8 +125,8 @@ def violations(source: Callable[[str], DataFrame], check: str) -> DataFrame:
 def scorecard(source: Callable[[str], DataFrame]) -> DataFrame:
     """Every row rule with its count, in one pass over each relation."""
     reports = []
-    for relation in dict.fromkeys(rule[0] for rule in RULES.values()):
-        checks = {n: c() for n, (r, _, c) in RULES.items() if r == relation}
+    for relation, rules in _RULES.items():
+        checks = {check: condition() for check, (_, condition) in rules.items()}
         counted = source(relation).agg(
             *(F.count(F.when(condition, 1)).alias(name) for name, condition in checks.items())
         )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
 from oracle.arithmetic import (
-    cents,
     mean2,
     mean6,
     money_growth,
@@ -13,7 +12,7 @@ from oracle.arithmetic import (
     percent,
     quotient,
 )
-from oracle.relations import BAD_DATES, RELATIONS, SALES_CUTOFF, EVENT_CUTOFF, with_relations
+from oracle.relations import BAD_DATES, EVENT_CUTOFF, SALES_CUTOFF, with_relations
 
 SOURCES = tuple(SOURCE_SCHEMAS)
 COLUMNS = {
@@ -163,7 +162,6 @@ FROM period_items GROUP BY ALL""",
 
 # -- layers --------------------------------------------------------------------
 
-CLEANED = sorted(f"cleaned_{name}" for name in SOURCES)
 LAYER_TABLES = {
     "src": {name: f"src_{name}" for name in SOURCES},
     "cleaned": {name: f"cleaned_{name}" for name in SOURCES},

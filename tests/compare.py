@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-
 import duckdb
 
 TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -30,7 +27,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _sortable(row: tuple) -> tuple:
-    return tuple((value is not None, type(value).__name__, value) if value is not None else (False,) for value in row)
+    return tuple((False,) if value is None else (True, value) for value in row)
 
 
 def spark_side(frame) -> tuple[dict[str, str], list[tuple]]:
