@@ -192,20 +192,15 @@ def session_gaps(events: DataFrame) -> DataFrame:
 
 
 def inconsistent_sessions(events: DataFrame) -> DataFrame:
-    """Sessions seen with several sources or browsers; NULL is not a second one.
-
-    Two different values exist exactly when the least and greatest differ, so no
-    distinct count is needed.
-    """
-    source, browser = (unpadded(F.col(n)) for n in ("traffic_source", "browser"))
+    """Sessions seen with several sources or browsers; NULL is not a second one."""
     return (
         _sessions(events)
         .where(F.col("session_id").isNotNull())
         .groupBy("session_id")
         .agg(
-            (F.min(source) != F.max(source)).alias("_sources"),
-            (F.min(browser) != F.max(browser)).alias("_browsers"),
+            F.countDistinct(unpadded(F.col("traffic_source"))).alias("_sources"),
+            F.countDistinct(unpadded(F.col("browser"))).alias("_browsers"),
         )
-        .where("_sources OR _browsers")
+        .where("_sources > 1 OR _browsers > 1")
         .agg(F.count("*").alias("sessions_with_multiple_attributes"))
     )
