@@ -78,13 +78,9 @@ def _named(totals: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def top_products(items: DataFrame, products: DataFrame, cutoff: dt.date, rows: int = 10) -> DataFrame:
-    best = (
-        _named(product_sales(items, cutoff), products)
-        .orderBy(F.desc("net_revenue"), "product_id")
-        .limit(rows)
-    )
+    # Sort and limit stay together at the end, so Spark keeps a top list, not a full sort.
     return (
-        _rates(best)
+        _rates(_named(product_sales(items, cutoff), products))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(
             *_NAMES,
@@ -94,6 +90,8 @@ def top_products(items: DataFrame, products: DataFrame, cutoff: dt.date, rows: i
             "gross_margin_percent",
             "return_rate_percent",
         )
+        .orderBy(F.desc("net_revenue"), "product_id")
+        .limit(rows)
     )
 
 
@@ -134,15 +132,13 @@ def high_revenue_low_margin(
     items: DataFrame, products: DataFrame, cutoff: dt.date, best: int = 50, rows: int = 10
 ) -> DataFrame:
     """The thinnest margins among the products that sell most."""
-    top = (
-        _named(product_sales(items, cutoff), products)
-        .orderBy(F.desc("net_revenue"), "product_id")
-        .limit(best)
-    )
     return (
-        top.withColumn("gross_margin_percent", percent(F.col("gross_profit"), F.col("net_revenue")))
+        _named(product_sales(items, cutoff), products)
+        .withColumn("gross_margin_percent", percent(F.col("gross_profit"), F.col("net_revenue")))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(*_NAMES, "net_revenue", "gross_profit", "gross_margin_percent")
+        .orderBy(F.desc("net_revenue"), "product_id")
+        .limit(best)
         .orderBy(F.asc_nulls_first("gross_margin_percent"), F.desc("net_revenue"), "product_id")
         .limit(rows)
     )
