@@ -82,7 +82,7 @@ class Testbed:
     """Builds raw relations from the test tables in ``folder``."""
 
     # Plain projections of files that are Parquet already.
-    in_place = ("users", "products", "orders", "order_items", "distribution_centers")
+    in_place = ("products", "orders", "order_items", "distribution_centers")
 
     def __init__(
         self,
