@@ -226,10 +226,18 @@ def inventory_by_year(inventory: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def center_performance(
-    centers: DataFrame, items: DataFrame, inventory: DataFrame, cutoff: dt.date
-) -> DataFrame:
-    """Every center with its orders and stock, zeros where it has none."""
+def _zeros(frame: DataFrame, totals: DataFrame) -> DataFrame:
+    """``frame`` with zero for the counts and sums of ``totals`` it lacks; averages stay NULL."""
+    names = [
+        c
+        for c in totals.columns
+        if c != "distribution_center_id" and not c.startswith("average_")
+    ]
+    return frame.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
+
+
+def center_handling(centers: DataFrame, items: DataFrame, cutoff: dt.date) -> DataFrame:
+    """Every center with the orders it handled, zeros where it has none."""
     handled = (
         center_orders(items, cutoff)
         .groupBy("distribution_center_id")
@@ -243,6 +251,14 @@ def center_performance(
             *add_up("net_revenue", "gross_profit"),
         )
     )
+    return _zeros(centers.join(handled, "distribution_center_id", "left"), handled)
+
+
+def center_performance(
+    centers: DataFrame, items: DataFrame, inventory: DataFrame, cutoff: dt.date
+) -> DataFrame:
+    """Every center with its orders and stock, zeros where it has none."""
+    handling = center_handling(centers, items, cutoff)
     days_to_sell = F.when(sold_before(cutoff), F.col("days_to_sell").cast(PRICE))
     stock = stock_totals(
         inventory,
@@ -250,16 +266,9 @@ def center_performance(
         cutoff,
         F.avg(days_to_sell).cast(PRICE).alias("average_days_to_sell"),
     )
-    zeros = [
-        c
-        for c in (*handled.columns, *stock.columns)
-        if c != "distribution_center_id" and not c.startswith("average_")
-    ]
     total = F.col("orders_handled")
     return (
-        centers.join(handled, "distribution_center_id", "left")
-        .join(stock, "distribution_center_id", "left")
-        .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zeros})
+        _zeros(handling.join(stock, "distribution_center_id", "left"), stock)
         .withColumns(
             {
                 "delivered_order_share_percent": percent(F.col("delivered_orders"), total),

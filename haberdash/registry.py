@@ -291,7 +291,7 @@ REPORT_QUERIES: dict[str, Query] = {
     "unsold_capital": lambda w: headline.unsold_capital(w.report("distribution_center_performance")),
     "order_count_trio": lambda w: headline.order_count_trio(
         w.report("sales_monthly"),
-        w.report("distribution_center_performance"),
+        logistics.center_handling(w.model(CENTERS), w.model(ITEMS), w.sales_cutoff),
         w.report("order_fulfilment"),
     ),
 }
