@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from haberdash.llm.decontaminate import OP5_SQL, op5_decontamination
 from haberdash.llm.jaccard_join import OP1_SQL, op1_jaccard_join
+from haberdash.llm.katz import op4_katz
 from haberdash.llm.line_dedup import op9_line_dedup
 from haberdash.llm.mixing import OP3_SQL, op3_mixing
 from haberdash.llm.nearest import OP8_SQL, op8_nearest
@@ -18,6 +19,7 @@ QUERIES = {
         op1_jaccard_join,
         op2_pii,
         op3_mixing,
+        op4_katz,
         op5_decontamination,
         op6_url_filter,
         op7_toxicity,
