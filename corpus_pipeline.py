@@ -7,7 +7,6 @@ return the columns of documents; each result is written as Parquet and read agai
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from haberdash.llm.decontaminate import decontaminate
 from haberdash.llm.jaccard_join import NEAR, one_of_each
@@ -27,11 +26,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without blocks they share with earlier ones; those that lose every word go."""
-    word = r"[^\x20\x09-\x0D]"
-    worded = docs.withColumn("worded", F.col("text").rlike(word))
-    cleaned = dedup_lines(worded)
-    emptied = F.col("worded") & ~F.col("text").rlike(word)
-    return cleaned.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    return dedup_lines(docs, drop_emptied=True)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -273,9 +273,13 @@ def decontaminate(
     if known is None:
         if spans:
             raise ValueError("the benchmark is too large to cut spans; drop documents instead")
-        lines = _numbered(docs)
-        bad = judged(_joined(lines, benchmark)).where("contaminated").select("row")
-        return lines.join(bad, "row", "left_anti").drop("row")
+        # Columns go by number inside, so that no name can clash.
+        names = docs.columns
+        lines = _numbered(docs.toDF(*(f"c{i}" for i in range(len(names)))))
+        key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
+        named = lines.select("row", F.col(key).alias("doc_id"), F.col(text).alias("text"))
+        bad = judged(_joined(named, benchmark)).where("contaminated").select("row")
+        return lines.join(bad, "row", "left_anti").drop("row").toDF(*names)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -256,31 +256,41 @@ def _row_is_id(lines: DataFrame) -> bool:
     return lines.schema["row"].metadata.get("is_id", False)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Documents without the blocks they share with earlier ones; columns and rows kept."""
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool = False) -> DataFrame:
+    """Documents without the blocks they share with earlier ones; columns and rows kept.
+
+    With ``drop_emptied`` a document that loses all its words goes.
+    """
+    # Columns go by number inside, so that no name can clash.
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    at = names.index("text")
+    key, text = f"c{names.index('doc_id')}", f"c{at}"
+    repeated = plain.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").limit(1).count()
     if repeated:
-        lines = stored(docs.withColumn("row", F.monotonically_increasing_id()), "lines")
+        lines = stored(plain.withColumn("row", F.monotonically_increasing_id()), "lines")
     else:
-        lines = docs.withColumn("row", F.col("doc_id").cast("long").alias("row", metadata={"is_id": True}))
-    cuts = shared_blocks(lines.select("row", "doc_id", "text"), min_words)
-    joined = lines.join(cuts, "row", "left").select(*docs.columns, "ranges")
-    at = docs.columns.index("text")
+        lines = plain.withColumn("row", F.col(key).cast("long").alias("row", metadata={"is_id": True}))
+    cuts = shared_blocks(lines.select("row", F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words)
+    joined = lines.join(cuts, "row", "left").select(*plain.columns, "ranges")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             ranges = batch.column(batch.num_columns - 1)
+            kept = np.ones(batch.num_rows, bool)
             for i in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)):
                 texts[i] = cut(texts[i], [(r["first"], r["last"]) for r in ranges[int(i)].as_py()])
+                kept[i] = not drop_emptied or bool(texts[i].strip(" \t\n\r\x0b\x0c"))
             columns = list(batch.columns)[:-1]
             columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield out if kept.all() else out.filter(pa.array(kept))
 
-    cleaned = joined.mapInArrow(clean, docs.schema)
-    if "n_chars" in docs.columns:
+    cleaned = joined.mapInArrow(clean, plain.schema).toDF(*names)
+    if "n_chars" in names:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+    return cleaned
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
