@@ -1,9 +1,10 @@
 """Toxicity by compression: what a dictionary of toxic text saves, window by window.
 
 Two zstandard dictionaries are trained on a bounded sample of labelled rows. One holds
-ordinary text. The other is trained on the words that at least ``MIN_SHARE`` of the toxic
-sample holds and that are ``MIN_LIFT`` times as frequent there as in the ordinary one,
-and is put before the ordinary content, so that both explain ordinary text alike. Each
+ordinary text. The other is trained on words with a stem, their first ``STEM`` letters,
+that at least ``MIN_SHARE`` of the toxic sample holds and that is ``MIN_LIFT`` times as
+frequent there as in the ordinary one; it is put before the ordinary content, so that
+both explain ordinary text alike. Each
 window of ``WINDOW`` words is compressed with both; the bytes saved are summed up per
 document, and a logistic curve fitted on the other half of the sample turns them into a
 probability, with the class sizes of all labelled rows.
@@ -37,8 +38,9 @@ SAMPLE = 4000
 SAMPLE_CHARS = 8000
 WINDOW = 32
 ORDINARY_BYTES = 16384
-TOXIC_BYTES = 512
+TOXIC_BYTES = 1024
 LEVEL = 6
+STEM = 4
 MIN_SHARE = 0.02
 MIN_LIFT = 4.0
 THRESHOLD = 0.5
@@ -63,12 +65,16 @@ def _content(samples: list[bytes], size: int, k: int) -> bytes:
     return trained[len(trained) - min(len(trained), size * 7 // 8) :]
 
 
-def _telling_words(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Words of the toxic texts that the ordinary ones hardly hold."""
+def _stems(text: str) -> set[str]:
+    return {w[:STEM] for w in _WORD.findall(text)}
+
+
+def _telling_stems(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Stems of the toxic texts that the ordinary ones hardly hold."""
     inside, outside = Counter(), Counter()
     for counts, texts in ((inside, toxic), (outside, ordinary)):
         for text in texts:
-            counts.update(set(_WORD.findall(text)))
+            counts.update(_stems(text))
     n, m = len(toxic), max(1, len(ordinary))
     return {
         w for w, c in inside.items() if c >= max(2, MIN_SHARE * n) and c / n >= MIN_LIFT * (outside[w] + 1) / m
@@ -162,8 +168,8 @@ def train(rows: list[tuple[str, int]], share: float) -> Model:
     # Halves: one for the dictionaries, one for the curve.
     for_words, for_curve = (([*toxic[i::2]], [*ordinary[i::2]]) for i in (0, 1))
     content = _content([w for t in for_words[1] for w in windows(t)] or [b" "], ORDINARY_BYTES, 64)
-    telling = _telling_words(*for_words)
-    samples = [" ".join(w for w in _WORD.findall(t) if w in telling) for t in for_words[0]]
+    telling = _telling_stems(*for_words)
+    samples = [" ".join(w for w in _WORD.findall(t) if w[:STEM] in telling) for t in for_words[0]]
     samples = [f" {s} ".encode() for s in samples if s] or [t.encode() for t in for_words[0] if t] or [b" "]
     model = Model(content, _content(samples, TOXIC_BYTES, 24), nothing, nothing, nothing)
     model.open()
