@@ -65,12 +65,25 @@ def orphans(child: DataFrame, reference: str, parent: DataFrame, key: str) -> Da
 
 
 def mismatches(
-    child: DataFrame, reference: str, detail, parent: DataFrame, key: str, expected, alias: str
+    child: DataFrame,
+    reference: str,
+    detail,
+    parent: DataFrame,
+    key: str,
+    expected,
+    alias: str,
+    repeated: bool = False,
 ) -> DataFrame:
-    """One row: child rows whose ``detail`` differs from their parent's ``expected``."""
-    counts = child.groupBy(F.col(reference).alias("_ref"), detail.alias("_detail")).agg(
-        F.count("*").alias("_rows")
-    )
+    """One row: child rows whose ``detail`` differs from their parent's ``expected``.
+
+    With ``repeated``, for references that many rows share with equal details, rows are
+    counted before they move; else they move once, to the join, which splits a hot parent.
+    """
+    counts = child.select(F.col(reference).alias("_ref"), detail.alias("_detail"))
+    if repeated:
+        counts = counts.groupBy("_ref", "_detail").agg(F.count("*").alias("_rows"))
+    else:
+        counts = counts.withColumn("_rows", F.lit(1).cast("bigint"))
     parents = parent.select(F.col(key).alias("_ref"), expected.alias("_expected"))
     return (
         counts.join(parents, "_ref")

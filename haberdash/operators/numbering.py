@@ -1,20 +1,24 @@
-"""Row numbers and dense ranks inside groups of any size.
+"""Row numbers and dense ranks inside groups of any size, by one plan.
 
-A plain window sends each group to one task. Here a group above ``limit`` rows
-is cut into bands that follow the sort order: rows are numbered inside their
-band, and the rows of earlier bands are added. Small groups, the usual case,
-take the plain window.
+A plain window sends each group to one task. Here rows are cut into slices of their
+sort order, by range partitioning on keys and order, so a large group spreads over as
+many slices as it needs. The slices are stored; rows are numbered inside their group and
+slice, and the rows of the group's earlier slices are added. Only groups that reach over
+a border have any, so the added table has at most one row per slice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 1_000_000
+SLICE = "_slice"
+
+# Gives the stored table of a name, building it on first use.
+Keep = Callable[[str, Callable[[], DataFrame]], DataFrame]
 
 
 def same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str = "") -> Column:
@@ -24,113 +28,65 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str =
     )
 
 
-def _renamed(frame: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
-    return frame.withColumnsRenamed({n: f"{prefix}{n}" for n in names})
-
-
-def large_groups(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than ``limit`` rows, and their ``_size``: at most rows / limit of them."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > limit)
+def sliced(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with the slice of the order (keys, order) that holds them; to be stored.
 
-
-def has_large_groups(rows: DataFrame, keys: Sequence[str], limit: int = ROWS_PER_TASK) -> bool:
-    """Whether some key holds more rows than one task should take; runs one job."""
-    return not large_groups(rows, keys, limit).isEmpty()
+    ``order`` must tell the rows of a key apart, or equal rows share a slice.
+    """
+    return rows.repartitionByRange(*keys, *order).withColumn(SLICE, F.spark_partition_id())
 
 
 def numbered(
-    rows: DataFrame,
+    slices: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bands: Sequence[Column],
     position: str = "position",
     previous: tuple[str, str] | None = None,
-    sized_by: DataFrame | None = None,
-    split: bool | None = None,
-    limit: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Add ``position``: 1, 2, ... inside each key group, by ascending ``order``.
 
-    ``bands`` cut a large group, coarse to fine; each must never decrease along
-    ``order`` among rows that agree on the bands before it, and the next one is
-    used only where a band is still large. ``previous`` names the leading order
-    column and the output for its value one row earlier. ``sized_by`` is a
-    cheaper frame to size the groups with: it must hold at least as many rows
-    per key. ``split`` says whether there are large groups; if it is not given,
-    one job finds out, so that data without them gets the plain plan.
+    ``slices`` is a stored result of ``sliced`` for the same keys and order. ``previous``
+    names the leading order column and the output for its value one row earlier.
     """
-    sizes = rows if sized_by is None else sized_by
-    if split is None:
-        split = bool(bands) and has_large_groups(sizes, keys, limit)
-    if not split:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        added = {position: F.row_number().over(window).cast("bigint")}
-        if previous:
-            added[previous[1]] = F.lag(previous[0]).over(window)
-        return rows.withColumns(added)
-
-    # At most rows / limit groups qualify, so broadcasting them is bounded.
-    large = F.broadcast(_renamed(large_groups(sizes, keys, limit).select(*keys), keys, "_large_"))
-    is_large = same(rows, large, keys, "_large_")
-    small = numbered(rows.join(large, is_large, "left_anti"), keys, order, (), position, previous)
-
-    band = f"_band{len(bands)}"
-    banded = rows.join(large, is_large, "left_semi").withColumn(band, bands[0])
-    inner = [*keys, band]
-    inside = numbered(banded, inner, order, bands[1:], position, previous, limit=limit)
-    earlier = (
-        Window.partitionBy(*keys).orderBy(band).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inner = [*keys, SLICE]
+    window = Window.partitionBy(*inner).orderBy(*order)
+    added = {position: F.row_number().over(window).cast("bigint")}
+    if previous:
+        added[previous[1]] = F.lag(previous[0]).over(window)
+    inside = slices.withColumns(added)
+    # One row per group and slice, none of which is large.
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        banded.groupBy(*inner)
+        slices.groupBy(*inner)
         .agg(F.count("*").alias("_rows"), F.max(order[0]).alias("_end"))
         .select(
             *(F.col(n).alias(f"_at_{n}") for n in inner),
-            F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(earlier).alias("_before"),
             F.max("_end").over(earlier).alias("_last"),
         )
+        .where("_before > 0")
     )
-    placed = inside.join(starts, same(inside, starts, inner, "_at_")).withColumn(
-        position, F.col(position) + F.col("_before")
+    placed = inside.join(starts, same(inside, starts, inner, "_at_"), "left").withColumn(
+        position, F.col(position) + F.coalesce("_before", F.lit(0))
     )
     if previous:
         placed = placed.withColumn(previous[1], F.coalesce(previous[1], "_last"))
-    return small.unionByName(placed.drop("_before", "_last", band, *(f"_at_{n}" for n in inner)))
+    return placed.drop("_before", "_last", SLICE, *(f"_at_{n}" for n in inner))
 
 
-def dense_ranks(
-    rows: DataFrame,
-    key: str,
-    measures: dict[str, str],
-    split: bool,
-    width: int = 1000,
-    limit: int = ROWS_PER_TASK,
-) -> DataFrame:
+def dense_ranks(rows: DataFrame, key: str, measures: dict[str, str], keep: Keep) -> DataFrame:
     """Add a dense rank, highest first, for each amount column in ``measures``.
 
-    With ``split``, for data with large groups, only the distinct amounts are
-    numbered, since equal ones share a rank, and then joined back. Amounts have
-    two decimals: a band ``width`` wide holds at most ``100 * width`` of them.
+    Only the distinct amounts are numbered, since equal ones share a rank, and joined back.
     """
-    if not split:
-        return rows.withColumns(
-            {
-                rank: F.dense_rank()
-                .over(Window.partitionBy(key).orderBy(F.desc(measure)))
-                .cast("bigint")
-                for measure, rank in measures.items()
-            }
-        )
     for measure, rank in measures.items():
-        amounts = rows.select(key, (-F.col(measure)).alias("_falling")).distinct()
-        places = numbered(
-            amounts,
-            [key],
-            ["_falling"],
-            [F.floor(F.col("_falling") / width)],
-            position=rank,
-            limit=limit,
-        ).withColumnRenamed(key, f"_of_{key}")
+        falling = (-F.col(measure)).alias("_falling")
+        amounts = keep(
+            rank, lambda by=falling: sliced(rows.select(key, by).distinct(), [key], ["_falling"])
+        )
+        places = numbered(amounts, [key], ["_falling"], position=rank).withColumnRenamed(
+            key, f"_of_{key}"
+        )
         rows = rows.join(
             places,
             rows[key].eqNullSafe(places[f"_of_{key}"])
@@ -139,10 +95,8 @@ def dense_ranks(
     return rows
 
 
-def group_totals(rows: DataFrame, key: str, amount: str, name: str, split: bool) -> DataFrame:
-    """Add the group's sum of ``amount``; with ``split``, from an aggregate joined back."""
-    if not split:
-        return rows.withColumn(name, F.sum(amount).over(Window.partitionBy(key)))
+def group_totals(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """Add the group's sum of ``amount``, from an aggregate joined back."""
     totals = rows.groupBy(key).agg(F.sum(amount).alias(name))
     totals = totals.withColumnRenamed(key, f"_of_{key}")
     return rows.join(totals, same(rows, totals, [key], "_of_")).drop(f"_of_{key}")

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 
 from haberdash.functions.columns import age_band, days_between, percent, ratio
 from haberdash.functions.metrics import add_up, gross_profit, money, net_revenue, valid_sales
-from haberdash.operators.numbering import ROWS_PER_TASK, numbered
-from haberdash.plans.sales import customer_orders, year
+from haberdash.operators.numbering import SLICE, numbered
+from haberdash.plans.sales import customer_orders, customers_and_orders, year
 
 
 # Customer types.
 ONE_TIME, NEW, REPEAT = "One-time customer", "New customer", "Repeat customer"
 
 
+# Keys and order of a customer's purchases.
+ORDER_OF_PURCHASES = (("customer_id",), ("order_date", "order_id"))
+
+
 def loyalty(valid_orders: Column) -> Column:
     """By orders in total: one, or more."""
     return F.when(valid_orders == 1, ONE_TIME).otherwise(REPEAT)
@@ -31,10 +35,9 @@ def standing(year: Column, first_year: Column) -> Column:
     return F.when(year == first_year, NEW).otherwise(REPEAT)
 
 
-def customer_totals(items: DataFrame, cutoff: dt.date) -> DataFrame:
+def customer_totals(orders: DataFrame) -> DataFrame:
     return (
-        customer_orders(items, cutoff)
-        .groupBy("customer_id")
+        orders.groupBy("customer_id")
         .agg(
             F.count("*").alias("valid_orders"),
             F.min("order_date").alias("first_order_date"),
@@ -44,9 +47,9 @@ def customer_totals(items: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def one_time_vs_repeat(items: DataFrame, cutoff: dt.date) -> DataFrame:
+def one_time_vs_repeat(orders: DataFrame) -> DataFrame:
     return (
-        customer_totals(items, cutoff)
+        customer_totals(orders)
         .groupBy(loyalty(F.col("valid_orders")).alias("customer_type"))
         .agg(
             F.count("*").alias("total_customers"),
@@ -95,10 +98,9 @@ def new_vs_repeat_by_year(items: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def order_frequency(items: DataFrame, cutoff: dt.date) -> DataFrame:
+def order_frequency(orders: DataFrame) -> DataFrame:
     return (
-        customer_orders(items, cutoff)
-        .groupBy("customer_id")
+        orders.groupBy("customer_id")
         .agg(F.count("*").alias("valid_orders"))
         .groupBy("valid_orders")
         .agg(F.count("*").alias("number_of_customers"))
@@ -106,18 +108,13 @@ def order_frequency(items: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def _grouped(items: DataFrame, customers: DataFrame, cutoff: dt.date, group: Column, name: str):
+def _grouped(orders: DataFrame, customers: DataFrame, group: Column, name: str) -> DataFrame:
     """Customers, orders and sales per group; an order can span customers, so both are distinct."""
-    return (
-        customer_orders(items, cutoff)
-        .join(customers.select("customer_id", group.alias(name)), "customer_id")
-        .groupBy(name)
-        .agg(
-            F.countDistinct("customer_id").alias("total_customers"),
-            F.countDistinct("order_id").alias("valid_orders"),
-            *add_up("net_revenue", "gross_profit"),
-        )
-    )
+    placed = orders.join(customers.select("customer_id", group.alias(name)), "customer_id")
+    sold, counted = customers_and_orders(placed, name)
+    rows = counted.unionByName(sold, allowMissingColumns=True)  # two rows per group
+    names = ["total_customers", "valid_orders", "net_revenue", "gross_profit"]
+    return rows.groupBy(name).agg(*(F.max(n).alias(n) for n in names))
 
 
 def _valued(grouped: DataFrame, name: str) -> DataFrame:
@@ -133,49 +130,44 @@ def _valued(grouped: DataFrame, name: str) -> DataFrame:
     )
 
 
-def by_country(items: DataFrame, customers: DataFrame, cutoff: dt.date) -> DataFrame:
-    return _valued(_grouped(items, customers, cutoff, F.col("country"), "country"), "country")
+def by_country(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    return _valued(_grouped(orders, customers, F.col("country"), "country"), "country")
 
 
-def by_acquisition_source(items: DataFrame, customers: DataFrame, cutoff: dt.date) -> DataFrame:
+def by_acquisition_source(orders: DataFrame, customers: DataFrame) -> DataFrame:
     name = "acquisition_source"
-    return _valued(_grouped(items, customers, cutoff, F.col(name), name), name)
+    return _valued(_grouped(orders, customers, F.col(name), name), name)
 
 
-def by_age_group(items: DataFrame, customers: DataFrame, cutoff: dt.date) -> DataFrame:
+def by_age_group(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return (
-        _grouped(items, customers, cutoff, age_band(F.col("age")), "age_group")
+        _grouped(orders, customers, age_band(F.col("age")), "age_group")
         .withColumns(money("net_revenue", "gross_profit"))
         .orderBy(F.desc("net_revenue"), "age_group")
     )
 
 
-def by_gender(items: DataFrame, customers: DataFrame, cutoff: dt.date) -> DataFrame:
+def by_gender(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return (
-        _grouped(items, customers, cutoff, F.col("gender"), "gender")
+        _grouped(orders, customers, F.col("gender"), "gender")
         .withColumns(money("net_revenue", "gross_profit"))
         .orderBy(F.desc("net_revenue"), "gender")
     )
 
 
-def purchase_sequence(items: DataFrame, cutoff: dt.date, limit: int = ROWS_PER_TASK) -> DataFrame:
+def purchase_sequence(orders: DataFrame) -> DataFrame:
     """Each customer's orders in time: number, date before and days since.
 
-    A customer with more than ``limit`` items is numbered day by day, and a day
-    in blocks of order numbers.
+    ``orders``: stored slices of rows per customer and order.
     """
-    orders = customer_orders(items, cutoff).select(
-        "customer_id", "order_id", "order_date", F.col("net_revenue").alias("order_revenue")
+    rows = orders.select(
+        "customer_id", "order_id", "order_date", F.col("net_revenue").alias("order_revenue"), SLICE
     )
     sequence = numbered(
-        orders,
-        ["customer_id"],
-        ["order_date", "order_id"],
-        [F.col("order_date"), F.expr("order_id div 1000000")],
+        rows,
+        *ORDER_OF_PURCHASES,
         position="customer_order_number",
         previous=("order_date", "previous_order_date"),
-        sized_by=valid_sales(items, cutoff),
-        limit=limit,
     )
     return (
         sequence.withColumn(
@@ -202,7 +194,7 @@ def customer_performance(items: DataFrame, customers: DataFrame, cutoff: dt.date
         "customer_id", "age", "gender", "city", "state", "country", "acquisition_source"
     )
     return (
-        customer_totals(items, cutoff)
+        customer_totals(customer_orders(items, cutoff))
         .join(attributes, "customer_id")
         .withColumns(
             {

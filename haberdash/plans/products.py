@@ -26,7 +26,7 @@ from haberdash.functions.metrics import (
     unsold_at,
     valid_sales,
 )
-from haberdash.operators.numbering import ROWS_PER_TASK, dense_ranks, group_totals, has_large_groups
+from haberdash.operators.numbering import Keep, dense_ranks, group_totals
 
 
 def product_sales(items: DataFrame, cutoff: dt.date) -> DataFrame:
@@ -96,21 +96,19 @@ def top_products(items: DataFrame, products: DataFrame, cutoff: dt.date, rows: i
 
 
 def rank_in_category(
-    items: DataFrame, products: DataFrame, cutoff: dt.date, limit: int = ROWS_PER_TASK
+    items: DataFrame, products: DataFrame, cutoff: dt.date, keep: Keep
 ) -> DataFrame:
     """Each product's place in its category by revenue and by profit, and its share."""
-    sold = product_sales(items, cutoff).join(
-        products.select("product_id", "product_name", "category"), "product_id"
-    )
-    # A category has no more sold products than products.
-    split = has_large_groups(products, ["category"], limit)
-    totalled = group_totals(sold, "category", "net_revenue", "_revenue", split)
+    named = products.select("product_id", "product_name", "category")
+    sold = keep("product_totals", lambda: product_sales(items, cutoff).join(named, "product_id"))
     places = {
         "net_revenue": "revenue_rank_in_category",
         "gross_profit": "profit_rank_in_category",
     }
     return (
-        dense_ranks(totalled, "category", places, split, limit=limit)
+        dense_ranks(
+            group_totals(sold, "category", "net_revenue", "_revenue"), "category", places, keep
+        )
         .withColumn("category_revenue_share_percent", percent(F.col("net_revenue"), F.col("_revenue"), 4))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(

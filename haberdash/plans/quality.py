@@ -198,9 +198,12 @@ def inconsistent_sessions(events: DataFrame) -> DataFrame:
         .where(F.col("session_id").isNotNull())
         .groupBy("session_id")
         .agg(
-            F.countDistinct(unpadded(F.col("traffic_source"))).alias("_sources"),
-            F.countDistinct(unpadded(F.col("browser"))).alias("_browsers"),
+            *(
+                f(unpadded(F.col(c))).alias(f"_{f.__name__}_{c}")
+                for c in ("traffic_source", "browser")
+                for f in (F.min, F.max)
+            )
         )
-        .where("_sources > 1 OR _browsers > 1")
+        .where("_min_traffic_source <> _max_traffic_source OR _min_browser <> _max_browser")
         .agg(F.count("*").alias("sessions_with_multiple_attributes"))
     )

@@ -68,5 +68,5 @@ def mismatched_centers(inventory: DataFrame, products: DataFrame) -> DataFrame:
     return mismatches(
         inventory, "product_id", F.col("product_distribution_center_id"),
         products, "id", F.col("distribution_center_id"),
-        "mismatched_distribution_centers",
+        "mismatched_distribution_centers", repeated=True,
     )

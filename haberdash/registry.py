@@ -230,6 +230,11 @@ def _over(build: Callable[..., DataFrame], *tables: str) -> Query:
     return lambda w: build(*(w.model(t) for t in tables), w.sales_cutoff)
 
 
+def _over_orders(build: Callable[..., DataFrame], *tables: str) -> Query:
+    """A report over the stored sales per customer and order."""
+    return lambda w: build(w.customer_orders(), *(w.model(t) for t in tables))
+
+
 def _over_sessions(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda w: build(w.session_flags())
 
@@ -239,27 +244,29 @@ PRODUCTS, CUSTOMERS, CENTERS = "dim_product", "dim_customer", "dim_distribution_
 
 ANALYSIS_QUERIES: dict[str, Query] = {
     "item_statuses": lambda w: sales.item_statuses(w.model(ITEMS)),
-    "overall_kpis": _over(sales.overall_kpis, ITEMS),
-    "annual_performance": _over(sales.annual_performance, ITEMS),
+    "overall_kpis": _over_orders(sales.overall_kpis),
+    "annual_performance": _over_orders(sales.annual_performance),
     "monthly_trend": _over(sales.monthly_trend, ITEMS),
     "yoy_growth": _over(sales.yoy_growth, ITEMS),
     "aov_by_year": _over(sales.order_value_by_year, ITEMS),
     "category_performance": _over(products.category_performance, ITEMS, PRODUCTS),
     "brand_performance": _over(products.brand_performance, ITEMS, PRODUCTS),
     "top_products": _over(products.top_products, ITEMS, PRODUCTS),
-    "product_rank_in_category": _over(products.rank_in_category, ITEMS, PRODUCTS),
+    "product_rank_in_category": lambda w: products.rank_in_category(
+        w.model(ITEMS), w.model(PRODUCTS), w.sales_cutoff, w.keep
+    ),
     "high_revenue_low_margin": _over(products.high_revenue_low_margin, ITEMS, PRODUCTS),
     "highest_return_rates": _over(products.highest_return_rates, ITEMS, PRODUCTS),
     "lost_value": _over(products.lost_value, ITEMS),
     "items_per_product_histogram": _over(products.items_per_product_histogram, ITEMS),
-    "one_time_vs_repeat": _over(customers.one_time_vs_repeat, ITEMS),
+    "one_time_vs_repeat": _over_orders(customers.one_time_vs_repeat),
     "new_vs_repeat_by_year": _over(customers.new_vs_repeat_by_year, ITEMS),
-    "order_frequency": _over(customers.order_frequency, ITEMS),
-    "by_country": _over(customers.by_country, ITEMS, CUSTOMERS),
-    "by_acquisition_source": _over(customers.by_acquisition_source, ITEMS, CUSTOMERS),
-    "by_age_group": _over(customers.by_age_group, ITEMS, CUSTOMERS),
-    "by_gender": _over(customers.by_gender, ITEMS, CUSTOMERS),
-    "purchase_sequence": _over(customers.purchase_sequence, ITEMS),
+    "order_frequency": _over_orders(customers.order_frequency),
+    "by_country": _over_orders(customers.by_country, CUSTOMERS),
+    "by_acquisition_source": _over_orders(customers.by_acquisition_source, CUSTOMERS),
+    "by_age_group": _over_orders(customers.by_age_group, CUSTOMERS),
+    "by_gender": _over_orders(customers.by_gender, CUSTOMERS),
+    "purchase_sequence": _over_orders(customers.purchase_sequence),
     "event_types": lambda w: funnel.event_types(w.model("fact_events"), w.event_cutoff),
     "session_flags": lambda w: w.session_flags(),
     "cart_without_product": _over_sessions(funnel.cart_without_product),

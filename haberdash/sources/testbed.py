@@ -10,12 +10,12 @@ from __future__ import annotations
 import datetime as dt
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
-from haberdash.operators.numbering import ROWS_PER_TASK, has_large_groups, large_groups, numbered
+from haberdash.operators.numbering import numbered, sliced
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, shared_folder
 
@@ -24,10 +24,6 @@ EVENT_CUTOFF = dt.date(2024, 1, 30)
 
 TABLES = ("customer", "nation", "supplier", "part", "orders", "lineitem", "events")
 
-# Line keys are order * LINES_PER_ORDER + position; lines past that room, in the few
-# orders with so many, are numbered on from FAR_LINES.
-LINES_PER_ORDER = 1_000_000
-FAR_LINES = 5_000_000_000_000_000_000
 # Each part has this many unsold pieces; piece n lies in center n.
 UNSOLD_PIECES = 10
 
@@ -84,16 +80,8 @@ class Testbed:
     # Plain projections of files that are Parquet already.
     in_place = ("products", "orders", "order_items", "distribution_centers")
 
-    def __init__(
-        self,
-        store: Store,
-        folder: str,
-        limit: int = ROWS_PER_TASK,
-        lines_per_order: int = LINES_PER_ORDER,
-    ) -> None:
+    def __init__(self, store: Store, folder: str) -> None:
         self.store = store
-        self.limit = limit
-        self.lines_per_order = max(limit, lines_per_order)
         self._schemas: dict[str, StructType] = {}
         self.folder = folder.rstrip("/")
 
@@ -203,50 +191,20 @@ class Testbed:
         )
 
     def _lines(self) -> DataFrame:
-        """Order lines with a key of their own and their order's details.
+        """Order lines, numbered through in the order of their order, with its details.
 
         Stored, because items and sold stock are both cut from it.
         """
         key = F.col("l_orderkey")
-        rows = self._read("lineitem")
-        columns = [c for c in LINE_ORDER if c != "l_linenumber"]
         # Lines alike in every column are told apart by where they are stored.
-        placed = rows.select(
+        order = ["l_orderkey", *LINE_ORDER, "_file", "_row"]
+        placed = self._read("lineitem").select(
             "*",
             F.xxhash64("_metadata.file_path").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
         )
-        split = has_large_groups(rows, ["l_orderkey"], self.limit)
-        lines = numbered(
-            placed,
-            ["l_orderkey"],
-            [*LINE_ORDER, "_file", "_row"],
-            [
-                F.col("l_linenumber"),
-                F.expr("l_partkey div 10000"),
-                F.struct(*columns),
-                F.col("_file"),
-                F.expr("_row div 1000000"),
-            ],
-            sized_by=rows,
-            split=split,
-            limit=self.limit,
-        )
-        near = key * self.lines_per_order + F.col("position")
-        if split:
-            earlier = Window.orderBy("l_orderkey").rowsBetween(Window.unboundedPreceding, -1)
-            # One row per order of that size, at most rows / lines_per_order.
-            far = large_groups(rows, ["l_orderkey"], self.lines_per_order).select(
-                F.col("l_orderkey").alias("_order"),
-                F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_room"),
-            )
-            lines = lines.join(F.broadcast(far), key == F.col("_order"), "left")
-            line_key = F.when(F.col("position") <= self.lines_per_order, near).otherwise(
-                F.lit(FAR_LINES) + F.col("_room") + F.col("position")
-            )
-        else:
-            line_key = near
-        lines = lines.withColumn("line_key", line_key)
+        slices = self.store.table("import/line_slices", lambda: sliced(placed, [], order))
+        lines = numbered(slices, [], order, position="line_key")
         orders = self("orders")
         return lines.join(orders, key == F.col("order_id"), "left").select(
             "line_key",
@@ -332,17 +290,10 @@ class Testbed:
 
     def events(self) -> DataFrame:
         key, user = F.col("event_id"), F.col("user_id")
-        steps = numbered(
-            self._read("events").withColumn("day", F.to_date("ts")),
-            ["user_id", "day"],
-            ["ts", "event_id"],
-            [
-                F.hour("ts") * 60 + F.minute("ts"),
-                F.expr("extract(SECOND FROM ts)"),
-                F.expr("event_id div 1000000"),
-            ],
-            limit=self.limit,
-        )
+        days = self._read("events").withColumn("day", F.to_date("ts"))
+        keys, order = ["user_id", "day"], ["ts", "event_id"]
+        slices = self.store.table("import/event_slices", lambda: sliced(days, keys, order))
+        steps = numbered(slices, keys, order)
         kind = F.col("event_type")
         return steps.select(
             key.alias("id"),
@@ -387,14 +338,9 @@ def _fingerprint(spark: SparkSession, folder: str) -> str:
     return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
-def warehouse_over(
-    store: Store,
-    folder: str,
-    limit: int = ROWS_PER_TASK,
-    lines_per_order: int = LINES_PER_ORDER,
-) -> Warehouse:
-    """The tables in ``folder`` as a warehouse; groups above ``limit`` rows are split."""
-    load = Testbed(store, folder, limit, lines_per_order)
+def warehouse_over(store: Store, folder: str) -> Warehouse:
+    """The tables in ``folder`` as a warehouse."""
+    load = Testbed(store, folder)
     return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place)
 
 

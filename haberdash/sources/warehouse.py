@@ -19,7 +19,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from haberdash.operators.keys import assert_keys
-from haberdash.plans import cleaned, funnel, model, reporting
+from haberdash.operators.numbering import sliced
+from haberdash.plans import cleaned, customers, funnel, model, reporting, sales
 from haberdash.sources import files
 from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
 
@@ -199,6 +200,20 @@ class Warehouse:
             lambda: funnel.session_flags(self.model("fact_events"), self.event_cutoff),
         )
 
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A working table of the reports, stored until the model is built again."""
+        return self.store.table(f"work/{name}", build)
+
+    def customer_orders(self) -> DataFrame:
+        """Valid sales per customer and order, in slices of each customer's time."""
+        return self.keep(
+            "customer_orders",
+            lambda: sliced(
+                sales.customer_orders(self.model("fact_order_items"), self.sales_cutoff),
+                *customers.ORDER_OF_PURCHASES,
+            ),
+        )
+
     def drop_session_flags(self) -> None:
         self.store.drop("work/session_flags")
 
@@ -248,6 +263,7 @@ class Warehouse:
     def rebuild_model(self) -> None:
         """Drop the star schema and write it again from the cleaned layer."""
         self.store.drop("analytics/")
+        self.store.drop("work/")
         self.build_model()
 
     def create_layers(self) -> None:

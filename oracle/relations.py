@@ -55,19 +55,13 @@ FROM (
       WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN 'Cancelled'
       ELSE 'Processing' END AS status
   FROM orders)""",
-    "far_orders": """
-SELECT l_orderkey, coalesce(sum(n) OVER (ORDER BY l_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-  AS room
-FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n > 1000000""",
     "placed_lines": """
-SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
-    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS place
+SELECT *, row_number() OVER (ORDER BY l_orderkey NULLS FIRST, l_linenumber, l_partkey, l_suppkey, l_shipdate,
+    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS line_key
 FROM lineitem""",
     "lines": """
-SELECT l.*, o.user_id, o.status AS order_status, o.created_at, o.shipped_at, o.delivered_at, o.returned_at,
-  if(place <= 1000000, l_orderkey * 1000000 + place, 5000000000000000000 + room::BIGINT + place) AS line_key
-FROM placed_lines AS l LEFT JOIN far_orders USING (l_orderkey)
-LEFT JOIN src_orders AS o ON o.order_id = l.l_orderkey""",
+SELECT l.*, o.user_id, o.status AS order_status, o.created_at, o.shipped_at, o.delivered_at, o.returned_at
+FROM placed_lines AS l LEFT JOIN src_orders AS o ON o.order_id = l.l_orderkey""",
     "src_order_items": """
 SELECT line_key AS id, l_orderkey AS order_id, user_id, l_partkey AS product_id, line_key AS inventory_item_id,
   if(l_returnflag = 'R' AND order_status = 'Complete', 'Returned', order_status) AS status, created_at,

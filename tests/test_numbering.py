@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from haberdash.operators.numbering import dense_ranks, group_totals, has_large_groups, numbered
+from haberdash.operators.numbering import SLICE, dense_ranks, group_totals, numbered, sliced
+from haberdash.sources.warehouse import Store
 
 
 @pytest.fixture(scope="module")
@@ -34,67 +35,53 @@ def _plain(frame):
     )
 
 
-@pytest.mark.parametrize("limit", [3, 20, 199, 10_000])
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_numbers_equal_plain_window(crowded, limit, depth):
-    bands = [F.col("day"), F.expr("id div 50"), F.expr("id div 10")][:depth]
-    split = numbered(
-        crowded, ["key"], ["day", "id"], bands, previous=("day", "before"), limit=limit
-    )
-    expected = _plain(crowded)
-    assert sorted(split.columns) == sorted(expected.columns)
-    assert split.select(expected.columns).exceptAll(expected).isEmpty()
-    assert expected.exceptAll(split.select(expected.columns)).isEmpty()
+@pytest.fixture()
+def keep(spark, tmp_path):
+    return Store(spark, str(tmp_path)).table
 
 
-def test_exact_copies_get_different_numbers(spark):
-    copies = spark.range(300).select(F.lit(1).alias("key"), F.lit(2).alias("day"), "id")
-    result = numbered(
-        copies, ["key"], ["day", "id"], [F.col("day"), F.expr("id div 7")], limit=10
-    )
-    assert result.agg(F.countDistinct("position"), F.max("position")).first()[:] == (300, 300)
+def _in_slices(keep, rows, keys, order, slices):
+    """Stored slices of a given number, whatever the session's setting."""
+    cut = rows.repartitionByRange(slices, *keys, *order).withColumn(SLICE, F.spark_partition_id())
+    return keep(f"slices-{slices}", lambda: cut)
 
 
-def test_sizes_may_come_from_a_larger_frame(crowded):
-    rows = crowded.select("key", "day", "id")
-    split = numbered(
-        rows, ["key"], ["day", "id"], [F.col("day")], sized_by=crowded.unionAll(crowded), limit=210
-    )
-    expected = _plain(crowded).select("key", "day", "id", "position")
-    assert split.exceptAll(expected).isEmpty()
+@pytest.mark.parametrize("slices", [1, 3, 20, 200])
+def test_numbers_equal_plain_window(crowded, keep, slices):
+    cut = _in_slices(keep, crowded, ["key"], ["day", "id"], slices)
+    found = numbered(cut, ["key"], ["day", "id"], previous=("day", "before"))
+    expected = _plain(crowded)
+    assert sorted(found.columns) == sorted(expected.columns)
+    assert found.select(expected.columns).exceptAll(expected).isEmpty()
+    assert expected.exceptAll(found.select(expected.columns)).isEmpty()
 
 
-def test_large_group_in_plan_is_not_one_partition(crowded):
-    split = numbered(crowded, ["key"], ["day", "id"], [F.col("day")], limit=50)
-    plan = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "_band1" in plan
-    whole = numbered(crowded, ["key"], ["day", "id"], [F.col("day")])
-    assert "_band" not in whole._jdf.queryExecution().optimizedPlan().toString()
+def test_numbers_through_all_rows(crowded, keep):
+    cut = _in_slices(keep, crowded, [], ["day", "id"], 30)
+    found = numbered(cut, [], ["day", "id"]).orderBy("position").collect()
+    assert [r.position for r in found] == list(range(1, 651))
+    assert [(r.day, r.id) for r in found] == sorted((r.day, r.id) for r in found)
 
 
-def test_finer_bands_are_used_only_where_needed(crowded):
-    bands = [F.col("day"), F.expr("id div 50")]
-    split = numbered(crowded, ["key"], ["day", "id"], bands, limit=70)
-    plan = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "_band2" in plan and "_band1" not in plan
+def test_a_large_group_is_cut_by_its_order(crowded, keep):
+    cut = keep("cut", lambda: sliced(crowded.repartition(1), ["key"], ["day", "id"]))
+    assert SLICE in cut.columns
+    cut = _in_slices(keep, crowded, ["key"], ["day", "id"], 40)
+    rows = cut.where("key = 1").groupBy(SLICE).agg(F.count("*").alias("n"), F.min("day"), F.max("day"))
+    found = rows.orderBy(SLICE).collect()
+    assert len(found) > 5 and max(r.n for r in found) < 100
+    assert all(a["max(day)"] <= b["min(day)"] for a, b in zip(found, found[1:]))
 
 
-def test_dense_ranks_and_totals_equal_plain_window(crowded):
-    expected = group_totals(
-        dense_ranks(crowded, "key", {"amount": "place"}, split=False), "key", "amount", "whole", False
+def test_dense_ranks_and_totals_equal_plain_window(crowded, keep):
+    inside = Window.partitionBy("key")
+    expected = crowded.withColumns(
+        {
+            "place": F.dense_rank().over(inside.orderBy(F.desc("amount"))).cast("bigint"),
+            "whole": F.sum("amount").over(inside),
+        }
     )
-    for limit in (5, 60):
-        split = group_totals(
-            dense_ranks(crowded, "key", {"amount": "place"}, split=True, width=100, limit=limit),
-            "key",
-            "amount",
-            "whole",
-            True,
-        ).select(expected.columns)
-        assert split.exceptAll(expected).isEmpty()
-        assert expected.exceptAll(split).isEmpty()
-
-
-def test_large_groups_are_found(crowded):
-    assert has_large_groups(crowded, ["key"], 199)
-    assert not has_large_groups(crowded, ["key"], 250)
+    ranked = dense_ranks(crowded, "key", {"amount": "place"}, keep)
+    found = group_totals(ranked, "key", "amount", "whole").select(expected.columns)
+    assert found.exceptAll(expected).isEmpty()
+    assert expected.exceptAll(found).isEmpty()

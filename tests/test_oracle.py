@@ -8,8 +8,10 @@ from conftest import TESTDATA
 
 import __spark_entry__ as entry
 
+from haberdash.registry import QUERIES
+from oracle import ORACLE_SQL as SQL
+
 FOLDER = str(TESTDATA / "sf0.001")
-SQL = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,8 @@ def checks():
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

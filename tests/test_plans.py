@@ -52,11 +52,10 @@ def test_plan_scales(unhinted, name):
 
 
 def test_report_scans_only_its_columns_and_pushes_the_cutoff(unhinted):
-    plan = physical(QUERIES["annual_performance"](unhinted))
+    plan = physical(QUERIES["monthly_trend"](unhinted))
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",") if ":" in c} == {
         "order_id",
-        "customer_id",
         "item_status",
         "order_date",
         "item_revenue",
@@ -95,3 +94,26 @@ def test_orders_of_a_month_are_grouped_once(unhinted):
     plan = physical(QUERIES["sales_monthly"](unhinted))
     assert "Expand" not in plan
     assert plan.count("FileScan") == 2
+
+
+@pytest.mark.parametrize(
+    "name", ["overall_kpis", "annual_performance", "by_country", "by_age_group", "by_gender"]
+)
+def test_reports_by_customer_read_the_stored_orders(unhinted, name):
+    plan = physical(QUERIES[name](unhinted))
+    assert "Expand" not in plan and "customer_orders" in plan and "fact_order_items" not in plan
+
+
+@pytest.mark.parametrize(
+    "name", ["mismatch_customer", "mismatch_status", "mismatch_product", "session_multi_attr"]
+)
+def test_child_rows_move_once(unhinted, name):
+    plan = physical(QUERIES[name](unhinted))
+    assert "Expand" not in plan
+    assert plan.count("Exchange hashpartitioning") == (1 if name == "session_multi_attr" else 2)
+
+
+@pytest.mark.parametrize("name", ["purchase_sequence", "product_rank_in_category"])
+def test_numbering_reads_stored_slices(unhinted, name):
+    plan = physical(QUERIES[name](unhinted))
+    assert "fact_order_items" not in plan and plan.count("FileScan") <= 6

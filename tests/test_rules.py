@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from small import CUTOFF, at, built, clean, only, relation, sold, values
 
 from haberdash.functions import columns as c
+from haberdash.operators.numbering import SLICE
 from haberdash.plans import (
     cleaned,
     customers,
@@ -22,6 +23,7 @@ from haberdash.plans import (
     relations,
     sales,
 )
+from haberdash.sources.warehouse import Store
 
 
 # -- text, dates, rates -------------------------------------------------------------
@@ -350,7 +352,7 @@ def test_status_rules_for_sales(spark):
         {"order": 4, "customer": 3, "status": None, "revenue": "40.00"},
         {"order": 5, "customer": 4, "date": "2024-01-01", "revenue": "50.00"},
     )
-    assert only(sales.overall_kpis(items, CUTOFF)) == {
+    assert only(sales.overall_kpis(sales.customer_orders(items, CUTOFF))) == {
         "valid_orders": 2,
         "total_customers": 1,
         "net_revenue": Decimal("10.00"),
@@ -365,7 +367,7 @@ def test_status_rules_for_sales(spark):
 
 def test_no_sales_give_null_totals(spark):
     items = sold(spark, {"status": "Cancelled"})
-    row = only(sales.overall_kpis(items, CUTOFF))
+    row = only(sales.overall_kpis(sales.customer_orders(items, CUTOFF)))
     assert row["valid_orders"] == 0 and row["net_revenue"] is None
     assert row["gross_margin_percent"] is None
     orders = built("fact_orders", clean("orders", relation(spark, "orders")))
@@ -419,7 +421,7 @@ def test_brandless_products_form_a_group(spark):
     assert brands == [(None, 2), ("B", 1)]
 
 
-def test_ranks_share_places_and_top_lists_break_ties_by_key(spark):
+def test_ranks_share_places_and_top_lists_break_ties_by_key(spark, tmp_path):
     goods = _goods(spark, *({"id": n, "category": "A"} for n in (1, 2, 3)))
     items = sold(
         spark,
@@ -428,7 +430,7 @@ def test_ranks_share_places_and_top_lists_break_ties_by_key(spark):
         {"product": 3, "revenue": "0.00", "profit": "0.00"},
     )
     ranks = values(
-        products.rank_in_category(items, goods, CUTOFF),
+        products.rank_in_category(items, goods, CUTOFF, Store(spark, str(tmp_path)).table),
         "product_id",
         "revenue_rank_in_category",
         "category_revenue_share_percent",
@@ -484,7 +486,7 @@ def test_two_meanings_of_repeat_customer(spark):
         {"customer": 3, "order": 4, "date": "2021-01-01"},
         {"customer": 3, "order": 5, "date": "2022-01-01"},
     )
-    types = {r.customer_type: r.total_customers for r in customers.one_time_vs_repeat(items, CUTOFF).collect()}
+    types = {r.customer_type: r.total_customers for r in customers.one_time_vs_repeat(sales.customer_orders(items, CUTOFF)).collect()}
     assert types == {"Repeat customer": 2, "One-time customer": 1}
     yearly = customers.new_vs_repeat_by_year(items, CUTOFF)
     assert values(yearly, "order_year", "customer_type", "total_customers") == [
@@ -500,7 +502,7 @@ def test_an_order_shared_by_customers_counts_once_per_group(spark):
         clean("users", relation(spark, "users", {"id": 1, "country": "Peru"}, {"id": 2, "country": "Peru"})),
     )
     items = sold(spark, {"customer": 1, "order": 1}, {"customer": 2, "order": 1}, {"customer": 9, "order": 2})
-    row = only(customers.by_country(items, people, CUTOFF))
+    row = only(customers.by_country(sales.customer_orders(items, CUTOFF), people))
     assert (row["total_customers"], row["valid_orders"]) == (2, 1)
     assert row["average_order_value"] == Decimal("20.00")
 
@@ -514,7 +516,7 @@ def test_purchase_sequence(spark):
         {"order": 3, "date": "2023-02-05"},
     )
     rows = values(
-        customers.purchase_sequence(items, CUTOFF),
+        customers.purchase_sequence(sales.customer_orders(items, CUTOFF).withColumn(SLICE, F.lit(0))),
         "order_id",
         "customer_order_number",
         "days_since_previous_order",
