@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 
@@ -22,14 +23,23 @@ _READ_TIME = "yyyy-MM-dd['T'][' ']HH:mm:ss[.SSSSSS][' UTC']['+00:00']"
 
 
 def read_csv(spark: SparkSession, relation: str, path: str) -> DataFrame:
-    """One relation from CSV; a row that does not fit the schema fails the job."""
+    """One relation from CSV, columns by header name; extra ones are left out.
+
+    A missing column, or a value that does not fit its type, is an error.
+    """
+    kinds = dict(field.split() for field in SOURCE_SCHEMAS[relation].split(","))
+    header = spark.read.options(**_CSV).csv(path).columns or list(kinds)
+    missing = sorted(set(kinds) - set(header))
+    if missing:
+        raise ValueError(f"{path}: the header does not conform, without {', '.join(missing)}")
     options = {
         **_CSV,
         "timestampNTZFormat": _READ_TIME,
         "mode": "FAILFAST",
         "enforceSchema": False,
     }
-    return spark.read.schema(SOURCE_SCHEMAS[relation]).options(**options).csv(path)
+    in_file = ", ".join(f"`{name}` {kinds.get(name, 'STRING')}" for name in header)
+    return spark.read.schema(in_file).options(**options).csv(path).select(*kinds)
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
@@ -40,3 +50,13 @@ def write_csv(frame: DataFrame, path: str) -> None:
 def read_parquet(spark: SparkSession, relation: str, path: str) -> DataFrame:
     """One relation from Parquet with the declared schema."""
     return spark.read.schema(SOURCE_SCHEMAS[relation]).parquet(path)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Changes when any file under the paths does; lists files without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    state = F.xxhash64("path", "length", "modificationTime")
+    row = files.agg(
+        F.count("*").alias("files"), F.sum("length").alias("bytes"), F.bit_xor(state).alias("state")
+    ).first()
+    return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"

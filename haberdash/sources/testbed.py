@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
 from haberdash.operators.numbering import numbered, sliced
+from haberdash.sources.files import fingerprint
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, shared_folder
 
@@ -327,17 +328,6 @@ _open: dict[tuple[str, str, str], Warehouse] = {}
 _opening = threading.Lock()
 
 
-def _fingerprint(spark: SparkSession, folder: str) -> str:
-    """Changes when any file of the tables does; lists files without reading them."""
-    paths = [f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    state = F.xxhash64("path", "length", "modificationTime")
-    row = files.agg(
-        F.count("*").alias("files"), F.sum("length").alias("bytes"), F.bit_xor(state).alias("state")
-    ).first()
-    return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"
-
-
 def warehouse_over(store: Store, folder: str) -> Warehouse:
     """The tables in ``folder`` as a warehouse."""
     load = Testbed(store, folder)
@@ -348,8 +338,9 @@ def open_testbed(spark: SparkSession, folder: str) -> Warehouse:
     """The warehouse over the test tables in ``folder``, one per session and file state."""
     application = spark.sparkContext.applicationId
     with _opening:
-        key = (application, folder, _fingerprint(spark, folder))
+        paths = [f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES]
+        key = (application, folder, fingerprint(spark, paths))
         if key not in _open:
-            store = Store(spark, f"{shared_folder(spark)}/haberdash/{application}/{key[2]}")
+            store = Store(spark, f"{shared_folder(spark)}/haberdash/{key[2]}")
             _open[key] = warehouse_over(store, folder)
     return _open[key]

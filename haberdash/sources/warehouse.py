@@ -12,6 +12,7 @@ from __future__ import annotations
 import datetime as dt
 import tempfile
 import threading
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
@@ -28,6 +29,8 @@ LAYERS = ("src", "cleaned", "analytics", "reporting")
 
 # Tables of a layer written at the same time.
 WRITERS = 4
+# Complete versions of a stored table that are kept.
+KEPT = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,18 +50,50 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Store:
-    """Parquet tables under one root, each written at most once per version."""
+    """Parquet tables under one root, in versions that outlive the session.
+
+    A version is complete once it holds the writer's ``_SUCCESS`` mark. The newest
+    complete one is read, by any session on the same root; writing makes a new one and
+    never touches another, and then all but the newest ``KEPT`` complete ones go, so a
+    reader of the version before is not disturbed. The root stands for one state of the
+    input and of this package: another state has another root.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
         self._written: dict[str, DataFrame] = {}
-        self._versions: dict[str, int] = {}
+        self._dropped: set[str] = set()
         self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
         self._lock = threading.Lock()
 
+    def _files(self):
+        """Hadoop's file system of the root, which may be any store Spark reaches."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(context._jsc.hadoopConfiguration()), path
+
+    def _complete(self, name: str) -> list[str]:
+        """Complete versions of a table, oldest first."""
+        system, path = self._files()
+        folder = path(f"{self.root}/{name}")
+        if not system.exists(folder):
+            return []
+        found = sorted(f.getPath().getName() for f in system.listStatus(folder) if f.isDirectory())
+        return [v for v in found if system.exists(path(f"{self.root}/{name}/{v}/_SUCCESS"))]
+
+    def _write(self, name: str, frame: DataFrame) -> str:
+        before = self._complete(name)
+        number = int(before[-1][1:9]) + 1 if before else 1
+        version = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+        frame.write.parquet(f"{self.root}/{name}/{version}")
+        system, path = self._files()
+        for old in self._complete(name)[:-KEPT]:
+            system.delete(path(f"{self.root}/{name}/{old}"), True)
+        return version
+
     def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stored table ``name``, written from ``build()`` on first use.
+        """The stored table ``name``, written from ``build()`` if there is no version yet.
 
         Different tables may be written at the same time; a second caller of the
         same one waits for the first.
@@ -67,32 +102,30 @@ class Store:
             one_writer = self._locks[name]
         with one_writer:
             if name not in self._written:
-                version = self._versions.get(name, 0) + 1
-                frame = build()
-                path = f"{self.root}/{name}/v{version}"
-                frame.write.mode("overwrite").parquet(path)
-                self._versions[name] = version
+                stale = any(name.startswith(prefix) for prefix in self._dropped)
+                known = [] if stale else self._complete(name)
+                version = known[-1] if known else self._write(name, build())
                 # Kept as a frame, so its files are listed once.
-                self._written[name] = self.spark.read.schema(frame.schema).parquet(path)
+                self._written[name] = self.spark.read.parquet(f"{self.root}/{name}/{version}")
             return self._written[name]
 
     def drop(self, prefix: str) -> None:
-        """Forget the tables under ``prefix``; next use writes a new version.
-
-        Old files stay for readers that already hold them, until the root goes.
-        """
+        """Forget the tables under ``prefix``; next use writes a new version."""
         with self._lock:
+            self._dropped.add(prefix)
             for name in [n for n in self._written if n.startswith(prefix)]:
                 del self._written[name]
 
     def stored(self, layer: str) -> list[str]:
-        """Sorted names of the tables of ``layer`` that are written."""
+        """Sorted names of the tables of ``layer`` that this session has read or written."""
         head = f"{layer}/"
         return sorted(n[len(head) :] for n in self._written if n.startswith(head))
 
 
-def _own_store(spark: SparkSession, root: str | None) -> Store:
-    return Store(spark, root or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+def _own_store(spark: SparkSession, root: str | None, paths: list[str]) -> Store:
+    """The store of one state of the input files, under ``root`` or the shared folder."""
+    base = root or f"{shared_folder(spark)}/haberdash"
+    return Store(spark, f"{base}/{files.fingerprint(spark, paths)}")
 
 
 class Warehouse:
@@ -133,11 +166,12 @@ class Warehouse:
     ) -> Warehouse:
         """Import ``folder/<relation>.csv`` for each of the seven relations.
 
-        ``root`` is where the stored layers go, by default a folder of this
-        application under the shared one.
+        ``root`` is where the stored layers go, by default a folder under the shared
+        one. A later session on the same files and root finds them there.
         """
+        paths = [f"{folder}/{name}.csv" for name in SOURCE_SCHEMAS]
         return cls(
-            _own_store(spark, root),
+            _own_store(spark, root, paths),
             lambda name: files.read_csv(spark, name, f"{folder}/{name}.csv"),
             sales_cutoff,
             event_cutoff,
@@ -153,8 +187,9 @@ class Warehouse:
         root: str | None = None,
     ) -> Warehouse:
         """Read ``folder/<relation>.parquet`` for each of the seven relations, in place."""
+        paths = [f"{folder}/{name}.parquet" for name in SOURCE_SCHEMAS]
         return cls(
-            _own_store(spark, root),
+            _own_store(spark, root, paths),
             lambda name: files.read_parquet(spark, name, f"{folder}/{name}.parquet"),
             sales_cutoff,
             event_cutoff,
@@ -195,14 +230,18 @@ class Warehouse:
 
     def session_flags(self) -> DataFrame:
         """The funnel's working table, kept because six reports read it."""
-        return self.store.table(
-            "work/session_flags",
+        return self.keep(
+            "session_flags",
             lambda: funnel.session_flags(self.model("fact_events"), self.event_cutoff),
         )
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A working table of the reports, stored until the model is built again."""
-        return self.store.table(f"work/{name}", build)
+        return self.store.table(f"{self._work()}/{name}", build)
+
+    def _work(self) -> str:
+        """Working tables depend on the cutoffs."""
+        return f"work/{self.sales_cutoff}-{self.event_cutoff}"
 
     def customer_orders(self) -> DataFrame:
         """Valid sales per customer and order, in slices of each customer's time."""
@@ -215,7 +254,7 @@ class Warehouse:
         )
 
     def drop_session_flags(self) -> None:
-        self.store.drop("work/session_flags")
+        self.store.drop(f"{self._work()}/session_flags")
 
     # -- layer administration ---------------------------------------------------
 
@@ -255,8 +294,9 @@ class Warehouse:
         assert_keys({name: (self.relation(layer, name), key) for name, key in tables.items()})
 
     def build_model(self) -> None:
-        """Import the sources, write the star schema and check its primary keys."""
+        """Import the sources, write the star schema and check the primary keys of both."""
         self.build("src")
+        self.assert_keys("src")
         self.build("analytics")
         self.assert_keys("analytics")
 
@@ -273,6 +313,25 @@ class Warehouse:
                 f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{self.store.root}/catalog/{layer}'"
             )
 
+    def register_tables(self) -> None:
+        """Enter all four layers in the catalog as ``<layer>.<name>``.
+
+        Relations that are not stored yet, views and reports as they stand at the cutoffs,
+        are written first; sources read in place are entered by ``register_views`` only.
+        """
+        self.create_layers()
+        for layer in LAYERS:
+            for name in self.names(layer):
+                if layer == "src" and name in self._in_place:
+                    continue
+                if layer in ("src", "analytics"):
+                    frame = self.relation(layer, name)
+                else:
+                    frame = self.keep(f"{layer}/{name}", lambda: self.relation(layer, name))
+                path = frame.inputFiles()[0].rsplit("/", 1)[0]
+                self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
+                self.spark.catalog.createTable(f"{layer}.{name}", path=path, source="parquet")
+
     def register_views(self) -> None:
         """Expose all four layers to ``spark.sql`` as ``<layer>_<name>`` views."""
         for layer in LAYERS:

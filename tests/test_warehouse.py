@@ -55,6 +55,14 @@ def test_csv_with_other_columns_fails(spark, tmp_path):
         files.read_csv(spark, "distribution_centers", f"{tmp_path}/centers.csv").collect()
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    rows = "name,longitude,extra,id,latitude\nEast,2.0,x,1,1.5\n"
+    (tmp_path / "centers.csv").write_text(rows)
+    frame = files.read_csv(spark, "distribution_centers", f"{tmp_path}/centers.csv")
+    assert frame.columns == ["id", "name", "latitude", "longitude"]
+    assert frame.first()[:] == (1, "East", 1.5, 2.0)
+
+
 def test_exported_times_are_understood(spark, tmp_path):
     forms = (
         "2023-01-02 03:04:05",
@@ -109,6 +117,27 @@ def test_stored_tables_are_built_once(spark, tmp_path):
     assert held.count() == 3
 
 
+def test_a_second_session_reuses_what_is_stored(spark, tmp_path):
+    root, built = str(tmp_path), []
+
+    def build():
+        built.append(1)
+        return spark.range(len(built))
+
+    one, two = Store(spark, root), Store(spark.newSession(), root)
+    held = one.table("a/x", build)
+    assert two.table("a/x", build).inputFiles() == held.inputFiles() and len(built) == 1
+    two.drop("a/")
+    assert two.table("a/x", build).count() == 2
+    assert held.count() == 1  # its reader is not disturbed
+    for _ in range(3):
+        two.drop("a/")
+        two.table("a/x", build)
+    assert len(list((tmp_path / "a/x").iterdir())) == 2
+    (tmp_path / "a/x/v99999999-lost").mkdir()  # a writer that did not finish
+    assert Store(spark, root).table("a/x", build).count() == 5 and len(built) == 5
+
+
 def test_rebuild_writes_the_model_again(imported):
     imported.build_model()
     before = imported.model("dim_customer").inputFiles()
@@ -121,7 +150,7 @@ def test_model_with_repeated_keys_is_refused(spark, folder, tmp_path):
     twice = relation(spark, "users", *ROWS["users"], *ROWS["users"])
     files.write_csv(twice, f"{folder}/users.csv")
     broken = Warehouse.from_csv(spark, folder, CUTOFF, CUTOFF, root=f"{tmp_path}/broken")
-    with pytest.raises(ValueError, match="dim_customer: 0 NULL, 1 repeated"):
+    with pytest.raises(ValueError, match="users: 0 NULL, 1 repeated"):
         broken.build_model()
 
 
@@ -140,8 +169,13 @@ def test_catalog(spark, imported):
     imported.register_views()
     assert spark.sql("SELECT country FROM cleaned_users").first().country == "Spain"
     assert spark.sql("SELECT count(*) AS n FROM reporting_sales_monthly").first().n == 0
+    imported.register_tables()
+    assert spark.sql("SELECT country FROM cleaned.users").first().country == "Spain"
+    assert spark.sql("SELECT count(*) AS n FROM reporting.sales_monthly").first().n == 0
     for layer in LAYERS:
-        spark.sql(f"DROP DATABASE {layer}")
+        tables = {t.name for t in spark.catalog.listTables(layer) if not t.isTemporary}
+        assert tables == set(imported.names(layer))
+        spark.sql(f"DROP DATABASE {layer} CASCADE")
 
 
 def test_names():
