@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haberdash.llm.components import components
-from haberdash.llm.tables import stored, table
+from haberdash.llm.tables import broadcast_if_small, stored, table
 from haberdash.llm.words import mix, run_hash, signed, slices, split_words
 
 _U = np.uint64
@@ -402,6 +402,8 @@ def _tiler(rule: Rule):
 
 def _solved(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """Edges found in the tiles of ``members`` (tile, doc_id, sid, label)."""
+    # Most documents share no segment with any other: their texts stay where they are.
+    members = broadcast_if_small(stored(members, "members"))
     rows = docs.join(members, "doc_id").select("tile", "sid", "label", "text")
     rows = rows.repartition("tile").sortWithinPartitions("tile", "sid")
     return rows.mapInArrow(_tiler(rule), "a long, b long")
@@ -517,8 +519,8 @@ def one_of_each(docs: DataFrame, rule: Rule = NEAR) -> DataFrame:
     id all stay.
     """
     found = linked(docs, rule)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
 
 
 OP1_SQL = r"""

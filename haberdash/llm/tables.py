@@ -7,12 +7,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from haberdash.sources.warehouse import shared_folder
 
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+# Rows of a few numbers that may be broadcast: some 50 MB.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -50,3 +55,12 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
             writer = writer.partitionBy(*by)
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(rows: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``rows``, of a few numbers each, marked for broadcast if they are at most ``most``.
+
+    ``rows`` is stored, so counting them reads file footers only. Beyond the limit the
+    join is Spark's choice: a shuffle.
+    """
+    return F.broadcast(rows) if rows.count() <= most else rows
