@@ -27,8 +27,8 @@ def repeated_keys(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     )
 
 
-def column_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Columns of each relation in order: type, and NULLs counted in one pass."""
+def column_report(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
+    """Columns of each relation in order: type, whether it is the key, and NULLs in one pass."""
     reports = []
     for name, frame in tables.items():
         fields = frame.schema.fields
@@ -39,6 +39,7 @@ def column_report(tables: Mapping[str, DataFrame]) -> DataFrame:
                     F.lit(place).alias("position"),
                     F.lit(f.name).alias("column_name"),
                     F.lit(f.dataType.simpleString()).alias("data_type"),
+                    F.lit(f.name == keys[name]).alias("is_key"),
                     F.col(f.name).alias("null_rows"),
                 )
                 for place, f in enumerate(fields, start=1)

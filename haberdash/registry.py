@@ -75,7 +75,9 @@ LAYER_QUERIES: dict[str, Query] = {
     "load_csv": lambda w: profiling.content_report({n: w.reimported(n) for n in SOURCES}),
     "create_layers": _layer_census,
     "row_counts_src": lambda w: profiling.row_counts(_titled(w)),
-    "schema_report": lambda w: profiling.column_report({n: w.source(n) for n in SOURCES}),
+    "schema_report": lambda w: profiling.column_report(
+        {n: w.source(n) for n in SOURCES}, SOURCE_KEYS
+    ),
     "pk_assert": lambda w: key_violations(
         {"distribution_centers": (w.source("distribution_centers"), "id")}
     ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
+from haberdash.sources.schemas import MODEL_KEYS
 from oracle.arithmetic import (
     mean2,
     mean6,
@@ -14,11 +14,55 @@ from oracle.arithmetic import (
 )
 from oracle.relations import BAD_DATES, EVENT_CUTOFF, SALES_CUTOFF, with_relations
 
-SOURCES = tuple(SOURCE_SCHEMAS)
-COLUMNS = {
-    name: [tuple(field.strip().split(" ")) for field in text.split(",")]
-    for name, text in SOURCE_SCHEMAS.items()
+# The raw relations, their columns and types.
+_DECLARED = {
+    "users": (
+        "id bigint, first_name string, last_name string, email string, age int, gender string, "
+        "state string, street_address string, postal_code string, city string, country string, "
+        "latitude double, longitude double, traffic_source string, created_at timestamp_ntz"
+    ),
+    "products": (
+        "id bigint, cost double, category string, name string, brand string, "
+        "retail_price double, department string, sku string, distribution_center_id bigint"
+    ),
+    "orders": (
+        "order_id bigint, user_id bigint, status string, gender string, "
+        "created_at timestamp_ntz, returned_at timestamp_ntz, shipped_at timestamp_ntz, "
+        "delivered_at timestamp_ntz, num_of_item int"
+    ),
+    "order_items": (
+        "id bigint, order_id bigint, user_id bigint, product_id bigint, "
+        "inventory_item_id bigint, status string, created_at timestamp_ntz, "
+        "shipped_at timestamp_ntz, delivered_at timestamp_ntz, returned_at timestamp_ntz, "
+        "sale_price double"
+    ),
+    "inventory_items": (
+        "id bigint, product_id bigint, created_at timestamp_ntz, sold_at timestamp_ntz, "
+        "cost double, product_category string, product_name string, product_brand string, "
+        "product_retail_price double, product_department string, product_sku string, "
+        "product_distribution_center_id bigint"
+    ),
+    "distribution_centers": (
+        "id bigint, name string, latitude double, longitude double"
+    ),
+    "events": (
+        "id bigint, user_id bigint, sequence_number bigint, session_id string, "
+        "created_at timestamp_ntz, ip_address string, city string, state string, "
+        "postal_code string, browser string, traffic_source string, uri string, "
+        "event_type string"
+    ),
+}
+COLUMNS = {name: [tuple(f.split(" ")) for f in text.split(", ")] for name, text in _DECLARED.items()}
+KEYS = {
+    "users": "id",
+    "products": "id",
+    "orders": "order_id",
+    "order_items": "id",
+    "inventory_items": "id",
+    "distribution_centers": "id",
+    "events": "id",
 }
+SOURCES = tuple(COLUMNS)
 NET = "sum(kept_revenue)::DECIMAL(38,2) AS net_revenue, sum(kept_profit)::DECIMAL(38,2) AS gross_profit"
 MARGIN = f"{money_percent('gross_profit', 'net_revenue')} AS gross_margin_percent"
 ORDER_VALUE = f"{money_ratio('net_revenue', 'valid_orders')} AS average_order_value"
@@ -174,7 +218,7 @@ TITLED = {name.capitalize(): f"src_{name}" for name in SOURCES}
 def _content(name: str) -> str:
     gaps = " + ".join(f"({column} IS NULL)::BIGINT" for column, _ in COLUMNS[name])
     text = " + ".join(
-        ["0", *(f"coalesce(length({c}), 0)" for c, kind in COLUMNS[name] if kind == "STRING")]
+        ["0", *(f"coalesce(length({c}), 0)" for c, kind in COLUMNS[name] if kind == "string")]
     )
     return (
         f"SELECT '{name}' AS table_name, count(*) AS row_count, sum({gaps})::BIGINT AS null_cells, "
@@ -197,7 +241,7 @@ LAYER_STATEMENTS: dict[str, str] = {
     "row_counts_src": counts(TITLED),
     "schema_report": union(
         f"SELECT '{name}' AS table_name, {place} AS position, '{column}' AS column_name, "
-        f"'{kind.lower()}' AS data_type, count(*) - count({column}) AS null_rows FROM src_{name}"
+        f"'{kind}' AS data_type, {column == KEYS[name]} AS is_key, count(*) - count({column}) AS null_rows FROM src_{name}"
         for name in SOURCES
         for place, (column, kind) in enumerate(COLUMNS[name], start=1)
     ),
@@ -218,7 +262,7 @@ SELECT product_view_flag, cart_flag, purchase_flag, count(*) AS sessions FROM se
 SELECT order_year, order_month, valid_orders, cancelled_orders, total_orders
 FROM sales_monthly ORDER BY order_year, order_month LIMIT 60""",
     **{
-        f"preview_{name}": f"SELECT * FROM src_{name} ORDER BY {SOURCE_KEYS[name]} NULLS FIRST LIMIT 20"
+        f"preview_{name}": f"SELECT * FROM src_{name} ORDER BY {KEYS[name]} NULLS FIRST LIMIT 20"
         for name in SOURCES
     },
 }
@@ -250,7 +294,7 @@ def _range(table: str, columns: dict[str, str], scale: int = 1) -> str:
 PROFILING_STATEMENTS: dict[str, str] = {
     "dup_keys": union(
         f"SELECT '{name.capitalize()}' AS table_name, count(*) AS duplicate_keys "
-        f"FROM (SELECT 1 FROM src_{name} GROUP BY {SOURCE_KEYS[name]} HAVING count(*) > 1)"
+        f"FROM (SELECT 1 FROM src_{name} GROUP BY {KEYS[name]} HAVING count(*) > 1)"
         for name in SOURCES
     ),
     "missing_users": _missing(
