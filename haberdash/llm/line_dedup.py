@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haberdash.llm.tables import stored, table
+from haberdash.llm.tables import broadcast_if_small, stored, table
 from haberdash.llm.words import mix, signed, slices, split_words
 
 _U = np.uint64
@@ -241,9 +241,10 @@ def shared_blocks(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     pairs = stored(pairs, "pairs")
     used = pairs.select("row").unionByName(pairs.select(F.col("early").alias("row"))).distinct()
+    used = broadcast_if_small(stored(used, "aligned-rows"))
     texts = known.select("row", "text").join(used, "row")
     words = stored(texts.mapInArrow(_sequences, "row long, words binary"), "word-sequences")
-    both = pairs.join(words, "row").withColumnRenamed("words", "late")
+    both = words.join(broadcast_if_small(pairs), "row").withColumnRenamed("words", "late")
     both = both.join(words.select(F.col("row").alias("early"), F.col("words").alias("first")), "early")
     cuts = both.select("row", "late", "first").mapInArrow(
         _aligner(min_words), "row long, ranges array<struct<first: int, last: int>>"
@@ -272,7 +273,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
     else:
         lines = plain.withColumn("row", F.col(key).cast("long").alias("row", metadata={"is_id": True}))
     cuts = shared_blocks(lines.select("row", F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words)
-    joined = lines.join(cuts, "row", "left").select(*plain.columns, "ranges")
+    joined = lines.join(broadcast_if_small(cuts), "row", "left").select(*plain.columns, "ranges")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
