@@ -18,7 +18,7 @@ from haberdash.functions.columns import PRICE
 from haberdash.operators.numbering import numbered, sliced
 from haberdash.sources.files import fingerprint
 from haberdash.sources.schemas import SOURCE_SCHEMAS
-from haberdash.sources.warehouse import Store, Warehouse, shared_folder
+from haberdash.sources.warehouse import Store, Warehouse, own_store
 
 SALES_CUTOFF = dt.date(2001, 8, 1)
 EVENT_CUTOFF = dt.date(2024, 1, 30)
@@ -341,6 +341,5 @@ def open_testbed(spark: SparkSession, folder: str) -> Warehouse:
         paths = [f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES]
         key = (application, folder, fingerprint(spark, paths))
         if key not in _open:
-            store = Store(spark, f"{shared_folder(spark)}/haberdash/{key[2]}")
-            _open[key] = warehouse_over(store, folder)
+            _open[key] = warehouse_over(own_store(spark, None, key[2]), folder)
     return _open[key]

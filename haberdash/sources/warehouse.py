@@ -31,6 +31,8 @@ LAYERS = ("src", "cleaned", "analytics", "reporting")
 WRITERS = 4
 # Complete versions of a stored table that are kept.
 KEPT = 2
+# Raised whenever stored tables change their form or meaning.
+FORMAT = 2
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -122,10 +124,10 @@ class Store:
         return sorted(n[len(head) :] for n in self._written if n.startswith(head))
 
 
-def _own_store(spark: SparkSession, root: str | None, paths: list[str]) -> Store:
+def own_store(spark: SparkSession, root: str | None, state: str) -> Store:
     """The store of one state of the input files, under ``root`` or the shared folder."""
     base = root or f"{shared_folder(spark)}/haberdash"
-    return Store(spark, f"{base}/{files.fingerprint(spark, paths)}")
+    return Store(spark, f"{base}/format-{FORMAT}/{state}")
 
 
 class Warehouse:
@@ -171,7 +173,7 @@ class Warehouse:
         """
         paths = [f"{folder}/{name}.csv" for name in SOURCE_SCHEMAS]
         return cls(
-            _own_store(spark, root, paths),
+            own_store(spark, root, files.fingerprint(spark, paths)),
             lambda name: files.read_csv(spark, name, f"{folder}/{name}.csv"),
             sales_cutoff,
             event_cutoff,
@@ -189,7 +191,7 @@ class Warehouse:
         """Read ``folder/<relation>.parquet`` for each of the seven relations, in place."""
         paths = [f"{folder}/{name}.parquet" for name in SOURCE_SCHEMAS]
         return cls(
-            _own_store(spark, root, paths),
+            own_store(spark, root, files.fingerprint(spark, paths)),
             lambda name: files.read_parquet(spark, name, f"{folder}/{name}.parquet"),
             sales_cutoff,
             event_cutoff,
