@@ -163,8 +163,8 @@ def mix(
     ends = extent.join(sizes, F.col("source").eqNullSafe(F.col("own")))
     ends = ends.withColumn("cycle", F.expr("(last + 1) div a")).withColumn("nth", F.expr("(last + 1) % a"))
     ends = ends.join(turns, F.col("source").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("turn")))
-    horizon = F.broadcast(ends.agg(F.min(F.col("cycle") * period + F.col("slot")).alias("horizon")))
-    placed = placed.join(horizon)
+    # One number: the first slot whose source has run out.
+    horizon = ends.agg(F.min(F.col("cycle") * period + F.col("slot")).alias("horizon")).first()["horizon"]
     shift = F.col("cycle") * F.lit(period).cast("long")
     slot = shift + F.col("slot")
     return placed.select(
@@ -176,7 +176,7 @@ def mix(
         (shift + F.col("release")).alias("release"),
         (shift + F.col("deadline")).alias("deadline"),
         (F.col("start") - F.col("block") * F.lit(block_chars)).alias("place"),
-        F.coalesce(slot < F.col("horizon"), F.lit(False)).alias("on_target"),
+        F.coalesce(slot < F.lit(horizon).cast("long"), F.lit(False)).alias("on_target"),
     )
 
 

@@ -57,10 +57,10 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(rows: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``rows``, of a few numbers each, marked for broadcast if they are at most ``most``.
+def broadcast_if_small(rows: DataFrame) -> DataFrame:
+    """``rows``, of a few numbers each, marked for broadcast up to ``MAX_BROADCAST_ROWS``.
 
     ``rows`` is stored, so counting them reads file footers only. Beyond the limit the
     join is Spark's choice: a shuffle.
     """
-    return F.broadcast(rows) if rows.count() <= most else rows
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows

@@ -3,16 +3,20 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from rows import by_id, documents
 
 from haberdash.llm import line_dedup as dedup
+from haberdash.llm import tables
 
 
 def prose(rng, n):
     return [f"{rng.choice('bcdfg')}{rng.randrange(5000)}{rng.choice(['', '.', ','])}" for _ in range(n)]
 
 
-def test_repeated_passages_go_from_later_documents(spark):
+@pytest.mark.parametrize("most", [tables.MAX_BROADCAST_ROWS, -1])
+def test_repeated_passages_go_from_later_documents(spark, most, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", most)
     rng = random.Random(5)
     passages = [" ".join(prose(rng, n)) for n in (51, 55, 80, 200)]
     texts, own = [], []

@@ -68,3 +68,4 @@ def test_only_native_operators(spark):
     docs = documents(spark, ["aa", "bb"])
     plan = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    assert "NestedLoop" not in plan
