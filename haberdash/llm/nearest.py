@@ -194,10 +194,22 @@ def _search_block(best: _Best, queries, query_ids, ids, vectors, guess) -> None:
     else:
         reach = np.full(len(queries), -np.inf)
     reach = np.maximum(reach, best.least)
-    query, row = np.nonzero((estimate + error >= reach[:, None]) & ~own)
-    for at in range(0, len(query), 1 << 18):
-        q, r = query[at : at + (1 << 18)], row[at : at + (1 << 18)]
-        best.add(q, ids[r], products(queries[q], vectors[r]))
+    high = estimate + error >= reach[:, None]
+    high &= ~own
+    found = [_single(queries[q], vectors, np.flatnonzero(high[q]), best.k, best.least[q]) for q in range(len(queries))]
+    query = np.repeat(np.arange(len(queries)), [len(f) for f in found])
+    row = np.concatenate(found)
+    best.add(query, ids[row], products(queries[query], vectors[row]))
+
+
+def _single(query: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Of the chosen rows those that single precision leaves in reach of the ``k`` best."""
+    near = vectors[rows]
+    score = near @ query
+    slack = 1e-5 * float(np.linalg.norm(query)) * (float(np.sqrt((near * near).sum(axis=1).max())) if len(rows) else 0)
+    if len(rows) > k:
+        least = max(least, float(np.partition(score, -k)[-k]))
+    return rows[score >= least - 2 * slack]
 
 
 def centres_of(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
