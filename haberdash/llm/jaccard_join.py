@@ -7,7 +7,9 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. No link is lost:
 2.  Groves. Linked sets of sizes up to u differ in at most d shingles, so if the hash
     space is cut into more than d segments, they agree on one. Documents that share a
     segment of a size band are joined to groves, the connected components. This only
-    collects candidates: documents of different groves cannot link.
+    collects candidates: documents of different groves cannot link. Where segments are
+    small (``Rule.relief``), those that several documents hold, parts of passages that
+    all of them quote, are left out; more segments than d + 1 make up for them.
 3.  Trees. A grove is dealt into tiles of bounded weight. In a tile, a tree over the
     sets holds in each node the OR of its token bitmaps, the range of set sizes and the
     most tokens that fell on a taken bit. Two nodes can hold a link only if their sizes
@@ -53,6 +55,9 @@ STAR = 4
 # Shingles of a tile, apart from a single larger document.
 TILE_SHINGLES = 2_000_000
 FANOUT = 8
+# Segments of so many elements or fewer may be left out if so many sets hold them;
+# at most so many such segments are listed: a broadcast of 16 MB.
+SMALL, HOT_SETS, HOT_KEYS = 3, 2, 1_000_000
 SET_SALT, CHECK_SALT = 0x51ED270B, 0x2545F491
 # Words of bitmap handled at once in a traversal.
 POPCOUNT_WORDS = 1 << 22
@@ -60,11 +65,16 @@ POPCOUNT_WORDS = 1 << 22
 
 @dataclass(frozen=True)
 class Rule:
-    """Shingles of ``words`` words; a link from a similarity of num / den on."""
+    """Shingles of ``words`` words; a link from a similarity of num / den on.
+
+    ``relief`` is the share of segments added so that small ones that several
+    documents hold can be left out.
+    """
 
     words: int
     num: int
     den: int
+    relief: float = 0.0
 
     def links(self, overlap, a, b):
         return self.den * overlap >= self.num * (a + b - overlap)
@@ -95,9 +105,9 @@ class Band:
     """The largest set that can link with one of the band."""
     segments: int
     weak: int
-    """Segments of up to so many elements are left out …"""
+    """Segments of up to so many elements are left out first."""
     spare: int
-    """… by documents with no more than so many of them."""
+    """So many segments a document may leave out: linked ones share one more."""
 
 
 @lru_cache(maxsize=4096)
@@ -114,6 +124,8 @@ def band(rule: Rule, number: int) -> Band:
             spare = math.ceil(share * (need + spare) + math.sqrt(need) / 4 + 1)
         if spare <= 0.4 * need + 4 or not weak:
             break
+    if rule.relief:
+        spare += math.ceil(rule.relief * need) + 1
     return Band(number, first, last, reach, need + spare, weak, spare)
 
 
@@ -185,18 +197,48 @@ def _profiler(rule: Rule):
     return profile
 
 
-def segment_keys(rule: Rule, tokens: np.ndarray) -> np.ndarray:
-    """Keys of the segments of a sorted set, over all its bands."""
+def segment_keys(rule: Rule, tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Keys of the segments of a sorted set, over all its bands.
+
+    Each band leaves out up to ``spare`` of them: weak ones, then small ones that ``hot``
+    (sorted keys, documents) lists, most documents first. As all documents go by one order,
+    the last segment in it that two linked sets share is kept by both.
+    """
     keys = []
+    for own, counts, b in _segments(rule, tokens):
+        weak = counts <= b.weak
+        droppable = weak
+        held = np.zeros(len(own), np.int64)
+        if hot is not None and len(hot[0]):
+            small = np.flatnonzero(~weak & (counts <= SMALL))
+            at = np.minimum(np.searchsorted(hot[0], own[small]), len(hot[0]) - 1)
+            listed = hot[0][at] == own[small]
+            held[small[listed]] = hot[1][at[listed]]
+            droppable = weak | (held > 0)
+        out = np.flatnonzero(droppable)
+        if len(out) > b.spare:
+            out = out[np.lexsort((own[out], -held[out], ~weak[out]))][: b.spare]
+        kept = np.ones(len(own), bool)
+        kept[out] = False
+        keys.append(own[kept])
+    return np.concatenate(keys) if keys else np.zeros(0, _U)
+
+
+def small_segment_keys(rule: Rule, tokens: np.ndarray) -> np.ndarray:
+    """Keys of the segments that may be left out if several documents hold them."""
+    keys = [own[(counts > b.weak) & (counts <= SMALL)] for own, counts, b in _segments(rule, tokens)]
+    return np.concatenate(keys) if keys else np.zeros(0, _U)
+
+
+def _segments(rule: Rule, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Band]]:
+    """Keys and sizes of all segments of a sorted set, band by band."""
     sums = np.zeros(len(tokens) + 1, _U)
     np.cumsum(mix(tokens ^ _U(0x7F4A7C15)), out=sums[1:])
     for b in bands_of(rule, len(tokens)):
         cuts = np.concatenate([[0], np.searchsorted(tokens, _edges(b.segments)), [len(tokens)]])
         counts = np.diff(cuts)
         own = mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ _salts(b.number, b.segments))
-        strong = counts > b.weak
-        keys.append(own[strong] if len(own) - np.count_nonzero(strong) <= b.spare else own)
-    return np.concatenate(keys) if keys else np.zeros(0, _U)
+        yield own, counts, b
 
 
 def _combined(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
@@ -225,12 +267,47 @@ def _combined(keys: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _keyer(rule: Rule):
+def _small_keys(rule: Rule):
+    """Small segment keys and how many sets of a stretch of the input hold each."""
+
+    def counted(keys: list[np.ndarray]) -> pa.RecordBatch:
+        every, sets = np.unique(np.concatenate(keys), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(every)), pa.array(sets)], names=["key", "sets"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = [], 0
+        for batch in batches:
+            for tokens in shingle_sets(batch.column(0), rule.words):
+                keys.append(small_segment_keys(rule, tokens))
+                held += len(keys[-1])
+                if held >= COMBINE_KEYS:
+                    yield counted(keys)
+                    keys, held = [], 0
+        if held:
+            yield counted(keys)
+
+    return emit
+
+
+def hot_keys(texts: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Small segments that at least ``HOT_SETS`` texts hold: the ``HOT_KEYS`` most frequent.
+
+    Any selection is right, as long as all documents use the same.
+    """
+    counts = texts.select("text").mapInArrow(_small_keys(rule), "key long, sets long")
+    counts = counts.groupBy("key").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HOT_SETS)
+    top = stored(counts.orderBy(F.desc("sets"), "key").limit(HOT_KEYS), "hot-segments").toArrow()
+    keys, sets = top["key"].to_numpy().view(_U), top["sets"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], sets[order]
+
+
+def _keyer(rule: Rule, hot=None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sids, held = [], [], 0
         for batch in batches:
             for tokens in shingle_sets(batch.column(0), rule.words):
-                own = segment_keys(rule, tokens)
+                own = segment_keys(rule, tokens, hot.value if hot else None)
                 if not len(own):
                     continue
                 keys.append(own)
@@ -477,11 +554,12 @@ def linked(docs: DataFrame, rule: Rule, tile_shingles: int = TILE_SHINGLES) -> D
         .groupBy("sid")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     )
-    keys = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_keyer(rule), "key long, sid long")
+    known = texts.where("doc_id IS NOT NULL")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(known, rule)) if rule.relief else None
+    keys = known.select("text").mapInArrow(_keyer(rule, hot), "key long, sid long")
     stars = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "a long, b long")
     groves = components(stars)
-    unique = texts.where("doc_id IS NOT NULL")
-    links = _links(unique, nodes, groves, rule, tile_shingles)
+    links = _links(known, nodes, groves, rule, tile_shingles)
     roots = components(links)
     classes = profiles.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("class_id"))
     # Two sets with one hash would be taken for equal ones.
@@ -505,7 +583,7 @@ def linked(docs: DataFrame, rule: Rule, tile_shingles: int = TILE_SHINGLES) -> D
 
 # The contract of the query, and the rule of near-duplicate stages.
 CLOSE = Rule(words=3, num=9, den=10)
-NEAR = Rule(words=5, num=4, den=5)
+NEAR = Rule(words=5, num=4, den=5, relief=0.5)
 
 
 def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

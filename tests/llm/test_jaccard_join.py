@@ -80,6 +80,11 @@ def test_linked_sets_share_a_segment(rule):
         x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
         if a != b and rule.links(len(a & b), len(a), len(b)):
             assert len(np.intersect1d(join.segment_keys(rule, x), join.segment_keys(rule, y)))
+            # Whatever segments are listed as frequent, one that both hold is kept.
+            small = np.union1d(join.small_segment_keys(rule, x), join.small_segment_keys(rule, y))
+            some = np.array(sorted(rng.sample(small.tolist(), len(small) * 2 // 3)), np.uint64)
+            hot = (some, np.array([rng.randrange(2, 40) for _ in some], np.int64))
+            assert len(np.intersect1d(join.segment_keys(rule, x, hot), join.segment_keys(rule, y, hot)))
 
 
 def test_the_tree_leaves_no_link_out():
