@@ -49,7 +49,7 @@ _U = np.uint64
 # Ratio of the sizes at both ends of a band.
 BAND = 1.4
 # Keys held in a map task before rows of equal keys are combined.
-COMBINE_KEYS = 2_000_000
+COMBINE_KEYS = 500_000
 # From so many sets on, a key in one map task becomes a star.
 STAR = 4
 # Shingles of a tile, apart from a single larger document.
