@@ -14,7 +14,9 @@ alike wherever it stands.
     in the same order are fixed, and from them common words are followed both ways.
     Blocks of at least ``MIN_WORDS`` words are deleted from the document with the larger
     id. Lines left over are aligned again until nothing more is found, which finds
-    blocks that moved.
+    blocks that moved. Lines that repeat and blocks without a whole line are found last,
+    by runs of ``MIN_WORDS`` words: whatever stands in the earlier text goes from the
+    later one, wherever and however often either holds it.
 4.  Deletion. The word ranges of a document's pairs are cut from its text, with the white
     space after each word. A document that loses all its words stays, with an empty text.
 
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haberdash.llm.tables import broadcast_if_small, stored, table
-from haberdash.llm.words import mix, signed, slices, split_words
+from haberdash.llm.words import mix, run_hash, signed, slices, split_words
 
 _U = np.uint64
 ANCHOR = 8
@@ -154,6 +156,46 @@ def _same_run(a: np.ndarray, b: np.ndarray, i: int, j: int, free_a: np.ndarray,
     return behind, ahead
 
 
+def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` words from each place; line ends do not count."""
+    if len(words) < size:
+        return np.zeros(0, _U)
+    plain = mix((words & np.uint32(0xFFFFFFFE)).astype(_U))
+    return run_hash(plain, np.arange(len(words) - size + 1), size)
+
+
+def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of ``n`` words lie in a run of ``size`` words from one of ``starts``."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + size, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _whole_runs(marked: np.ndarray, size: int) -> np.ndarray:
+    """Whether all ``size`` words from each place are marked."""
+    sums = np.concatenate([[0], np.cumsum(marked)])
+    return sums[size:] - sums[:-size] == size
+
+
+def _repeated_runs(a: np.ndarray, b: np.ndarray, gone: np.ndarray, size: int) -> np.ndarray:
+    """Words of ``b`` in runs of ``size`` words that ``a`` holds too; runs that are gone are left out."""
+    if min(len(a), len(b)) < size:
+        return np.zeros(len(b), bool)
+    left = np.flatnonzero(~_whole_runs(gone, size))
+    if not len(left):
+        return np.zeros(len(b), bool)
+    known, at = np.unique(_run_hashes(a, size), return_index=True)
+    hashes = _run_hashes(b, size)[left]
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    same = known[place] == hashes
+    left, place = left[same], at[place[same]]
+    for k in range(size):
+        equal = a[place + k] == b[left + k]
+        left, place = left[equal], place[equal]
+    return _covered(left, size, len(b))
+
+
 def common_blocks(early: np.ndarray, late: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Word ranges of ``late`` that are aligned with blocks of ``early``."""
     start_a, lines_a = lines_of(early)
@@ -180,6 +222,7 @@ def common_blocks(early: np.ndarray, late: np.ndarray, min_words: int = MIN_WORD
             break
         open_a = open_a[free_a[start_a[open_a]]]
         open_b = open_b[free_b[start_b[open_b]]]
+    gone |= _repeated_runs(a, b, gone, min_words)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 

@@ -48,6 +48,44 @@ def test_blocks_are_found_in_any_order():
     assert dedup.common_blocks(a, a[:39]) == []
 
 
+def test_repeated_blocks_go_from_the_later_text():
+    rng = random.Random(7)
+    p, u, v, w, x, y = (np.array([rng.getrandbits(31) * 2 for _ in range(55)], np.uint32) for _ in range(6))
+    both = [(55, 110), (165, 220)]
+    join = np.concatenate
+    assert dedup.common_blocks(join([x, p, y]), join([u, p, v, p, w])) == both
+    assert dedup.common_blocks(join([x, p, y, p]), join([u, p, v])) == [(55, 110)]
+    assert dedup.common_blocks(join([p, x, p, y]), join([u, p, v, p, w])) == both
+    # A line of 20 words over and over.
+    assert dedup.common_blocks(join([x, np.tile(p[:20], 3)]), join([u, np.tile(p[:20], 9)])) == [(55, 235)]
+
+
+def test_blocks_without_a_whole_line():
+    rng = random.Random(12)
+    for _ in range(30):
+        block = []
+        while len(block) < 51:
+            pair = np.array([*block[-1:], rng.getrandbits(31) * 2, 0], np.uint32)
+            # No word whose hash ends a line.
+            if not block or len(dedup.lines_of(pair[:2])[1]) == 1:
+                block.append(int(pair[len(block[-1:])]))
+        block = np.array(block, np.uint32)
+        ends = [np.array([rng.getrandbits(31) * 2 for _ in range(30)], np.uint32) for _ in range(4)]
+        early = np.concatenate([ends[0], block, ends[1]])
+        late = np.concatenate([ends[2], block, ends[3]])
+        assert dedup.common_blocks(early, late) == [(30, 81)]
+
+
+def test_first_holder_that_repeats_a_passage(spark):
+    rng = random.Random(15)
+    passage = " ".join(prose(rng, 60))
+    own = [" ".join(prose(rng, 20)) for _ in range(12)]
+    texts = [f"{passage} {own[0]} {passage} {own[1]}"] + [f"{t} {passage}" for t in own[2:]]
+    found = by_id(dedup.dedup_lines(documents(spark, texts)))
+    assert found[0]["text"] == texts[0]
+    assert [found[n]["text"].strip() for n in range(1, 11)] == own[2:]
+
+
 def test_patience_anchors():
     a, b = np.array([1, 2, 3, 4, 5, 9, 9]), np.array([2, 1, 9, 3, 5])
     chain = dedup.patience(a, b)
