@@ -4,12 +4,16 @@ A passage may lie inside a long line, so texts are cut into lines both at line b
 and after words chosen by a hash of the words around them: the same passage is cut
 alike wherever it stands.
 
-1.  Anchors. Of the hashes of all runs of ``ANCHOR`` words, each document gives the
-    smallest of every ``STRETCH`` runs in a row. Two documents that share ``ANCHOR +
-    STRETCH - 1`` words in a row share an anchor. Runs are long, so an anchor is rare
-    but for real copies.
+1.  Anchors. Of the hashes of all runs of so many words, each document gives the
+    smallest of every ``STRETCH`` runs in a row, with runs just so long that two
+    documents which share ``MIN_WORDS`` words in a row share an anchor. Runs are long, so
+    an anchor is rare but for real copies.
 2.  Pairs. A document is aligned with the first document that holds one of its anchors;
-    a passage in very many documents gives one pair for each, not all pairs.
+    a passage in very many documents gives one pair for each, not all pairs. That first
+    holder may share too little around the anchor. So where three or more documents hold
+    an anchor, the runs of ``MIN_WORDS`` words around it that were not deleted are looked
+    up themselves, and a document is aligned with the first holder of each: that pair
+    shares a whole block. After it no run is left that an earlier document holds.
 3.  Alignment, by patience diff on line hashes: lines that occur once in both and come
     in the same order are fixed, and from them common words are followed both ways.
     Blocks of at least ``MIN_WORDS`` words are deleted from the document with the larger
@@ -32,6 +36,7 @@ columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +44,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haberdash.llm.tables import broadcast_if_small, stored, table
-from haberdash.llm.words import mix, run_hash, signed, slices, split_words
+from haberdash.llm.words import mix, run_hash, signed, slices, split_words, unsigned
 
 _U = np.uint64
-ANCHOR = 8
 STRETCH = 20
 MIN_WORDS = 40
 # One word in so many ends a line.
 LINE_WORDS = 6
+_RANGES = "array<struct<first: int, last: int>>"
 
 
 def anchors(hashes: np.ndarray, bounds: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,16 +70,33 @@ def anchors(hashes: np.ndarray, bounds: np.ndarray, text: np.ndarray, first: np.
     return np.concatenate(out), np.concatenate(of)
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, last, data, offsets in slices(batch.column(1)):
-            words = split_words(data, offsets)
-            first, hashes = words.windows(ANCHOR)
-            found, text = anchors(hashes, words.bounds, words.text, first)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(found)), batch.column(0).slice(row).take(pa.array(text)).cast(pa.int64())],
-                names=["anchor", "doc_id"],
-            )
+def _anchor_words(min_words: int) -> int:
+    """Words of an anchor: ``min_words`` shared words hold ``STRETCH`` such runs, if they can."""
+    return max(1, min_words - STRETCH + 1)
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32-bit word hashes with a lowest bit of 0."""
+    return (hashes >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+
+
+def _anchorer(min_words: int):
+    size = _anchor_words(min_words)
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, last, data, offsets in slices(batch.column(1)):
+                words = split_words(data, offsets)
+                # Of short hashes, so that runs are found again in word sequences.
+                words = replace(words, hash=mix(_short(words.hash).astype(_U)))
+                first, hashes = words.windows(size)
+                found, text = anchors(hashes, words.bounds, words.text, first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(found)), batch.column(0).slice(row).take(pa.array(text)).cast(pa.int64())],
+                    names=["anchor", "doc_id"],
+                )
+
+    return anchored
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +107,7 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             breaks = np.concatenate([[0], np.cumsum(data == 10)])
             after = np.append(words.start[1:], len(data))
             ends = (breaks[after] > breaks[words.end]).astype(np.uint32)
-            short = (words.hash >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE) | ends
+            short = _short(words.hash) | ends
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, last - row).cast(pa.int64()),
@@ -172,35 +194,44 @@ def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _whole_runs(marked: np.ndarray, size: int) -> np.ndarray:
-    """Whether all ``size`` words from each place are marked."""
-    sums = np.concatenate([[0], np.cumsum(marked)])
-    return sums[size:] - sums[:-size] == size
-
-
-def _repeated_runs(a: np.ndarray, b: np.ndarray, gone: np.ndarray, size: int) -> np.ndarray:
-    """Words of ``b`` in runs of ``size`` words that ``a`` holds too; runs that are gone are left out."""
+def _shared_runs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """First words of the runs of ``size`` words of ``b`` that ``a`` holds too."""
     if min(len(a), len(b)) < size:
-        return np.zeros(len(b), bool)
-    left = np.flatnonzero(~_whole_runs(gone, size))
-    if not len(left):
-        return np.zeros(len(b), bool)
+        return np.zeros(0, np.int64)
     known, at = np.unique(_run_hashes(a, size), return_index=True)
-    hashes = _run_hashes(b, size)[left]
+    hashes = _run_hashes(b, size)
     place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    same = known[place] == hashes
-    left, place = left[same], at[place[same]]
-    for k in range(size):
+    left = np.flatnonzero(known[place] == hashes)
+    place = at[place[left]]
+    for k in range(size if len(left) else 0):
         equal = a[place + k] == b[left + k]
         left, place = left[equal], place[equal]
-    return _covered(left, size, len(b))
+    return left
+
+
+def _ranges(marked: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
 def common_blocks(early: np.ndarray, late: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Word ranges of ``late`` that are aligned with blocks of ``early``."""
+    return _alignment(early, late, min_words)[0]
+
+
+def _alignment(
+    early: np.ndarray, late: np.ndarray, min_words: int
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Word ranges of ``late`` to delete, and ranges of the first words of the runs that ``early`` holds.
+
+    Blocks of different places in ``early`` may touch in ``late``; a run across both is not one of ``early``.
+    """
+    a, b = early & np.uint32(0xFFFFFFFE), late & np.uint32(0xFFFFFFFE)
+    shared = _shared_runs(a, b, min_words)
+    if not len(shared):
+        return [], []
     start_a, lines_a = lines_of(early)
     start_b, lines_b = lines_of(late)
-    a, b = early & np.uint32(0xFFFFFFFE), late & np.uint32(0xFFFFFFFE)
     free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
     gone = np.zeros(len(b), bool)
     open_a, open_b = np.arange(len(lines_a)), np.arange(len(lines_b))
@@ -222,26 +253,52 @@ def common_blocks(early: np.ndarray, late: np.ndarray, min_words: int = MIN_WORD
             break
         open_a = open_a[free_a[start_a[open_a]]]
         open_b = open_b[free_b[start_b[open_b]]]
-    gone |= _repeated_runs(a, b, gone, min_words)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    gone |= _covered(shared, min_words, len(b))
+    return _ranges(gone), _ranges(_covered(shared, 1, len(b)))
 
 
 def _aligner(min_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ranges = [], []
+            ids, ranges, runs = [], [], []
             for doc_id, late, early in zip(*(c.to_pylist() for c in batch.columns)):
-                found = common_blocks(np.frombuffer(early, np.uint32), np.frombuffer(late, np.uint32), min_words)
-                if found:
+                found = _alignment(np.frombuffer(early, np.uint32), np.frombuffer(late, np.uint32), min_words)
+                if found[0]:
                     ids.append(doc_id)
-                    ranges.append([{"first": a, "last": b} for a, b in found])
+                    for out, pairs in zip((ranges, runs), found):
+                        out.append([{"first": a, "last": b} for a, b in pairs])
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranges, kind)], names=["row", "ranges"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(ranges, kind), pa.array(runs, kind)], names=["row", "ranges", "runs"]
+            )
 
     return align
 
 
+def _run_finder(min_words: int):
+    """Runs of ``min_words`` words around given anchors, but for those that an earlier document is known to hold."""
+    size = _anchor_words(min_words)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, data, known, runs_known in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(data) < 4 * min_words:
+                    continue
+                words = np.frombuffer(data, np.uint32)
+                hashes = _run_hashes(words, min_words)
+                at = np.flatnonzero(np.isin(_run_hashes(words, size), unsigned(np.array(known, np.int64))))
+                # Runs that hold an anchor start from so many words before it.
+                wanted = _covered(np.maximum(at - (min_words - size), 0), 1 + min_words - size, len(words) + min_words)
+                for r in runs_known or ():
+                    wanted[r["first"] : r["last"]] = False
+                found = np.unique(hashes[wanted[: len(hashes)]])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(found)), pa.array(np.full(len(found), row, np.int64))], names=["anchor", "row"]
+                )
+
+    return runs
+
+
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     """The text without the words of the ranges and the white space after each."""
     found = split_words(*_bytes_of(text))
@@ -269,31 +326,48 @@ def shared_blocks(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows are aligned in the order of (doc_id, row).
     """
     known = lines.where("doc_id IS NOT NULL")
-    found = known.select("row", "text").mapInArrow(_anchored, "anchor long, row long")
+    found = known.select("row", "text").mapInArrow(_anchorer(min_words), "anchor long, row long")
     place = known.select("row", "doc_id")
-    anchored = stored(found, "anchors")
-    # The order of documents is that of ids; rows only name them.
-    placed = anchored.join(place, "row") if not _row_is_id(lines) else anchored.withColumn("doc_id", F.col("row"))
-    first = placed.groupBy("anchor").agg(F.min(F.struct("doc_id", "row")).alias("early"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    pairs = (
-        placed.join(first, "anchor")
-        .where(F.col("doc_id") > F.col("early.doc_id"))
-        .select("row", F.col("early.row").alias("early"))
-        .distinct()
-    )
-    pairs = stored(pairs, "pairs")
-    used = pairs.select("row").unionByName(pairs.select(F.col("early").alias("row"))).distinct()
-    used = broadcast_if_small(stored(used, "aligned-rows"))
+    shared = stored(_shared(_placed(stored(found, "anchors"), place, lines)), "shared-anchors")
+    pairs = stored(_pairs(shared), "pairs")
+    used = broadcast_if_small(stored(shared.select("row").distinct(), "aligned-rows"))
     texts = known.select("row", "text").join(used, "row")
     words = stored(texts.mapInArrow(_sequences, "row long, words binary"), "word-sequences")
+    cuts = stored(_aligned(words, pairs, min_words), "cuts")
+    # Anchors whose first holder is not the only earlier one.
+    held = shared.where("n > 2").groupBy("row").agg(F.collect_list("anchor").alias("anchors"))
+    around = words.join(held, "row").join(cuts, "row", "left").select("row", "words", "anchors", "runs")
+    runs = stored(around.mapInArrow(_run_finder(min_words), "anchor long, row long"), "runs")
+    more = stored(_pairs(_shared(_placed(runs, place, lines))), "more-pairs")
+    both = cuts.unionByName(_aligned(words, more, min_words)).drop("runs")
+    return stored(both.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "all-cuts")
+
+
+def _placed(found: DataFrame, place: DataFrame, lines: DataFrame) -> DataFrame:
+    # The order of documents is that of ids; rows only name them.
+    return found.join(place, "row") if not _row_is_id(lines) else found.withColumn("doc_id", F.col("row"))
+
+
+def _shared(placed: DataFrame) -> DataFrame:
+    """Anchors that several rows hold: (anchor, row, doc_id), the first holder and how many there are."""
+    first = placed.groupBy("anchor").agg(F.min(F.struct("doc_id", "row")).alias("early"), F.count("*").alias("n"))
+    return placed.join(first.where("n > 1"), "anchor")
+
+
+def _pairs(shared: DataFrame) -> DataFrame:
+    later = shared.where(F.col("doc_id") > F.col("early.doc_id"))
+    return later.select("row", F.col("early.row").alias("early")).distinct()
+
+
+def _aligned(words: DataFrame, pairs: DataFrame, min_words: int) -> DataFrame:
+    """(row, ranges, runs) of the stored pairs (row, early): see ``_alignment``."""
     both = words.join(broadcast_if_small(pairs), "row").withColumnRenamed("words", "late")
     both = both.join(words.select(F.col("row").alias("early"), F.col("words").alias("first")), "early")
     cuts = both.select("row", "late", "first").mapInArrow(
-        _aligner(min_words), "row long, ranges array<struct<first: int, last: int>>"
+        _aligner(min_words), f"row long, ranges {_RANGES}, runs {_RANGES}"
     )
     # A document has no more pairs than anchors.
-    return stored(cuts.groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "cuts")
+    return cuts.groupBy("row").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "runs")))
 
 
 def _row_is_id(lines: DataFrame) -> bool:

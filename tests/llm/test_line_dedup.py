@@ -114,3 +114,45 @@ def test_a_common_passage_makes_one_pair_each(spark):
     texts = [f"{' '.join(prose(rng, 20))} {passage}" for _ in range(300)]
     found = by_id(dedup.dedup_lines(documents(spark, texts)))
     assert sum(passage in r["text"] for r in found.values()) == 1
+
+
+@pytest.mark.parametrize("most", [tables.MAX_BROADCAST_ROWS, -1])
+def test_first_holder_that_shares_too_little(spark, most, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_BROADCAST_ROWS", most)
+    rng = random.Random(13)
+    texts, own = [], {}
+    for _ in range(12):
+        # The first holder has an edit in the middle, or only a half; two exact holders follow.
+        p = prose(rng, 60)
+        first = [*p[:30], "edited", *p[31:]] if rng.random() < 0.5 else p[:30]
+        texts.append(" ".join([*prose(rng, 20), *first, *prose(rng, 20)]))
+        texts.append(" ".join([*prose(rng, 20), *p[30:], *prose(rng, 20)]))
+        texts.append(" ".join([*prose(rng, 20), *p, *prose(rng, 20)]))
+        head, tail = prose(rng, 20), prose(rng, 20)
+        own[len(texts)] = head + tail
+        texts.append(" ".join([*head, *p, *tail]))
+        own[len(texts)] = []
+        texts.append(" ".join(p[5:45]))
+    found = by_id(dedup.dedup_lines(documents(spark, texts)))
+    for n, text in enumerate(texts):
+        assert found[n]["text"].split() == own.get(n, text.split())
+
+
+def test_no_run_of_an_earlier_document_is_left(spark):
+    rng = random.Random(14)
+    pool = [prose(rng, 120) for _ in range(6)]
+    texts = []
+    for _ in range(150):
+        words = prose(rng, rng.randrange(25))
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(80)
+            words += p[a : a + rng.randrange(25, 90)] + prose(rng, rng.randrange(15))
+        texts.append(words)
+    found = by_id(dedup.dedup_lines(documents(spark, [" ".join(t) for t in texts])))
+    seen = set()
+    for n, words in enumerate(texts):
+        runs = [tuple(words[i : i + 40]) for i in range(len(words) - 39)]
+        gone = {k for i, run in enumerate(runs) if run in seen for k in range(i, i + 40)}
+        assert found[n]["text"].split() == [w for k, w in enumerate(words) if k not in gone]
+        seen.update(runs)
