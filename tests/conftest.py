@@ -9,9 +9,6 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-TESTDATA = Path("/root/testdata")
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
@@ -31,6 +28,8 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def warehouse(spark):
+    from small import TESTDATA
+
     from haberdash.sources.testbed import open_testbed
 
     return open_testbed(spark, str(TESTDATA / "sf0.01"))

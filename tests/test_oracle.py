@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from compare import connect, differences
-from conftest import TESTDATA
+from small import TESTDATA
 
 import __spark_entry__ as entry
 

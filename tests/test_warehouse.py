@@ -5,8 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import TESTDATA
-from small import CUTOFF, at, relation, values
+from small import CUTOFF, TESTDATA, at, relation, values
 
 from haberdash import Warehouse
 from haberdash.sources import files
