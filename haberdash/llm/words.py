@@ -72,7 +72,7 @@ class Words:
     bounds: np.ndarray
     """Words of text i are bounds[i] up to bounds[i + 1]."""
     data: np.ndarray
-    """The bytes, with A-Z lower-cased."""
+    """The bytes, as they were hashed."""
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Position of the first word and hash of each run of ``size`` words of one text."""
@@ -110,10 +110,12 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = last
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -> Words:
-    """The words of texts that lie one after the other in ``data``."""
+def split_words(
+    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True
+) -> Words:
+    """The words of texts that lie one after the other in ``data``, with A-Z lower-cased unless told not to."""
     n = len(data)
-    data = _LOWER[data]
+    data = _LOWER[data] if lower else data
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = kind[data]
     fresh = inside[1:] & ~inside[:-1]
