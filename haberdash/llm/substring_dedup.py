@@ -304,21 +304,20 @@ WITH split AS (
     SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ),
 windows AS (
-    SELECT doc_id, at, array_to_string(words[at:at + 12], ' ') AS words
-    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM split WHERE len(words) >= 13)
+    SELECT doc_id, place, array_to_string(words[place:place + 12], ' ') AS words
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS place FROM split WHERE len(words) >= 13)
 ),
 firsts AS (SELECT words, min(doc_id) AS first FROM windows GROUP BY words),
 gone AS (
-    SELECT doc_id, list_distinct(flatten(list(range(at, at + 13)))) AS places
-    FROM windows JOIN firsts USING (words) WHERE doc_id > first GROUP BY doc_id
+    SELECT DISTINCT doc_id, place + further AS place
+    FROM windows JOIN firsts USING (words), range(13) AS steps(further) WHERE doc_id > first
 ),
 kept AS (
-    SELECT doc_id, words, CASE WHEN places IS NULL THEN words
-        ELSE list_transform(list_filter(range(1, len(words) + 1), i -> NOT list_contains(places, i)), i -> words[i])
-        END AS rest
-    FROM split LEFT JOIN gone USING (doc_id)
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM split)
+    ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
 )
-SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(rest))::BIGINT AS n_removed,
-    sha256(array_to_string(rest, ' ')) AS kept_sha256
-FROM kept
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
 """
