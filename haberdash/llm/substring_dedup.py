@@ -192,7 +192,7 @@ def _survivors(texts: DataFrame, min_words: int) -> tuple[DataFrame, int | None]
     before = None
     for length in lengths(min_words)[:-1]:
         chosen = texts.mapInArrow(_chooser(length, before, min_words), "hash long, row long")
-        repeated = chosen.groupBy("hash").count().where("count > 1").select("hash")
+        repeated = stored(chosen.groupBy("hash").count().where("count > 1").select("hash"), f"repeated-{length}")
         back = chosen.join(repeated, "hash").groupBy("row").agg(F.collect_set("hash").alias("known"))
         texts = texts.select("row", "text").join(stored(back, f"level-{length}"), "row")
         before = length
@@ -206,7 +206,9 @@ def _held(windows: DataFrame, ids: DataFrame | None) -> DataFrame:
     else:
         windows = windows.join(ids, "row")
     first = windows.groupBy("hash", "proof").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    return windows.join(first.where("first < last").drop("last"), ["hash", "proof"])
+    # Stored, so that the join below starts from two plain exchanges and a hot window can be split.
+    first = stored(first.where("first < last").drop("last"), "first-holders")
+    return windows.join(first, ["hash", "proof"])
 
 
 def repeated_places(texts: DataFrame, ids: DataFrame | None, min_words: int) -> DataFrame:
