@@ -9,6 +9,8 @@ survive. ``longest`` goes on doubling beyond ``min_words`` in the same way.
     smallest hash of the windows of the level's length inside it, so about one hash in
     four positions is counted, and equal windows are represented alike. A window whose
     representative stands only once is unique and goes.
+    Equal texts are told by a digest and only their smallest id goes on to
+    the last level: the others hold nothing that it does not hold.
 2.  The last level is exact: 64 and 32 bits of two hashes stand for the words of each
     window left, the smallest document id of each is found, and windows that a smaller id
     holds come back as places of their document.
@@ -187,33 +189,49 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     return numbered, numbered.where(known).select("row", F.col(text).alias("text")), ids
 
 
-def _survivors(texts: DataFrame, min_words: int) -> tuple[DataFrame, int | None]:
-    """Rows (row, text, known) that may hold repeated windows, and the length of the hashes in ``known``."""
+def _copies(texts: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """(row) of texts that a document with a smaller id holds as a whole; stored."""
+    digests = _with_ids(texts.select("row", F.md5("text").alias("digest")), ids)
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = stored(first.where("first < last").drop("last"), "first-copies")
+    return stored(digests.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("row"), "copies")
+
+
+def _survivors(texts: DataFrame, min_words: int, copies: DataFrame | None = None) -> tuple[DataFrame, int | None]:
+    """Rows (row, text, known) that may hold repeated windows, and the length of the hashes in ``known``.
+
+    Rows of ``copies`` are counted at the first level only.
+    """
+    if copies is not None and len(lengths(min_words)) == 1:
+        texts = texts.join(copies, "row", "left_anti")
     before = None
     for length in lengths(min_words)[:-1]:
         chosen = texts.mapInArrow(_chooser(length, before, min_words), "hash long, row long")
         repeated = stored(chosen.groupBy("hash").count().where("count > 1").select("hash"), f"repeated-{length}")
         back = chosen.join(repeated, "hash").groupBy("row").agg(F.collect_set("hash").alias("known"))
+        if copies is not None:
+            back = back.join(copies, "row", "left_anti")
         texts = texts.select("row", "text").join(stored(back, f"level-{length}"), "row")
         before = length
     return texts, before
 
 
+def _with_ids(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("row")) if ids is None else rows.join(ids, "row")
+
+
 def _held(windows: DataFrame, ids: DataFrame | None) -> DataFrame:
     """Windows (…, doc_id) that documents of several ids hold, with the smallest."""
-    if ids is None:
-        windows = windows.withColumn("doc_id", F.col("row"))
-    else:
-        windows = windows.join(ids, "row")
+    windows = _with_ids(windows, ids)
     first = windows.groupBy("hash", "proof").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # Stored, so that the join below starts from two plain exchanges and a hot window can be split.
     first = stored(first.where("first < last").drop("last"), "first-holders")
     return windows.join(first, ["hash", "proof"])
 
 
-def repeated_places(texts: DataFrame, ids: DataFrame | None, min_words: int) -> DataFrame:
-    """(row, places): where windows start that a document with a smaller id holds too; stored."""
-    survivors, before = _survivors(texts, min_words)
+def repeated_places(texts: DataFrame, ids: DataFrame | None, min_words: int, copies: DataFrame) -> DataFrame:
+    """(row, places): where windows start that a document with a smaller id holds too, but for ``copies``; stored."""
+    survivors, before = _survivors(texts, min_words, copies)
     windows = survivors.mapInArrow(_window_finder(before, min_words, min_words), _WINDOW)
     later = _held(windows, ids).where(F.col("doc_id") > F.col("first"))
     return stored(later.groupBy("row").agg(F.collect_list("place").alias("places")), f"level-{min_words}")
@@ -223,10 +241,16 @@ def with_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Documents with ``spans``: word ranges that windows of earlier documents cover, or NULL."""
     names = docs.columns
     numbered, texts, ids = _numbered(docs)
-    places = repeated_places(texts, ids, min_words)
-    spans = places.mapInArrow(_spanner(min_words), f"row long, spans {_SPANS}")
+    copies = _copies(texts, ids)
+    places = repeated_places(texts, ids, min_words, copies)
+    spans = places.mapInArrow(_spanner(min_words), f"row long, spans {_SPANS}").withColumn("copy", F.lit(False))
+    spans = spans.unionByName(copies.select("row", F.lit(None).cast(_SPANS).alias("spans"), F.lit(True).alias("copy")))
+    text = f"c{names.index('text')}"
+    n_words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    whole = F.array(F.struct(F.lit(0).alias("first"), n_words.alias("last")))
+    spans_of = F.when(F.col("copy"), F.when(n_words >= min_words, whole)).otherwise(F.col("spans"))
     columns = [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
-    return numbered.join(spans, "row", "left").select(*columns, "spans")
+    return numbered.join(spans, "row", "left").select(*columns, spans_of.alias("spans"))
 
 
 def longest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
