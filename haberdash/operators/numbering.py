@@ -74,24 +74,30 @@ def numbered(
     return placed.drop("_before", "_last", SLICE, *(f"_at_{n}" for n in inner))
 
 
-def dense_ranks(rows: DataFrame, key: str, measures: dict[str, str], keep: Keep) -> DataFrame:
+def dense_ranks(
+    rows: DataFrame, key: str, measures: dict[str, str], name: str, keep: Keep
+) -> DataFrame:
     """Add a dense rank, highest first, for each amount column in ``measures``.
 
-    Only the distinct amounts are numbered, since equal ones share a rank, and joined back.
+    Only the distinct amounts are numbered, since equal ones share a rank; those of all
+    measures are stacked, sliced and numbered once, stored as ``name``, and joined back.
     """
+    amounts = F.array(
+        *(F.struct(F.lit(m).alias("_measure"), (-F.col(m)).alias("_falling")) for m in measures)
+    )
+    inner, order = ["_measure", key], ["_falling"]
+
+    def places() -> DataFrame:
+        distinct = rows.select(key, F.inline(amounts)).distinct()
+        return numbered(keep(f"{name}_slices", lambda: sliced(distinct, inner, order)), inner, order)
+
+    ranked = keep(name, places).withColumnRenamed(key, f"_of_{key}")
     for measure, rank in measures.items():
-        falling = (-F.col(measure)).alias("_falling")
-        amounts = keep(
-            rank, lambda by=falling: sliced(rows.select(key, by).distinct(), [key], ["_falling"])
-        )
-        places = numbered(amounts, [key], ["_falling"], position=rank).withColumnRenamed(
-            key, f"_of_{key}"
-        )
+        own = ranked.where(F.col("_measure") == measure).withColumnRenamed("position", rank)
         rows = rows.join(
-            places,
-            rows[key].eqNullSafe(places[f"_of_{key}"])
-            & (-rows[measure]).eqNullSafe(places["_falling"]),
-        ).drop(f"_of_{key}", "_falling")
+            own,
+            rows[key].eqNullSafe(own[f"_of_{key}"]) & (-rows[measure]).eqNullSafe(own["_falling"]),
+        ).drop("_measure", f"_of_{key}", "_falling")
     return rows
 
 

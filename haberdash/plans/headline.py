@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haberdash.functions.columns import PRICE, TOTAL, growth, percent, ratio
 from haberdash.functions.metrics import add_up, money
 from haberdash.operators.keys import stacked
 from haberdash.plans.customers import REPEAT
+from haberdash.plans.logistics import center_handling, order_totals
 
 
 def headline_sales(monthly: DataFrame) -> DataFrame:
@@ -111,7 +112,8 @@ def category_vs_average_margin(products: DataFrame) -> DataFrame:
         .agg(*add_up("net_revenue", "gross_profit"))
         .withColumn("gross_margin_percent", percent(F.col("gross_profit"), F.col("net_revenue")))
     )
-    line = margins.agg(F.avg("gross_margin_percent").cast(PRICE)).scalar()
+    # The window runs over one row per category.
+    line = F.avg("gross_margin_percent").over(Window.partitionBy()).cast(PRICE)
     return (
         margins.withColumn("average_category_margin_percent", line)
         .withColumn(
@@ -143,10 +145,11 @@ def unsold_capital(centers: DataFrame) -> DataFrame:
     )
 
 
-def order_count_trio(monthly: DataFrame, centers: DataFrame, fulfilment: DataFrame) -> DataFrame:
+def order_count_trio(orders_by_center: DataFrame, centers: DataFrame) -> DataFrame:
     """Three order counts that are not interchangeable, and the rates on them.
 
-    Each view gives a partial row; stacked and added up they make one.
+    Orders are counted in months with valid sales, shipments over all orders, and
+    assignments at known centers. Each gives a partial row; stacked and added up they make one.
     """
     names = (
         "total_orders",
@@ -162,17 +165,30 @@ def order_count_trio(monthly: DataFrame, centers: DataFrame, fulfilment: DataFra
             *((sums[n] if n in sums else F.sum(F.lit(0))).cast("bigint").alias(n) for n in names)
         )
 
+    def counted(condition) -> Column:
+        return F.count(F.when(condition, 1))
+
+    months = (
+        order_totals(orders_by_center)
+        .groupBy(F.year("order_date").alias("order_year"), F.month("order_date").alias("order_month"))
+        .agg(
+            F.count("*").alias("all_orders"),
+            counted(F.col("valid_items") > 0).alias("valid_orders"),
+            counted(F.col("cancelled_items") > 0).alias("cancelled_orders"),
+            counted(F.col("distribution_center_count") == 1).alias("single_center_orders"),
+        )
+    )
+    sold = F.col("valid_orders") > 0
     parts = [
         partial(
-            monthly,
-            **{n: F.sum(n) for n in ("total_orders", "valid_orders", "cancelled_orders")},
-        ),
-        partial(centers, center_assignments=F.sum("orders_handled")),
-        partial(
-            fulfilment,
-            fulfilled_orders=F.count("*"),
-            single_center_orders=F.count(F.when(F.col("distribution_center_count") == 1, 1)),
+            months,
+            total_orders=F.sum(F.when(sold, F.col("all_orders"))),
+            valid_orders=F.sum("valid_orders"),
+            cancelled_orders=F.sum(F.when(sold, F.col("cancelled_orders"))),
+            fulfilled_orders=F.sum("all_orders"),
+            single_center_orders=F.sum("single_center_orders"),
         ),
+        partial(center_handling(centers, orders_by_center), center_assignments=F.sum("orders_handled")),
     ]
     cancelled = F.col("cancelled_orders")
     return (

@@ -73,24 +73,30 @@ def logistics_by_year(orders: DataFrame, cutoff: dt.date) -> DataFrame:
 
 
 def center_orders(items: DataFrame, cutoff: dt.date) -> DataFrame:
-    """One row per center and order it handled: several items make one assignment."""
+    """One row per order and center that handled it: several items make one assignment.
+
+    Stored, as all reports on centers and on whole orders add up from it.
+    """
     kept = ~status().isin("Returned", "Cancelled")
     return (
         ordered_before(items, cutoff)
         .groupBy("distribution_center_id", "order_id")
         .agg(
+            F.max("order_date").alias("order_date"),
             F.max("days_to_ship").alias("days_to_ship"),
             F.max("days_to_deliver").alias("days_to_deliver"),
             F.max(flag(F.col("days_to_deliver").isNotNull())).alias("delivered_flag"),
             F.max("returned_flag").alias("returned_flag"),
             F.max("cancelled_flag").alias("cancelled_flag"),
+            F.count(F.when(status() != "Cancelled", 1)).alias("valid_items"),
+            F.count(F.when(status() == "Cancelled", 1)).alias("cancelled_items"),
             total_where(kept, revenue()).alias("net_revenue"),
             total_where(kept, profit()).alias("gross_profit"),
         )
     )
 
 
-def logistics_by_center(items: DataFrame, centers: DataFrame, cutoff: dt.date) -> DataFrame:
+def logistics_by_center(orders_by_center: DataFrame, centers: DataFrame) -> DataFrame:
     """Per center name; centers that share a name are one row."""
     sums = {
         "orders_handled": F.count("*"),
@@ -103,8 +109,7 @@ def logistics_by_center(items: DataFrame, centers: DataFrame, cutoff: dt.date) -
     }
     handled = F.col("orders_handled")
     return (
-        center_orders(items, cutoff)
-        .groupBy("distribution_center_id")
+        orders_by_center.groupBy("distribution_center_id")
         .agg(*(total.alias(name) for name, total in sums.items()))
         .join(centers, "distribution_center_id")
         .groupBy("distribution_center_name")
@@ -236,29 +241,25 @@ def _zeros(frame: DataFrame, totals: DataFrame) -> DataFrame:
     return frame.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in names})
 
 
-def center_handling(centers: DataFrame, items: DataFrame, cutoff: dt.date) -> DataFrame:
+def center_handling(centers: DataFrame, orders_by_center: DataFrame) -> DataFrame:
     """Every center with the orders it handled, zeros where it has none."""
-    handled = (
-        center_orders(items, cutoff)
-        .groupBy("distribution_center_id")
-        .agg(
-            F.count("*").alias("orders_handled"),
-            *(
-                F.sum(f"{step}_flag").alias(f"{step}_orders")
-                for step in ("delivered", "returned", "cancelled")
-            ),
-            *_lead_time_averages(),
-            *add_up("net_revenue", "gross_profit"),
-        )
+    handled = orders_by_center.groupBy("distribution_center_id").agg(
+        F.count("*").alias("orders_handled"),
+        *(
+            F.sum(f"{step}_flag").alias(f"{step}_orders")
+            for step in ("delivered", "returned", "cancelled")
+        ),
+        *_lead_time_averages(),
+        *add_up("net_revenue", "gross_profit"),
     )
     return _zeros(centers.join(handled, "distribution_center_id", "left"), handled)
 
 
 def center_performance(
-    centers: DataFrame, items: DataFrame, inventory: DataFrame, cutoff: dt.date
+    centers: DataFrame, orders_by_center: DataFrame, inventory: DataFrame, cutoff: dt.date
 ) -> DataFrame:
     """Every center with its orders and stock, zeros where it has none."""
-    handling = center_handling(centers, items, cutoff)
+    handling = center_handling(centers, orders_by_center)
     days_to_sell = F.when(sold_before(cutoff), F.col("days_to_sell").cast(PRICE))
     stock = stock_totals(
         inventory,
@@ -308,16 +309,25 @@ def center_performance(
     )
 
 
-def order_fulfilment(items: DataFrame, cutoff: dt.date) -> DataFrame:
+def order_totals(orders_by_center: DataFrame) -> DataFrame:
+    """Per order: centers, lead times, outcome and items; a center is one row, so counting rows is enough."""
+    return orders_by_center.groupBy("order_id").agg(
+        F.count("distribution_center_id").alias("distribution_center_count"),
+        *(
+            F.max(name).alias(name)
+            for name in ("order_date", "days_to_ship", "days_to_deliver", "returned_flag", "cancelled_flag")
+        ),
+        *add_up("valid_items", "cancelled_items"),
+    )
+
+
+def order_fulfilment(orders_by_center: DataFrame) -> DataFrame:
     """Per order: how many centers it ships from, lead times and outcome."""
-    return (
-        ordered_before(items, cutoff)
-        .groupBy("order_id")
-        .agg(
-            F.countDistinct("distribution_center_id").alias("distribution_center_count"),
-            *(
-                F.max(name).alias(name)
-                for name in ("days_to_ship", "days_to_deliver", "returned_flag", "cancelled_flag")
-            ),
-        )
+    return order_totals(orders_by_center).select(
+        "order_id",
+        "distribution_center_count",
+        "days_to_ship",
+        "days_to_deliver",
+        "returned_flag",
+        "cancelled_flag",
     )

@@ -1,4 +1,4 @@
-"""Product performance. Items are added up per product before any join."""
+"""Product performance. Items are added up per product, once, before any join."""
 
 from __future__ import annotations
 
@@ -14,27 +14,41 @@ from haberdash.functions.metrics import (
     status,
     add_up,
     count_where,
-    gross_profit,
     money,
-    net_revenue,
     ordered_before,
-    returned_items,
     sold_before,
     stock_age,
     stocked_before,
     total_where,
     unsold_at,
-    valid_sales,
 )
 from haberdash.operators.numbering import Keep, dense_ranks, group_totals
 
 
-def product_sales(items: DataFrame, cutoff: dt.date) -> DataFrame:
-    """Valid sales per product."""
+def product_items(items: DataFrame, cutoff: dt.date) -> DataFrame:
+    """Items per product, by outcome; stored, as all reports on products add up from it."""
+    returned, cancelled = status() == "Returned", status() == "Cancelled"
+    kept = ~status().isin("Returned", "Cancelled")
     return (
-        valid_sales(items, cutoff)
+        ordered_before(items, cutoff)
         .groupBy("product_id")
-        .agg(F.count("*").alias("total_items"), returned_items(), net_revenue(), gross_profit())
+        .agg(
+            F.count("*").alias("ordered_items"),
+            count_where(~cancelled).alias("valid_items"),
+            count_where(returned).alias("returned_items"),
+            count_where(cancelled).alias("cancelled_items"),
+            total_where(kept, revenue()).alias("net_revenue"),
+            total_where(kept, profit()).alias("gross_profit"),
+            total_where(returned, revenue()).alias("returned_revenue_value"),
+            total_where(cancelled, revenue()).alias("cancelled_revenue_value"),
+        )
+    )
+
+
+def product_sales(per_product: DataFrame) -> DataFrame:
+    """Products with valid sales, and those."""
+    return per_product.where("valid_items > 0").select(
+        "product_id", F.col("valid_items").alias("total_items"), "returned_items", "net_revenue", "gross_profit"
     )
 
 
@@ -47,9 +61,9 @@ def _rates(frame: DataFrame) -> DataFrame:
     )
 
 
-def _performance_by(attribute: str, items: DataFrame, products: DataFrame, cutoff: dt.date):
+def _performance_by(attribute: str, per_product: DataFrame, products: DataFrame):
     totals = (
-        product_sales(items, cutoff)
+        product_sales(per_product)
         .join(products.select("product_id", attribute), "product_id")
         .groupBy(attribute)
         .agg(*add_up("total_items", "returned_items", "net_revenue", "gross_profit"))
@@ -61,13 +75,13 @@ def _performance_by(attribute: str, items: DataFrame, products: DataFrame, cutof
     )
 
 
-def category_performance(items: DataFrame, products: DataFrame, cutoff: dt.date) -> DataFrame:
-    return _performance_by("category", items, products, cutoff)
+def category_performance(per_product: DataFrame, products: DataFrame) -> DataFrame:
+    return _performance_by("category", per_product, products)
 
 
-def brand_performance(items: DataFrame, products: DataFrame, cutoff: dt.date) -> DataFrame:
+def brand_performance(per_product: DataFrame, products: DataFrame) -> DataFrame:
     """Products without a brand form a group of their own."""
-    return _performance_by("brand", items, products, cutoff)
+    return _performance_by("brand", per_product, products)
 
 
 _NAMES = ("product_id", "product_name", "category", "brand")
@@ -77,10 +91,10 @@ def _named(totals: DataFrame, products: DataFrame) -> DataFrame:
     return totals.join(products.select(*_NAMES), "product_id")
 
 
-def top_products(items: DataFrame, products: DataFrame, cutoff: dt.date, rows: int = 10) -> DataFrame:
+def top_products(per_product: DataFrame, products: DataFrame, rows: int = 10) -> DataFrame:
     # Sort and limit stay together at the end, so Spark keeps a top list, not a full sort.
     return (
-        _rates(_named(product_sales(items, cutoff), products))
+        _rates(_named(product_sales(per_product), products))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(
             *_NAMES,
@@ -95,20 +109,21 @@ def top_products(items: DataFrame, products: DataFrame, cutoff: dt.date, rows: i
     )
 
 
-def rank_in_category(
-    items: DataFrame, products: DataFrame, cutoff: dt.date, keep: Keep
-) -> DataFrame:
+def rank_in_category(per_product: DataFrame, products: DataFrame, keep: Keep) -> DataFrame:
     """Each product's place in its category by revenue and by profit, and its share."""
     named = products.select("product_id", "product_name", "category")
-    sold = keep("product_totals", lambda: product_sales(items, cutoff).join(named, "product_id"))
+    sold = keep(
+        "product_totals",
+        lambda: group_totals(
+            product_sales(per_product).join(named, "product_id"), "category", "net_revenue", "_revenue"
+        ),
+    )
     places = {
         "net_revenue": "revenue_rank_in_category",
         "gross_profit": "profit_rank_in_category",
     }
     return (
-        dense_ranks(
-            group_totals(sold, "category", "net_revenue", "_revenue"), "category", places, keep
-        )
+        dense_ranks(sold, "category", places, "category_ranks", keep)
         .withColumn("category_revenue_share_percent", percent(F.col("net_revenue"), F.col("_revenue"), 4))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(
@@ -127,11 +142,11 @@ def rank_in_category(
 
 
 def high_revenue_low_margin(
-    items: DataFrame, products: DataFrame, cutoff: dt.date, best: int = 50, rows: int = 10
+    per_product: DataFrame, products: DataFrame, best: int = 50, rows: int = 10
 ) -> DataFrame:
     """The thinnest margins among the products that sell most."""
     return (
-        _named(product_sales(items, cutoff), products)
+        _named(product_sales(per_product), products)
         .withColumn("gross_margin_percent", percent(F.col("gross_profit"), F.col("net_revenue")))
         .withColumns(money("net_revenue", "gross_profit"))
         .select(*_NAMES, "net_revenue", "gross_profit", "gross_margin_percent")
@@ -143,9 +158,9 @@ def high_revenue_low_margin(
 
 
 def highest_return_rates(
-    items: DataFrame, products: DataFrame, cutoff: dt.date, at_least: int = 10, rows: int = 10
+    per_product: DataFrame, products: DataFrame, at_least: int = 10, rows: int = 10
 ) -> DataFrame:
-    often_sold = product_sales(items, cutoff).where(F.col("total_items") >= at_least)
+    often_sold = product_sales(per_product).where(F.col("total_items") >= at_least)
     return (
         _named(often_sold, products)
         .withColumn("return_rate_percent", percent(F.col("returned_items"), F.col("total_items")))
@@ -171,11 +186,9 @@ def lost_value(items: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def items_per_product_histogram(items: DataFrame, cutoff: dt.date) -> DataFrame:
+def items_per_product_histogram(per_product: DataFrame) -> DataFrame:
     return (
-        valid_sales(items, cutoff)
-        .groupBy("product_id")
-        .agg(F.count("*").alias("total_items"))
+        product_sales(per_product)
         .groupBy("total_items")
         .agg(F.count("*").alias("number_of_products"))
         .orderBy("total_items")
@@ -213,29 +226,13 @@ def stock_totals(inventory: DataFrame, key: str, cutoff: dt.date, *more) -> Data
 
 
 def product_performance(
-    products: DataFrame, items: DataFrame, inventory: DataFrame, cutoff: dt.date
+    products: DataFrame, sales: DataFrame, inventory: DataFrame, cutoff: dt.date
 ) -> DataFrame:
     """Every product with its sales and stock, zeros where it has none.
 
     Items and stock are each added up per product first: joined as rows they
     would multiply one another.
     """
-    returned, cancelled = status() == "Returned", status() == "Cancelled"
-    kept = ~status().isin("Returned", "Cancelled")
-    sales = (
-        ordered_before(items, cutoff)
-        .groupBy("product_id")
-        .agg(
-            F.count("*").alias("ordered_items"),
-            count_where(~cancelled).alias("valid_items"),
-            count_where(returned).alias("returned_items"),
-            count_where(cancelled).alias("cancelled_items"),
-            total_where(kept, revenue()).alias("net_revenue"),
-            total_where(kept, profit()).alias("gross_profit"),
-            total_where(returned, revenue()).alias("returned_revenue_value"),
-            total_where(cancelled, revenue()).alias("cancelled_revenue_value"),
-        )
-    )
     stock = stock_totals(inventory, "product_id", cutoff)
     counts = [c for c in (*sales.columns, *stock.columns) if c not in ("product_id", "average_unsold_age_days")]
     amounts = [c for c in counts if c.endswith(("revenue", "profit", "value", "cost"))]

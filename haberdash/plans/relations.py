@@ -8,28 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haberdash.functions.columns import unpadded
-from haberdash.operators.keys import mismatches, orphans, stacked
+from haberdash.operators.keys import Reference, mismatches, orphans
 
 # Issue label. Then child relation, reference, parent relation, parent key.
 REFERENCES = (
-    ("Orders without users", "orders", "user_id", "users", "id"),
-    ("Order items without orders", "order_items", "order_id", "orders", "order_id"),
-    ("Order items without users", "order_items", "user_id", "users", "id"),
-    ("Order items without products", "order_items", "product_id", "products", "id"),
-    ("Order items without inventory items", "order_items", "inventory_item_id", "inventory_items", "id"),
-    ("Products without distribution centers", "products", "distribution_center_id", "distribution_centers", "id"),
-    ("Inventory items without products", "inventory_items", "product_id", "products", "id"),
+    Reference("Orders without users", "orders", "user_id", "users", "id"),
+    Reference("Order items without orders", "order_items", "order_id", "orders", "order_id"),
+    Reference("Order items without users", "order_items", "user_id", "users", "id"),
+    Reference("Order items without products", "order_items", "product_id", "products", "id"),
+    Reference("Order items without inventory items", "order_items", "inventory_item_id", "inventory_items", "id"),
+    Reference("Products without distribution centers", "products", "distribution_center_id", "distribution_centers", "id"),
+    Reference("Inventory items without products", "inventory_items", "product_id", "products", "id"),
 )
 
 
 def orphan_census(source: Callable[[str], DataFrame]) -> DataFrame:
     """Rows per foreign key that point nowhere; a NULL reference counts."""
-    return stacked(
-        orphans(source(child), reference, source(parent), key).select(
-            F.lit(issue).alias("potential_issue"), "affected_rows"
-        )
-        for issue, child, reference, parent, key in REFERENCES
-    )
+    return orphans(source, REFERENCES, "potential_issue")
 
 
 def mismatched_customers(items: DataFrame, orders: DataFrame) -> DataFrame:

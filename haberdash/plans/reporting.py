@@ -16,11 +16,11 @@ def sales_monthly_preview(monthly: DataFrame, rows: int = 60) -> DataFrame:
     )
 
 
-# View name -> model tables it reads, builder (tables..., cutoff).
+# View name -> model and working tables it reads, builder (tables..., cutoff).
 VIEWS = {
     "sales_monthly": (("fact_order_items",), sales.sales_monthly),
     "product_performance": (
-        ("dim_product", "fact_order_items", "fact_inventory"),
+        ("dim_product", "product_items", "fact_inventory"),
         products.product_performance,
     ),
     "customer_performance": (
@@ -30,8 +30,8 @@ VIEWS = {
     "customer_yearly": (("fact_order_items",), customers.customer_yearly),
     "session_funnel": (("fact_events",), funnel.session_funnel),
     "distribution_center_performance": (
-        ("dim_distribution_center", "fact_order_items", "fact_inventory"),
+        ("dim_distribution_center", "center_orders", "fact_inventory"),
         logistics.center_performance,
     ),
-    "order_fulfilment": (("fact_order_items",), logistics.order_fulfilment),
+    "order_fulfilment": (("center_orders",), lambda handled, _: logistics.order_fulfilment(handled)),
 }

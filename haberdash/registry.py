@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haberdash.operators.keys import key_violations, stacked
+from haberdash.operators.keys import duplicate_keys, key_violations, stacked
 from haberdash.plans import (
     cleaned,
     customers,
@@ -30,13 +30,9 @@ Query = Callable[[Warehouse], DataFrame]
 SOURCES = tuple(SOURCE_SCHEMAS)
 
 
-def _layer(layer: str) -> Callable[[Warehouse], dict[str, DataFrame]]:
-    return lambda w: {name: w.relation(layer, name) for name in w.names(layer)}
-
-
 def _listing(layer: str) -> Query:
-    """The relations of a layer by name, each read in full to show that it answers."""
-    return lambda w: profiling.row_counts(_layer(layer)(w)).orderBy("table_name")
+    """The relations that the catalog lists for a layer, each counted to show that it answers."""
+    return lambda w: profiling.row_counts(w.listed(layer)).orderBy("table_name")
 
 
 def _titled(w: Warehouse) -> dict[str, DataFrame]:
@@ -44,8 +40,9 @@ def _titled(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def _layer_census(w: Warehouse) -> DataFrame:
+    """Makes the layers' databases and counts what the catalog then lists in each."""
     return stacked(
-        profiling.row_counts(_layer(layer)(w))
+        profiling.row_counts(w.listed(layer))
         .agg(F.count("*").alias("relations"), F.sum("row_count").alias("row_count"))
         .select(F.lit(layer).alias("layer"), "relations", "row_count")
         for layer in LAYERS
@@ -97,7 +94,7 @@ LAYER_QUERIES: dict[str, Query] = {
 }
 
 PROFILING_QUERIES: dict[str, Query] = {
-    "dup_keys": lambda w: profiling.repeated_keys(
+    "dup_keys": lambda w: duplicate_keys(
         {n.capitalize(): (w.source(n), SOURCE_KEYS[n]) for n in SOURCES}
     ),
     "missing_users": lambda w: profiling.missing(
@@ -237,6 +234,11 @@ def _over_orders(build: Callable[..., DataFrame], *tables: str) -> Query:
     return lambda w: build(w.customer_orders(), *(w.model(t) for t in tables))
 
 
+def _over_products(build: Callable[..., DataFrame], *tables: str) -> Query:
+    """A report over the stored items per product."""
+    return lambda w: build(w.working("product_items"), *(w.model(t) for t in tables))
+
+
 def _over_sessions(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda w: build(w.session_flags())
 
@@ -251,16 +253,16 @@ ANALYSIS_QUERIES: dict[str, Query] = {
     "monthly_trend": _over(sales.monthly_trend, ITEMS),
     "yoy_growth": _over(sales.yoy_growth, ITEMS),
     "aov_by_year": _over(sales.order_value_by_year, ITEMS),
-    "category_performance": _over(products.category_performance, ITEMS, PRODUCTS),
-    "brand_performance": _over(products.brand_performance, ITEMS, PRODUCTS),
-    "top_products": _over(products.top_products, ITEMS, PRODUCTS),
+    "category_performance": _over_products(products.category_performance, PRODUCTS),
+    "brand_performance": _over_products(products.brand_performance, PRODUCTS),
+    "top_products": _over_products(products.top_products, PRODUCTS),
     "product_rank_in_category": lambda w: products.rank_in_category(
-        w.model(ITEMS), w.model(PRODUCTS), w.sales_cutoff, w.keep
+        w.working("product_items"), w.model(PRODUCTS), w.keeper(ITEMS, PRODUCTS)
     ),
-    "high_revenue_low_margin": _over(products.high_revenue_low_margin, ITEMS, PRODUCTS),
-    "highest_return_rates": _over(products.highest_return_rates, ITEMS, PRODUCTS),
+    "high_revenue_low_margin": _over_products(products.high_revenue_low_margin, PRODUCTS),
+    "highest_return_rates": _over_products(products.highest_return_rates, PRODUCTS),
     "lost_value": _over(products.lost_value, ITEMS),
-    "items_per_product_histogram": _over(products.items_per_product_histogram, ITEMS),
+    "items_per_product_histogram": _over_products(products.items_per_product_histogram),
     "one_time_vs_repeat": _over_orders(customers.one_time_vs_repeat),
     "new_vs_repeat_by_year": _over(customers.new_vs_repeat_by_year, ITEMS),
     "order_frequency": _over_orders(customers.order_frequency),
@@ -279,7 +281,9 @@ ANALYSIS_QUERIES: dict[str, Query] = {
     "funnel_monthly": _over_sessions(funnel.funnel_monthly),
     "logistics_overall": _over(logistics.logistics_overall, ORDERS),
     "logistics_by_year": _over(logistics.logistics_by_year, ORDERS),
-    "logistics_by_center": _over(logistics.logistics_by_center, ITEMS, CENTERS),
+    "logistics_by_center": lambda w: logistics.logistics_by_center(
+        w.working("center_orders"), w.model(CENTERS)
+    ),
     "inventory_overall": _over(logistics.inventory_overall, STOCK),
     "inventory_by_center": _over(logistics.inventory_by_center, STOCK, CENTERS),
     "inventory_aging": _over(logistics.inventory_aging, STOCK),
@@ -299,9 +303,7 @@ REPORT_QUERIES: dict[str, Query] = {
     ),
     "unsold_capital": lambda w: headline.unsold_capital(w.report("distribution_center_performance")),
     "order_count_trio": lambda w: headline.order_count_trio(
-        w.report("sales_monthly"),
-        logistics.center_handling(w.model(CENTERS), w.model(ITEMS), w.sales_cutoff),
-        w.report("order_fulfilment"),
+        w.working("center_orders"), w.model(CENTERS)
     ),
 }
 

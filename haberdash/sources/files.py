@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +54,18 @@ def read_parquet(spark: SparkSession, relation: str, path: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[relation]).parquet(path)
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """Changes when any file under the paths does; lists files without reading them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+def fingerprints(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, str]:
+    """Per name, what changes when any file under its path does; lists files without reading them."""
+    context = spark.sparkContext
+    conf, path = context._jsc.hadoopConfiguration(), context._jvm.org.apache.hadoop.fs.Path
+    owner = F.lit(None).cast("string")
+    for name, place in paths.items():
+        whole = path(place).getFileSystem(conf).makeQualified(path(place)).toString()
+        own = (F.col("path") == whole) | F.col("path").startswith(f"{whole}/")
+        owner = F.when(own, name).otherwise(owner)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths.values()))
     state = F.xxhash64("path", "length", "modificationTime")
-    row = files.agg(
+    rows = files.groupBy(owner.alias("name")).agg(
         F.count("*").alias("files"), F.sum("length").alias("bytes"), F.bit_xor(state).alias("state")
-    ).first()
-    return f"{row.files}-{row.bytes}-{row.state & 0xFFFFFFFFFFFFFFFF:016x}"
+    )
+    return {r.name: f"{r.files}-{r.bytes}-{r.state & 0xFFFFFFFFFFFFFFFF:016x}" for r in rows.collect()}

@@ -16,14 +16,24 @@ from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
 from haberdash.operators.numbering import numbered, sliced
-from haberdash.sources.files import fingerprint
+from haberdash.sources.files import fingerprints
 from haberdash.sources.schemas import SOURCE_SCHEMAS
-from haberdash.sources.warehouse import Store, Warehouse, own_store
+from haberdash.sources.warehouse import Store, Warehouse, digest, own_store
 
 SALES_CUTOFF = dt.date(2001, 8, 1)
 EVENT_CUTOFF = dt.date(2024, 1, 30)
 
 TABLES = ("customer", "nation", "supplier", "part", "orders", "lineitem", "events")
+# The tables that each raw relation is made of.
+MADE_OF = {
+    "users": ("customer", "nation"),
+    "products": ("part",),
+    "orders": ("orders",),
+    "order_items": ("lineitem", "orders"),
+    "inventory_items": ("lineitem", "orders", "part"),
+    "distribution_centers": ("supplier",),
+    "events": ("events",),
+}
 
 # Each part has this many unsold pieces; piece n lies in center n.
 UNSOLD_PIECES = 10
@@ -85,6 +95,16 @@ class Testbed:
         self.store = store
         self._schemas: dict[str, StructType] = {}
         self.folder = folder.rstrip("/")
+        self._files: dict[str, str] = {}
+
+    def states(self) -> dict[str, str]:
+        """The state of the files behind each raw relation, as they are now."""
+        self._files = fingerprints(self.store.spark, {t: f"{self.folder}/{t}.parquet" for t in TABLES})
+        self._schemas.clear()
+        return {relation: self._state(*tables) for relation, tables in MADE_OF.items()}
+
+    def _state(self, *tables: str) -> str:
+        return digest(*(self._files[t] for t in tables))
 
     def __call__(self, relation: str) -> DataFrame:
         return _fitted(getattr(self, relation)(), relation)
@@ -204,7 +224,9 @@ class Testbed:
             F.xxhash64("_metadata.file_path").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
         )
-        slices = self.store.table("import/line_slices", lambda: sliced(placed, [], order))
+        slices = self.store.table(
+            "import/line_slices", lambda: sliced(placed, [], order), self._state("lineitem")
+        )
         lines = numbered(slices, [], order, position="line_key")
         orders = self("orders")
         return lines.join(orders, key == F.col("order_id"), "left").select(
@@ -225,8 +247,11 @@ class Testbed:
             _money(F.col("l_extendedprice")).alias("sale_price"),
         )
 
+    def _stored_lines(self) -> DataFrame:
+        return self.store.table("import/lines", self._lines, self._state("lineitem", "orders"))
+
     def order_items(self) -> DataFrame:
-        return self.store.table("import/lines", self._lines).select(
+        return self._stored_lines().select(
             F.col("line_key").alias("id"),
             "order_id",
             "user_id",
@@ -253,7 +278,7 @@ class Testbed:
         )
         day = F.to_date("created_at")
         sold = (
-            self.store.table("import/lines", self._lines)
+            self._stored_lines()
             .join(products, "product_id", "left")
             .select(
                 F.col("line_key").alias("id"),
@@ -293,7 +318,9 @@ class Testbed:
         key, user = F.col("event_id"), F.col("user_id")
         days = self._read("events").withColumn("day", F.to_date("ts"))
         keys, order = ["user_id", "day"], ["ts", "event_id"]
-        slices = self.store.table("import/event_slices", lambda: sliced(days, keys, order))
+        slices = self.store.table(
+            "import/event_slices", lambda: sliced(days, keys, order), self._state("events")
+        )
         steps = numbered(slices, keys, order)
         kind = F.col("event_type")
         return steps.select(
@@ -331,15 +358,15 @@ _opening = threading.Lock()
 def warehouse_over(store: Store, folder: str) -> Warehouse:
     """The tables in ``folder`` as a warehouse."""
     load = Testbed(store, folder)
-    return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place)
+    return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place, load.states)
 
 
 def open_testbed(spark: SparkSession, folder: str) -> Warehouse:
     """The warehouse over the test tables in ``folder``, one per session and file state."""
     application = spark.sparkContext.applicationId
     with _opening:
-        paths = [f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES]
-        key = (application, folder, fingerprint(spark, paths))
+        paths = {table: f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES}
+        key = (application, folder, digest(*sorted(fingerprints(spark, paths).items())))
         if key not in _open:
-            _open[key] = warehouse_over(own_store(spark, None, key[2]), folder)
+            _open[key] = warehouse_over(own_store(spark, None, paths.values()), folder)
     return _open[key]

@@ -10,18 +10,20 @@ needs it.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import tempfile
 import threading
 import uuid
 from collections import defaultdict
-from collections.abc import Callable, Collection
+from collections.abc import Callable, Collection, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from haberdash.operators.keys import assert_keys
 from haberdash.operators.numbering import sliced
-from haberdash.plans import cleaned, customers, funnel, model, reporting, sales
+from haberdash.plans import cleaned, customers, funnel, logistics, model, products, reporting, sales
 from haberdash.sources import files
 from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
 
@@ -32,7 +34,8 @@ WRITERS = 4
 # Complete versions of a stored table that are kept.
 KEPT = 2
 # Raised whenever stored tables change their form or meaning.
-FORMAT = 2
+FORMAT = 3
+NO_STATE = "0"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -51,21 +54,33 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="haberdash-")
 
 
+@dataclass(frozen=True)
+class Held:
+    """A stored table as this session reads it."""
+
+    state: str
+    epoch: int
+    path: str
+    frame: DataFrame
+
+
 class Store:
     """Parquet tables under one root, in versions that outlive the session.
 
-    A version is complete once it holds the writer's ``_SUCCESS`` mark. The newest
-    complete one is read, by any session on the same root; writing makes a new one and
-    never touches another, and then all but the newest ``KEPT`` complete ones go, so a
-    reader of the version before is not disturbed. The root stands for one state of the
-    input and of this package: another state has another root.
+    A version is complete once it holds the writer's ``_SUCCESS`` mark, and its name says
+    from which state of the input it was built. A table is read in its newest complete
+    version of the wanted state, by any session on the same root; without one a new
+    version is written, no other is touched, and then all but the newest ``KEPT`` complete
+    ones go, so a reader of the version before is not disturbed. A catalog table that
+    stands for a stored one is pointed to each new version before an old one goes.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = root
-        self._written: dict[str, DataFrame] = {}
-        self._dropped: set[str] = set()
+        self._written: dict[str, Held] = {}
+        self._dropped: dict[str, int] = {}
+        self._epoch = 0
         self._locks: defaultdict[str, threading.Lock] = defaultdict(threading.Lock)
         self._lock = threading.Lock()
 
@@ -84,18 +99,23 @@ class Store:
         found = sorted(f.getPath().getName() for f in system.listStatus(folder) if f.isDirectory())
         return [v for v in found if system.exists(path(f"{self.root}/{name}/{v}/_SUCCESS"))]
 
-    def _write(self, name: str, frame: DataFrame) -> str:
+    def versions(self, name: str) -> list[str]:
+        """Paths of the complete versions of a table, oldest first."""
+        return [f"{self.root}/{name}/{v}" for v in self._complete(name)]
+
+    def _write(self, name: str, frame: DataFrame, state: str) -> str:
         before = self._complete(name)
         number = int(before[-1][1:9]) + 1 if before else 1
-        version = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+        version = f"v{number:08d}-{state or NO_STATE}-{uuid.uuid4().hex[:8]}"
         frame.write.parquet(f"{self.root}/{name}/{version}")
+        self._point(name, f"{self.root}/{name}/{version}")
         system, path = self._files()
         for old in self._complete(name)[:-KEPT]:
             system.delete(path(f"{self.root}/{name}/{old}"), True)
         return version
 
-    def table(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The stored table ``name``, written from ``build()`` if there is no version yet.
+    def table(self, name: str, build: Callable[[], DataFrame], state: str = "") -> DataFrame:
+        """The stored table ``name`` of one state of the input, written from ``build()`` if there is none yet.
 
         Different tables may be written at the same time; a second caller of the
         same one waits for the first.
@@ -103,31 +123,77 @@ class Store:
         with self._lock:
             one_writer = self._locks[name]
         with one_writer:
-            if name not in self._written:
-                stale = any(name.startswith(prefix) for prefix in self._dropped)
-                known = [] if stale else self._complete(name)
-                version = known[-1] if known else self._write(name, build())
+            held = self._written.get(name)
+            forgotten = max((e for prefix, e in self._dropped.items() if name.startswith(prefix)), default=0)
+            if held is None or held.state != state or held.epoch < forgotten:
+                stale = forgotten > (held.epoch if held else 0)
+                known = [] if stale else [v for v in self._complete(name) if f"-{state or NO_STATE}-" in v]
+                version = known[-1] if known else self._write(name, build(), state)
+                path = f"{self.root}/{name}/{version}"
                 # Kept as a frame, so its files are listed once.
-                self._written[name] = self.spark.read.parquet(f"{self.root}/{name}/{version}")
-            return self._written[name]
+                held = Held(state, self._epoch, path, self.spark.read.parquet(path))
+                self._written[name] = held
+            return held.frame
 
     def drop(self, prefix: str) -> None:
         """Forget the tables under ``prefix``; next use writes a new version."""
         with self._lock:
-            self._dropped.add(prefix)
-            for name in [n for n in self._written if n.startswith(prefix)]:
-                del self._written[name]
+            self._epoch += 1
+            self._dropped[prefix] = self._epoch
 
     def stored(self, layer: str) -> list[str]:
         """Sorted names of the tables of ``layer`` that this session has read or written."""
         head = f"{layer}/"
         return sorted(n[len(head) :] for n in self._written if n.startswith(head))
 
+    # -- catalog ----------------------------------------------------------------
+
+    def _location(self, entry: str) -> str | None:
+        """Where a catalog table lies, or None without one."""
+        if not self.spark.catalog.tableExists(entry):
+            return None
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {entry}").where("col_name = 'Location'").first()
+        return described["data_type"] if described else ""
+
+    def published(self, name: str) -> bool:
+        """Whether the catalog has a table for a version of the stored table ``name``."""
+        entry = catalog_entry(name)
+        return bool(entry) and f"{self.root}/{name}/" in (self._location(entry) or "")
+
+    def _point(self, name: str, path: str) -> None:
+        if self.published(name):
+            self.spark.sql(f"ALTER TABLE {catalog_entry(name)} SET LOCATION '{path}'")
+            self.spark.catalog.refreshTable(catalog_entry(name))
+
+    def publish(self, name: str) -> None:
+        """Enter a table that this session holds in the catalog, or point its entry to the held version."""
+        entry, held = catalog_entry(name), self._written[name]
+        location = self._location(entry)
+        if location is not None and location.rstrip("/").endswith(held.path.split("://")[-1].lstrip("/")):
+            return
+        if location is not None and self.spark.table(entry).schema == held.frame.schema:
+            self.spark.sql(f"ALTER TABLE {entry} SET LOCATION '{held.path}'")
+            self.spark.catalog.refreshTable(entry)
+            return
+        self.spark.sql(f"DROP TABLE IF EXISTS {entry}")
+        self.spark.catalog.createTable(entry, path=held.path, source="parquet", schema=held.frame.schema)
+
+
+def catalog_entry(name: str) -> str | None:
+    """The catalog table that stands for a stored one: ``…/<layer>/<relation>`` as ``<layer>.<relation>``."""
+    layer, _, relation = name.rpartition("/")
+    layer = layer.rpartition("/")[2]
+    return f"{layer}.{relation}" if layer in LAYERS else None
 
-def own_store(spark: SparkSession, root: str | None, state: str) -> Store:
-    """The store of one state of the input files, under ``root`` or the shared folder."""
+
+def digest(*parts: object) -> str:
+    return hashlib.sha1(repr(parts).encode()).hexdigest()[:16]
+
+
+def own_store(spark: SparkSession, root: str | None, paths: Iterable[str]) -> Store:
+    """The store of the input at ``paths``, under ``root`` or the shared folder."""
     base = root or f"{shared_folder(spark)}/haberdash"
-    return Store(spark, f"{base}/format-{FORMAT}/{state}")
+    return Store(spark, f"{base}/format-{FORMAT}/{digest(*sorted(paths))}")
 
 
 class Warehouse:
@@ -136,7 +202,9 @@ class Warehouse:
     ``load`` maps a relation name to the raw DataFrame to import; the relations
     in ``in_place`` already lie in a columnar form and are read without a copy.
     The cutoffs leave out the last, incomplete period of orders and stock, and
-    of events.
+    of events. ``states`` lists the state of the files behind each relation; a stored
+    table belongs to the states of the relations it is made of, so files that change
+    cost a new version of that relation and of what depends on it, and nothing else.
     """
 
     def __init__(
@@ -146,6 +214,7 @@ class Warehouse:
         sales_cutoff: dt.date,
         event_cutoff: dt.date,
         in_place: Collection[str] = (),
+        states: Callable[[], Mapping[str, str]] = dict,
     ) -> None:
         self.store = store
         self.spark = store.spark
@@ -153,6 +222,8 @@ class Warehouse:
         self.event_cutoff = event_cutoff
         self._load = load
         self._in_place = frozenset(in_place)
+        self._list_states = states
+        self._states = dict(states())
         self._read: dict[str, DataFrame] = {}
         self._exported: set[str] = set()
         self._exporting = threading.Lock()
@@ -171,12 +242,13 @@ class Warehouse:
         ``root`` is where the stored layers go, by default a folder under the shared
         one. A later session on the same files and root finds them there.
         """
-        paths = [f"{folder}/{name}.csv" for name in SOURCE_SCHEMAS]
+        paths = {name: f"{folder}/{name}.csv" for name in SOURCE_SCHEMAS}
         return cls(
-            own_store(spark, root, files.fingerprint(spark, paths)),
-            lambda name: files.read_csv(spark, name, f"{folder}/{name}.csv"),
+            own_store(spark, root, paths.values()),
+            lambda name: files.read_csv(spark, name, paths[name]),
             sales_cutoff,
             event_cutoff,
+            states=lambda: files.fingerprints(spark, paths),
         )
 
     @classmethod
@@ -189,23 +261,29 @@ class Warehouse:
         root: str | None = None,
     ) -> Warehouse:
         """Read ``folder/<relation>.parquet`` for each of the seven relations, in place."""
-        paths = [f"{folder}/{name}.parquet" for name in SOURCE_SCHEMAS]
+        paths = {name: f"{folder}/{name}.parquet" for name in SOURCE_SCHEMAS}
         return cls(
-            own_store(spark, root, files.fingerprint(spark, paths)),
-            lambda name: files.read_parquet(spark, name, f"{folder}/{name}.parquet"),
+            own_store(spark, root, paths.values()),
+            lambda name: files.read_parquet(spark, name, paths[name]),
             sales_cutoff,
             event_cutoff,
             in_place=SOURCE_SCHEMAS,
+            states=lambda: files.fingerprints(spark, paths),
         )
 
     # -- layers ---------------------------------------------------------------
 
+    def _state(self, sources: Iterable[str]) -> str:
+        """The state of the files behind some source relations."""
+        known = [(name, self._states[name]) for name in sorted(set(sources)) if name in self._states]
+        return digest(*known) if known else ""
+
     def source(self, name: str) -> DataFrame:
         if name in self._in_place:
             if name not in self._read:
                 self._read[name] = self._load(name)
             return self._read[name]
-        return self.store.table(f"src/{name}", lambda: self._load(name))
+        return self.store.table(f"src/{name}", lambda: self._load(name), self._state([name]))
 
     def cleaned(self, name: str) -> DataFrame:
         return cleaned.VIEWS[name](self.source(name))
@@ -213,47 +291,61 @@ class Warehouse:
     def model(self, name: str) -> DataFrame:
         needs, build = model.TABLES[name]
         return self.store.table(
-            f"analytics/{name}", lambda: build(*(self.cleaned(n) for n in needs))
+            f"analytics/{name}", lambda: build(*(self.cleaned(n) for n in needs)), self._state(needs)
         )
 
+    def input(self, name: str) -> DataFrame:
+        """A table that reports read: of the star schema, or a working table."""
+        return self.model(name) if name in model.TABLES else self.working(name)
+
     def report(self, name: str) -> DataFrame:
         needs, build = reporting.VIEWS[name]
         cutoff = self.event_cutoff if name == "session_funnel" else self.sales_cutoff
-        return build(*(self.model(n) for n in needs), cutoff)
+        return build(*(self.input(n) for n in needs), cutoff)
 
     def reimported(self, name: str) -> DataFrame:
         """A source relation after a trip through CSV: exported, then imported."""
-        path = f"{self.store.root}/export/{name}.csv"
+        path = f"{self.store.root}/export/{self._state([name]) or NO_STATE}/{name}.csv"
         with self._exporting:
-            if name not in self._exported:
+            if path not in self._exported:
                 files.write_csv(self.source(name), path)
-                self._exported.add(name)
+                self._exported.add(path)
         return files.read_csv(self.spark, name, path)
 
-    def session_flags(self) -> DataFrame:
-        """The funnel's working table, kept because six reports read it."""
-        return self.keep(
-            "session_flags",
-            lambda: funnel.session_flags(self.model("fact_events"), self.event_cutoff),
-        )
-
-    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A working table of the reports, stored until the model is built again."""
-        return self.store.table(f"{self._work()}/{name}", build)
+    @staticmethod
+    def _sources_of(tables: Iterable[str]) -> set[str]:
+        """Source relations behind model and working tables."""
+        models = {m for t in tables for m in (WORKING[t][0] if t in WORKING else (t,))}
+        return {source for m in models for source in model.TABLES[m][0]}
+
+    def keep(
+        self, name: str, build: Callable[[], DataFrame], tables: Collection[str] = ()
+    ) -> DataFrame:
+        """A table made of model ``tables`` (by default all), stored until their sources change or the model is built again."""
+        return self._keep(name, build, self._sources_of(tables or model.TABLES))
+
+    def _keep(self, name: str, build: Callable[[], DataFrame], sources: Iterable[str]) -> DataFrame:
+        return self.store.table(f"{self._work()}/{name}", build, self._state(sources))
+
+    def keeper(self, *tables: str) -> Callable[[str, Callable[[], DataFrame]], DataFrame]:
+        """``keep`` for what is made of ``tables``."""
+        return lambda name, build: self.keep(name, build, tables)
+
+    def working(self, name: str) -> DataFrame:
+        """A working table that several reports read."""
+        needs, build, dated = WORKING[name]
+        cutoff = self.event_cutoff if dated == "events" else self.sales_cutoff
+        return self.keep(name, lambda: build(*(self.model(n) for n in needs), cutoff), needs)
 
     def _work(self) -> str:
         """Working tables depend on the cutoffs."""
         return f"work/{self.sales_cutoff}-{self.event_cutoff}"
 
+    def session_flags(self) -> DataFrame:
+        return self.working("session_flags")
+
     def customer_orders(self) -> DataFrame:
-        """Valid sales per customer and order, in slices of each customer's time."""
-        return self.keep(
-            "customer_orders",
-            lambda: sliced(
-                sales.customer_orders(self.model("fact_order_items"), self.sales_cutoff),
-                *customers.ORDER_OF_PURCHASES,
-            ),
-        )
+        return self.working("customer_orders")
 
     def drop_session_flags(self) -> None:
         self.store.drop(f"{self._work()}/session_flags")
@@ -307,6 +399,23 @@ class Warehouse:
         self.store.drop("analytics/")
         self.store.drop("work/")
         self.build_model()
+        self._republish()
+
+    def update(self) -> list[str]:
+        """Look at the input files again and rebuild what depends on changed ones.
+
+        Returns the relations whose files changed. Their import, the model tables made of
+        them and the catalog's tables get new versions; all others are kept.
+        """
+        before, self._states = self._states, dict(self._list_states())
+        changed = sorted(n for n in self.names("src") if before.get(n) != self._states.get(n))
+        for name in changed:
+            self._read.pop(name, None)
+        self.build_model()
+        self._republish()
+        return changed
+
+    # -- catalog ------------------------------------------------------------------
 
     def create_layers(self) -> None:
         """Make one catalog database per layer, at a path under the store."""
@@ -315,27 +424,79 @@ class Warehouse:
                 f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{self.store.root}/catalog/{layer}'"
             )
 
-    def register_tables(self) -> None:
-        """Enter all four layers in the catalog as ``<layer>.<name>``.
+    def _entered(self, layer: str, name: str) -> str:
+        """Store the current version of a relation; its name in the store."""
+        self._stored_relation(layer, name)
+        return f"{layer}/{name}" if layer in ("src", "analytics") else f"{self._work()}/{layer}/{name}"
+
+    def _stored_relation(self, layer: str, name: str) -> DataFrame:
+        if layer in ("src", "analytics"):
+            return self.relation(layer, name)
+        sources = [name] if layer == "cleaned" else self._sources_of(reporting.VIEWS[name][0])
+        return self._keep(f"{layer}/{name}", lambda: self.relation(layer, name), sources)
+
+    def _is_view(self, layer: str, name: str) -> bool:
+        """Whether a relation is only looked at: cleaned ones, and sources that lie elsewhere."""
+        return layer == "cleaned" or layer == "src" and name in self._in_place
+
+    def register_tables(self, layers: Iterable[str] = LAYERS) -> None:
+        """Enter layers in the catalog as ``<layer>.<name>``, at their current versions.
 
         Relations that are not stored yet, views and reports as they stand at the cutoffs,
         are written first; sources read in place are entered by ``register_views`` only.
+        Later builds and updates move the entries on.
         """
         self.create_layers()
-        for layer in LAYERS:
+        for layer in layers:
             for name in self.names(layer):
-                if layer == "src" and name in self._in_place:
-                    continue
-                if layer in ("src", "analytics"):
-                    frame = self.relation(layer, name)
-                else:
-                    frame = self.keep(f"{layer}/{name}", lambda: self.relation(layer, name))
-                path = frame.inputFiles()[0].rsplit("/", 1)[0]
-                self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-                self.spark.catalog.createTable(f"{layer}.{name}", path=path, source="parquet")
-
-    def register_views(self) -> None:
-        """Expose all four layers to ``spark.sql`` as ``<layer>_<name>`` views."""
+                if not (layer == "src" and name in self._in_place):
+                    self.store.publish(self._entered(layer, name))
+
+    def _republish(self) -> None:
+        """Bring catalog tables of lazy layers up to date; those of stored layers moved when written."""
         for layer in LAYERS:
             for name in self.names(layer):
+                if not (layer == "src" and name in self._in_place):
+                    stored = f"{self._work()}/{layer}/{name}" if layer in ("cleaned", "reporting") else f"{layer}/{name}"
+                    if self.store.published(stored):
+                        self.store.publish(self._entered(layer, name))
+
+    def register_views(self, layers: Iterable[str] = LAYERS) -> None:
+        """Expose layers to ``spark.sql`` as ``<layer>_<name>`` views."""
+        for layer in layers:
+            for name in self.names(layer):
+                self.relation(layer, name).createOrReplaceTempView(f"{layer}_{name}")
+
+    def listed(self, layer: str) -> dict[str, DataFrame]:
+        """The relations that the catalog lists for a layer, after entering this warehouse's.
+
+        Stored relations and reports are tables of the layer's database, views are views.
+        """
+        self.create_layers()
+        for name in self.names(layer):
+            if self._is_view(layer, name):
                 self.relation(layer, name).createOrReplaceTempView(f"{layer}_{name}")
+            else:
+                self.store.publish(self._entered(layer, name))
+        views = self.spark.sql(f"SHOW VIEWS LIKE '{layer}_*'").where("isTemporary")
+        found = {v["viewName"].removeprefix(f"{layer}_"): v["viewName"] for v in views.collect()}
+        tables = self.spark.sql(f"SHOW TABLES IN {layer}").where("NOT isTemporary")
+        found |= {t["tableName"]: f"{layer}.{t['tableName']}" for t in tables.collect()}
+        return {name: self.spark.table(found[name]) for name in sorted(found)}
+
+
+# Working table -> model tables it is made of, builder (tables..., cutoff), whose cutoff.
+WORKING: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame], str]] = {
+    # The funnel's flags, which six reports read.
+    "session_flags": (("fact_events",), funnel.session_flags, "events"),
+    # Valid sales per customer and order, in slices of each customer's time.
+    "customer_orders": (
+        ("fact_order_items",),
+        lambda items, cutoff: sliced(sales.customer_orders(items, cutoff), *customers.ORDER_OF_PURCHASES),
+        "sales",
+    ),
+    # What each center handled of each order.
+    "center_orders": (("fact_order_items",), logistics.center_orders, "sales"),
+    # Items of all outcomes per product.
+    "product_items": (("fact_order_items",), products.product_items, "sales"),
+}

@@ -81,7 +81,7 @@ def test_dense_ranks_and_totals_equal_plain_window(crowded, keep):
             "whole": F.sum("amount").over(inside),
         }
     )
-    ranked = dense_ranks(crowded, "key", {"amount": "place"}, keep)
+    ranked = dense_ranks(crowded, "key", {"amount": "place"}, "places", keep)
     found = group_totals(ranked, "key", "amount", "whole").select(expected.columns)
     assert found.exceptAll(expected).isEmpty()
     assert expected.exceptAll(found).isEmpty()

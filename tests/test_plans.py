@@ -9,8 +9,10 @@ import pytest
 from haberdash.plans import model
 from haberdash.registry import QUERIES
 
-# Windows without a partition run over one row per month, year or flag value.
-TINY_WINDOWS = {"monthly_trend", "yoy_growth", "headline_sales", "flagged_revenue_share"}
+# Windows without a partition run over one row per month, year, category or flag value.
+TINY_WINDOWS = {
+    "monthly_trend", "yoy_growth", "headline_sales", "flagged_revenue_share", "category_vs_average_margin",
+}
 
 
 def physical(frame) -> str:
@@ -116,4 +118,33 @@ def test_child_rows_move_once(unhinted, name):
 @pytest.mark.parametrize("name", ["purchase_sequence", "product_rank_in_category"])
 def test_numbering_reads_stored_slices(unhinted, name):
     plan = physical(QUERIES[name](unhinted))
-    assert "fact_order_items" not in plan and plan.count("FileScan") <= 6
+    assert "fact_order_items" not in plan and plan.count("FileScan") <= 3
+    assert plan.count("Exchange ") <= 8
+
+
+def test_references_are_counted_in_one_exchange(unhinted):
+    plan = physical(QUERIES["orphan_census"](unhinted))
+    assert plan.count("FileScan") == 6 and "Join" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+    for name in ("dup_keys", "pk_assert_model"):
+        plan = physical(QUERIES[name](unhinted))
+        assert plan.count("FileScan") == 7
+        # The second and third move a row for each table and task.
+        assert plan.count("Exchange hashpartitioning") == 3
+
+
+@pytest.mark.parametrize(
+    ("name", "scans", "exchanges"),
+    [
+        ("order_fulfilment", 1, 1),
+        ("logistics_by_center", 2, 4),
+        ("distribution_center_performance", 3, 4),
+        ("order_count_trio", 3, 7),
+        ("category_vs_average_margin", 3, 6),
+        ("product_performance", 3, 4),
+    ],
+)
+def test_reports_add_up_stored_grains(unhinted, name, scans, exchanges):
+    plan = physical(QUERIES[name](unhinted))
+    assert "fact_order_items" not in plan and "Subquery" not in plan
+    assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= exchanges

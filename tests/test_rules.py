@@ -137,12 +137,13 @@ def test_stock_bands(spark):
 
 
 def test_repeated_and_missing_keys(spark):
+    from haberdash.operators.keys import assert_keys, duplicate_keys, key_violations
+
     users = relation(spark, "users", {"id": 1}, {"id": 1}, {"id": 2}, {"id": None}, {"id": None})
-    assert only(profiling.repeated_keys({"Users": (users, "id")})) == {
+    assert only(duplicate_keys({"Users": (users, "id")})) == {
         "table_name": "Users",
         "duplicate_keys": 2,
     }
-    from haberdash.operators.keys import assert_keys, key_violations
 
     assert only(key_violations({"users": (users, "id")})) == {
         "table_name": "users",
@@ -417,7 +418,7 @@ def _goods(spark, *rows):
 def test_brandless_products_form_a_group(spark):
     goods = _goods(spark, {"id": 1, "brand": " "}, {"id": 2, "brand": None}, {"id": 3, "brand": "B "})
     items = sold(spark, *({"order": n, "product": n} for n in (1, 2, 3)))
-    brands = values(products.brand_performance(items, goods, CUTOFF), "brand", "total_items")
+    brands = values(products.brand_performance(products.product_items(items, CUTOFF), goods), "brand", "total_items")
     assert brands == [(None, 2), ("B", 1)]
 
 
@@ -430,16 +431,16 @@ def test_ranks_share_places_and_top_lists_break_ties_by_key(spark, tmp_path):
         {"product": 3, "revenue": "0.00", "profit": "0.00"},
     )
     ranks = values(
-        products.rank_in_category(items, goods, CUTOFF, Store(spark, str(tmp_path)).table),
+        products.rank_in_category(products.product_items(items, CUTOFF), goods, Store(spark, str(tmp_path)).table),
         "product_id",
         "revenue_rank_in_category",
         "category_revenue_share_percent",
     )
     assert ranks == [(1, 1, Decimal("50.0000")), (2, 1, Decimal("50.0000")), (3, 2, Decimal("0.0000"))]
-    top = values(products.top_products(items, goods, CUTOFF, rows=2), "product_id")
+    top = values(products.top_products(products.product_items(items, CUTOFF), goods, rows=2), "product_id")
     assert top == [(1,), (2,)]
     thin = values(
-        products.high_revenue_low_margin(items, goods, CUTOFF), "product_id", "gross_margin_percent"
+        products.high_revenue_low_margin(products.product_items(items, CUTOFF), goods), "product_id", "gross_margin_percent"
     )
     assert thin == [(3, None), (1, Decimal("40.00")), (2, Decimal("40.00"))]
 
@@ -451,14 +452,16 @@ def test_rarely_sold_products_are_not_rated_by_returns(spark):
         *({"product": 1, "order": n, "status": "Returned"} for n in range(9)),
         *({"product": 2, "order": n, "status": "Returned" if n else "Complete"} for n in range(10)),
     )
-    rated = values(products.highest_return_rates(items, goods, CUTOFF), "product_id", "return_rate_percent")
+    rated = values(products.highest_return_rates(products.product_items(items, CUTOFF), goods), "product_id", "return_rate_percent")
     assert rated == [(2, Decimal("90.00"))]
 
 
 def test_product_without_sales_or_stock_is_reported_with_labels_and_zeros(spark):
     goods = _goods(spark, {"id": 1, "retail_price": 9.5})
     stock = built("fact_inventory", clean("inventory_items", relation(spark, "inventory_items")))
-    row = only(products.product_performance(goods, sold(spark, {"product": 2}), stock, CUTOFF))
+    row = only(products.product_performance(
+        goods, products.product_items(sold(spark, {"product": 2}), CUTOFF), stock, CUTOFF
+    ))
     assert row["product_name"] == "Unknown product" and row["brand"] == "Unknown brand"
     assert row["category"] == "Unknown category" and row["department"] == "Unknown department"
     assert row["ordered_items"] == row["unsold_items"] == 0
@@ -469,7 +472,9 @@ def test_product_without_sales_or_stock_is_reported_with_labels_and_zeros(spark)
 def test_status_less_items_are_ordered_but_not_valid(spark):
     stock = built("fact_inventory", clean("inventory_items", relation(spark, "inventory_items")))
     items = sold(spark, {"status": None}, {"status": "Complete"}, {"status": "Cancelled"})
-    row = only(products.product_performance(_goods(spark, {"id": 1}), items, stock, CUTOFF))
+    row = only(products.product_performance(
+        _goods(spark, {"id": 1}), products.product_items(items, CUTOFF), stock, CUTOFF
+    ))
     assert (row["ordered_items"], row["valid_items"], row["cancelled_items"]) == (3, 1, 1)
     assert row["cancellation_rate_percent"] == Decimal("33.33")
 
@@ -587,11 +592,11 @@ def test_items_of_one_order_are_one_assignment(spark):
         {"order": 2, "center": 1, "ship": 1},
     )
     centers = _centers(spark, {"id": 1, "name": "East"}, {"id": 2, "name": "East "}, {"id": 3, "name": "West"})
-    row = only(logistics.logistics_by_center(items, centers, CUTOFF))
+    row = only(logistics.logistics_by_center(logistics.center_orders(items, CUTOFF), centers))
     assert row["orders_handled"] == 3
     assert row["average_days_to_ship"] == Decimal("1.666667")
     assert row["return_rate_percent"] == Decimal("33.33")
-    fulfilment = logistics.order_fulfilment(items, CUTOFF).orderBy("order_id")
+    fulfilment = logistics.order_fulfilment(logistics.center_orders(items, CUTOFF)).orderBy("order_id")
     assert values(fulfilment, "order_id", "distribution_center_count", "returned_flag") == [
         (1, 2, 1),
         (2, 1, 0),
@@ -600,7 +605,9 @@ def test_items_of_one_order_are_one_assignment(spark):
 
 def test_center_without_orders_or_stock(spark):
     centers = _centers(spark, {"id": 7, "name": "West"})
-    row = only(logistics.center_performance(centers, sold(spark, {}), _stock(spark), CUTOFF))
+    row = only(logistics.center_performance(
+        centers, logistics.center_orders(sold(spark, {}), CUTOFF), _stock(spark), CUTOFF
+    ))
     assert row["orders_handled"] == row["total_inventory_items"] == 0
     assert row["net_revenue"] == Decimal("0.00")
     assert row["average_days_to_ship"] is None and row["return_rate_percent"] is None

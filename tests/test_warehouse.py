@@ -177,6 +177,81 @@ def test_catalog(spark, imported):
         spark.sql(f"DROP DATABASE {layer} CASCADE")
 
 
+def _catalog(spark, entry):
+    return spark.sql(f"SELECT * FROM {entry}").count()
+
+
+@pytest.fixture
+def dropped(spark):
+    yield
+    for layer in LAYERS:
+        spark.sql(f"DROP DATABASE IF EXISTS {layer} CASCADE")
+
+
+def test_catalog_tables_outlive_rebuilds(spark, imported, dropped):
+    imported.register_tables()
+    first = imported.store._location("analytics.fact_orders")
+    for _ in range(3):
+        imported.rebuild_model()
+        for layer in LAYERS:
+            for name in imported.names(layer):
+                _catalog(spark, f"{layer}.{name}")
+    assert _catalog(spark, "analytics.fact_orders") == 1
+    assert imported.store._location("analytics.fact_orders") != first
+    assert first.rpartition("/")[2] not in [v.rpartition("/")[2] for v in imported.store.versions("analytics/fact_orders")]
+
+
+def test_another_session_moves_the_catalog_on(spark, folder, tmp_path, imported, dropped):
+    imported.register_tables(["analytics"])
+    other = Warehouse.from_csv(spark.newSession(), folder, CUTOFF, CUTOFF, root=f"{tmp_path}/out")
+    for _ in range(3):
+        other.rebuild_model()
+    spark.catalog.refreshTable("analytics.fact_orders")
+    assert _catalog(spark, "analytics.fact_orders") == 1
+
+
+def _versions(warehouse):
+    return {
+        f"{layer}/{name}": len(warehouse.store.versions(f"{layer}/{name}"))
+        for layer in ("src", "analytics")
+        for name in warehouse.names(layer)
+    }
+
+
+def test_update_writes_only_what_depends_on_changed_files(spark, folder, imported, dropped):
+    imported.register_tables()
+    imported.session_flags()
+    assert set(_versions(imported).values()) == {1}
+    assert imported.update() == []
+    assert set(_versions(imported).values()) == {1}
+    more = [{"id": n, "session_id": "s", "created_at": at("2023-01-01"), "event_type": "cart"} for n in (1, 2)]
+    files.write_csv(relation(spark, "events", *more), f"{folder}/events.csv")
+    assert imported.update() == ["events"]
+    written = {name for name, n in _versions(imported).items() if n == 2}
+    assert written == {"src/events", "analytics/fact_events"}
+    assert imported.model("fact_events").count() == _catalog(spark, "analytics.fact_events") == 2
+    assert _catalog(spark, "cleaned.events") == 2
+    assert imported.session_flags().first().cart_flag == 1
+    assert spark.sql("SELECT max(cart_flag) AS n FROM reporting.session_funnel").first().n == 1
+
+
+def test_a_later_session_reuses_all_but_changed_relations(spark, folder, tmp_path, imported):
+    imported.build_model()
+    files.write_csv(relation(spark, "users", {"id": 5}), f"{folder}/users.csv")
+    later = Warehouse.from_csv(spark, folder, CUTOFF, CUTOFF, root=f"{tmp_path}/out")
+    later.build_model()
+    assert {n for n, count in _versions(later).items() if count == 2} == {"src/users", "analytics/dim_customer"}
+    assert later.model("dim_customer").first().customer_id == 5
+
+
+def test_listings_come_from_the_catalog(spark, imported, dropped):
+    listed = {layer: list(imported.listed(layer)) for layer in LAYERS}
+    assert listed == {layer: imported.names(layer) for layer in LAYERS}
+    spark.range(4).write.saveAsTable("analytics.more")
+    assert imported.listed("analytics")["more"].count() == 4
+    assert {d.name for d in spark.catalog.listDatabases()} >= set(LAYERS)
+
+
 def test_names():
     assert Warehouse.names("src") == sorted(SOURCE_SCHEMAS)
     assert Warehouse.names("analytics") == sorted(MODEL_KEYS)
