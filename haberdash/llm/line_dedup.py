@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment: common blocks go from the later document.
 
-A passage may lie inside a long line, so texts are cut into lines both at line breaks
-and after words chosen by a hash of the words around them: the same passage is cut
-alike wherever it stands.
+A passage may lie inside a long line, and copies are often wrapped anew, so texts are cut
+into lines after words chosen by a hash of that word and the next, not at line breaks:
+the same passage is cut alike wherever it stands, but for its two ends.
 
 1.  Anchors. Of the hashes of all runs of so many words, each document gives the
     smallest of every ``STRETCH`` runs in a row, with runs just so long that two
@@ -18,9 +18,10 @@ alike wherever it stands.
     in the same order are fixed, and from them common words are followed both ways.
     Blocks of at least ``MIN_WORDS`` words are deleted from the document with the larger
     id. Lines left over are aligned again until nothing more is found, which finds
-    blocks that moved. Lines that repeat and blocks without a whole line are found last,
-    by runs of ``MIN_WORDS`` words: whatever stands in the earlier text goes from the
-    later one, wherever and however often either holds it.
+    blocks that moved. That decides all words near a line that occurs once in both, or
+    in the later text only. What is left, repeated lines and blocks without a whole line,
+    is looked up by runs of ``MIN_WORDS`` words: whatever stands in the earlier text goes
+    from the later one, wherever and however often either holds it.
 4.  Deletion. The word ranges of a document's pairs are cut from its text, with the white
     space after each word. A document that loses all its words stays, with an empty text.
 
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +78,7 @@ def _anchor_words(min_words: int) -> int:
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
-    """32-bit word hashes with a lowest bit of 0."""
-    return (hashes >> _U(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+    return (hashes >> _U(32)).astype(np.uint32)
 
 
 def _anchorer(min_words: int):
@@ -100,14 +101,11 @@ def _anchorer(min_words: int):
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as 32-bit word hashes; the lowest bit marks the last word of a line."""
+    """Texts as 32-bit word hashes."""
     for batch in batches:
         for row, last, data, offsets in slices(batch.column(1)):
             words = split_words(data, offsets)
-            breaks = np.concatenate([[0], np.cumsum(data == 10)])
-            after = np.append(words.start[1:], len(data))
-            ends = (breaks[after] > breaks[words.end]).astype(np.uint32)
-            short = _short(words.hash) | ends
+            short = _short(words.hash)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(row, last - row).cast(pa.int64()),
@@ -121,11 +119,9 @@ def lines_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word (and the end) and hash of each line."""
     if not len(words):
         return np.zeros(1, np.int64), np.zeros(0, _U)
-    plain = (words & np.uint32(0xFFFFFFFE)).astype(_U)
-    pair = mix(plain * _U(0x9E3779B97F4A7C15) + np.append(plain[1:], _U(0)))
-    end = (pair % _U(LINE_WORDS) == 0) | (words & np.uint32(1)).astype(bool)
-    end[-1] = True
-    start = np.concatenate([[0], np.flatnonzero(end) + 1])
+    plain = words.astype(_U)
+    end = mix(plain[:-1] * _U(0x9E3779B97F4A7C15) + plain[1:]) % _U(LINE_WORDS) == 0
+    start = np.concatenate([[0], np.flatnonzero(end) + 1, [len(words)]])
     inside = np.arange(len(words)) - np.repeat(start[:-1], np.diff(start))
     mixed = mix(plain + (inside.astype(_U) << _U(32)))
     return start, mix(np.add.reduceat(mixed, start[:-1]))
@@ -165,24 +161,22 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _same_run(a: np.ndarray, b: np.ndarray, i: int, j: int, free_a: np.ndarray, free_b: np.ndarray) -> tuple[int, int]:
-    """How many words before and from (i, j) on are equal and free."""
-
-    def count(x: np.ndarray, y: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> int:
-        n = min(len(x), len(y))
-        wrong = np.flatnonzero((x[:n] != y[:n]) | ~fx[:n] | ~fy[:n])
-        return int(wrong[0]) if len(wrong) else n
-
-    ahead = count(a[i:], b[j:], free_a[i:], free_b[j:])
-    behind = count(a[:i][::-1], b[:j][::-1], free_a[:i][::-1], free_b[:j][::-1])
-    return behind, ahead
+def _equal_words(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words are equal before the first that differ."""
+    n, at, step = min(len(x), len(y)), 0, 64
+    while at < n:
+        differs = x[at : at + step][: n - at] != y[at : at + step][: n - at]
+        if differs.any():
+            return at + int(differs.argmax())
+        at, step = at + step, 4 * step
+    return n
 
 
 def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the run of ``size`` words from each place; line ends do not count."""
+    """Hash of the run of ``size`` words from each place."""
     if len(words) < size:
         return np.zeros(0, _U)
-    plain = mix((words & np.uint32(0xFFFFFFFE)).astype(_U))
+    plain = mix(words.astype(_U))
     return run_hash(plain, np.arange(len(words) - size + 1), size)
 
 
@@ -194,75 +188,129 @@ def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _shared_runs(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-    """First words of the runs of ``size`` words of ``b`` that ``a`` holds too."""
-    if min(len(a), len(b)) < size:
-        return np.zeros(0, np.int64)
-    known, at = np.unique(_run_hashes(a, size), return_index=True)
-    hashes = _run_hashes(b, size)
-    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    left = np.flatnonzero(known[place] == hashes)
-    place = at[place[left]]
-    for k in range(size if len(left) else 0):
-        equal = a[place + k] == b[left + k]
-        left, place = left[equal], place[equal]
-    return left
-
-
 def _ranges(marked: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], marked.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
+class Early:
+    """The earlier text of a pair; what is known of it serves all its later texts."""
+
+    def __init__(self, words: np.ndarray, min_words: int) -> None:
+        self.words = words
+        self.size = min_words
+        self.start, self.lines = lines_of(words)
+        self.known, self.times = np.unique(self.lines, return_counts=True)
+
+    def times_of(self, lines: np.ndarray) -> np.ndarray:
+        """How often lines occur."""
+        if not len(self.known):
+            return np.zeros(len(lines), np.int64)
+        at = np.minimum(np.searchsorted(self.known, lines), len(self.known) - 1)
+        return np.where(self.known[at] == lines, self.times[at], 0)
+
+    @cached_property
+    def _runs(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(_run_hashes(self.words, self.size), return_index=True)
+
+    def held_runs(self, late: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Those of the ``wanted`` places of ``late`` whose runs stand here too."""
+        if not len(wanted) or len(self.words) < self.size:
+            return np.zeros(0, np.int64)
+        known, at = self._runs
+        hashes = _run_hashes(late, self.size)[wanted]
+        place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        held = known[place] == hashes
+        left, place = wanted[held], at[place[held]]
+        for k in range(self.size if len(left) else 0):
+            equal = self.words[place + k] == late[left + k]
+            left, place = left[equal], place[equal]
+        return left
+
+
 def common_blocks(early: np.ndarray, late: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Word ranges of ``late`` that are aligned with blocks of ``early``."""
-    return _alignment(early, late, min_words)[0]
+    return _alignment(Early(early, min_words), late)[0]
 
 
-def _alignment(
-    early: np.ndarray, late: np.ndarray, min_words: int
-) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _alignment(early: Early, late: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Word ranges of ``late`` to delete, and ranges of the first words of the runs that ``early`` holds.
 
     Blocks of different places in ``early`` may touch in ``late``; a run across both is not one of ``early``.
     """
-    a, b = early & np.uint32(0xFFFFFFFE), late & np.uint32(0xFFFFFFFE)
-    shared = _shared_runs(a, b, min_words)
-    if not len(shared):
+    size = early.size
+    if min(len(early.words), len(late)) < size:
         return [], []
-    start_a, lines_a = lines_of(early)
-    start_b, lines_b = lines_of(late)
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    gone = np.zeros(len(b), bool)
-    open_a, open_b = np.arange(len(lines_a)), np.arange(len(lines_b))
+    start, lines = lines_of(late)
+    blocks = _aligned_blocks(early, late, start, lines)
+    held = np.zeros(len(late) + 1, np.int64)
+    for first, last in blocks:
+        if last - first >= size:
+            held[first] += 1
+            held[last - size + 1] -= 1
+    held = np.cumsum(held) > 0
+    held[early.held_runs(late, _undecided(early, late, start, lines))] = True
+    starts = np.flatnonzero(held)
+    return _ranges(_covered(starts, size, len(late))), _ranges(held[:-1])
+
+
+def _aligned_blocks(early: Early, late: np.ndarray, start: np.ndarray, lines: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges of ``late`` around lines that patience fixes, as far as words go on alike."""
+    open_a, open_b = np.arange(len(early.lines)), np.arange(len(lines))
+    blocks, reached = [], {}
     while len(open_a) and len(open_b):
-        progress = False
-        for i, j in patience(lines_a[open_a], lines_b[open_b]):
-            i, j = int(start_a[open_a[i]]), int(start_b[open_b[j]])
-            if not (free_a[i] and free_b[j]):
-                continue
-            behind, ahead = _same_run(a, b, i, j, free_a, free_b)
-            if not ahead:
-                continue
-            progress = True
-            free_a[i - behind : i + ahead] = False
-            free_b[j - behind : j + ahead] = False
-            if behind + ahead >= min_words:
-                gone[j - behind : j + ahead] = True
-        if not progress:
+        chain = patience(early.lines[open_a], lines[open_b])
+        if not chain:
             break
-        open_a = open_a[free_a[start_a[open_a]]]
-        open_b = open_b[free_b[start_b[open_b]]]
-    gone |= _covered(shared, min_words, len(b))
-    return _ranges(gone), _ranges(_covered(shared, 1, len(b)))
+        for line_a, line_b in chain:
+            i, j = int(early.start[open_a[line_a]]), int(start[open_b[line_b]])
+            if reached.get(i - j, -1) > j:
+                # Inside a block found from an earlier line.
+                continue
+            ahead = _equal_words(early.words[i:], late[j:])
+            behind = _equal_words(early.words[:i][::-1], late[:j][::-1])
+            reached[i - j] = j + ahead
+            blocks.append((j - behind, j + ahead))
+        taken_a, taken_b = (np.array(t) for t in zip(*chain))
+        open_a, open_b = np.delete(open_a, taken_a), np.delete(open_b, taken_b)
+        # What is open in one text only cannot be fixed.
+        open_a = open_a[np.isin(early.lines[open_a], lines[open_b])]
+        open_b = open_b[np.isin(lines[open_b], early.lines[open_a])]
+    return blocks
+
+
+def _undecided(early: Early, late: np.ndarray, start: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """First words of the runs of ``late`` without a whole line that tells where they may stand in ``early``.
+
+    A run's inner lines are cut alike in both texts. One that ``early`` lacks excludes the
+    run; one that occurs once in both was fixed by patience, with all words around it.
+    """
+    size = early.size
+    n = len(late) - size + 1
+    _, of, times = np.unique(lines, return_inverse=True, return_counts=True)
+    there = early.times_of(lines)
+    deciding = (there == 0) | ((there == 1) & (times[of] == 1))
+    first, last = start[:-1][deciding], start[1:][deciding]
+    # Inner lines have a word of the run on both sides.
+    low, high = np.maximum(last + 1 - size, 0), np.minimum(first, n)
+    inner = low < high
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, low[inner], 1)
+    np.add.at(step, high[inner], -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) == 0)
 
 
 def _aligner(min_words: int):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, prepared = None, None
         for batch in batches:
             ids, ranges, runs = [], [], []
-            for doc_id, late, early in zip(*(c.to_pylist() for c in batch.columns)):
-                found = _alignment(np.frombuffer(early, np.uint32), np.frombuffer(late, np.uint32), min_words)
+            for doc_id, late, early in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                early = early.as_py()
+                # Later texts of one early text mostly follow each other.
+                if early != known:
+                    known, prepared = early, Early(np.frombuffer(early, np.uint32), min_words)
+                found = _alignment(prepared, np.frombuffer(late.as_py(), np.uint32))
                 if found[0]:
                     ids.append(doc_id)
                     for out, pairs in zip((ranges, runs), found):
@@ -411,8 +459,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, drop_emptied: bool
     return cleaned
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = np.zeros(batch.num_rows, np.int64)
+        for row, last, data, offsets in slices(batch.column(1)):
+            counts[row:last] = np.diff(split_words(data, offsets).bounds)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=["doc_id", "text", "n_words"])
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents after the deletion, and how many words each has kept."""
-    docs = table(spark, folder, "documents")
-    kept = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    return dedup_lines(docs).select("doc_id", "text", F.coalesce(kept, F.lit(0)).alias("n_words"))
+    docs = dedup_lines(table(spark, folder, "documents")).select("doc_id", "text")
+    return docs.mapInArrow(_word_counts, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_words long")

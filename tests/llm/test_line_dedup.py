@@ -48,6 +48,45 @@ def test_blocks_are_found_in_any_order():
     assert dedup.common_blocks(a, a[:39]) == []
 
 
+def _words(rng, n):
+    return np.array([rng.getrandbits(32) for _ in range(n)], np.uint32)
+
+
+def test_patience_decides(monkeypatch):
+    rng = random.Random(21)
+    p, u, v, w = (_words(rng, 120) for _ in range(4))
+    early, late = np.concatenate([u, p, v]), np.concatenate([w, p])
+    assert dedup.common_blocks(early, late) == [(120, 240)]
+    # Lines that occur once are left to it: nothing else finds the block.
+    monkeypatch.setattr(dedup, "patience", lambda a, b: [])
+    assert dedup.common_blocks(early, late) == []
+
+
+def test_blocks_equal_all_shared_runs():
+    rng = random.Random(22)
+    for n in range(300):
+        size = rng.choice([40, 12, 3])
+        pool = [_words(rng, rng.randrange(1, 90)) for _ in range(5)] + [np.tile(_words(rng, rng.randrange(1, 5)), 30)]
+
+        def text():
+            parts = []
+            for _ in range(rng.randrange(6)):
+                q = rng.choice(pool)
+                at = rng.randrange(len(q))
+                parts += [q[at : at + rng.randrange(1, 90)], _words(rng, rng.randrange(4))]
+            return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+        early, late = text(), text()
+        runs = {tuple(early[i : i + size].tolist()) for i in range(len(early) - size + 1)}
+        gone = np.zeros(len(late), bool)
+        starts = [i for i in range(len(late) - size + 1) if tuple(late[i : i + size].tolist()) in runs]
+        for i in starts:
+            gone[i : i + size] = True
+        ranges, held = dedup._alignment(dedup.Early(early, size), late)
+        assert ranges == dedup._ranges(gone)
+        assert [i for a, b in held for i in range(a, b)] == starts
+
+
 def test_repeated_blocks_go_from_the_later_text():
     rng = random.Random(7)
     p, u, v, w, x, y = (np.array([rng.getrandbits(31) * 2 for _ in range(55)], np.uint32) for _ in range(6))
