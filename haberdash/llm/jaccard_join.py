@@ -11,7 +11,7 @@ Two documents link when ``den * |A & B| >= num * |A | B|``. No link is lost:
     small (``Rule.relief``), those that several documents hold, parts of passages that
     all of them quote, are left out; more segments than d + 1 make up for them.
 3.  Trees. A grove is dealt into tiles of bounded weight. In a tile, a tree over the
-    sets holds in each node the OR of its token bitmaps, the range of set sizes and the
+    sets of each two adjacent size classes holds in each node the OR of its token bitmaps, the range of set sizes and the
     most tokens that fell on a taken bit. Two nodes can hold a link only if their sizes
     fit and the largest possible overlap, common bits plus collisions, reaches the least
     overlap that their sizes ask for. The tree is traversed against itself from the
@@ -342,8 +342,19 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def size_classes(sizes: np.ndarray, rule: Rule) -> Iterator[np.ndarray]:
+    """Numbers of sets of two adjacent size classes each; linked sets are in one of these groups.
+
+    A class spans a little more than the largest ratio of linked sizes, so bitmaps as wide
+    as the largest set of a group asks for stay in proportion to every set of it.
+    """
+    of = np.floor(np.log(sizes) / math.log(rule.den / rule.num * 1.001)).astype(np.int64)
+    for number in np.unique(of).tolist():
+        yield np.flatnonzero((of == number) | (of == number + 1))
+
+
 class SignatureTree:
-    """Sets in a tree whose nodes bound the overlap with any set of another node."""
+    """Sets of similar size in a tree whose nodes bound the overlap with any set of another node."""
 
     def __init__(self, sets: list[np.ndarray], labels: np.ndarray) -> None:
         sizes = np.array([len(s) for s in sets], np.int64)
@@ -427,9 +438,11 @@ def connect(sets: list[np.ndarray], labels: np.ndarray, rule: Rule, pivots: int
         linked = others[rule.links(overlap, sizes[others], sizes[pivot])]
         for other in np.unique(label[linked]):
             join(int(other), int(label[pivot]))
-    if len(np.unique(label)) > 1:
-        for i, j in SignatureTree(sets, label).pairs(rule):
-            for a, b in zip(i.tolist(), j.tolist()):
+    for group in size_classes(sizes, rule):
+        if len(np.unique(label[group])) < 2:
+            continue
+        for i, j in SignatureTree([sets[x] for x in group], label[group]).pairs(rule):
+            for a, b in zip(group[i].tolist(), group[j].tolist()):
                 if label[a] != label[b]:
                     overlap = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
                     if rule.links(overlap, sizes[a], sizes[b]):

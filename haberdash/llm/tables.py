@@ -14,11 +14,22 @@ from haberdash.sources.warehouse import shared_folder
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 # Rows of a few numbers that may be broadcast: some 50 MB.
 MAX_BROADCAST_ROWS = 1_000_000
+# Rows that go to a Python worker at once: whole texts make batches large.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send ``BATCH_ROWS`` rows to Python at once, unless the session asks for another number than Spark's."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -48,6 +59,7 @@ def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     The files stay until the shared folder is cleared; plans that read them are lazy.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = new_folder(spark, name)
     with shuffles_removed(spark):
         writer = df.write

@@ -122,3 +122,26 @@ def test_one_of_each_group_stays(spark):
     kept = join.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 3, 5]
+
+
+def test_bitmaps_stay_in_proportion_to_the_sets():
+    rng = np.random.default_rng(3)
+    sizes = np.array([100] * 9000 + [100_000])
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in sizes[:50]] * 180
+    sets.append(np.unique(rng.integers(0, 1 << 63, 100_000).astype(np.uint64)))
+    sizes = np.array([len(x) for x in sets])
+    for rule in (join.CLOSE, join.NEAR):
+        seen = np.zeros(len(sets), bool)
+        for group in join.size_classes(sizes, rule):
+            seen[group] = True
+            tree = join.SignatureTree([sets[x] for x in group], np.arange(len(group)))
+            assert sum(level[0].nbytes for level in tree.levels) <= 4 * sizes[group].sum()
+        assert seen.all()
+
+
+def test_linked_sizes_share_a_class():
+    for rule in (join.CLOSE, join.NEAR):
+        sizes = np.arange(1, 3000)
+        groups = [set(sizes[group].tolist()) for group in join.size_classes(sizes, rule)]
+        for a in range(1, 2300):
+            assert any(a in group and a * rule.den // rule.num in group for group in groups)
