@@ -36,6 +36,7 @@ columns pass through.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import replace
 from functools import cached_property
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haberdash.llm.tables import broadcast_if_small, stored, table
-from haberdash.llm.words import mix, run_hash, signed, slices, split_words, unsigned
+from haberdash.llm.words import mix, run_hash, signed, slices, split_words, unsigned, word_edges
 
 _U = np.uint64
 STRETCH = 20
@@ -56,16 +57,29 @@ LINE_WORDS = 6
 _RANGES = "array<struct<first: int, last: int>>"
 
 
+def _least_in_a_row(values: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of each ``size`` values in a row."""
+    width, least = 1, values
+    while 2 * width <= size:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    return np.minimum(least[: len(least) - (size - width)], least[size - width :]) if size > width else least
+
+
 def anchors(hashes: np.ndarray, bounds: np.ndarray, text: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the smallest of every ``STRETCH`` runs in a row; all if there are fewer, the least one."""
     out, of = [], []
     cuts = np.searchsorted(first, bounds)
-    for i in np.flatnonzero(np.diff(cuts)):
-        own = hashes[cuts[i] : cuts[i + 1]]
-        if len(own) <= STRETCH:
-            out.append(own.min()[None])
+    least = _least_in_a_row(hashes, STRETCH) if len(hashes) >= STRETCH else hashes[:0]
+    fresh = np.ones(len(least), bool)
+    fresh[1:] = least[1:] != least[:-1]
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        a, b = int(cuts[i]), int(cuts[i + 1]) - STRETCH + 1
+        if b <= a + 1:
+            out.append(hashes[a : cuts[i + 1]].min()[None])
         else:
-            out.append(np.unique(np.lib.stride_tricks.sliding_window_view(own, STRETCH).min(axis=1)))
+            # Neighbours mostly share theirs.
+            own = least[a:b][fresh[a:b]]
+            out.append(np.unique(own if fresh[a] else np.append(own, least[a])))
         of.append(np.full(len(out[-1]), i))
     if not out:
         return np.zeros(0, _U), np.zeros(0, np.int64)
@@ -136,27 +150,28 @@ def patience(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     _, i, j = np.intersect1d(once_a, once_b, assume_unique=True, return_indices=True)
     order = np.argsort(at_a[i])
     left, right = at_a[i][order], at_b[j][order]
-    # Longest increasing run of places by piles.
+    if not (right[1:] > right[:-1]).all():
+        kept = _longest_rise(right.tolist())
+        left, right = left[kept], right[kept]
+    return list(zip(left.tolist(), right.tolist()))
+
+
+def _longest_rise(places: list[int]) -> list[int]:
+    """Numbers of the elements of a longest increasing run of places, by piles."""
     tops: list[int] = []
     pile_of: list[int] = []
-    back = [-1] * len(right)
-    for n, place in enumerate(right.tolist()):
-        lo, hi = 0, len(tops)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if tops[mid] < place:
-                lo = mid + 1
-            else:
-                hi = mid
-        if lo == len(tops):
+    back = [-1] * len(places)
+    for n, place in enumerate(places):
+        pile = bisect_left(tops, place)
+        if pile == len(tops):
             tops.append(place)
             pile_of.append(n)
         else:
-            tops[lo], pile_of[lo] = place, n
-        back[n] = pile_of[lo - 1] if lo else -1
+            tops[pile], pile_of[pile] = place, n
+        back[n] = pile_of[pile - 1] if pile else -1
     chain, at = [], pile_of[-1] if pile_of else -1
     while at >= 0:
-        chain.append((int(left[at]), int(right[at])))
+        chain.append(at)
         at = back[at]
     return chain[::-1]
 
@@ -182,10 +197,8 @@ def _run_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
     """Which of ``n`` words lie in a run of ``size`` words from one of ``starts``."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + size, -1)
-    return np.cumsum(step[:-1]) > 0
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + size, minlength=n + 1)
+    return np.cumsum(step[:n]) > 0
 
 
 def _ranges(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -242,62 +255,64 @@ def _alignment(early: Early, late: np.ndarray) -> tuple[list[tuple[int, int]], l
     if min(len(early.words), len(late)) < size:
         return [], []
     start, lines = lines_of(late)
-    blocks = _aligned_blocks(early, late, start, lines)
+    _, of, times = np.unique(lines, return_inverse=True, return_counts=True)
+    there, once = early.times_of(lines), times[of] == 1
+    fixed = (there == 1) & once
+    blocks = _aligned_blocks(early, late, start, lines, int(fixed.sum()))
     held = np.zeros(len(late) + 1, np.int64)
     for first, last in blocks:
         if last - first >= size:
             held[first] += 1
             held[last - size + 1] -= 1
     held = np.cumsum(held) > 0
-    held[early.held_runs(late, _undecided(early, late, start, lines))] = True
+    held[early.held_runs(late, _undecided(len(late), size, start, fixed | (there == 0)))] = True
     starts = np.flatnonzero(held)
     return _ranges(_covered(starts, size, len(late))), _ranges(held[:-1])
 
 
-def _aligned_blocks(early: Early, late: np.ndarray, start: np.ndarray, lines: np.ndarray) -> list[tuple[int, int]]:
+def _aligned_blocks(
+    early: Early, late: np.ndarray, start: np.ndarray, lines: np.ndarray, once_in_both: int
+) -> list[tuple[int, int]]:
     """Word ranges of ``late`` around lines that patience fixes, as far as words go on alike."""
     open_a, open_b = np.arange(len(early.lines)), np.arange(len(lines))
-    blocks, reached = [], {}
-    while len(open_a) and len(open_b):
+    blocks, reached, fixed = [], {}, 0
+    while fixed < once_in_both:
         chain = patience(early.lines[open_a], lines[open_b])
         if not chain:
             break
-        for line_a, line_b in chain:
-            i, j = int(early.start[open_a[line_a]]), int(start[open_b[line_b]])
-            if reached.get(i - j, -1) > j:
-                # Inside a block found from an earlier line.
-                continue
-            ahead = _equal_words(early.words[i:], late[j:])
-            behind = _equal_words(early.words[:i][::-1], late[:j][::-1])
-            reached[i - j] = j + ahead
-            blocks.append((j - behind, j + ahead))
-        taken_a, taken_b = (np.array(t) for t in zip(*chain))
+        fixed += len(chain)
+        taken_a, taken_b = np.array(chain).T
+        i, j = early.start[open_a[taken_a]], start[open_b[taken_b]]
+        shift = i - j
+        at = 0
+        while at < len(j):
+            a, b = int(i[at]), int(j[at])
+            end = reached.get(a - b, -1)
+            if end <= b:
+                end = b + _equal_words(early.words[a:], late[b:])
+                blocks.append((b - _equal_words(early.words[:a][::-1], late[:b][::-1]), end))
+                reached[a - b] = end
+            # On to the first line that is not inside this block.
+            inside = int(np.searchsorted(j, end))
+            other = np.flatnonzero(shift[at + 1 : inside] != a - b)
+            at = at + 1 + int(other[0]) if len(other) else max(inside, at + 1)
         open_a, open_b = np.delete(open_a, taken_a), np.delete(open_b, taken_b)
-        # What is open in one text only cannot be fixed.
-        open_a = open_a[np.isin(early.lines[open_a], lines[open_b])]
-        open_b = open_b[np.isin(lines[open_b], early.lines[open_a])]
     return blocks
 
 
-def _undecided(early: Early, late: np.ndarray, start: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """First words of the runs of ``late`` without a whole line that tells where they may stand in ``early``.
+def _undecided(n_words: int, size: int, start: np.ndarray, deciding: np.ndarray) -> np.ndarray:
+    """First words of the runs without a whole line that tells where they may stand in the earlier text.
 
-    A run's inner lines are cut alike in both texts. One that ``early`` lacks excludes the
+    A run's inner lines are cut alike in both texts. One that the earlier lacks excludes the
     run; one that occurs once in both was fixed by patience, with all words around it.
     """
-    size = early.size
-    n = len(late) - size + 1
-    _, of, times = np.unique(lines, return_inverse=True, return_counts=True)
-    there = early.times_of(lines)
-    deciding = (there == 0) | ((there == 1) & (times[of] == 1))
+    n = n_words - size + 1
     first, last = start[:-1][deciding], start[1:][deciding]
     # Inner lines have a word of the run on both sides.
     low, high = np.maximum(last + 1 - size, 0), np.minimum(first, n)
     inner = low < high
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, low[inner], 1)
-    np.add.at(step, high[inner], -1)
-    return np.flatnonzero(np.cumsum(step[:-1]) == 0)
+    step = np.bincount(low[inner], minlength=n + 1) - np.bincount(high[inner], minlength=n + 1)
+    return np.flatnonzero(np.cumsum(step[:n]) == 0)
 
 
 def _aligner(min_words: int):
@@ -349,25 +364,19 @@ def _run_finder(min_words: int):
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
     """The text without the words of the ranges and the white space after each."""
-    found = split_words(*_bytes_of(text))
     raw = text.encode()
-    drop = np.zeros(len(found.start) + 1, bool)
+    start, _ = word_edges(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    drop = np.zeros(len(start) + 1, bool)
     for a, b in ranges:
         drop[a:b] = True
-    until = np.append(found.start[1:], len(raw))
+    until = np.append(start[1:], len(raw))
     out, at = [], 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], drop[:-1].astype(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2]):
-        out.append(raw[at : found.start[a]])
+    for a, b in _ranges(drop[:-1]):
+        out.append(raw[at : start[a]])
         at = int(until[b - 1])
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _bytes_of(text: str) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(text.encode(), np.uint8)
-    return raw, np.array([0, len(raw)])
-
-
 def shared_blocks(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, ranges): word ranges to delete from rows of ``lines`` (row, doc_id, text).
 
@@ -463,7 +472,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = np.zeros(batch.num_rows, np.int64)
         for row, last, data, offsets in slices(batch.column(1)):
-            counts[row:last] = np.diff(split_words(data, offsets).bounds)
+            counts[row:last] = np.diff(np.searchsorted(word_edges(data, offsets)[0], offsets))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts)], names=["doc_id", "text", "n_words"])
 
 

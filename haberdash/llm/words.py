@@ -110,12 +110,9 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         row = last
 
 
-def split_words(
-    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True
-) -> Words:
-    """The words of texts that lie one after the other in ``data``, with A-Z lower-cased unless told not to."""
+def word_edges(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First byte, and the byte after the last, of each word of texts that lie one after the other in ``data``."""
     n = len(data)
-    data = _LOWER[data] if lower else data
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = kind[data]
     fresh = inside[1:] & ~inside[:-1]
@@ -125,7 +122,16 @@ def split_words(
     border = border[inside[border] & inside[border + 1]]
     fresh[border] = True
     over[border] = True
-    start, end = np.flatnonzero(fresh[:n]), np.flatnonzero(over)
+    return np.flatnonzero(fresh[:n]), np.flatnonzero(over)
+
+
+def split_words(
+    data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = NOT_SPACE, lower: bool = True
+) -> Words:
+    """The words of texts that lie one after the other in ``data``, with A-Z lower-cased unless told not to."""
+    n = len(data)
+    data = _LOWER[data] if lower else data
+    start, end = word_edges(data, offsets, kind)
     sums = np.zeros(n + 1, _U)
     np.cumsum(_BYTE[data] * _power(_BASE, n), out=sums[1:])
     run = (sums[end] - sums[start]) * _power(_BASE_INVERSE, n + 1)[start]
