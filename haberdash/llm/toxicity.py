@@ -9,12 +9,13 @@ window of ``WINDOW`` words is compressed with both; the bytes saved are summed u
 document, and a logistic curve fitted on the other half of the sample turns them into a
 probability, with the class sizes of all labelled rows.
 
-The sample is at most ``SAMPLE`` documents of each class, of smallest hash, and at most
-``SAMPLE_CHARS`` characters of each; every text is scored whole.
+The sample is at most ``SAMPLE`` documents of each class, of smallest hash, read and scored
+whole, by tasks: the driver gets the telling stems, at most ``DICTIONARY_WINDOWS`` windows
+of each class, of smallest hash, to train dictionaries, and some numbers a document.
 
 Defined cases: NULL and empty texts are scored like a text without any saving; labels
 that are NULL, or of NULL or unknown documents, teach nothing, and of repeated labels
-the largest counts; without labels of both classes the score is the share of toxic
+the largest counts, of repeated documents the smallest text; without labels of both classes the score is the share of toxic
 labels (0 without labels); NULL ids are kept and count as held out; rows are kept one
 to one; extra columns do not matter.
 """
@@ -22,7 +23,6 @@ to one; extra columns do not matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haberdash.llm.tables import table
+from haberdash.llm.tables import stored, table
 
 SAMPLE = 4000
-SAMPLE_CHARS = 8000
 WINDOW = 32
+# Windows that train a dictionary, of so many characters at most.
+DICTIONARY_WINDOWS = 20_000
+WINDOW_CHARS = 4096
 ORDINARY_BYTES = 16384
 TOXIC_BYTES = 1024
 LEVEL = 6
@@ -52,7 +54,10 @@ _MIN_TRAINING = 50
 
 
 def windows(text: str) -> list[bytes]:
-    words = text.lower().split()
+    return _pieces(text.lower().split())
+
+
+def _pieces(words: list[str]) -> list[bytes]:
     return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)]
 
 
@@ -65,22 +70,6 @@ def _content(samples: list[bytes], size: int, k: int) -> bytes:
     return trained[len(trained) - min(len(trained), size * 7 // 8) :]
 
 
-def _stems(text: str) -> set[str]:
-    return {w[:STEM] for w in _WORD.findall(text)}
-
-
-def _telling_stems(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """Stems of the toxic texts that the ordinary ones hardly hold."""
-    inside, outside = Counter(), Counter()
-    for counts, texts in ((inside, toxic), (outside, ordinary)):
-        for text in texts:
-            counts.update(_stems(text))
-    n, m = len(toxic), max(1, len(ordinary))
-    return {
-        w for w, c in inside.items() if c >= max(2, MIN_SHARE * n) and c / n >= MIN_LIFT * (outside[w] + 1) / m
-    }
-
-
 @dataclass
 class Model:
     """Contents of both dictionaries, and the curve from savings to a probability."""
@@ -159,38 +148,72 @@ def _fit_curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[np.ndarray,
     return centre, scale, weights
 
 
-def train(rows: list[tuple[str, int]], share: float) -> Model:
-    """A model from (text, label) rows; ``share``: of the class 1 among all labelled rows."""
-    nothing = np.zeros(0)
-    toxic, ordinary = ([t.lower() for t, y in rows if y == k] for k in (1, 0))
-    if not toxic or not ordinary:
-        return Model(b"", b"", nothing, nothing, nothing, float(share))
-    # Halves: one for the dictionaries, one for the curve.
-    for_words, for_curve = (([*toxic[i::2]], [*ordinary[i::2]]) for i in (0, 1))
-    content = _content([w for t in for_words[1] for w in windows(t)] or [b" "], ORDINARY_BYTES, 64)
-    telling = _telling_stems(*for_words)
-    samples = [" ".join(w for w in _WORD.findall(t) if w[:STEM] in telling) for t in for_words[0]]
-    samples = [f" {s} ".encode() for s in samples if s] or [t.encode() for t in for_words[0] if t] or [b" "]
-    model = Model(content, _content(samples, TOXIC_BYTES, 24), nothing, nothing, nothing)
-    model.open()
-    texts = [*for_curve[0], *for_curve[1]] or [*toxic, *ordinary]
-    y = np.array([1] * len(for_curve[0]) + [0] * len(for_curve[1])) if for_curve[0] and for_curve[1] else None
-    if y is None:
-        texts, y = [*toxic, *ordinary], np.array([1] * len(toxic) + [0] * len(ordinary))
-    x = np.array([model.features(t) for t in texts])
-    model.centre, model.scale, model.weights = _fit_curve(x, y, share)
-    del model._plain, model._telling
-    return model
-
-
 def _held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(True))
 
 
+def _stem_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(stem, toxic) of each stem of each document."""
+    for batch in batches:
+        stems, classes = [], []
+        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+            found = {w[:STEM] for w in _WORD.findall(text.as_py().lower())}
+            stems += found
+            classes += [toxic] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), pa.array(classes, pa.int32())], names=["stem", "toxic"])
+
+
+def _telling_stems(rows: DataFrame, sizes: dict[int, int]) -> set[str]:
+    """Stems of the toxic texts that the ordinary ones hardly hold: those of a ``MIN_SHARE`` of texts at least."""
+    n, m = sizes[1], sizes[0]
+    counts = rows.select("text", "toxic").mapInArrow(_stem_rows, "stem string, toxic int").groupBy("stem")
+    counts = counts.agg(F.sum("toxic").alias("inside"), F.sum(1 - F.col("toxic")).alias("outside"))
+    often = F.col("inside") >= max(2, MIN_SHARE * n)
+    apart = F.col("inside") / n >= MIN_LIFT * (F.col("outside") + 1) / m
+    return {r["stem"] for r in counts.where(often & apart).select("stem").collect()}
+
+
+def _window_rows(telling: set[str]):
+    """(toxic, window): all of ordinary texts, of toxic ones those of their words with a telling stem."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, classes = [], []
+            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
+                text = text.as_py().lower()
+                own = _pieces([w for w in _WORD.findall(text) if w[:STEM] in telling]) if toxic and telling else windows(text)
+                found += own
+                classes += [toxic] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int32()), pa.array(found, pa.binary())], names=["toxic", "window"])
+
+    return cut
+
+
+def _drawn_windows(rows: DataFrame, telling: set[str]) -> dict[int, list[bytes]]:
+    """At most ``DICTIONARY_WINDOWS`` windows of each class, by hash."""
+    every = rows.select("text", "toxic").mapInArrow(_window_rows(telling), "toxic int, window binary")
+    every = stored(every.where(F.length("window") <= WINDOW_CHARS), "toxicity-windows")
+    drawn = {}
+    for kind in (0, 1):
+        own = every.where(F.col("toxic") == kind).orderBy(F.xxhash64("window"), "window").limit(DICTIONARY_WINDOWS)
+        drawn[kind] = [bytes(r["window"]) for r in own.select("window").collect()] or [b" "]
+    return drawn
+
+
+def _feature_rows(model: Model):
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.open()
+        for batch in batches:
+            found = [model.features(text.as_py()) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return features
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~_held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
@@ -199,10 +222,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ]
     # At most twice the sample size of ids.
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))
-    texts = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("text"))
-    rows = texts.join(ids, "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
-    return train([(t, y) for _, t, y in rows], share)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # Halves: one for the dictionaries, one for the curve.
+    texts = stored(texts.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))), "toxicity-sample")
+    counts = {(r["half"], r["toxic"]): r["count"] for r in texts.groupBy("half", "toxic").count().collect()}
+    nothing = np.zeros(0)
+    if {y for _, y in counts} != {0, 1}:
+        return Model(b"", b"", nothing, nothing, nothing, float(share))
+    if len(counts) == 4:
+        for_words, for_curve = (texts.where(F.col("half") == h) for h in (0, 1))
+        each = {y: counts[0, y] for y in (0, 1)}
+    else:
+        for_words = for_curve = texts
+        each = {y: sum(n for (_, kind), n in counts.items() if kind == y) for y in (0, 1)}
+    drawn = _drawn_windows(for_words, _telling_stems(for_words, each))
+    contents = _content(drawn[0], ORDINARY_BYTES, 64), _content(drawn[1], TOXIC_BYTES, 24)
+    model = Model(*contents, nothing, nothing, nothing)
+    rows = for_curve.select("text", "toxic").mapInArrow(_feature_rows(model), "toxic int, x array<double>").collect()
+    rows = sorted((r["toxic"], r["x"]) for r in rows)
+    x, y = np.array([x for _, x in rows]), np.array([y for y, _ in rows])
+    model.centre, model.scale, model.weights = _fit_curve(x, y, share)
+    return model
 
 
 def _scorer(model: Model):

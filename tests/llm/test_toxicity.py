@@ -59,7 +59,7 @@ def test_awkward_rows(spark, rows):
     model = tox.fit(docs, known.limit(0))
     assert all(r["score"] == 0 for r in tox.scored(docs, model).collect())
     assert tox.scored(docs.limit(0), model).count() == 0
-    trained = tox.train([(t, y) for _, t, y in rows], 0.25)
+    trained = tox.fit(documents(spark, [t for _, t, _ in rows]), labels(spark, [(i, 1, y, 0.0) for i, _, y in rows]))
     scores = [r["score"] for r in tox.scored(docs, trained).collect()]
     assert scores[1] == scores[2] and max(scores) < 0.5
 
@@ -73,3 +73,39 @@ def test_accuracy_on_the_given_tables(spark):
     bad, good = ([s for s, y in held if y == k] for k in (1, 0))
     above = sum((b > g) + 0.5 * (b == g) for b in bad for g in good)
     assert above > 0.85 * len(bad) * len(good)
+
+
+def test_long_texts_teach_as_a_whole(spark, rows):
+    """What is toxic may stand far behind the start of a text; one copy of an id is read."""
+    clean = " ".join(t for _, t, y in rows[:40] if not y)
+    texts = [f"{clean} {t}" if y else t for _, t, y in rows]
+    known = labels(spark, [(i, 1, y, 0.0) for i, _, y in rows])
+    docs = documents(spark, texts + [texts[1]] * 50, [*range(600), *[1] * 50])
+    model = tox.fit(docs, known)
+    assert any(word.encode() in model.toxic for word in ("foozle", "grumbot", "snarkle", "blatherskite"))
+    found = {r["doc_id"]: r for r in tox.scored(docs, model).collect()}
+    caught = [found[i]["predicted"] for i, _, y in rows if y and found[i]["held_out"]]
+    assert sum(caught) > 0.9 * len(caught)
+
+
+def test_the_score_is_the_bytes_saved(spark, rows):
+    """Features follow from compressing each window with either dictionary, done here anew."""
+    import zstandard
+
+    docs = documents(spark, [t for _, t, _ in rows])
+    model = tox.fit(docs, labels(spark, [(i, 1, y, 0.0) for i, _, y in rows]))
+    params = dict(source_size=256, dict_size=tox.ORDINARY_BYTES + tox.TOXIC_BYTES, min_match=4,
+                  write_checksum=0, write_content_size=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters.from_level(tox.LEVEL, **params)
+
+    def size(content, window):
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(window))
+
+    model.open()
+    for _, text, _ in rows[:12]:
+        words = text.lower().split()
+        cut = [f" {' '.join(words[i : i + 32])} ".encode() for i in range(0, len(words), 32)]
+        saved = [size(model.ordinary, w) - size(model.toxic + model.ordinary, w) for w in cut]
+        assert model.features(text)[0] == max(saved)
+        assert model.features(text)[2] == pytest.approx(sum(saved) / len(saved))
