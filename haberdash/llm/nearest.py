@@ -63,11 +63,11 @@ def bounds(
     queries: np.ndarray, codes: np.ndarray, length: np.ndarray, lean: np.ndarray, centre: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products, queries by vectors, and their errors."""
-    dim = queries.shape[1]
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    turned = (queries.astype(np.float64) @ rotation(dim).T).astype(np.float32)
-    scale = (length / (lean * np.sqrt(dim))).astype(np.float32)
-    estimate = (turned @ signs.T) * scale + (queries.astype(np.float64) @ centre).astype(np.float32)[:, None]
+    dim, kind = queries.shape[1], queries.dtype
+    signs = np.unpackbits(codes, axis=1, count=dim).astype(kind) * 2 - 1
+    turned = (queries.astype(np.float64) @ rotation(dim).T).astype(kind)
+    scale = (length / (lean * np.sqrt(dim))).astype(kind)
+    estimate = (turned @ signs.T) * scale + (queries.astype(np.float64) @ centre).astype(kind)[:, None]
     spread = length * np.sqrt(np.maximum(0, 1 - lean**2)) / lean * ERRORS / np.sqrt(max(1, dim - 1))
     norm = np.linalg.norm(queries.astype(np.float64), axis=1)
     slack = 1e-5 * (norm[:, None] * (length + np.linalg.norm(centre))) + 1e-9
@@ -82,7 +82,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def _usable(batch: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _usable(batch: pa.Table, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Dimension, ids and vectors, one array per dimension."""
     by_dim: dict[int, tuple[list, list]] = {}
     for key, vector in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist()):
@@ -92,7 +92,7 @@ def _usable(batch: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         ids.append(key)
         rows.append(vector)
     for dim, (ids, rows) in sorted(by_dim.items()):
-        vectors, ids = np.array(rows, np.float32), np.array(ids, np.int64)
+        vectors, ids = np.array(rows, kind), np.array(ids, np.int64)
         good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
         if good.any():
             yield dim, ids[good], vectors[good]
@@ -101,17 +101,17 @@ def _usable(batch: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def _few_of_each(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
     """Rows to keep: of equal vectors only the smallest ids can be among the nearest."""
     order = np.argsort(ids, kind="stable")
-    plain = np.ascontiguousarray(vectors[order] + np.float32(0)).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
+    plain = np.ascontiguousarray(vectors[order] + vectors.dtype.type(0)).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
     _, kind = np.unique(plain, return_inverse=True)
     by_kind = np.argsort(kind, kind="stable")
     place = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
     return order[by_kind[place < most]]
 
 
-def _indexer(centres: dict[int, np.ndarray], most: int):
+def _indexer(centres: dict[int, np.ndarray], most: int, kind: type):
     def index(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         out = []
-        for dim, ids, vectors in _usable(group):
+        for dim, ids, vectors in _usable(group, kind):
             keep = _few_of_each(ids, vectors, most)
             ids, vectors = ids[keep], vectors[keep]
             codes, length, lean = encode(vectors, centres.get(dim, np.zeros(dim)))
@@ -123,9 +123,12 @@ def _indexer(centres: dict[int, np.ndarray], most: int):
     return index
 
 
-def _query_blocks(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    out = [(key[0].as_py(), dim, ids.tobytes(), vectors.tobytes()) for dim, ids, vectors in _usable(group)]
-    return _blobs(["part", "dim", "query_ids", "queries"], out)
+def _query_blocks(kind: type):
+    def blocks(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        out = [(key[0].as_py(), dim, ids.tobytes(), vectors.tobytes()) for dim, ids, vectors in _usable(group, kind)]
+        return _blobs(["part", "dim", "query_ids", "queries"], out)
+
+    return blocks
 
 
 def _blobs(names: list[str], rows: list[tuple]) -> pa.Table:
@@ -159,7 +162,7 @@ class _Best:
         )
 
 
-def _searcher(centres: dict[int, np.ndarray], k: int):
+def _searcher(centres: dict[int, np.ndarray], k: int, kind: type):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], _Best] = {}
         for batch in batches:
@@ -167,14 +170,14 @@ def _searcher(centres: dict[int, np.ndarray], k: int):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 dim = row["dim"]
                 key = (row["part"], dim)
-                queries = np.frombuffer(row["queries"], np.float32).reshape(-1, dim)
+                queries = np.frombuffer(row["queries"], kind).reshape(-1, dim)
                 query_ids = np.frombuffer(row["query_ids"], np.int64)
                 if key not in held:
                     if len(held) >= HELD:
                         yield held.pop(next(iter(held))).batch()
                     held[key] = _Best(query_ids, k)
                 ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, dim)
+                vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
                 length, lean = np.frombuffer(row["length"]), np.frombuffer(row["lean"])
                 centre = centres.get(dim, np.zeros(dim))
@@ -188,13 +191,14 @@ def _searcher(centres: dict[int, np.ndarray], k: int):
 def _search_block(best: _Best, queries, query_ids, ids, vectors, guess) -> None:
     estimate, error = guess
     own = query_ids[:, None] == ids[None, :]
-    low = np.where(own, -np.inf, estimate - error)
+    low = np.where(own | np.isnan(estimate - error), -np.inf, estimate - error)
     if low.shape[1] > best.k:
         reach = np.partition(low, -best.k, axis=1)[:, -best.k]
     else:
         reach = np.full(len(queries), -np.inf)
     reach = np.maximum(reach, best.least)
-    high = estimate + error >= reach[:, None]
+    # What cannot be told, beyond the range of numbers, stays.
+    high = ~(estimate + error < reach[:, None])
     high &= ~own
     found = [_single(queries[q], vectors, np.flatnonzero(high[q]), best.k, best.least[q]) for q in range(len(queries))]
     query = np.repeat(np.arange(len(queries)), [len(f) for f in found])
@@ -209,13 +213,13 @@ def _single(query: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int, le
     slack = 1e-5 * float(np.linalg.norm(query)) * (float(np.sqrt((near * near).sum(axis=1).max())) if len(rows) else 0)
     if len(rows) > k:
         least = max(least, float(np.partition(score, -k)[-k]))
-    return rows[score >= least - 2 * slack]
+    return rows[~(score < least - 2 * slack)]
 
 
-def centres_of(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+def centres_of(vectors: DataFrame, kind: type, sample: int = SAMPLE) -> dict[int, np.ndarray]:
     """The mean vector of each dimension, from a bounded sample."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    return {dim: x.astype(np.float64).mean(axis=0) for dim, _, x in _usable(rows)}
+    return {dim: x.astype(np.float64).mean(axis=0) for dim, _, x in _usable(rows, kind)}
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
@@ -227,24 +231,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     # Of repeated ids one row asks.
     queries = queries.where("vec_id IS NOT NULL AND size(embedding) > 0").groupBy("vec_id")
     queries = queries.agg(F.min("embedding").alias("embedding"))
-    centres = centres_of(vectors)
+    # Components keep their precision.
+    single = {dict(f.dtypes)["embedding"] for f in (vectors, queries)} == {"array<float>"}
+    kind = np.float32 if single else np.float64
+    centres = centres_of(vectors, kind)
     blocks = max(1, -(-vectors.count() // BLOCK))
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     index = stored(
         vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
         .groupBy("block")
         # One more than asked: the query itself may be among equal vectors.
-        .applyInArrow(_indexer(centres, k + 1), _INDEX),
+        .applyInArrow(_indexer(centres, k + 1, kind), _INDEX),
         "vector-index",
     )
     asked = (
         queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
         .groupBy("part")
-        .applyInArrow(_query_blocks, _QUERIES)
+        .applyInArrow(_query_blocks(kind), _QUERIES)
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     )
     found = index.join(asked, ["block", "dim"]).mapInArrow(
-        _searcher(centres, k), "query_id long, vec_id long, score double"
+        _searcher(centres, k, kind), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

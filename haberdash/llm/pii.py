@@ -139,13 +139,15 @@ def added_spans(text: str, base: list[Span], threshold: float = THRESHOLD) -> li
         score += _CONTEXT_SCORE * any(word in near for word in _WORDS[span.kind])
         if score >= threshold:
             scored.append(Span(span.kind, span.start, span.end, min(1.0, score)))
-    # Spans of one pattern are apart already; a text has few candidates.
     kept: list[Span] = []
-    taken = sorted((s.start, s.end) for s in base)
+    # A mark for each code point, so that any number of spans takes time in proportion to the text.
+    taken = bytearray(len(text) if scored else 0)
+    for span in base if scored else ():
+        taken[span.start : span.end] = b"\1" * (span.end - span.start)
     for span in sorted(scored, key=lambda s: (-s.score, s.start, ADDED_KINDS.index(s.kind))):
-        if all(span.end <= a or b <= span.start for a, b in taken):
+        if taken.find(1, span.start, span.end) < 0:
             kept.append(span)
-            taken.append((span.start, span.end))
+            taken[span.start : span.end] = b"\1" * (span.end - span.start)
     return sorted(kept, key=lambda s: (ADDED_KINDS.index(s.kind), s.start))
 
 

@@ -74,3 +74,16 @@ def test_bounds_hold():
     estimate, error = near.bounds(queries, *near.encode(data, centre), centre)
     exact = queries.astype(np.float64) @ data.astype(np.float64).T
     assert (np.abs(estimate - exact) <= error).mean() > 0.99
+
+
+def test_double_components_keep_their_precision(spark):
+    rng = np.random.default_rng(8)
+    data = rng.standard_normal((300, 8))
+    # Alike in single precision, and beyond its range.
+    data[50:80] = data[50] + np.arange(30)[:, None] * 1e-12
+    data[90] *= 1e60
+    rows = [(i, v.tolist()) for i, v in enumerate(data)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = near.nearest(frame, frame.where("vec_id % 20 = 0")).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+    assert got == brute(rows, rows[::20], 20)

@@ -106,3 +106,13 @@ def test_production_query_reads_everything(spark):
         written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert row["base_sha256"] == hashlib.sha256(written.encode()).hexdigest()
         assert [row[f"n_{k}"] for k in PATTERNS] == [sum(s[0] == k for s in spans) for k in PATTERNS]
+
+
+def test_time_of_added_spans_is_linear():
+    import time
+
+    text = " ".join(f"call 555-{n % 900 + 100}-{n % 9000 + 1000}" for n in range(100_000))
+    began = time.perf_counter()
+    found = pii.added_spans(text, pii.base_spans(text))
+    assert time.perf_counter() - began < 10
+    assert len(found) == 100_000
