@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haberdash.functions.columns import PRICE, days_between, flag, percent
 from haberdash.functions.metrics import money, ordered_before
+from haberdash.operators.skew import heavy_keys, salted_join
 
 
 def _stamps(prefix: str) -> list:
@@ -88,11 +89,12 @@ def fact_orders(orders: DataFrame) -> DataFrame:
 def fact_order_items(items: DataFrame, orders: DataFrame, inventory: DataFrame) -> DataFrame:
     """One row per sold item; an item without its order or stock item drops out.
 
-    Both joins keep every item column, so nothing can be added up first: an
-    order or stock item with very many rows is left to the skewed-join split of
-    adaptive execution. The join by order comes last, so at scale the stored
-    rows lie order by order and later groupings shrink inside each task.
+    Both joins keep every item column, so nothing can be added up first: the items of
+    an order or stock item with very many rows are dealt over pieces. The join by order
+    comes last, so at scale the stored rows lie order by order and later groupings
+    shrink inside each task.
     """
+    heavy = heavy_keys(items, "inventory_item_id", "order_id")
     timed = orders.select(
         "order_id",
         *(F.col(f"{s}_at").alias(f"o_{s}_at") for s in ("created", "shipped", "delivered", "returned")),
@@ -103,9 +105,9 @@ def fact_order_items(items: DataFrame, orders: DataFrame, inventory: DataFrame)
         F.col("cost").cast(PRICE).alias("item_cost"),
     )
     revenue = F.col("sale_price").cast(PRICE)
+    stocked = salted_join(items, stock, "inventory_item_id", heavy["inventory_item_id"], "id")
     return (
-        items.join(stock, "inventory_item_id")
-        .join(timed, "order_id")
+        salted_join(stocked, timed, "order_id", heavy["order_id"], "id")
         .select(
             F.col("id").alias("order_item_id"),
             "order_id",
