@@ -28,15 +28,18 @@ def event_types(events: DataFrame, cutoff: dt.date) -> DataFrame:
     )
 
 
-def _sessions(events: DataFrame, cutoff: dt.date, *more: Column) -> DataFrame:
-    """One row per session, source and browser; a session may have several of these."""
+def sessions(events: DataFrame, cutoff: dt.date) -> DataFrame:
+    """One row per session, source and browser; a session may have several of these.
+
+    Stored, as all reports on the funnel read it.
+    """
     return (
         _events_before(events, cutoff)
         .where(F.col("session_id").isNotNull())
         .groupBy(*SESSION)
         .agg(
             F.min("event_date").alias("session_date"),
-            *more,
+            F.count("*").alias("total_events"),
             *(
                 F.max(flag(F.col("event_type") == event)).alias(name)
                 for name, event in STEPS.items()
@@ -45,14 +48,15 @@ def _sessions(events: DataFrame, cutoff: dt.date, *more: Column) -> DataFrame:
     )
 
 
-def session_flags(events: DataFrame, cutoff: dt.date) -> DataFrame:
-    return _sessions(events, cutoff)
+def session_flags(stored: DataFrame) -> DataFrame:
+    """Which steps each session reached."""
+    return stored.drop("total_events")
 
 
-def session_funnel(events: DataFrame, cutoff: dt.date) -> DataFrame:
+def session_funnel(stored: DataFrame) -> DataFrame:
     """Sessions with their size, period and the step they were lost at."""
     viewed, carted, bought = (F.col(name) == 1 for name in STEPS)
-    return _sessions(events, cutoff, F.count("*").alias("total_events")).select(
+    return stored.select(
         *SESSION,
         "session_date",
         F.year("session_date").alias("session_year"),

@@ -164,46 +164,46 @@ def worst_ship_gaps(items: DataFrame, rows: int = 20) -> DataFrame:
     )
 
 
-def _sessions(events: DataFrame) -> DataFrame:
-    return events.withColumn("session_id", unpadded(F.col("session_id")))
-
-
-def duplicate_session_sequences(events: DataFrame) -> DataFrame:
-    return (
-        _sessions(events)
+def session_profile(events: DataFrame) -> DataFrame:
+    """One row per session, NULL included: its steps and attributes; stored, as all session checks read it.
+
+    Steps are grouped first, so a hot session is spread over its steps before it is one row.
+    """
+    step, rows = F.col("sequence_number"), F.col("_rows")
+    attributes = ("traffic_source", "browser")
+    steps = (
+        events.withColumn("session_id", unpadded(F.col("session_id")))
         .groupBy("session_id", "sequence_number")
-        .agg(F.count("*").alias("_rows"))
-        .where("_rows > 1")
-        .agg(F.count("*").alias("duplicate_session_sequences"))
+        .agg(
+            F.count("*").alias("_rows"),
+            *(f(unpadded(F.col(c))).alias(f"{name}_{c}") for c in attributes for name, f in _ENDS),
+        )
     )
+    return steps.groupBy("session_id").agg(
+        F.count(F.when(rows > 1, 1)).alias("repeated_steps"),
+        F.min(step).alias("first_step"),
+        F.max(step).alias("last_step"),
+        F.coalesce(F.sum(F.when(step.isNotNull(), rows)), F.lit(0)).alias("numbered_events"),
+        *(f(f"{name}_{c}").alias(f"{name}_{c}") for c in attributes for name, f in _ENDS),
+    )
+
+
+_ENDS = (("least", F.min), ("greatest", F.max))
+
 
+def duplicate_session_sequences(sessions: DataFrame) -> DataFrame:
+    return sessions.agg(F.coalesce(F.sum("repeated_steps"), F.lit(0)).alias("duplicate_session_sequences"))
 
-def session_gaps(events: DataFrame) -> DataFrame:
+
+def session_gaps(sessions: DataFrame) -> DataFrame:
     """Sessions whose steps do not run 1, 2, ... up to their number."""
-    step = F.col("sequence_number")
-    return (
-        _sessions(events)
-        .where(F.col("session_id").isNotNull() & step.isNotNull())
-        .groupBy("session_id")
-        .agg(F.min(step).alias("_first"), F.max(step).alias("_last"), F.count("*").alias("_rows"))
-        .where("_first <> 1 OR _last <> _rows")
-        .agg(F.count("*").alias("sessions_with_sequence_gaps"))
-    )
+    known = sessions.where("session_id IS NOT NULL AND numbered_events > 0")
+    gaps = known.where("first_step <> 1 OR last_step <> numbered_events")
+    return gaps.agg(F.count("*").alias("sessions_with_sequence_gaps"))
 
 
-def inconsistent_sessions(events: DataFrame) -> DataFrame:
+def inconsistent_sessions(sessions: DataFrame) -> DataFrame:
     """Sessions seen with several sources or browsers; NULL is not a second one."""
-    return (
-        _sessions(events)
-        .where(F.col("session_id").isNotNull())
-        .groupBy("session_id")
-        .agg(
-            *(
-                f(unpadded(F.col(c))).alias(f"_{f.__name__}_{c}")
-                for c in ("traffic_source", "browser")
-                for f in (F.min, F.max)
-            )
-        )
-        .where("_min_traffic_source <> _max_traffic_source OR _min_browser <> _max_browser")
-        .agg(F.count("*").alias("sessions_with_multiple_attributes"))
-    )
+    several = "least_traffic_source <> greatest_traffic_source OR least_browser <> greatest_browser"
+    found = sessions.where("session_id IS NOT NULL").where(several)
+    return found.agg(F.count("*").alias("sessions_with_multiple_attributes"))

@@ -28,7 +28,7 @@ VIEWS = {
         customers.customer_performance,
     ),
     "customer_yearly": (("fact_order_items",), customers.customer_yearly),
-    "session_funnel": (("fact_events",), funnel.session_funnel),
+    "session_funnel": (("sessions",), lambda stored, _: funnel.session_funnel(stored)),
     "distribution_center_performance": (
         ("dim_distribution_center", "center_orders", "fact_inventory"),
         logistics.center_performance,

@@ -199,10 +199,10 @@ QUALITY_QUERIES: dict[str, Query] = {
     "quality_scorecard": lambda w: quality.scorecard(w.source),
     "blank_products_by_column": lambda w: quality.blank_products_by_column(w.source("products")),
     "worst_ship_gaps": lambda w: quality.worst_ship_gaps(w.source("order_items")),
-    "dup_session_sequence": lambda w: quality.duplicate_session_sequences(w.source("events")),
-    "session_gaps": lambda w: quality.session_gaps(w.source("events")),
+    "dup_session_sequence": lambda w: quality.duplicate_session_sequences(w.session_profile()),
+    "session_gaps": lambda w: quality.session_gaps(w.session_profile()),
     "country_variants": lambda w: cleaned.country_spellings(w.source("users")),
-    "session_multi_attr": lambda w: quality.inconsistent_sessions(w.source("events")),
+    "session_multi_attr": lambda w: quality.inconsistent_sessions(w.session_profile()),
 }
 
 CLEANED_QUERIES: dict[str, Query] = {

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haberdash.operators.keys import assert_keys
 from haberdash.operators.numbering import sliced
-from haberdash.plans import cleaned, customers, funnel, logistics, model, products, reporting, sales
+from haberdash.plans import cleaned, customers, funnel, logistics, model, products, quality, reporting, sales
 from haberdash.sources import files
 from haberdash.sources.schemas import MODEL_KEYS, SOURCE_KEYS, SOURCE_SCHEMAS
 
@@ -342,13 +342,17 @@ class Warehouse:
         return f"work/{self.sales_cutoff}-{self.event_cutoff}"
 
     def session_flags(self) -> DataFrame:
-        return self.working("session_flags")
+        return funnel.session_flags(self.working("sessions"))
+
+    def session_profile(self) -> DataFrame:
+        """Steps and attributes of each raw session, which the session checks read."""
+        return self._keep("session_profile", lambda: quality.session_profile(self.source("events")), ["events"])
 
     def customer_orders(self) -> DataFrame:
         return self.working("customer_orders")
 
     def drop_session_flags(self) -> None:
-        self.store.drop(f"{self._work()}/session_flags")
+        self.store.drop(f"{self._work()}/sessions")
 
     # -- layer administration ---------------------------------------------------
 
@@ -487,8 +491,8 @@ class Warehouse:
 
 # Working table -> model tables it is made of, builder (tables..., cutoff), whose cutoff.
 WORKING: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame], str]] = {
-    # The funnel's flags, which six reports read.
-    "session_flags": (("fact_events",), funnel.session_flags, "events"),
+    # The funnel's steps by session, which seven reports read.
+    "sessions": (("fact_events",), funnel.sessions, "events"),
     # Valid sales per customer and order, in slices of each customer's time.
     "customer_orders": (
         ("fact_order_items",),

@@ -107,12 +107,12 @@ def test_reports_by_customer_read_the_stored_orders(unhinted, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["mismatch_customer", "mismatch_status", "mismatch_product", "session_multi_attr"]
+    "name", ["mismatch_customer", "mismatch_status", "mismatch_product"]
 )
 def test_child_rows_move_once(unhinted, name):
     plan = physical(QUERIES[name](unhinted))
     assert "Expand" not in plan
-    assert plan.count("Exchange hashpartitioning") == (1 if name == "session_multi_attr" else 2)
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 @pytest.mark.parametrize("name", ["purchase_sequence", "product_rank_in_category"])
@@ -148,3 +148,12 @@ def test_reports_add_up_stored_grains(unhinted, name, scans, exchanges):
     plan = physical(QUERIES[name](unhinted))
     assert "fact_order_items" not in plan and "Subquery" not in plan
     assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= exchanges
+
+
+@pytest.mark.parametrize(
+    "name", ["dup_session_sequence", "session_gaps", "session_multi_attr", "session_flags", "session_funnel"]
+)
+def test_session_reports_read_a_stored_row_per_session(unhinted, name):
+    plan = physical(QUERIES[name](unhinted))
+    assert "hashpartitioning" not in plan and plan.count("FileScan") == 1
+    assert "session_profile" in plan or "/sessions/" in plan

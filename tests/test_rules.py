@@ -329,9 +329,9 @@ def test_session_rules(spark):
         {"session_id": None, "sequence_number": 7, "traffic_source": "Email", "browser": "x"},
         {"session_id": None, "sequence_number": 7, "traffic_source": "Search", "browser": "x"},
     )
-    assert only(quality.inconsistent_sessions(events)).popitem()[1] == 2
-    assert only(quality.session_gaps(events)).popitem()[1] == 2
-    assert only(quality.duplicate_session_sequences(events)).popitem()[1] == 2
+    assert only(quality.inconsistent_sessions(quality.session_profile(events))).popitem()[1] == 2
+    assert only(quality.session_gaps(quality.session_profile(events))).popitem()[1] == 2
+    assert only(quality.duplicate_session_sequences(quality.session_profile(events))).popitem()[1] == 2
 
 
 def test_scorecard_equals_single_checks(warehouse):
@@ -548,14 +548,14 @@ def test_a_session_with_two_browsers_is_two_rows(spark):
         {"session_id": "t", "event_type": None},
         {"session_id": "u", "event_type": "purchase", "created_at": at("2024-01-01")},
     )
-    sessions = funnel.session_flags(events, CUTOFF)
+    sessions = funnel.session_flags(funnel.sessions(events, CUTOFF))
     assert sessions.count() == 3
     assert only(funnel.cart_without_product(sessions)) == {"cart_without_product": 1}
     assert only(funnel.purchase_without_cart(sessions)) == {"purchase_without_cart": 0}
     overall = only(funnel.funnel_overall(sessions))
     assert (overall["total_sessions"], overall["product_to_cart_rate"]) == (3, Decimal("100.00"))
     assert overall["cart_to_purchase_rate"] == Decimal("0.00")
-    view = funnel.session_funnel(events, CUTOFF).orderBy("session_id", "browser")
+    view = funnel.session_funnel(funnel.sessions(events, CUTOFF)).orderBy("session_id", "browser")
     assert values(view, "product_to_cart_dropoff_flag", "cart_to_purchase_dropoff_flag") == [
         (1, 0),
         (0, 1),
@@ -564,7 +564,7 @@ def test_a_session_with_two_browsers_is_two_rows(spark):
 
 
 def test_rates_of_a_step_nobody_reached_are_null(spark):
-    sessions = funnel.session_flags(_events(spark, {"session_id": "s", "event_type": "home"}), CUTOFF)
+    sessions = funnel.session_flags(funnel.sessions(_events(spark, {"session_id": "s", "event_type": "home"}), CUTOFF))
     overall = only(funnel.funnel_overall(sessions))
     assert overall["product_to_cart_rate"] is None
     assert overall["session_conversion_rate"] == Decimal("0.00")
