@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
 
-Documents of a source, in the order of a hash, are laid end to end and cut into blocks of
-``BLOCK_CHARS`` characters; a document belongs to the block in which it starts. The
-schedule gives one slot to one block. Weights are shares of a period of slots: a source
-with a of Q slots gets a release time floor(j Q / a) and a deadline ceil((j + 1) Q / a)
-for its j-th block, and in each slot the released block with the earliest deadline goes
-first. As all shares add up to Q, a source is never a whole block ahead or behind, and
-the schedule repeats after Q slots: one period is computed, and every block finds its
-slot from its number. A source that runs out leaves its slots empty and nothing is
-dropped; ``on_target`` marks the slots before the first empty one, where the weights hold.
+Documents of a source, in the order of a hash, are laid end to end and cut into blocks, of
+one ``SLOTS``-th of all characters; a document belongs to the block in which it starts. The
+schedule gives one slot to one block, over all blocks. A source of weight w, of all weights
+1 in sum, gets a release time floor(j / w) and a deadline ceil((j + 1) / w) for its j-th
+block, and in each slot the released block with the earliest deadline goes first: a source
+is never a whole block ahead or behind its weight. When a source runs out, the others go
+on from there by their weights among themselves, so every block has a slot and none stays
+empty; ``on_target`` marks the slots up to the first such end, where all weights hold.
+
+Weights are kept as whole numbers, in units of a 2 ** 36th of their sum, so that times
+are exact.
 
 Hot sources: running lengths are summed within hash buckets and over bucket totals, so no
-window holds a whole source. The period is a table of Q rows, at most ``MAX_PERIOD``.
+window holds a whole source. The schedule is a table of ``SLOTS`` rows and one for each
+source at most, made by one fold; nothing in it grows with the documents.
 
 Defined cases: NULL and empty texts have length 0 and take part; documents with NULL
 source are a source of their own; NULL and repeated ids are kept, in the order of id and
-length; a source without positive weight is put behind all others (slot NULL); an empty
-table gives no rows; extra columns do not matter, and ``n_chars`` is not trusted.
+length; a source without positive weight is put behind all others (slot NULL), also one
+without characters unless weights are given; an empty table gives no rows; extra columns
+do not matter, and ``n_chars`` is not trusted.
 """
 
 from __future__ import annotations
@@ -28,18 +32,18 @@ from pyspark.sql import functions as F
 
 from haberdash.llm.tables import stored, table
 
-BLOCK_CHARS = 65_536
-# Slots of a period: the unit of the weights.
-PERIOD = 200
-MAX_PERIOD = 10_000
+# Blocks that the whole text is cut into, but for each source's last one.
+SLOTS = 2000
+# The sum of all weights, as whole numbers.
+UNITS = 1 << 36
 # Hash buckets of a source: hexadecimal digits of a digest.
 BUCKET_DIGITS = 3
 # Target weights, unless given: the size of a source to this power.
 TEMPERATURE = 0.5
 
 
-def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
-    """doc_id, source, chars, start (characters before it in its source) and block."""
+def _places(docs: DataFrame) -> DataFrame:
+    """doc_id, source, chars and start: the characters before it in its source."""
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = docs.select(
         "doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), order.alias("place")
@@ -60,86 +64,70 @@ def _blocks(docs: DataFrame, block_chars: int) -> DataFrame:
     )
     rows = rows.withColumn("offset", F.coalesce(F.sum("chars").over(inside), F.lit(0)))
     rows = rows.join(totals, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
-    start = F.col("base") + F.col("offset")
-    return rows.select(
-        "doc_id",
-        "source",
-        "chars",
-        start.alias("start"),
-        F.floor(start / F.lit(block_chars)).cast("long").alias("block"),
-    )
+    return rows.select("doc_id", "source", "chars", (F.col("base") + F.col("offset")).alias("start"))
+
+
+def units(weights: DataFrame) -> DataFrame:
+    """(source, units): positive weights as whole numbers, ``UNITS`` in sum but for rounding."""
+    known = weights.where("weight > 0")
+    # One row per source.
+    part = F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0)))
+    return known.select("source", F.greatest(F.lit(1), F.round(part * F.lit(UNITS))).cast("long").alias("units"))
 
 
-def shares(weights: DataFrame, period: int) -> DataFrame:
-    """Slots of a period for each (source, weight): largest remainders, one slot at least.
+def schedule(sources: DataFrame) -> DataFrame:
+    """(source, block, slot, release, deadline, on_target) of every block of ``sources`` (source, units, blocks).
 
-    The number of sources must not exceed the period.
+    Release and deadline are those since the last source ran out.
     """
-    if not 1 <= period <= MAX_PERIOD:
-        raise ValueError(f"a period has 1 to {MAX_PERIOD} slots")
-    known = weights.where("weight > 0")
-    # One row per source: everything below is as small as the list of sources.
-    every = Window.partitionBy(F.lit(0))
-    count = F.count("*").over(every)
-    fair = (F.lit(period) - count) * F.col("weight") / F.sum("weight").over(every)
-    known = known.select("source", "weight", fair.alias("fair"), count.alias("sources"))
-    known = known.withColumn("whole", F.floor("fair").cast("long"))
-    rank = F.row_number().over(every.orderBy(F.desc(F.round(F.col("fair") - F.col("whole"), 9)), "source"))
-    left = F.lit(period) - F.col("sources") - F.sum("whole").over(every)
-    known = known.withColumn("rank", rank).withColumn("left", left)
-    enough = F.assert_true(F.col("sources") <= period, F.lit("there are more sources than slots in a period"))
-    slots = 1 + F.col("whole") + F.when(F.col("rank") <= F.col("left"), 1).otherwise(0)
-    return known.select("source", F.coalesce(enough.cast("long"), slots).cast("long").alias("slots"))
-
-
-def schedule(share: DataFrame, period: int) -> DataFrame:
-    """(source, slots, turn, slot, release, deadline): the turns of one period, earliest deadline first."""
-    q = F.lit(period).cast("long")
-    state = share.agg(F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("tasks"))
-    count = "array<struct<source:string,slots:bigint,done:bigint>>"
-    state = state.withColumn("tasks", F.expr(f"cast(transform(tasks, x -> struct(x.source, x.slots, 0L)) as {count})"))
-    # The fold walks over the slots and carries how many blocks each source has had.
+    state = sources.where("blocks > 0").agg(
+        F.array_sort(F.collect_list(F.struct("source", "units", "blocks"))).alias("tasks"),
+        F.coalesce(F.sum("blocks"), F.lit(0)).alias("n"),
+    )
+    # The fold walks over the slots; start: the slot at which the last source ran out, total: the units still there.
+    task = "struct<units:bigint,left:bigint,done:bigint>"
+    pick = "struct<task:int,release:bigint,deadline:bigint,on_target:boolean>"
     order = F.expr(
         f"""
         aggregate(
-          sequence(0L, {period}L - 1),
-          struct(tasks as tasks, cast(array() as array<int>) as picks),
+          sequence(0L, n - 1),
+          struct(
+            cast(transform(tasks, x -> struct(x.units, x.blocks, 0L)) as array<{task}>) as tasks,
+            0L as start, aggregate(tasks, 0L, (a, x) -> a + x.units) as total,
+            cast(array() as array<{pick}>) as picks),
           (s, t) -> element_at(transform(
             array(array_min(filter(
               transform(s.tasks, (x, i) -> struct(
-                (({period}L * (x.done + 1) + x.slots - 1) div x.slots) as deadline, i as i,
-                x.done < x.slots and ({period}L * x.done) div x.slots <= t as ready)),
-              x -> x.ready)).i),
+                (s.start + ((x.done + 1) * s.total + x.units - 1) div x.units) as deadline, i as i,
+                (s.start + (x.done * s.total) div x.units) as release, x.left as left, x.units as units)),
+              x -> x.left > 0 and x.release <= t))),
             p -> struct(
               transform(s.tasks, (x, i) -> struct(
-                x.source as source, x.slots as slots, x.done + if(i = p, 1L, 0L) as done)) as tasks,
-              concat(s.picks, array(p)) as picks)), 1),
+                x.units as units, x.left - if(i = p.i, 1L, 0L) as left,
+                if(p.left = 1, 0L, x.done + if(i = p.i, 1L, 0L)) as done)) as tasks,
+              if(p.left = 1, t + 1, s.start) as start,
+              s.total - if(p.left = 1, p.units, 0L) as total,
+              concat(s.picks, array(struct(
+                p.i as task, p.release as release, p.deadline as deadline, s.start = 0L as on_target))) as picks)), 1),
           s -> s.picks)
         """
     )
-    picks = state.where("size(tasks) > 0").select("tasks", F.posexplode(order).alias("slot", "pick"))
+    picks = state.where("n > 0").select("tasks", F.posexplode(order).alias("slot", "pick"))
     picks = picks.select(
-        F.col("tasks")[F.col("pick")]["source"].alias("source"),
-        F.col("tasks")[F.col("pick")]["slots"].alias("slots"),
+        F.col("tasks")[F.col("pick.task")]["source"].alias("source"),
         F.col("slot").cast("long").alias("slot"),
+        "pick.release",
+        "pick.deadline",
+        "pick.on_target",
     )
     turn = F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1
-    picks = picks.withColumn("turn", turn.cast("long"))
-    return picks.select(
-        "source",
-        "slots",
-        "turn",
-        "slot",
-        F.expr("(turn * %d) div slots" % period).alias("release"),
-        F.expr("((turn + 1) * %d + slots - 1) div slots" % period).alias("deadline"),
-    )
+    return picks.withColumn("block", turn.cast("long"))
 
 
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
-    block_chars: int = BLOCK_CHARS,
-    period: int = PERIOD,
+    slots: int = SLOTS,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """Per document: block, slot, release and deadline of its block, and its place in the slot.
@@ -147,36 +135,36 @@ def mix(
     ``weights`` by source; by default the characters of a source to the power ``temperature``.
     """
     spark = docs.sparkSession
-    blocks = stored(_blocks(docs, block_chars), "mix-blocks")
-    extent = blocks.groupBy("source").agg(F.sum("chars").alias("chars"), F.max("block").alias("last"))
+    places = stored(_places(docs), "mix-places")
+    extent = places.groupBy("source").agg(F.sum("chars").alias("chars"), F.max("start").alias("last"))
     if weights is None:
         wanted = extent.select("source", F.pow(F.col("chars").cast("double"), F.lit(temperature)).alias("weight"))
     else:
         rows = [(k, float(v)) for k, v in weights.items()]
         wanted = spark.createDataFrame(rows, "source string, weight double")
-    plan = stored(schedule(shares(wanted, period), period), "mix-period")
-    turns = F.broadcast(plan.withColumnRenamed("source", "of"))  # one row per slot of a period
-    sizes = F.broadcast(plan.select(F.col("source").alias("own"), F.col("slots").alias("a")).distinct())
-    placed = blocks.join(sizes, F.col("source").eqNullSafe(F.col("own")), "left")
-    placed = placed.withColumn("cycle", F.expr("block div a")).withColumn("nth", F.expr("block % a"))
-    placed = placed.join(turns, F.col("source").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("turn")), "left")
-    ends = extent.join(sizes, F.col("source").eqNullSafe(F.col("own")))
-    ends = ends.withColumn("cycle", F.expr("(last + 1) div a")).withColumn("nth", F.expr("(last + 1) % a"))
-    ends = ends.join(turns, F.col("source").eqNullSafe(F.col("of")) & (F.col("nth") == F.col("turn")))
-    # One number: the first slot whose source has run out.
-    horizon = ends.agg(F.min(F.col("cycle") * period + F.col("slot")).alias("horizon")).first()["horizon"]
-    shift = F.col("cycle") * F.lit(period).cast("long")
-    slot = shift + F.col("slot")
+    # One number.
+    total = extent.agg(F.sum("chars").alias("chars")).first()["chars"] or 0
+    size = max(1, -(-total // slots))
+    wanted = units(wanted).withColumnRenamed("source", "own")
+    blocks = extent.select("source", F.expr(f"last div {size}L + 1").alias("blocks"))
+    sources = blocks.join(wanted, F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    plan = stored(schedule(sources), "mix-schedule").withColumnRenamed("source", "of")
+    plan = plan.withColumnRenamed("block", "turn")
+    placed = places.withColumn("block", F.expr(f"start div {size}L"))
+    # A row for each slot: ``slots`` and the number of sources at most.
+    placed = placed.join(
+        F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("turn")), "left"
+    )
     return placed.select(
         "doc_id",
         "source",
         "chars",
         "block",
-        slot.alias("slot"),
-        (shift + F.col("release")).alias("release"),
-        (shift + F.col("deadline")).alias("deadline"),
-        (F.col("start") - F.col("block") * F.lit(block_chars)).alias("place"),
-        F.coalesce(slot < F.lit(horizon).cast("long"), F.lit(False)).alias("on_target"),
+        "slot",
+        "release",
+        "deadline",
+        F.expr(f"start % {size}L").alias("place"),
+        F.coalesce("on_target", F.lit(False)).alias("on_target"),
     )
 
 
@@ -184,57 +172,53 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
-def mix_sql(documents: str = "documents") -> str:
-    """DuckDB SQL for ``mix`` with its defaults; the period by recursion over its slots."""
-    q = PERIOD
-    return f"""
-rows_ AS (
+OP3_SQL = f"""
+WITH RECURSIVE rows_ AS (
   SELECT doc_id, source, CAST(coalesce(length(text), 0) AS BIGINT) AS chars,
-    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM {documents}
+    md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
 ),
-cuts_ AS (
+places_ AS (
   SELECT doc_id, source, chars, CAST(coalesce(sum(chars) OVER (PARTITION BY source ORDER BY h, doc_id, chars
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM rows_
 ),
-blocks_ AS (SELECT *, start // {BLOCK_CHARS} AS block FROM cuts_),
-extent_ AS (SELECT source, sum(chars) AS chars, max(block) AS last FROM blocks_ GROUP BY source),
-weight_ AS (SELECT source, pow(CAST(chars AS DOUBLE), {TEMPERATURE}::DOUBLE) AS w FROM extent_ WHERE chars > 0),
-fair_ AS (SELECT source, ({q} - count(*) OVER ()) * w / sum(w) OVER () AS fair, count(*) OVER () AS m FROM weight_),
-whole_ AS (SELECT source, m, fair, CAST(floor(fair) AS BIGINT) AS whole FROM fair_),
-share_ AS (
-  SELECT source, 1 + whole + CASE WHEN row_number() OVER (ORDER BY round(fair - whole, 9) DESC, source NULLS FIRST)
-    <= {q} - m - sum(whole) OVER () THEN 1 ELSE 0 END AS a FROM whole_
+size_ AS (SELECT greatest(1, CAST(ceil(sum(chars) / {SLOTS}) AS BIGINT)) AS size FROM rows_),
+extent_ AS (
+  SELECT source, CAST(sum(chars) AS BIGINT) AS chars, max(start) // any_value(size) + 1 AS blocks
+  FROM places_, size_ GROUP BY source
+),
+weight_ AS (SELECT *, pow(CAST(chars AS DOUBLE), {TEMPERATURE}::DOUBLE) AS w FROM extent_ WHERE chars > 0),
+task_ AS (
+  SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, CAST(blocks AS BIGINT) AS blocks,
+    greatest(1, CAST(round(w / sum(w) OVER () * {UNITS}) AS BIGINT)) AS units FROM weight_
 ),
-task_ AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) AS i, source, CAST(a AS BIGINT) AS a FROM share_),
 walk_ AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, i, a, CAST(0 AS BIGINT) AS done, false AS picked FROM task_
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS start, i, units, blocks AS rest, CAST(0 AS BIGINT) AS done,
+    false AS picked, CAST(NULL AS BIGINT) AS release, CAST(NULL AS BIGINT) AS deadline, true AS on_target FROM task_
   UNION ALL
-  SELECT slot + 1, i, a, done + CASE WHEN p THEN 1 ELSE 0 END, p
+  SELECT t, CASE WHEN ended THEN t + 1 ELSE start END, i, units, rest - CASE WHEN p THEN 1 ELSE 0 END,
+    CASE WHEN ended THEN 0 WHEN p THEN done + 1 ELSE done END, p, r, d, start = 0
   FROM (
-    SELECT *, row_number() OVER (ORDER BY
-      CASE WHEN done < a AND ({q} * done) // a <= slot + 1 THEN 0 ELSE 1 END,
-      ({q} * (done + 1) + a - 1) // a, i) = 1 AS p
-    FROM walk_ WHERE slot < {q} - 1
+    SELECT *, bool_or(p AND rest = 1) OVER () AS ended
+    FROM (
+      SELECT *, row_number() OVER (ORDER BY CASE WHEN rest > 0 AND r <= t THEN 0 ELSE 1 END, d, i) = 1 AS p
+      FROM (
+        SELECT *, start + (done * total) // units AS r, start + ((done + 1) * total + units - 1) // units AS d
+        FROM (
+          SELECT slot + 1 AS t, start, i, units, rest, done,
+            CAST(sum(CASE WHEN rest > 0 THEN units ELSE 0 END) OVER () AS BIGINT) AS total,
+            max(rest) OVER () AS most
+          FROM walk_
+        ) WHERE most > 0
+      )
+    )
   )
 ),
 turn_ AS (
-  SELECT t.source, w.a, w.done - 1 AS turn, w.slot, ((w.done - 1) * {q}) // w.a AS release,
-    (w.done * {q} + w.a - 1) // w.a AS deadline
-  FROM walk_ AS w JOIN task_ AS t USING (i) WHERE picked
-),
-end_ AS (
-  SELECT min(((last + 1) // t.a) * {q} + t.slot) AS horizon
-  FROM extent_ AS e JOIN turn_ AS t ON e.source IS NOT DISTINCT FROM t.source AND (last + 1) % t.a = t.turn
-),
-mixed_ AS (
-  SELECT doc_id, b.source, chars, CAST(block AS BIGINT) AS block, CAST((block // a) * {q} + t.slot AS BIGINT) AS slot,
-    CAST((block // a) * {q} + t.release AS BIGINT) AS release,
-    CAST((block // a) * {q} + t.deadline AS BIGINT) AS deadline,
-    CAST(start - block * {BLOCK_CHARS} AS BIGINT) AS place,
-    coalesce((block // a) * {q} + t.slot < horizon, false) AS on_target
-  FROM blocks_ AS b
-  LEFT JOIN turn_ AS t ON b.source IS NOT DISTINCT FROM t.source AND b.block % t.a = t.turn, end_
-)"""
-
-
-OP3_SQL = f"WITH RECURSIVE {mix_sql()} SELECT * FROM mixed_"
+  SELECT t.source, row_number() OVER (PARTITION BY i ORDER BY slot) - 1 AS turn, slot, release, deadline, on_target
+  FROM walk_ JOIN task_ AS t USING (i) WHERE picked
+)
+SELECT doc_id, p.source, chars, CAST(start // size AS BIGINT) AS block, slot, release, deadline,
+  CAST(start - (start // size) * size AS BIGINT) AS place, coalesce(on_target, false) AS on_target
+FROM places_ AS p CROSS JOIN size_
+LEFT JOIN turn_ AS t ON p.source IS NOT DISTINCT FROM t.source AND p.start // size = t.turn
+"""
