@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from haberdash.llm.tables import stored, table
 
 # Blocks that the whole text is cut into, but for each source's last one.
-SLOTS = 2000
+SLOTS = 500
 # The sum of all weights, as whole numbers.
 UNITS = 1 << 36
 # Hash buckets of a source: hexadecimal digits of a digest.
