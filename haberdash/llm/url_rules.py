@@ -1,10 +1,13 @@
 """URL filter: host and path rules first, then a tree of path templates per host.
 
-The tree is grown level by level over distinct host and path pairs, in DataFrame
-operations only. At each node (host, template so far) digits of the next segment become
-``{n}``; a node with many children that hardly repeat makes them one wildcard ``*``; and
-children whose labelled share of blocked pages does not differ from the node's by more
-than ``Z`` standard errors are merged into ``~``. After ``DEPTH`` levels the rest is ``**``.
+The tree is grown from its roots over distinct host and path pairs, in DataFrame
+operations only. Digits of segments become ``{n}``. At each node (host, template so far) a
+node with many children that hardly repeat makes them one wildcard ``*``; and children
+whose labelled share of blocked pages does not differ from the node's by more than ``Z``
+standard errors are merged into ``~``. A child that stays as it is goes on, in the same
+round, by all segments that its paths share: nodes with one child change nothing. Rounds
+go on until no path has segments left, so they follow the branchings on one path, not its
+length, and a path leaves with the round that ends it.
 Labels are the verdicts of the rules. A template is rejected if its smoothed share of
 blocked labels, drawn to the template's share on all hosts and that to the overall
 share, is above one half.
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 
 from haberdash.llm.tables import stored, table
 
-DEPTH = 4
 # A node is variable from this many children on, if pages are fewer than REPEATS times as many.
 CHILDREN = 8
 REPEATS = 2
 Z = 1.96
+# Rounds whose ended paths are read as one union before they are written as one table.
+MAX_PARTS = 16
 # Weight, in labelled pages, of the wider share.
 PRIOR = 2.0
 
@@ -81,13 +85,16 @@ def _first_fit(rules: tuple[Rule, ...], host: Column, path: Column, value) -> Co
     return found
 
 
-def _grow(rows: DataFrame, level: int) -> DataFrame:
-    """Rows with their template one segment longer."""
-    segment = F.when(F.size("segments") > level, F.regexp_replace(F.col("segments")[level], "[0-9]+", "{n}"))
-    rows = rows.withColumn("child", segment)
-    inner = rows.where("child IS NOT NULL")
-    branches = inner.groupBy("host", "template", "child").agg(
-        F.sum("pages").alias("pages"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")
+def _grow(rows: DataFrame) -> DataFrame:
+    """Rows whose ``rest`` holds segments, with a template longer by one segment or more."""
+    rows = rows.withColumn("child", F.col("rest")[0])
+    # What lies between the least and the greatest rest shares their beginning.
+    branches = rows.groupBy("host", "template", "child").agg(
+        F.sum("pages").alias("pages"),
+        F.sum("labelled").alias("labelled"),
+        F.sum("blocked").alias("blocked"),
+        F.min("rest").alias("least"),
+        F.max("rest").alias("greatest"),
     )
     nodes = branches.groupBy("host", "template").agg(
         F.count("*").alias("kids"),
@@ -98,28 +105,48 @@ def _grow(rows: DataFrame, level: int) -> DataFrame:
     share = F.col("blocked") / F.col("labelled")
     pool = F.col("node_blocked") / F.col("node_labelled")
     near = F.abs(share - pool) <= Z * F.sqrt(pool * (1 - pool) / F.col("labelled"))
-    step = (
-        F.when((F.col("kids") >= CHILDREN) & (F.col("node_pages") < REPEATS * F.col("kids")), "*")
-        .when((F.col("kids") > 1) & (F.col("labelled") > 0) & near, "~")
-        .otherwise(F.col("child"))
+    step = F.when((F.col("kids") >= CHILDREN) & (F.col("node_pages") < REPEATS * F.col("kids")), "*").when(
+        (F.col("kids") > 1) & (F.col("labelled") > 0) & near, "~"
     )
-    steps = branches.join(nodes, ["host", "template"]).select("host", "template", "child", step.alias("step"))
-    grown = rows.join(steps, ["host", "template", "child"], "left")
-    longer = F.concat("template", F.lit("/"), "step")
-    return grown.select(
-        "host", "path", "segments", "pages", "labelled", "blocked", F.coalesce(longer, "template").alias("template")
+    same = F.zip_with("least", "greatest", lambda a, b: a.eqNullSafe(b))
+    differ = F.array_position(same, False)
+    shared = F.when(differ > 0, differ - 1).otherwise(F.size("least")).cast("int")
+    steps = branches.join(nodes, ["host", "template"]).select(
+        "host",
+        "template",
+        "child",
+        F.coalesce(step, F.array_join(F.slice("least", F.lit(1), shared), "/")).alias("step"),
+        F.when(step.isNull(), shared).otherwise(1).alias("taken"),
+    )
+    return rows.join(steps, ["host", "template", "child"]).select(
+        "host",
+        "path",
+        "pages",
+        "labelled",
+        "blocked",
+        F.concat("template", F.lit("/"), "step").alias("template"),
+        F.slice("rest", F.col("taken") + 1, F.size("rest")).alias("rest"),
     )
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(paths: DataFrame) -> DataFrame:
     """host, path, pages, labelled, blocked of distinct pairs, with the template of each."""
-    segments = F.expr("slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0))")
-    rows = paths.select("*", segments.alias("segments"), F.lit("").alias("template"))
-    for level in range(depth):
-        # Each level reads its rows twice.
-        rows = stored(_grow(rows, level), f"url-level-{level}")
-    tail = F.when(F.size("segments") > depth, "/**").otherwise("")
-    return rows.withColumn("template", F.concat("template", tail)).drop("segments")
+    segments = F.split(F.regexp_replace("path", "[0-9]+", "{n}"), "/")
+    rest = F.slice(segments, F.lit(2), F.size(segments))
+    # Each round reads its rows twice.
+    growing = stored(paths.select("*", F.lit("").alias("template"), rest.alias("rest")), "url-paths")
+    grown = None
+    parts = 0
+    while True:
+        ended = growing.where(F.size("rest") == 0).drop("rest")
+        grown = ended if grown is None else grown.unionByName(ended)
+        parts += 1
+        growing = growing.where(F.size("rest") > 0)
+        if growing.isEmpty():
+            return grown
+        if parts == MAX_PARTS:
+            grown, parts = stored(grown, "url-grown"), 1
+        growing = stored(_grow(growing), "url-round")
 
 
 def _smoothed(blocked: Column, labelled: Column, wider: Column) -> Column:
@@ -168,34 +195,6 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judge(table(spark, folder, "pages")).drop("template", "blocked_share")
 
 
-def _level_sql(level: int) -> str:
-    return f"""
-c{level} AS (
-  SELECT *, CASE WHEN len(segments) > {level}
-    THEN regexp_replace(segments[{level + 1}], '[0-9]+', '{{n}}', 'g') END AS child FROM r{level}
-),
-b{level} AS (
-  SELECT host, template, child, sum(pages) AS pages, sum(labelled) AS labelled, sum(blocked) AS blocked
-  FROM c{level} WHERE child IS NOT NULL GROUP BY ALL
-),
-n{level} AS (
-  SELECT host, template, count(*) AS kids, sum(pages) AS np, sum(labelled) AS nl, sum(blocked) AS nb
-  FROM b{level} GROUP BY ALL
-),
-s{level} AS (
-  SELECT host, template, child, CASE
-    WHEN kids >= {CHILDREN} AND np < {REPEATS} * kids THEN '*'
-    WHEN kids > 1 AND labelled > 0 AND abs(blocked / labelled - nb / nl)
-      <= {Z}::DOUBLE * sqrt((nb / nl) * (1 - nb / nl) / labelled) THEN '~'
-    ELSE child END AS step
-  FROM b{level} JOIN n{level} USING (host, template)
-),
-r{level + 1} AS (
-  SELECT host, path, segments, pages, labelled, blocked, coalesce(template || '/' || step, template) AS template
-  FROM c{level} LEFT JOIN s{level} USING (host, template, child)
-)"""
-
-
 def _case(value) -> str:
     whens = "".join(
         f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{value(r)}'"
@@ -205,7 +204,7 @@ def _case(value) -> str:
 
 
 OP6_SQL = f"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
   FROM pages
 ),
@@ -214,15 +213,31 @@ p AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ),
 v AS (SELECT *, {_case(lambda r: r.verdict)} AS said, {_case(lambda r: r.text)} AS rule FROM p),
-r0 AS (
+r AS (
   SELECT host, path, string_split(path, '/')[2:] AS segments, count(*) AS pages,
-    count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS template
+    count(said) AS labelled, count(*) FILTER (said = 'block') AS blocked, '' AS template, 0 AS level
   FROM v GROUP BY host, path
-),{",".join(_level_sql(i) for i in range(DEPTH))},
-t AS (
-  SELECT host, path, labelled, blocked, template || CASE WHEN len(segments) > {DEPTH} THEN '/**' ELSE '' END AS template
-  FROM r{DEPTH}
+  UNION ALL
+  SELECT host, path, segments, pages, labelled, blocked, template || '/' || CASE
+    WHEN kids >= {CHILDREN} AND np < {REPEATS} * kids THEN '*'
+    WHEN kids > 1 AND cl > 0 AND abs(cb / cl - nb / nl) <= {Z}::DOUBLE * sqrt((nb / nl) * (1 - nb / nl) / cl) THEN '~'
+    ELSE child END, level + 1
+  FROM (
+    SELECT *, sum(CASE WHEN nth = 1 THEN 1 ELSE 0 END) OVER node AS kids, sum(pages) OVER node AS np,
+      sum(labelled) OVER node AS nl, sum(blocked) OVER node AS nb
+    FROM (
+      SELECT *, row_number() OVER (PARTITION BY host, template, child ORDER BY path) AS nth,
+        sum(labelled) OVER (PARTITION BY host, template, child) AS cl,
+        sum(blocked) OVER (PARTITION BY host, template, child) AS cb
+      FROM (
+        SELECT *, regexp_replace(segments[level + 1], '[0-9]+', '{{n}}', 'g') AS child FROM r
+        WHERE level < len(segments)
+      )
+    )
+    WINDOW node AS (PARTITION BY host, template)
+  )
 ),
+t AS (SELECT host, path, labelled, blocked, template FROM r WHERE level = len(segments)),
 h AS (SELECT host, template, sum(labelled) AS l, sum(blocked) AS b FROM t GROUP BY ALL),
 e AS (SELECT template, sum(l) AS al, sum(b) AS ab FROM h GROUP BY ALL),
 o AS (SELECT coalesce(sum(b) / nullif(sum(l), 0), 0) AS base FROM h),

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from rows import by_id
 
 from haberdash.llm import url_rules
@@ -54,5 +57,69 @@ def test_rows_are_kept(spark):
     frame = pages(spark, ["http://a.net/x", "http://a.net/x", None, "http://a.net/x"], [1, 1, None, None])
     assert url_rules.judge(frame).count() == 4
     assert url_rules.judge(frame.limit(0)).count() == 0
-    deep = pages(spark, ["http://a.net/" + "a/" * 20_000])
-    assert url_rules.judge(deep).first()["template"] == "/a/a/a/a/**"
+
+
+def test_paths_of_any_depth(spark):
+    found = by_id(url_rules.judge(pages(spark, ["http://a.net/" + "a/" * 20_000, "http://a.net/" + "a/" * 19_999 + "b"])), "page_id")
+    assert found[0]["template"] == "/a" * 20_000 + "/" and found[1]["template"] == "/a" * 19_999 + "/b"
+    # Labels tell the branches apart only at the seventh segment, and a wildcard stands at the eighth.
+    deep = [f"http://{host}/1/2/3/4/5/6/{part}/{'abcdefghijkl'[i]}/end" for host in ("x.com",) for part in ("p", "q") for i in range(12)]
+    found = by_id(url_rules.judge(pages(spark, deep)), "page_id")
+    assert {r["template"] for r in found.values()} == {f"/{{n}}/{{n}}/{{n}}/{{n}}/{{n}}/{{n}}/{p}/*/end" for p in "pq"}
+
+
+def test_ended_paths_are_written_when_rounds_are_many(spark, monkeypatch):
+    urls = ["http://a.net" + "/a" * n for n in range(6)]
+    plain = by_id(url_rules.judge(pages(spark, urls)), "page_id")
+    monkeypatch.setattr(url_rules, "MAX_PARTS", 2)
+    assert by_id(url_rules.judge(pages(spark, urls)), "page_id") == plain
+    assert [plain[n]["template"] for n in range(6)] == ["/a" * n for n in range(6)]
+
+
+def plain_templates(rows):
+    """Templates of {(host, path): (pages, labelled, blocked)}, node by node."""
+    out, nodes = {}, {}
+    for (host, path), sums in rows.items():
+        rest = [re.sub("[0-9]+", "{n}", s) for s in path.split("/")[1:]]
+        nodes.setdefault((host, ""), []).append((path, rest, sums))
+    while nodes:
+        following = {}
+        for (host, template), members in nodes.items():
+            children = {}
+            for member in members:
+                if member[1]:
+                    children.setdefault(member[1][0], []).append(member)
+                else:
+                    out[host, member[0]] = template
+            total = [sum(m[2][i] for c in children.values() for m in c) for i in range(3)]
+            for child, own in children.items():
+                labelled, blocked = (sum(m[2][i] for m in own) for i in (1, 2))
+                step = child
+                if len(children) >= url_rules.CHILDREN and total[0] < url_rules.REPEATS * len(children):
+                    step = "*"
+                elif len(children) > 1 and labelled:
+                    pool = total[2] / total[1]
+                    if abs(blocked / labelled - pool) <= url_rules.Z * (pool * (1 - pool) / labelled) ** 0.5:
+                        step = "~"
+                key = (host, f"{template}/{step}")
+                following.setdefault(key, []).extend((p, rest[1:], s) for p, rest, s in own)
+        nodes = following
+    return out
+
+
+def test_templates_equal_a_plain_tree(spark):
+    rng = random.Random(11)
+    rows = {}
+    for _ in range(1500):
+        path = "".join("/" + rng.choice(["a", "b", "c7", "", "c", f"w{chr(97 + rng.randrange(26))}"]) for _ in range(rng.randrange(9)))
+        pages_n = rng.randrange(1, 4)
+        labelled = rng.choice([0, pages_n])
+        rows[rng.choice(["x", "y"]), path] = (pages_n, labelled, labelled if "/b" in path or rng.random() < 0.1 else 0)
+    for name in sorted({"".join(rng.choices("abcdefgh", k=5)) for _ in range(40)}):
+        rows["z", f"/user/{name}" + rng.choice(["", "/x", "/y/1", "/y/b"])] = (1, 0, 0)
+    frame = spark.createDataFrame(
+        [(h, p, *sums) for (h, p), sums in rows.items()], "host string, path string, pages long, labelled long, blocked long"
+    )
+    found = {(r["host"], r["path"]): r["template"] for r in url_rules.templates(frame).collect()}
+    assert found == plain_templates(rows)
+    assert {"*", "~"} <= {part for t in found.values() for part in t.split("/")}
