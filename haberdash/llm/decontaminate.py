@@ -6,13 +6,15 @@ are verified word by word, words inside verified windows are hit, and a document
 with at least 5 % of its words hit is contaminated.
 
 The set is broadcast while it holds at most ``MAX_BROADCAST_WINDOWS`` windows. A
-larger benchmark is joined: document windows meet benchmark windows by hash in a
-shuffle, with the same result.
+larger benchmark is joined, with the same result: document windows, a few numbers
+each, meet distinct benchmark windows by hash in a shuffle; what matches goes back to
+its document, whose words are compared with the window's and then cut or counted.
 
 Defined cases: NULL or empty text has no words, no hits and is clean; an item
 without words has no windows; an item with NULL id marks words but is not listed;
-repeated items or documents count as they stand, items once per id; NULL document
-ids are kept; extra columns of documents pass through ``decontaminate``.
+item ids may have any type and are listed as text; repeated items or documents count
+as they stand, items once per id; NULL document ids are kept; extra columns of
+documents pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -124,15 +126,7 @@ def _scan(known):
                     items[t] = sorted(x for x in names if x is not None)
                 spans: list[list[dict]] = [[] for _ in range(last - row)]
                 for t in np.flatnonzero(n_hit):
-                    lo, hi = words.bounds[t], words.bounds[t + 1]
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]])))
-                    spans[t] = [
-                        {
-                            "first": _points(words.data, offsets[t], words.start[lo + a]),
-                            "last": _points(words.data, offsets[t], words.end[lo + b - 1]),
-                        }
-                        for a, b in zip(edge[::2], edge[1::2])
-                    ]
+                    spans[t] = _hit_spans(words, offsets, t, hit)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, last - row).cast(pa.int64()),
@@ -147,89 +141,192 @@ def _scan(known):
     return scan
 
 
-def _points(data: np.ndarray, start: int, end: int) -> int:
-    """Code points from byte ``start`` to byte ``end``."""
-    return int(np.count_nonzero((data[start:end] & 0xC0) != 0x80))
+def _hit_spans(words: Words, offsets: np.ndarray, t: int, hit: np.ndarray) -> list[dict]:
+    """Runs of hit words of text ``t`` in code points, end exclusive."""
+    lo, hi = words.bounds[t], words.bounds[t + 1]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[lo:hi].astype(np.int8), [0]])))
+    points = np.cumsum((words.data[offsets[t] : offsets[t + 1]] & 0xC0) != 0x80)
+    points = np.concatenate([[0], points])
+    first = points[words.start[lo + edge[::2]] - offsets[t]]
+    last = points[words.end[lo + edge[1::2] - 1] - offsets[t]]
+    return [{"first": int(a), "last": int(b)} for a, b in zip(first, last)]
 
 
-def _all_windows(size: int | None):
-    """Rows (hash, size, doc_id, position) of all windows; ``size`` None: one per whole short text."""
+def _cut(text: str, spans: list[dict]) -> str:
+    kept, at = [], 0
+    for span in spans:
+        kept.append(text[at : span["first"]])
+        at = span["last"]
+    return "".join([*kept, text[at:]])
+
+
+def _document_windows(sizes: list[int]):
+    """Rows (window, size, row, at) of all windows of the given sizes."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, last, data, offsets in slices(batch.column(1)):
+            for row, _, data, offsets in slices(batch.column(1)):
                 words = split_words(data, offsets, ALNUM)
-                sizes = [size] if size else range(1, WINDOW + 1)
-                for k in sizes:
-                    first, hashes = words.windows(k)
+                for size in sizes:
+                    first, hashes = words.windows(size)
                     text = words.text[first]
-                    if size is None:
-                        n = np.diff(words.bounds)[text]
-                        keep = (n >= k) if k == WINDOW else (n == k)
-                        first, hashes, text = first[keep], hashes[keep], text[keep]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(signed(hashes)),
-                            pa.array(np.full(len(first), k, np.int32)),
-                            batch.column(0).slice(row).take(pa.array(text)).cast(pa.int64()),
+                            pa.array(np.full(len(first), size, np.int32)),
+                            batch.column(0).slice(row).take(pa.array(text)),
                             pa.array(first - words.bounds[text], pa.int64()),
                         ],
-                        names=["window", "size", "id", "at"],
+                        names=["window", "size", "row", "at"],
                     )
 
     return emit
 
 
-def _joined(lines: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Findings by ``row`` from a shuffle of windows, for a benchmark too large to broadcast.
+def _word_list(words: Words, t: int) -> list[bytes]:
+    lo, hi = words.bounds[t], words.bounds[t + 1]
+    if lo == hi:
+        return []
+    base = words.start[lo]
+    data = words.data[base : words.end[hi - 1]].tobytes()
+    return [data[a:b] for a, b in zip((words.start[lo:hi] - base).tolist(), (words.end[lo:hi] - base).tolist())]
 
-    A window is two independent facts, its 64-bit hash and its length; equal ones
-    are taken as equal words here.
-    """
-    schema = "window long, size int, id long, at long"
-    items = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(_all_windows(None), schema)
-    items = items.select("window", "size", F.col("id").alias("item_id")).distinct()
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # at most 13
-    hits = None
-    for size in sizes:
-        found = lines.select("row", "text").mapInArrow(_all_windows(size), schema)
-        found = found.join(items, ["window", "size"]).select(
-            F.col("id").alias("row"), "item_id", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("at")
-        )
-        hits = found if hits is None else hits.unionByName(found)
-    counts = lines.select("row", "doc_id", "text").mapInArrow(_word_counts, "row long, doc_id long, n_words long")
-    if hits is None:
-        return counts.select(
-            "row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")
-        )
-    n_hit = hits.select("row", "at").distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    names = hits.select("row", F.col("item_id").cast("string").alias("item")).distinct()
-    names = names.groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return (
-        counts.join(n_hit, "row", "left")
-        .join(names, "row", "left")
-        .select(
-            "row",
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (window, size, phrase, item) of benchmark items."""
+    for batch in batches:
+        for row, last, data, offsets in slices(batch.column(1)):
+            words = split_words(data, offsets, ALNUM)
+            for i in range(last - row):
+                lo, hi = words.bounds[i], words.bounds[i + 1]
+                size = int(min(WINDOW, hi - lo))
+                if not size:
+                    continue
+                alone = Words(words.hash[lo:hi], words.start[lo:hi], words.end[lo:hi],
+                              words.text[lo:hi], np.array([0, hi - lo]), words.data)
+                first, hashes = alone.windows(size)
+                listed = _word_list(alone, 0)
+                phrases = [b" ".join(listed[f : f + size]).decode() for f in first.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(signed(hashes)),
+                        pa.array(np.full(len(first), size, np.int32)),
+                        pa.array(phrases, pa.string()),
+                        pa.array([batch.column(0)[row + i].as_py()] * len(first), pa.string()),
+                    ],
+                    names=["window", "size", "phrase", "item"],
+                )
+
+
+def _verified(texts: pa.Array, near: pa.Array) -> Iterator[tuple[int, int, list[int], list[dict]]]:
+    """Words, hit words, window numbers and spans of each text, after comparing the windows in ``near``."""
+    for row, last, data, offsets in slices(texts):
+        words = split_words(data, offsets, ALNUM)
+        for t in range(last - row):
+            n_words = int(words.bounds[t + 1] - words.bounds[t])
+            candidates = near[row + t].as_py()
+            if not candidates:
+                yield n_words, 0, [], []
+                continue
+            listed = _word_list(words, t)
+            same = [
+                c for c in candidates if b" ".join(listed[c["at"] : c["at"] + c["size"]]) == c["phrase"].encode()
+            ]
+            hit = np.zeros(len(words.hash), bool)
+            first = np.array([c["at"] for c in same], np.int64)
+            hit[words.bounds[t] : words.bounds[t + 1]] = _cover(n_words, first, np.array([c["size"] for c in same], np.int64))
+            yield n_words, int(hit.sum()), sorted({c["number"] for c in same}), _hit_spans(words, offsets, t, hit)
+
+
+def _judge_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = list(_verified(batch.column("text"), batch.column("near")))
+        n_words, n_hit, numbers, spans = zip(*found) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"),
+                batch.column("doc_id").cast(pa.int64()),
+                pa.array(n_words, pa.int64()),
+                pa.array(n_hit, pa.int64()),
+                pa.array(numbers, pa.list_(pa.int64())),
+                pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
+            ],
+            names=["row", "doc_id", "n_words", "n_hit", "numbers", "spans"],
         )
+
+
+_JUDGED = (
+    "row long, doc_id long, n_words long, n_hit long, numbers array<long>, spans array<struct<first: int, last: int>>"
+)
+
+
+def _matched(lines: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lines`` (row, text and more) with ``near``, the windows of equal hash; and the items of each window number.
+
+    A window that stands in many documents or items is one row of the smaller side; a
+    document's matches are at most one per word and size, but for equal hashes.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = items.mapInArrow(_item_windows, "window long, size int, phrase string, item string")
+    items = stored(items.distinct(), "item-windows")
+    known = items.select("window", "size", "phrase").distinct()
+    known = stored(known.withColumn("number", F.monotonically_increasing_id()), "windows")
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most 13
+    windows = lines.select("row", "text").mapInArrow(
+        _document_windows(sizes), "window long, size int, row long, at long"
     )
+    near = windows.join(known, ["window", "size"]).groupBy("row").agg(
+        F.collect_list(F.struct("at", "size", "number", "phrase")).alias("near")
+    )
+    owners = items.where("item IS NOT NULL").join(known, ["window", "size", "phrase"]).select("number", "item")
+    return lines.join(near, "row", "left"), owners
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, last, data, offsets in slices(batch.column("text")):
-            words = split_words(data, offsets, ALNUM)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row").slice(row, last - row),
-                    batch.column("doc_id").slice(row, last - row).cast(pa.int64()),
-                    pa.array(np.diff(words.bounds), pa.int64()),
-                ],
-                names=["row", "doc_id", "n_words"],
-            )
+def _joined(lines: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Findings by ``row`` from a shuffle of windows, for a benchmark too large to broadcast."""
+    matched, owners = _matched(lines, benchmark)
+    found = stored(matched.select("row", "doc_id", "text", "near").mapInArrow(_judge_joined, _JUDGED), "found")
+    names = found.select("row", F.explode("numbers").alias("number")).join(owners, "number")
+    names = names.select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return found.join(names, "row", "left").select(
+        "row",
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "spans",
+    )
+
+
+def _clean_joined(docs: DataFrame, benchmark: DataFrame, spans: bool) -> DataFrame:
+    """``decontaminate`` by a shuffle of windows."""
+    # Columns go by number inside, so that no name can clash.
+    names = docs.columns
+    lines = _numbered(docs.toDF(*(f"c{i}" for i in range(len(names)))))
+    text = f"c{names.index('text')}"
+    matched, _ = _matched(lines.withColumnRenamed(text, "text"), benchmark)
+    kept = [c if c != text else "text" for c in lines.columns if c != "row"]
+    plain = matched.select(*kept, "near")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = kept.index("text")
+        for batch in batches:
+            texts, near = batch.column(at), batch.column("near")
+            found = list(_verified(texts, near))
+            own = pa.RecordBatch.from_arrays(batch.columns[:-1], names=kept)
+            if spans:
+                cut = [t if t is None else _cut(t, f[3]) for t, f in zip(texts.to_pylist(), found)]
+                own = own.set_column(at, "text", pa.array(cut, texts.type))
+                yield own
+            else:
+                yield own.filter(pa.array([not _contaminated(f[1], f[0]) for f in found], pa.bool_()))
+
+    return plain.mapInArrow(clean, plain.drop("near").schema).toDF(*names)
+
+
+def _contaminated(n_hit, n_words):
+    """The verdict on numbers, arrays or columns."""
+    return (n_hit > 0) & (CONTAMINATED_PART * n_hit >= n_words)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -247,7 +344,7 @@ def _broadcast_windows(benchmark: DataFrame, max_windows: int):
 
 
 def findings(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """Per document: words, hit words, items met, and (broadcast form) hit spans in code points."""
+    """Per document: words, hit words, items met, and hit spans in code points."""
     known = _broadcast_windows(benchmark, max_windows)
     if known is None:
         return _joined(_numbered(docs.select("doc_id", "text")), benchmark).drop("row")
@@ -256,9 +353,7 @@ def findings(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_BROAD
 
 def judged(found: DataFrame) -> DataFrame:
     """Findings with the verdict."""
-    return found.withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (CONTAMINATED_PART * F.col("n_hit") >= F.col("n_words"))
-    )
+    return found.withColumn("contaminated", _contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def decontaminate(
@@ -266,20 +361,12 @@ def decontaminate(
 ) -> DataFrame:
     """Documents without the contaminated ones or, with ``spans``, all documents without hit spans.
 
-    Columns are those of ``docs``. One pass: texts meet the window set where they lie.
-    Cutting spans needs the broadcast form.
+    Columns are those of ``docs``. One pass: texts meet the window set where they lie,
+    unless the benchmark is too large to broadcast.
     """
     known = _broadcast_windows(benchmark, max_windows)
     if known is None:
-        if spans:
-            raise ValueError("the benchmark is too large to cut spans; drop documents instead")
-        # Columns go by number inside, so that no name can clash.
-        names = docs.columns
-        lines = _numbered(docs.toDF(*(f"c{i}" for i in range(len(names)))))
-        key, text = f"c{names.index('doc_id')}", f"c{names.index('text')}"
-        named = lines.select("row", F.col(key).alias("doc_id"), F.col(text).alias("text"))
-        bad = judged(_joined(named, benchmark)).where("contaminated").select("row")
-        return lines.join(bad, "row", "left_anti").drop("row").toDF(*names)
+        return _clean_joined(docs, benchmark, spans)
     at = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,13 +380,11 @@ def decontaminate(
                 continue
             n_hit, n_words = found["n_hit"].to_numpy(), found["n_words"].to_numpy()
             if not spans:
-                kept = ~((n_hit > 0) & (CONTAMINATED_PART * n_hit >= n_words))
-                yield batch.filter(pa.array(kept))
+                yield batch.filter(pa.array(~_contaminated(n_hit, n_words)))
                 continue
             texts = batch.column(at).to_pylist()
             for i in np.flatnonzero(n_hit):
-                for span in reversed(found["spans"][int(i)].as_py()):
-                    texts[i] = texts[i][: span["first"]] + texts[i][span["last"] :]
+                texts[i] = _cut(texts[i], found["spans"][int(i)].as_py())
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
