@@ -22,6 +22,9 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--csv", required=True, help="folder with the seven CSV exports")
     parser.add_argument("--out", required=True, help="folder for the results")
     parser.add_argument("--store", help="folder for the stored layers")
+    parser.add_argument(
+        "--set-aside", action="store_true", help="write rows that do not fit to <out>/rejected_rows instead of stopping"
+    )
     day = dt.date.fromisoformat
     parser.add_argument("--sales-cutoff", type=day, default=dt.date(2024, 1, 1))
     parser.add_argument("--event-cutoff", type=day, default=dt.date(2024, 1, 1))
@@ -33,8 +36,10 @@ def main(arguments: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName("haberdash").getOrCreate()
     warehouse = Warehouse.from_csv(
-        spark, chosen.csv, chosen.sales_cutoff, chosen.event_cutoff, root=chosen.store
+        spark, chosen.csv, chosen.sales_cutoff, chosen.event_cutoff, root=chosen.store, set_aside=chosen.set_aside
     )
+    if chosen.set_aside:
+        warehouse.rejected().write.mode("overwrite").parquet(f"{chosen.out}/rejected_rows")
     warehouse.build_model()
     for name in chosen.queries or QUERIES:
         QUERIES[name](warehouse).write.mode("overwrite").parquet(f"{chosen.out}/{name}")

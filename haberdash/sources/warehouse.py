@@ -10,6 +10,7 @@ needs it.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import tempfile
 import threading
@@ -205,6 +206,7 @@ class Warehouse:
     of events. ``states`` lists the state of the files behind each relation; a stored
     table belongs to the states of the relations it is made of, so files that change
     cost a new version of that relation and of what depends on it, and nothing else.
+    ``reject`` maps a relation name to the rows that its import sets aside, if any may be.
     """
 
     def __init__(
@@ -215,12 +217,14 @@ class Warehouse:
         event_cutoff: dt.date,
         in_place: Collection[str] = (),
         states: Callable[[], Mapping[str, str]] = dict,
+        reject: Callable[[str], DataFrame] | None = None,
     ) -> None:
         self.store = store
         self.spark = store.spark
         self.sales_cutoff = sales_cutoff
         self.event_cutoff = event_cutoff
         self._load = load
+        self._reject = reject
         self._in_place = frozenset(in_place)
         self._list_states = states
         self._states = dict(states())
@@ -236,19 +240,23 @@ class Warehouse:
         sales_cutoff: dt.date,
         event_cutoff: dt.date,
         root: str | None = None,
+        set_aside: bool = False,
     ) -> Warehouse:
         """Import ``folder/<relation>.csv`` for each of the seven relations.
 
         ``root`` is where the stored layers go, by default a folder under the shared
-        one. A later session on the same files and root finds them there.
+        one. A later session on the same files and root finds them there. A row that does
+        not fit ends the import or, if such rows are ``set_aside``, goes to ``rejected``;
+        the two kinds of import share no stored table.
         """
         paths = {name: f"{folder}/{name}.csv" for name in SOURCE_SCHEMAS}
         return cls(
-            own_store(spark, root, paths.values()),
-            lambda name: files.read_csv(spark, name, paths[name]),
+            own_store(spark, root, [*paths.values(), *(["rows set aside"] if set_aside else [])]),
+            lambda name: files.read_csv(spark, name, paths[name], set_aside),
             sales_cutoff,
             event_cutoff,
             states=lambda: files.fingerprints(spark, paths),
+            reject=(lambda name: files.rejected_rows(spark, name, paths[name])) if set_aside else None,
         )
 
     @classmethod
@@ -285,6 +293,19 @@ class Warehouse:
             return self._read[name]
         return self.store.table(f"src/{name}", lambda: self._load(name), self._state([name]))
 
+    def rejected(self, *names: str) -> DataFrame:
+        """Rows that the import of ``names`` (by default all) set aside: relation, file, line, columns.
+
+        Stored per relation for the state of its files, in a second pass over them.
+        """
+        if self._reject is None:
+            raise ValueError("this import sets no rows aside")
+        parts = [
+            self.store.table(f"rejected/{name}", lambda name=name: self._reject(name), self._state([name]))
+            for name in names or SOURCE_SCHEMAS
+        ]
+        return functools.reduce(DataFrame.unionByName, parts)
+
     def cleaned(self, name: str) -> DataFrame:
         return cleaned.VIEWS[name](self.source(name))
 

@@ -48,6 +48,56 @@ def test_csv_row_of_the_wrong_type_fails(spark, tmp_path):
         files.read_csv(spark, "distribution_centers", f"{tmp_path}/centers.csv").collect()
 
 
+BAD_CENTERS = (
+    "name,id,extra,latitude,longitude\n"
+    "East,1,x,1.5,2.0\n"
+    'We"st,2,x,north,south\n'
+    '"a, ""b""",three,,1.0,\n'
+    "short,4\n"
+    "long,5,x,1.0,2.0,6\n"
+    ",,,,\n"
+)
+
+
+def test_csv_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    (tmp_path / "centers.csv").write_text(BAD_CENTERS)
+    path = f"{tmp_path}/centers.csv"
+    kept = files.read_csv(spark, "distribution_centers", path, set_aside=True)
+    assert [r[:] for r in kept.collect()] == [(1, "East", 1.5, 2.0), (None, None, None, None)]
+    assert kept.count() == 2 and kept.select("name").count() == 2 and kept.where("latitude = 1.0").count() == 0
+    rejected = files.rejected_rows(spark, "distribution_centers", path)
+    assert rejected.columns == ["relation", "file", "line", "columns"]
+    lines = BAD_CENTERS.splitlines()
+    found = {r["line"]: r["columns"] for r in rejected.collect()}
+    assert found == {lines[2]: ["latitude", "longitude"], lines[3]: ["id"], lines[4]: [], lines[5]: []}
+    assert rejected.count() == 4 and all(r["file"].endswith("/centers.csv") for r in rejected.collect())
+
+
+def test_warehouse_keeps_rejected_rows_apart(spark, folder, tmp_path):
+    (tmp_path / "in" / "distribution_centers.csv" / "part-bad.csv").write_text(
+        "id,name,latitude,longitude\nx1,North,1.0,1.0\n"
+    )
+    root = f"{tmp_path}/out"
+    strict = Warehouse.from_csv(spark, folder, CUTOFF, CUTOFF, root=root)
+    with pytest.raises(Exception, match="MALFORMED_RECORD|Malformed"):
+        strict.source("distribution_centers")
+    with pytest.raises(ValueError, match="sets no rows aside"):
+        strict.rejected()
+    lenient = Warehouse.from_csv(spark, folder, CUTOFF, CUTOFF, root=root, set_aside=True)
+    assert lenient.source("distribution_centers").count() == 1
+    assert [(r["relation"], r["line"], r["columns"]) for r in lenient.rejected().collect()] == [
+        ("distribution_centers", "x1,North,1.0,1.0", ["id"])
+    ]
+    assert lenient.rejected("users").count() == 0
+    # Files that change bring new rejected rows with them.
+    (tmp_path / "in" / "distribution_centers.csv" / "part-worse.csv").write_text(
+        "id,name,latitude,longitude\n7,South,1.0,far\n8,Mid,1.0,2.0\n"
+    )
+    lenient.update()
+    assert lenient.source("distribution_centers").count() == 2
+    assert lenient.rejected("distribution_centers").count() == 2
+
+
 def test_csv_with_other_columns_fails(spark, tmp_path):
     (tmp_path / "centers.csv").write_text("id,label,latitude,longitude\n1,East,1.0,2.0\n")
     with pytest.raises(Exception, match="header does not conform"):
