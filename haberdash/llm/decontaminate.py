@@ -202,10 +202,9 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 size = int(min(WINDOW, hi - lo))
                 if not size:
                     continue
-                alone = Words(words.hash[lo:hi], words.start[lo:hi], words.end[lo:hi],
-                              words.text[lo:hi], np.array([0, hi - lo]), words.data)
-                first, hashes = alone.windows(size)
-                listed = _word_list(alone, 0)
+                first = np.arange(hi - lo - size + 1)
+                hashes = run_hash(words.hash, first + lo, size)
+                listed = _word_list(words, i)
                 phrases = [b" ".join(listed[f : f + size]).decode() for f in first.tolist()]
                 yield pa.RecordBatch.from_arrays(
                     [
