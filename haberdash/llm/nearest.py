@@ -2,12 +2,15 @@
 
 A vector minus the common centre is normalised and turned by a random rotation; the
 signs are its code, one packed bit per dimension, with two scalars: its length and the
-inner product of code and vector. From these the inner product with any query is
-estimated without bias, and the error is bounded with high probability. A vector is
-reranked on the original components if its upper bound reaches the 20th best seen.
-
-Vectors lie in blocks of about ``BLOCK`` rows chosen by hash, queries in smaller ones;
-each pair of blocks is one task row, so neither side is ever gathered. Every row is
+inner product of code and vector. ``ROTATIONS`` such codes are averaged. Queries are turned
+alike and rounded to ``QUERY_BITS`` bits, so counts of common bits of packed words give
+an estimate of the inner product without bias, and its error is bounded with high
+probability. A vector is reranked on the original components if its upper bound reaches
+the 20th best seen, at first among the rows of ``SEEDS`` times as many best estimates.
+
+Vectors lie in blocks of about ``BLOCK_BYTES`` chosen by hash, fewer while cores are idle,
+queries in smaller ones; each pair of blocks is one task row, so neither side is ever
+gathered, and a block of queries moves once for a large block of vectors. Every row is
 indexed; the centre alone comes from a sample of ``SAMPLE`` rows.
 
 Defined cases: NULL ids, and NULL, empty, zero vectors or those with NULL or non-finite
@@ -23,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +34,17 @@ from haberdash.llm.tables import stored, table
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
+# Bytes of vectors in a block, and rows that are worth a block while cores are idle.
+BLOCK_BYTES = 16 << 20
 BLOCK = 4096
 QUERY_BLOCK = 512
+# One-bit codes of a vector, each by its own rotation.
+ROTATIONS = 4
+# Bits that a component of a query is rounded to, and queries compared at once.
+QUERY_BITS = 4
+QUERY_ROWS = 16
+# Rows of best estimates, in multiples of those asked for, whose scores say what is in reach.
+SEEDS = 8
 # Rows, of smallest hash, whose mean is the centre.
 SAMPLE = 4096
 # Standard errors of an estimate that its bound allows for.
@@ -43,35 +56,87 @@ _INDEX = "block long, dim int, ids binary, vectors binary, codes binary, length
 _QUERIES = "part long, dim int, query_ids binary, queries binary"
 
 
-@lru_cache(maxsize=8)
-def rotation(dim: int) -> np.ndarray:
+@lru_cache(maxsize=32)
+def rotation(dim: int, turn: int) -> np.ndarray:
     """A fixed random rotation."""
-    turned, scale = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
+    turned, scale = np.linalg.qr(np.random.default_rng([dim, turn]).standard_normal((dim, dim)))
     return (turned * np.sign(np.diag(scale))).astype(np.float64)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Bits of each row in whole 64-bit words."""
+    short = np.packbits(bits, axis=-1)
+    room = np.zeros((*short.shape[:-1], -(-short.shape[-1] // 8) * 8), np.uint8)
+    room[..., : short.shape[-1]] = short
+    return room.view(np.uint64)
+
+
 def encode(vectors: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed signs, length of the rest, and inner product of code and direction."""
+    """Packed signs by rotation, length of the rest, and inner products of codes and direction."""
     rest = vectors.astype(np.float64) - centre
     length = np.linalg.norm(rest, axis=1)
-    turned = (rest / np.where(length > 0, length, 1)[:, None]) @ rotation(vectors.shape[1]).T
-    lean = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
-    return np.packbits(turned > 0, axis=1), length, np.where(length > 0, lean, 1.0)
+    rest /= np.where(length > 0, length, 1)[:, None]
+    codes, lean = [], []
+    for turn in range(ROTATIONS):
+        turned = rest @ rotation(vectors.shape[1], turn).T
+        codes.append(_packed(turned > 0))
+        lean.append(np.where(length > 0, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1]), 1.0))
+    return np.stack(codes, axis=1), length, np.stack(lean, axis=1)
+
+
+def _planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rounded queries: packed bits from the highest, least value and step; and what rounding lost."""
+    low = turned.min(axis=1)
+    step = (turned.max(axis=1) - low) / (2**QUERY_BITS - 1)
+    level = np.rint((turned - low[:, None]) / np.where(step > 0, step, 1)[:, None]).astype(np.uint8)
+    planes = np.stack([_packed(level >> b & 1) for b in reversed(range(QUERY_BITS))])
+    lost = np.linalg.norm(turned - low[:, None] - step[:, None] * level, axis=1)
+    return planes, low, step, lost
+
+
+def _counts(planes: np.ndarray, codes: np.ndarray, total: np.ndarray) -> None:
+    """Sums of query levels where the code has a one, queries by vectors, into ``total``."""
+    both, ones = np.empty(total.shape, np.uint64), np.empty(total.shape, np.uint8)
+    total[:] = 0
+    for plane in planes:
+        np.add(total, total, out=total)
+        for word in range(codes.shape[1]):
+            np.bitwise_and(plane[:, word, None], codes[None, :, word], out=both)
+            np.add(total, np.bitwise_count(both, out=ones), out=total)
 
 
 def bounds(
     queries: np.ndarray, codes: np.ndarray, length: np.ndarray, lean: np.ndarray, centre: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products, queries by vectors, and their errors."""
+    """Estimated inner products, queries by vectors, and their errors, from packed bits and scalars."""
     dim, kind = queries.shape[1], queries.dtype
-    signs = np.unpackbits(codes, axis=1, count=dim).astype(kind) * 2 - 1
-    turned = (queries.astype(np.float64) @ rotation(dim).T).astype(kind)
-    scale = (length / (lean * np.sqrt(dim))).astype(kind)
-    estimate = (turned @ signs.T) * scale + (queries.astype(np.float64) @ centre).astype(kind)[:, None]
-    spread = length * np.sqrt(np.maximum(0, 1 - lean**2)) / lean * ERRORS / np.sqrt(max(1, dim - 1))
-    norm = np.linalg.norm(queries.astype(np.float64), axis=1)
-    slack = 1e-5 * (norm[:, None] * (length + np.linalg.norm(centre))) + 1e-9
-    return estimate, norm[:, None] * spread + slack
+    exact = queries.astype(np.float64)
+    norm = np.linalg.norm(exact, axis=1)
+    scale = length[:, None] / (lean * np.sqrt(dim) * ROTATIONS)
+    columns = [np.ascontiguousarray(codes[:, turn].T).T for turn in range(ROTATIONS)]
+    rounded = [_planes(exact @ rotation(dim, turn).T) for turn in range(ROTATIONS)]
+    # What does not need the bits of both sides is one product of few columns.
+    left, right = [exact @ centre], [np.ones(len(codes))]
+    for turn, (planes, low, step, _) in enumerate(rounded):
+        level = sum(np.bitwise_count(p).sum(axis=1).astype(float) * 2**b for b, p in enumerate(planes[::-1]))
+        left += [2 * low, -(dim * low + step * level)]
+        right += [np.bitwise_count(codes[:, turn]).sum(axis=1) * scale[:, turn], scale[:, turn]]
+    estimate = (np.stack(left, axis=1) @ np.stack(right)).astype(kind)
+    room = np.uint16 if dim * 2**QUERY_BITS < 2**16 else np.uint32
+    for start in range(0, len(queries), QUERY_ROWS):
+        some = slice(start, start + QUERY_ROWS)
+        total = np.empty((len(queries[some]), len(codes)), room)
+        for turn, (planes, _, step, _) in enumerate(rounded):
+            _counts(planes[:, some], columns[turn], total)
+            part = total * scale[:, turn].astype(kind)
+            part *= (2 * step[some]).astype(kind)[:, None]
+            estimate[some] += part
+    away = np.sqrt((np.maximum(0, 1 - lean**2) / lean**2).sum(axis=1)) / ROTATIONS / np.sqrt(max(1, dim - 1))
+    spread = ERRORS * length * away + 1e-5 * (length + np.linalg.norm(centre))
+    lost = np.sqrt(sum(r[3] ** 2 for r in rounded) / ROTATIONS)
+    blur = ERRORS * np.sqrt((scale**2).sum(axis=1))
+    error = np.stack([norm, lost, np.ones(len(norm))], axis=1) @ np.stack([spread, blur, np.full(len(codes), 1e-9)])
+    return estimate, error.astype(kind)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,15 +149,16 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _usable(batch: pa.Table, kind: type) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Dimension, ids and vectors, one array per dimension."""
-    by_dim: dict[int, tuple[list, list]] = {}
-    for key, vector in zip(batch["vec_id"].to_pylist(), batch["embedding"].to_pylist()):
-        if key is None or not vector or None in vector:
+    batch = batch.select(["vec_id", "embedding"]).drop_null().combine_chunks()
+    dims = pc.list_value_length(batch["embedding"])
+    for dim in sorted(pc.unique(dims).to_pylist()):
+        if not dim:
             continue
-        ids, rows = by_dim.setdefault(len(vector), ([], []))
-        ids.append(key)
-        rows.append(vector)
-    for dim, (ids, rows) in sorted(by_dim.items()):
-        vectors, ids = np.array(rows, kind), np.array(ids, np.int64)
+        own = batch.filter(pc.equal(dims, dim))
+        flat = pc.list_flatten(own["embedding"]).cast(pa.from_numpy_dtype(kind))
+        # NULL components become no numbers.
+        vectors = flat.to_numpy().reshape(-1, dim)
+        ids = own["vec_id"].cast(pa.int64()).to_numpy()
         good = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
         if good.any():
             yield dim, ids[good], vectors[good]
@@ -101,7 +167,7 @@ def _usable(batch: pa.Table, kind: type) -> Iterator[tuple[int, np.ndarray, np.n
 def _few_of_each(ids: np.ndarray, vectors: np.ndarray, most: int) -> np.ndarray:
     """Rows to keep: of equal vectors only the smallest ids can be among the nearest."""
     order = np.argsort(ids, kind="stable")
-    plain = np.ascontiguousarray(vectors[order] + vectors.dtype.type(0)).view([("", vectors.dtype)] * vectors.shape[1]).ravel()
+    plain = np.ascontiguousarray(vectors[order] + vectors.dtype.type(0)).view(f"V{vectors.itemsize * vectors.shape[1]}").ravel()
     _, kind = np.unique(plain, return_inverse=True)
     by_kind = np.argsort(kind, kind="stable")
     place = np.arange(len(kind)) - np.searchsorted(kind[by_kind], kind[by_kind])
@@ -178,8 +244,8 @@ def _searcher(centres: dict[int, np.ndarray], k: int, kind: type):
                     held[key] = _Best(query_ids, k)
                 ids = np.frombuffer(row["ids"], np.int64)
                 vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
-                codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                length, lean = np.frombuffer(row["length"]), np.frombuffer(row["lean"])
+                codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), ROTATIONS, -1)
+                length, lean = np.frombuffer(row["length"]), np.frombuffer(row["lean"]).reshape(len(ids), ROTATIONS)
                 centre = centres.get(dim, np.zeros(dim))
                 _search_block(held[key], queries, query_ids, ids, vectors, bounds(queries, codes, length, lean, centre))
         for best in held.values():
@@ -188,29 +254,42 @@ def _searcher(centres: dict[int, np.ndarray], k: int, kind: type):
     return search
 
 
-def _search_block(best: _Best, queries, query_ids, ids, vectors, guess) -> None:
+def _search_block(best: _Best, queries, query_ids, ids, vectors, guess) -> int:
+    """Rank the rows whose bound reaches the best so far; returns how many that were."""
     estimate, error = guess
     own = query_ids[:, None] == ids[None, :]
-    low = np.where(own | np.isnan(estimate - error), -np.inf, estimate - error)
-    if low.shape[1] > best.k:
-        reach = np.partition(low, -best.k, axis=1)[:, -best.k]
-    else:
-        reach = np.full(len(queries), -np.inf)
-    reach = np.maximum(reach, best.least)
     # What cannot be told, beyond the range of numbers, stays.
-    high = ~(estimate + error < reach[:, None])
+    high = ~(estimate + error < _reach(best, queries, vectors, estimate, own)[:, None])
     high &= ~own
     found = [_single(queries[q], vectors, np.flatnonzero(high[q]), best.k, best.least[q]) for q in range(len(queries))]
     query = np.repeat(np.arange(len(queries)), [len(f) for f in found])
     row = np.concatenate(found)
     best.add(query, ids[row], products(queries[query], vectors[row]))
+    return int(high.sum())
+
+
+def _reach(best: _Best, queries, vectors, estimate, own) -> np.ndarray:
+    """A score that the ``k`` best of each query reach: of the best so far, else among the best estimates."""
+    reach, most = best.least.copy(), SEEDS * best.k
+    for q in np.flatnonzero(np.isneginf(reach)):
+        guess = np.where(own[q] | np.isnan(estimate[q]), -np.inf, estimate[q])
+        rows = np.argpartition(guess, -most)[-most:] if len(guess) > most else np.arange(len(guess))
+        rows = rows[~own[q, rows]]
+        if len(rows) >= best.k:
+            score, slack = _scores(queries[q], vectors[rows])
+            reach[q] = np.partition(score, -best.k)[-best.k] - slack
+    return np.where(np.isnan(reach), -np.inf, reach)
+
+
+def _scores(query: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inner products in the vectors' own precision, and more than they are wrong by."""
+    longest = float(np.sqrt((vectors * vectors).sum(axis=1).max())) if len(vectors) else 0.0
+    return vectors @ query, 1e-5 * float(np.linalg.norm(query)) * longest
 
 
 def _single(query: np.ndarray, vectors: np.ndarray, rows: np.ndarray, k: int, least: float) -> np.ndarray:
     """Of the chosen rows those that single precision leaves in reach of the ``k`` best."""
-    near = vectors[rows]
-    score = near @ query
-    slack = 1e-5 * float(np.linalg.norm(query)) * (float(np.sqrt((near * near).sum(axis=1).max())) if len(rows) else 0)
+    score, slack = _scores(query, vectors[rows])
     if len(rows) > k:
         least = max(least, float(np.partition(score, -k)[-k]))
     return rows[~(score < least - 2 * slack)]
@@ -235,7 +314,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     single = {dict(f.dtypes)["embedding"] for f in (vectors, queries)} == {"array<float>"}
     kind = np.float32 if single else np.float64
     centres = centres_of(vectors, kind)
-    blocks = max(1, -(-vectors.count() // BLOCK))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    idle = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // BLOCK))
+    room = size["n"] * (size["dim"] or 0) * np.dtype(kind).itemsize
+    blocks = max(1, idle, -(-room // BLOCK_BYTES))
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     index = stored(
         vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))

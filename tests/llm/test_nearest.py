@@ -87,3 +87,31 @@ def test_double_components_keep_their_precision(spark):
     found = near.nearest(frame, frame.where("vec_id % 20 = 0")).collect()
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
     assert got == brute(rows, rows[::20], 20)
+
+
+@pytest.mark.parametrize("dim", [1, 5, 64, 100])
+def test_counts_of_packed_bits(dim):
+    rng = np.random.default_rng(dim)
+    turned, bits = rng.standard_normal((7, dim)), rng.random((30, dim)) > 0.5
+    planes, low, step, lost = near._planes(turned)
+    total = np.empty((7, 30), np.uint16)
+    near._counts(planes, near._packed(bits), total)
+    level = np.rint((turned - low[:, None]) / np.where(step > 0, step, 1)[:, None]).astype(int)
+    assert np.array_equal(total, level @ bits.T.astype(int))
+    assert (lost <= step / 2 * np.sqrt(dim) + 1e-12).all()
+
+
+def test_few_rows_are_reranked(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    data, ids = np.array(rows["embedding"].tolist(), np.float32), rows["vec_id"].to_numpy()
+    ask = ids % 20 == 0
+    centre = data.mean(axis=0).astype(np.float64)
+    best = near._Best(ids[ask], 20)
+    guess = near.bounds(data[ask], *near.encode(data, centre), centre)
+    reranked = near._search_block(best, data[ask], ids[ask], ids, data, guess)
+    assert reranked < 0.2 * ask.sum() * len(ids)
+    exact = data[ask].astype(float) @ data.T.astype(float)
+    exact[ids[ask][:, None] == ids] = -np.inf
+    found = set(zip(best.rows[0].tolist(), best.rows[1].tolist()))
+    expected = {(q, int(ids[i])) for q, row in enumerate(exact) for i in np.argsort(-row)[:20]}
+    assert len(found & expected) >= 0.99 * len(expected)
