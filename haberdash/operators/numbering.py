@@ -74,6 +74,27 @@ def numbered(
     return placed.drop("_before", "_last", SLICE, *(f"_at_{n}" for n in inner))
 
 
+def totals_before(slices: DataFrame, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before, by ascending ``order``.
+
+    ``slices`` is a stored result of ``sliced`` without keys, for the same order.
+    """
+    above = Window.partitionBy(SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = slices.withColumn(name, F.coalesce(F.sum(amount).over(above), F.lit(0)))
+    # One row per slice.
+    earlier = Window.partitionBy().orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        slices.groupBy(SLICE)
+        .agg(F.sum(amount).alias("_sum"))
+        .select(F.col(SLICE).alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    )
+    return (
+        inside.join(starts, F.col(SLICE) == F.col("_at"))
+        .withColumn(name, F.col(name) + F.col("_before"))
+        .drop(SLICE, "_at", "_before")
+    )
+
+
 def dense_ranks(
     rows: DataFrame, key: str, measures: dict[str, str], name: str, keep: Keep
 ) -> DataFrame:

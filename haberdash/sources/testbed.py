@@ -10,12 +10,13 @@ from __future__ import annotations
 import datetime as dt
 import threading
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from haberdash.functions.columns import PRICE
-from haberdash.operators.numbering import numbered, sliced
+from haberdash.operators import skew
+from haberdash.operators.numbering import numbered, sliced, totals_before
 from haberdash.sources.files import fingerprints
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, digest, own_store
@@ -214,22 +215,55 @@ class Testbed:
     def _lines(self) -> DataFrame:
         """Order lines, numbered through in the order of their order, with its details.
 
-        Stored, because items and sold stock are both cut from it.
+        Stored, because items and sold stock are both cut from it. A line's number is its
+        place in its order after the lines of all earlier orders, so lines move once, to
+        their order. Only the lines of orders too large for a task are numbered in slices.
         """
         key = F.col("l_orderkey")
         # Lines alike in every column are told apart by where they are stored.
-        order = ["l_orderkey", *LINE_ORDER, "_file", "_row"]
+        order = [*LINE_ORDER, "_file", "_row"]
         placed = self._read("lineitem").select(
             "*",
             F.xxhash64("_metadata.file_path").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
         )
-        slices = self.store.table(
-            "import/line_slices", lambda: sliced(placed, [], order), self._state("lineitem")
+        sizes = self.store.table(
+            "import/order_sizes",
+            lambda: sliced(
+                placed.groupBy("l_orderkey").agg(F.count("*").alias("_lines")), [], ["l_orderkey"]
+            ),
+            self._state("lineitem"),
+        )
+        starts = totals_before(sizes, ["l_orderkey"], "_lines", "_start").select(
+            key.alias("_order"), "_start"
         )
-        lines = numbered(slices, [], order, position="line_key")
         orders = self("orders")
-        return lines.join(orders, key == F.col("order_id"), "left").select(
+
+        def keyed(lines: DataFrame) -> DataFrame:
+            # Lines without an order come first: nothing is before them.
+            return (
+                lines.join(starts, key == F.col("_order"), "left")
+                .join(orders, key == F.col("order_id"), "left")
+                .withColumn("line_key", F.coalesce("_start", F.lit(0)) + F.col("_place"))
+            )
+
+        inside = Window.partitionBy("l_orderkey").orderBy(*order)
+        place = F.row_number().over(inside).cast("bigint")
+        large = self._large_orders(sizes)
+        if not large:
+            lines = keyed(placed.withColumn("_place", place))
+        else:
+            is_large = key.isin([o for o in large if o is not None])
+            is_large = F.coalesce(is_large, F.lit(None in large))
+            slices = self.store.table(
+                "import/large_orders",
+                lambda: sliced(placed.where(is_large), ["l_orderkey"], order),
+                self._state("lineitem"),
+            )
+            lines = keyed(placed.where(~is_large).withColumn("_place", place)).unionByName(
+                keyed(numbered(slices, ["l_orderkey"], order, position="_place"))
+            )
+        return lines.select(
             "line_key",
             key.alias("order_id"),
             "user_id",
@@ -247,6 +281,12 @@ class Testbed:
             _money(F.col("l_extendedprice")).alias("sale_price"),
         )
 
+    def _large_orders(self, sizes: DataFrame) -> list[int | None]:
+        """Orders, or lines without one, with more lines than one task should take; at most 1 / SHARE."""
+        total = sizes.agg(F.sum("_lines")).first()[0] or 0
+        limit = max(total * skew.SHARE, skew.LEAST_ROWS)
+        return [r["l_orderkey"] for r in sizes.where(F.col("_lines") > limit).collect()]
+
     def _stored_lines(self) -> DataFrame:
         return self.store.table("import/lines", self._lines, self._state("lineitem", "orders"))
 
