@@ -18,15 +18,21 @@ def stacked(frames: Iterable[DataFrame]) -> DataFrame:
 def key_counts(tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """(table_name, key, rows) of all key values of all tables: one scan each, one exchange in all.
 
-    Keys of different types meet as text.
+    Keys of different types meet as text. Tables go by number until they are counted:
+    names would make up half of the rows that move and wait in memory.
     """
     kinds = {frame.schema[key].dataType for frame, key in tables.values()}
     kind = kinds.pop() if len(kinds) == 1 else "string"
     every = stacked(
-        frame.select(F.lit(name).alias("table_name"), F.col(key).cast(kind).alias("key"))
-        for name, (frame, key) in tables.items()
+        frame.select(F.lit(place).alias("_table"), F.col(key).cast(kind).alias("key"))
+        for place, (frame, key) in enumerate(tables.values())
+    )
+    names = F.array(*map(F.lit, tables))
+    return (
+        every.groupBy("_table", "key")
+        .agg(F.count("*").alias("rows"))
+        .select(names[F.col("_table")].alias("table_name"), "key", "rows")
     )
-    return every.groupBy("table_name", "key").agg(F.count("*").alias("rows"))
 
 
 def _per_table(tables: Mapping[str, tuple[DataFrame, str]], **measures: Column) -> DataFrame:
