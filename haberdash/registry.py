@@ -83,7 +83,7 @@ LAYER_QUERIES: dict[str, Query] = {
     "materialise": _materialised,
     "pk_assert_model": lambda w: key_violations({n: (w.model(n), k) for n, k in MODEL_KEYS.items()}),
     "list_analytics": _listing("analytics"),
-    "row_counts_model": lambda w: profiling.row_counts({n: w.model(n) for n in MODEL_KEYS}),
+    "row_counts_model": lambda w: profiling.row_counts({n: w.model_plan(n) for n in MODEL_KEYS}),
     "session_cache": _session_cache,
     "list_reporting": _listing("reporting"),
     "sales_monthly_preview": lambda w: reporting.sales_monthly_preview(w.report("sales_monthly")),
@@ -219,7 +219,7 @@ CLEANED_QUERIES: dict[str, Query] = {
 MODEL_QUERIES: dict[str, Query] = {
     **{name: (lambda w, n=name: w.model(n)) for name in MODEL_KEYS},
     "flagged_revenue_share": lambda w: model.flagged_revenue_share(
-        w.model("fact_order_items"), w.sales_cutoff
+        w.model_plan("fact_order_items"), w.sales_cutoff
     ),
 }
 
