@@ -69,7 +69,7 @@ def _session_cache(w: Warehouse) -> DataFrame:
 
 
 LAYER_QUERIES: dict[str, Query] = {
-    "load_csv": lambda w: profiling.content_report({n: w.reimported(n) for n in SOURCES}),
+    "load_csv": lambda w: profiling.content_report(w.all_reimported()),
     "create_layers": _layer_census,
     "row_counts_src": lambda w: profiling.row_counts(_titled(w)),
     "schema_report": lambda w: profiling.column_report(

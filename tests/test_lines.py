@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haberdash.operators import skew
+from haberdash.operators.keys import key_counts
 from haberdash.operators.numbering import SLICE, totals_before
+from haberdash.registry import QUERIES
+from haberdash.sources import files
 from haberdash.sources.testbed import LINE_ORDER, warehouse_over
 from haberdash.sources.warehouse import Store
 
@@ -104,6 +108,43 @@ def test_a_working_table_does_not_write_the_fact(opened):
     assert "Join" not in plan
 
 
+def test_counts_and_shares_do_not_write_the_model(opened):
+    counts = {r[0]: r[1] for r in QUERIES["row_counts_model"](opened).collect()}
+    assert counts["fact_order_items"] == 36 + 40 and counts["fact_events"] == 6
+    shares = QUERIES["flagged_revenue_share"](opened).collect()
+    assert opened.store.stored("analytics") == []
+    opened.build("analytics")
+    assert {r[0]: r[1] for r in QUERIES["row_counts_model"](opened).collect()} == counts
+    assert QUERIES["flagged_revenue_share"](opened).collect() == shares
+
+
+def test_key_counts_move_no_names(spark):
+    tables = {"orders": (spark.createDataFrame([(1,), (1,), (None,)], "id BIGINT"), "id")}
+    tables["users"] = (spark.createDataFrame([("1",), ("2",), (None,)], "name STRING"), "name")
+    found = key_counts(tables)
+    assert sorted(map(str, found.collect())) == sorted(
+        f"Row(table_name='{t}', key={k!r}, rows={n})"
+        for t, k, n in [("orders", "1", 2), ("orders", None, 1), ("users", "1", 1), ("users", "2", 1), ("users", None, 1)]
+    )
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_table" in plan and "hashpartitioning(table_name" not in plan
+
+
+def test_relations_are_exported_at_the_same_time(opened, monkeypatch):
+    together = threading.Barrier(3, timeout=60)
+    write = files.write_csv
+
+    def meeting(frame, path):
+        # Seven relations: the first three meet here, the rest go on.
+        if path.rpartition("/")[2] in ("users.csv", "products.csv", "orders.csv"):
+            together.wait()
+        write(frame, path)
+
+    monkeypatch.setattr(files, "write_csv", meeting)
+    counts = {r["table_name"]: r["row_count"] for r in QUERIES["load_csv"](opened).collect()}
+    assert counts["order_items"] == len(ROWS["lineitem"]) and len(counts) == 7
+
+
 def test_store_has_what_is_complete_and_not_dropped(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert not store.has("work/n", "a")
