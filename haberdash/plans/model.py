@@ -160,6 +160,19 @@ def fact_events(events: DataFrame) -> DataFrame:
     )
 
 
+# What the model reads of a relation that is wider: stock items repeat the texts of their product.
+READ = {
+    "inventory_items": (
+        "id",
+        "product_id",
+        "created_at",
+        "sold_at",
+        "cost",
+        "product_retail_price",
+        "product_distribution_center_id",
+    ),
+}
+
 # Table name -> cleaned relations it reads, builder.
 TABLES = {
     "dim_customer": (("users",), dim_customer),

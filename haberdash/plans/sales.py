@@ -40,6 +40,28 @@ def item_statuses(items: DataFrame) -> DataFrame:
     )
 
 
+# What reports and working tables read of the item fact.
+REPORTED = (
+    "order_id",
+    "customer_id",
+    "product_id",
+    "distribution_center_id",
+    "item_status",
+    "order_date",
+    "item_revenue",
+    "gross_profit_before_returns",
+    "returned_flag",
+    "cancelled_flag",
+    "days_to_ship",
+    "days_to_deliver",
+)
+
+
+def reported_items(items: DataFrame, cutoff: dt.date) -> DataFrame:
+    """The items that reports add up; stored, so several of them share the joins of the fact."""
+    return ordered_before(items, cutoff).select(*REPORTED)
+
+
 def customer_orders(items: DataFrame, cutoff: dt.date) -> DataFrame:
     """Valid sales per customer and order: the grain under the customer reports.
 

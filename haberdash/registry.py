@@ -151,7 +151,10 @@ PROFILING_QUERIES: dict[str, Query] = {
         traffic_source="traffic_source",
     ),
     "date_coverage": lambda w: profiling.date_coverage(
-        {n: w.source(n) for n in ("users", "orders", "inventory_items", "events")}
+        {
+            n: w.source_columns(n, "created_at")
+            for n in ("users", "orders", "inventory_items", "events")
+        }
     ),
     "freq_order_status": lambda w: profiling.frequencies(w.source("orders"), "status", "order_count"),
     "freq_event_type": lambda w: profiling.frequencies(w.source("events"), "event_type", "event_count"),
@@ -196,6 +199,9 @@ QUALITY_QUERIES: dict[str, Query] = {
     **{
         check: (lambda w, c=check: quality.violations(w.source, c)) for check in quality.RULES
     },
+    "sold_before_created": lambda w: quality.violations(
+        lambda relation: w.source_columns(relation, "created_at", "sold_at"), "sold_before_created"
+    ),
     "quality_scorecard": lambda w: quality.scorecard(w.source),
     "blank_products_by_column": lambda w: quality.blank_products_by_column(w.source("products")),
     "worst_ship_gaps": lambda w: quality.worst_ship_gaps(w.source("order_items")),
@@ -225,8 +231,13 @@ MODEL_QUERIES: dict[str, Query] = {
 
 
 def _over(build: Callable[..., DataFrame], *tables: str) -> Query:
-    """A sales or stock report over model tables, up to the sales cutoff."""
-    return lambda w: build(*(w.model(t) for t in tables), w.sales_cutoff)
+    """A sales or stock report over model tables, up to the sales cutoff.
+
+    Orders and stock are projections of their relation and not written for it.
+    """
+    return lambda w: build(
+        *(w.model_plan(t) if t in (ORDERS, STOCK) else w.model(t) for t in tables), w.sales_cutoff
+    )
 
 
 def _over_orders(build: Callable[..., DataFrame], *tables: str) -> Query:

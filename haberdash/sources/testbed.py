@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import threading
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,10 @@ MADE_OF = {
     "events": ("events",),
 }
 
+PRODUCT_TEXTS = frozenset(
+    f"product_{text}" for text in ("category", "name", "brand", "department", "sku")
+)
+
 # Each part has this many unsold pieces; piece n lies in center n.
 UNSOLD_PIECES = 10
 
@@ -110,6 +115,12 @@ class Testbed:
     def __call__(self, relation: str) -> DataFrame:
         return _fitted(getattr(self, relation)(), relation)
 
+    def columns(self, relation: str, names: Collection[str]) -> DataFrame:
+        """Some columns of a raw relation, all rows; stock items without texts need no products."""
+        if relation == "inventory_items" and not PRODUCT_TEXTS & set(names):
+            return _fitted(self.inventory_items(texts=False), relation).select(*names)
+        return self(relation).select(*names)
+
     def _read(self, table: str) -> DataFrame:
         path, read = f"{self.folder}/{table}.parquet", self.store.spark.read
         if table not in self._schemas:
@@ -305,8 +316,25 @@ class Testbed:
             "sale_price",
         )
 
-    def inventory_items(self) -> DataFrame:
-        """A stock item for every order line, and the unsold pieces of every part."""
+    def _repeated_products(self) -> DataFrame:
+        """The ids of products that are there more than once, as often as they are.
+
+        Stored, so its size is known before a join: few or none as a rule.
+        """
+        ids = self("products").select(F.col("id").alias("product_id"))
+        repeated = ids.groupBy("product_id").agg(F.count("*").alias("_times")).where("_times > 1")
+        return self.store.table(
+            "import/repeated_products",
+            lambda: ids.join(repeated, "product_id", "left_semi"),
+            self._state("part"),
+        )
+
+    def inventory_items(self, texts: bool = True) -> DataFrame:
+        """A stock item for every order line, and the unsold pieces of every part.
+
+        The texts of its product are looked up for each line, once for each time the product
+        is there. Without ``texts`` only products that are there more than once matter.
+        """
         products = self("products").select(
             F.col("id").alias("product_id"),
             F.col("category").alias("product_category"),
@@ -316,13 +344,16 @@ class Testbed:
             F.col("sku").alias("product_sku"),
             _money(F.col("retail_price")).alias("list_price"),
         )
+        if not texts:
+            products = products.drop(*PRODUCT_TEXTS)
+        kept = [name for name in products.columns if name != "list_price"]
         day = F.to_date("created_at")
         sold = (
             self._stored_lines()
-            .join(products, "product_id", "left")
+            .join(products.select(*kept) if texts else self._repeated_products(), "product_id", "left")
             .select(
                 F.col("line_key").alias("id"),
-                *products.columns,
+                *kept,
                 F.date_sub(day, F.col("quantity")).alias("created_at"),
                 day.alias("sold_at"),
                 _money(F.col("sale_price") * _cost_share(F.col("product_id"))).alias("cost"),
@@ -335,7 +366,7 @@ class Testbed:
             "piece", F.explode(F.sequence(F.lit(0), F.lit(UNSOLD_PIECES - 1)))
         ).select(
             (-(product * 10 + piece + 1)).alias("id"),
-            *products.columns,
+            *kept,
             F.date_add(
                 F.lit(dt.date(1998, 2, 1)), ((product * 7 + piece * 131) % 1300).cast("int")
             ).alias("created_at"),
@@ -398,7 +429,7 @@ _opening = threading.Lock()
 def warehouse_over(store: Store, folder: str) -> Warehouse:
     """The tables in ``folder`` as a warehouse."""
     load = Testbed(store, folder)
-    return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place, load.states)
+    return Warehouse(store, load, SALES_CUTOFF, EVENT_CUTOFF, load.in_place, load.states, load_columns=load.columns)
 
 
 def open_testbed(spark: SparkSession, folder: str) -> Warehouse:

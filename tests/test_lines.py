@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from haberdash.operators import skew
 from haberdash.operators.keys import key_counts
 from haberdash.operators.numbering import SLICE, totals_before
+from haberdash.plans import model, reporting, sales
 from haberdash.registry import QUERIES
 from haberdash.sources import files
 from haberdash.sources.testbed import LINE_ORDER, warehouse_over
@@ -154,3 +155,50 @@ def test_store_has_what_is_complete_and_not_dropped(spark, tmp_path):
     store.drop("work/")
     assert not store.has("work/n", "a")
     assert all(".zstd." in p.name for p in tmp_path.glob("work/n/*/*.parquet"))
+
+
+def test_stock_without_texts_is_the_same_stock(spark, folder, tmp_path):
+    for table, rows in ROWS.items():
+        # Products 1 and 3 are there more than once, one has no key.
+        more = [(1, "again", "B", "T", 5, 11.0), (3, "p3", "B", "T", 5, 10.0), (3, "p3", "B", "T", 5, 10.0),
+                (None, "none", "B", "T", 5, 10.0), (None, "none", "B", "T", 5, 9.0)]
+        rows = rows + (more if table == "part" else [line(6, 3, None)] if table == "lineitem" else [])
+        spark.createDataFrame(rows, COLUMNS[table]).write.parquet(f"{tmp_path}/in/{table}.parquet")
+    opened = warehouse_over(Store(spark, f"{tmp_path}/out"), f"{tmp_path}/in")
+    names = model.READ["inventory_items"]
+    queries = ("date_coverage", "sold_before_created", "inventory_aging", "slow_movers")
+
+    def results():
+        return [sorted(map(str, QUERIES[q](opened).collect())) for q in queries]
+
+    slim, before = opened.source_columns("inventory_items", *names), results()
+    facts = sorted(map(str, opened.model_plan("fact_order_items").collect()))
+    assert opened.store.versions("src/inventory_items") == []
+    assert opened.store.versions("analytics/fact_inventory") == []
+    whole = opened.source("inventory_items").select(*names)
+    assert slim.dtypes == whole.dtypes
+    assert slim.exceptAll(whole).isEmpty() and whole.exceptAll(slim).isEmpty()
+    assert facts == sorted(map(str, opened.model_plan("fact_order_items").collect()))
+    assert results() == before
+    # Once stored, the relation is read where it lies.
+    assert "src/inventory_items" in opened.source_columns("inventory_items", "id").inputFiles()[0]
+
+
+def test_stock_with_texts_has_them(opened):
+    text = opened.source_columns("inventory_items", "id", "product_name")
+    whole = opened._load("inventory_items").select("id", "product_name")
+    assert sorted(map(str, text.collect())) == sorted(map(str, whole.collect()))
+    assert text.where("product_name IS NOT NULL").count() > 0
+
+
+def test_reports_share_narrow_items(opened):
+    rows = {name: sorted(map(str, opened.report(name).collect())) for name in reporting.VIEWS}
+    assert opened.store.versions("analytics/fact_order_items") == []
+    assert opened.store.versions("analytics/fact_inventory") == []
+    stored = opened.working("center_orders").columns, opened.input("fact_order_items")
+    assert set(stored[1].columns) == set(sales.REPORTED)
+    opened.build_model()
+    opened.store.drop("work/")
+    assert "item_cost" in opened.input("fact_order_items").columns
+    assert {name: sorted(map(str, opened.report(name).collect())) for name in reporting.VIEWS} == rows
+    assert opened.working("center_orders").columns == stored[0]
