@@ -55,12 +55,17 @@ STAR = 4
 # Shingles of a tile, apart from a single larger document.
 TILE_SHINGLES = 2_000_000
 FANOUT = 8
-# Segments of so many elements or fewer may be left out if so many sets hold them;
-# at most so many such segments are listed: a broadcast of 16 MB.
-SMALL, HOT_SETS, HOT_KEYS = 3, 2, 1_000_000
+# Segments of so many elements or fewer may be left out if so many sets hold them. All of
+# these are marked in a table of two bits a slot, so many slots a segment while that is
+# not more than the most slots: a broadcast of 16 MB.
+SMALL, HOT_SETS, HOT_SLOTS, MOST_SLOTS = 3, 2, 16, 1 << 26
+# Marks 1 to 3 stand for so many sets or more.
+HOT_MARKS = (HOT_SETS, 4, 16)
+# Slots that a task packs.
+CHUNK_SLOTS = 1 << 20
 SET_SALT, CHECK_SALT = 0x51ED270B, 0x2545F491
-# Words of bitmap handled at once in a traversal.
-POPCOUNT_WORDS = 1 << 22
+# Words of bitmap, pairs of nodes and shingles handled at once in a traversal.
+POPCOUNT_WORDS, NODE_PAIRS, OVERLAP_SHINGLES = 1 << 19, 1 << 11, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -197,11 +202,40 @@ def _profiler(rule: Rule):
     return profile
 
 
-def segment_keys(rule: Rule, tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+@dataclass(frozen=True)
+class HotSegments:
+    """A mark for every segment key that several sets hold, in the slot of its leading bits.
+
+    Keys that share a slot share the larger mark: a key too many is marked, none too few.
+    """
+
+    bits: int
+    packed: np.ndarray
+    """Four slots a byte."""
+
+    def marks(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> _U(64 - self.bits)
+        shift = ((at & _U(3)) << _U(1)).astype(np.uint8)
+        return (self.packed[at >> _U(2)] >> shift & np.uint8(3)).astype(np.int64)
+
+
+def _held(hot: HotSegments | tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """How frequent segments are: by their mark, or as sorted keys and documents list them; 0 for others."""
+    if isinstance(hot, HotSegments):
+        return hot.marks(keys)
+    if not len(hot[0]):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(hot[0], keys), len(hot[0]) - 1)
+    return np.where(hot[0][at] == keys, hot[1][at], 0)
+
+
+def segment_keys(
+    rule: Rule, tokens: np.ndarray, hot: HotSegments | tuple[np.ndarray, np.ndarray] | None = None
+) -> np.ndarray:
     """Keys of the segments of a sorted set, over all its bands.
 
-    Each band leaves out up to ``spare`` of them: weak ones, then small ones that ``hot``
-    (sorted keys, documents) lists, most documents first. As all documents go by one order,
+    Each band leaves out up to ``spare`` of them: weak ones, then small ones that are in
+    ``hot``, the most frequent first. As all documents go by one order,
     the last segment in it that two linked sets share is kept by both.
     """
     keys = []
@@ -209,11 +243,9 @@ def segment_keys(rule: Rule, tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarr
         weak = counts <= b.weak
         droppable = weak
         held = np.zeros(len(own), np.int64)
-        if hot is not None and len(hot[0]):
+        if hot is not None:
             small = np.flatnonzero(~weak & (counts <= SMALL))
-            at = np.minimum(np.searchsorted(hot[0], own[small]), len(hot[0]) - 1)
-            listed = hot[0][at] == own[small]
-            held[small[listed]] = hot[1][at[listed]]
+            held[small] = _held(hot, own[small])
             droppable = weak | (held > 0)
         out = np.flatnonzero(droppable)
         if len(out) > b.spare:
@@ -289,17 +321,41 @@ def _small_keys(rule: Rule):
     return emit
 
 
-def hot_keys(texts: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Small segments that at least ``HOT_SETS`` texts hold: the ``HOT_KEYS`` most frequent.
+def _packer(slots: int):
+    """Rows (chunk, slot, mark) of a chunk of slots to its packed marks."""
+
+    def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        marks = np.zeros((min(slots, CHUNK_SLOTS) // 4, 4), np.uint8)
+        at = group["slot"].to_numpy() % CHUNK_SLOTS
+        marks[at >> 2, at & 3] = group["mark"].to_numpy()
+        packed = (marks << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "packed": [packed.tobytes()]})
+
+    return pack
+
 
-    Any selection is right, as long as all documents use the same.
+def hot_segments(texts: DataFrame, rule: Rule) -> HotSegments | None:
+    """Marks of all small segments that at least ``HOT_SETS`` texts hold.
+
+    Any selection is right, as long as all documents use the same. Tasks pack the marks, so
+    what is gathered and sent has the size of the table, not of the segments.
     """
     counts = texts.select("text").mapInArrow(_small_keys(rule), "key long, sets long")
     counts = counts.groupBy("key").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= HOT_SETS)
-    top = stored(counts.orderBy(F.desc("sets"), "key").limit(HOT_KEYS), "hot-segments").toArrow()
-    keys, sets = top["key"].to_numpy().view(_U), top["sets"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], sets[order]
+    counts = stored(counts, "hot-segments")
+    many = counts.count()
+    if not many:
+        return None
+    bits = min(MOST_SLOTS, HOT_SLOTS * max(many, 64)).bit_length() - 1
+    mark = sum((F.col("sets") >= least).cast("int") for least in HOT_MARKS)
+    slots = counts.select(F.shiftrightunsigned("key", 64 - bits).alias("slot"), mark.alias("mark"))
+    slots = slots.groupBy("slot").agg(F.max("mark").alias("mark"))
+    chunks = slots.withColumn("chunk", F.floor(F.col("slot") / F.lit(CHUNK_SLOTS)).cast("long")).groupBy("chunk")
+    packed = np.zeros((1 << bits) // 4, np.uint8)
+    for row in chunks.applyInArrow(_packer(1 << bits), "chunk long, packed binary").toArrow().to_pylist():
+        part = np.frombuffer(row["packed"], np.uint8)
+        packed[row["chunk"] * (CHUNK_SLOTS // 4) :][: len(part)] = part
+    return HotSegments(bits, packed)
 
 
 def _keyer(rule: Rule, hot=None):
@@ -360,9 +416,10 @@ class SignatureTree:
         sizes = np.array([len(s) for s in sets], np.int64)
         bits = max(64, 1 << int(4 * sizes.max() - 1).bit_length())
         bitmaps = np.zeros((len(sets), bits // 64), _U)
-        place = np.concatenate(sets) & _U(bits - 1)
-        row = np.repeat(np.arange(len(sets)), sizes)
-        np.bitwise_or.at(bitmaps, (row, (place >> _U(6)).astype(np.int64)), _U(1) << (place & _U(63)))
+        for some in _stretches(sizes):
+            place = np.concatenate(sets[some]) & _U(bits - 1)
+            row = np.repeat(np.arange(some.start, some.stop), sizes[some])
+            np.bitwise_or.at(bitmaps, (row, (place >> _U(6)).astype(np.int64)), _U(1) << (place & _U(63)))
         excess = sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64)
         self.levels = [(bitmaps, sizes, sizes, excess, labels, labels)]
         while len(self.levels[-1][0]) > 1:
@@ -397,7 +454,7 @@ class SignatureTree:
             yield i[apart], j[apart]
             return
         count = len(self.levels[level - 1][0])
-        step = 1 << 14
+        step = NODE_PAIRS
         for at in range(0, len(i), step):
             a = (i[at : at + step, None] * FANOUT + np.arange(FANOUT))[:, :, None]
             b = (j[at : at + step, None] * FANOUT + np.arange(FANOUT))[:, None, :]
@@ -410,13 +467,27 @@ class SignatureTree:
             yield from self._descend(level - 1, a[possible], b[possible], rule)
 
 
+def _stretches(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of sets with about ``OVERLAP_SHINGLES`` elements, or one larger set."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + OVERLAP_SHINGLES, "right")))
+        yield slice(first, last)
+        first = last
+
+
 def _overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """Overlap of one set with each of the others, none of them empty."""
-    tokens = np.concatenate(sets)
-    at = np.searchsorted(one, tokens)
-    at[at == len(one)] = 0
-    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    return np.add.reduceat((one[at] == tokens).astype(np.int64), starts)
+    sizes, found = np.array([len(s) for s in sets], np.int64), []
+    for some in _stretches(sizes):
+        tokens = np.concatenate(sets[some])
+        at = np.searchsorted(one, tokens)
+        at[at == len(one)] = 0
+        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
+        found.append(np.add.reduceat((one[at] == tokens).astype(np.int64), starts))
+    return np.concatenate(found)
 
 
 def connect(sets: list[np.ndarray], labels: np.ndarray, rule: Rule, pivots: int = 8) -> np.ndarray:
@@ -455,37 +526,32 @@ def connect(sets: list[np.ndarray], labels: np.ndarray, rule: Rule, pivots: int
 def _tiler(rule: Rule):
     """Rows (tile, sid, label, text), tile by tile, to edges between connected sets."""
 
-    def solve(sids: list[int], labels: list[int], texts: pa.Array) -> pa.RecordBatch:
-        sets = list(shingle_sets(texts, rule.words))
-        # Rows of a repeated id may bring a text of another set.
-        own = {s: i for i, s in enumerate(sids) if len(sets[i]) and _set_hash(sets[i], SET_SALT) == s}
-        sids, sets = list(own), [sets[i] for i in own.values()]
-        start = np.array([labels[i] for i in own.values()], np.int64)
-        if len(sets) < 2:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        found = connect(sets, start, rule)
+    def solve(own: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        start = np.array([label for label, _ in own.values()], np.int64)
+        found = connect([tokens for _, tokens in own.values()], start, rule)
         hub: dict[int, int] = {}
         edges = []
-        for sid, label in zip(sids, found.tolist()):
+        for sid, label in zip(own, found.tolist()):
             if hub.setdefault(label, sid) != sid:
                 edges.append((sid, hub[label]))
         a, b = zip(*edges) if edges else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, sids, labels, texts = None, [], [], []
+        # Of a tile only its sets are held, not the texts.
+        tile, own = None, {}
         for batch in batches:
-            for t, sid, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != tile and sids:
-                    if len(sids) > 1:
-                        yield solve(sids, labels, pa.array(texts, pa.large_string()))
-                    sids, labels, texts = [], [], []
-                tile = t
-                sids.append(sid)
-                labels.append(label)
-                texts.append(text)
-        if len(sids) > 1:
-            yield solve(sids, labels, pa.array(texts, pa.large_string()))
+            numbers = (batch.column(c).to_pylist() for c in range(3))
+            for t, sid, label, tokens in zip(*numbers, shingle_sets(batch.column(3), rule.words)):
+                if t != tile:
+                    if len(own) > 1:
+                        yield solve(own)
+                    tile, own = t, {}
+                # Rows of a repeated id may bring a text of another set.
+                if len(tokens) and _set_hash(tokens, SET_SALT) == sid:
+                    own[sid] = (label, tokens)
+        if len(own) > 1:
+            yield solve(own)
 
     return tiles
 
@@ -568,7 +634,7 @@ def linked(docs: DataFrame, rule: Rule, tile_shingles: int = TILE_SHINGLES) -> D
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     )
     known = texts.where("doc_id IS NOT NULL")
-    hot = docs.sparkSession.sparkContext.broadcast(hot_keys(known, rule)) if rule.relief else None
+    hot = docs.sparkSession.sparkContext.broadcast(hot_segments(known, rule)) if rule.relief else None
     keys = known.select("text").mapInArrow(_keyer(rule, hot), "key long, sid long")
     stars = keys.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_stars, "a long, b long")
     groves = components(stars)

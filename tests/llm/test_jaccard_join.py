@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from rows import by_id, documents, words
 
@@ -145,3 +147,46 @@ def test_linked_sizes_share_a_class():
         groups = [set(sizes[group].tolist()) for group in join.size_classes(sizes, rule)]
         for a in range(1, 2300):
             assert any(a in group and a * rule.den // rule.num in group for group in groups)
+
+
+def test_all_small_segments_of_several_sets_are_marked(spark, monkeypatch):
+    # Also where the table has far fewer slots than there are such segments.
+    for most in (join.MOST_SLOTS, 64):
+        monkeypatch.setattr(join, "MOST_SLOTS", most)
+        monkeypatch.setattr(join, "CHUNK_SLOTS", 1 << 10)
+        texts = copies(5, 10, 120, [0, 1, 2], (20, 90))
+        held = {}
+        for tokens in join.shingle_sets(pa.array(texts), join.NEAR.words):
+            for key in set(join.small_segment_keys(join.NEAR, tokens).tolist()):
+                held[key] = held.get(key, 0) + 1
+        hot = join.hot_segments(documents(spark, texts), join.NEAR)
+        keys = np.array(sorted(held), np.uint64)
+        marks = hot.marks(keys)
+        least = np.array([sum(held[k] >= n for n in join.HOT_MARKS) for k in keys.tolist()])
+        assert len(keys[least > 0]) > 64 and (marks >= least).all()
+        if most > 64:
+            assert (marks == least).mean() > 0.9
+        found = by_id(join.linked(documents(spark, texts), join.NEAR))
+        expected = brute(list(enumerate(texts)), join.NEAR)
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == expected
+
+
+def test_a_full_tile_takes_little_more_than_its_sets():
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    quoted = [" ".join(vocabulary[rng.integers(0, 3000, 400)]) for _ in range(3)]
+    texts = [" ".join(vocabulary[rng.integers(0, 3000, 2600)]) + " " + quoted[i % 3] for i in range(700)]
+    sets = list(join.shingle_sets(pa.array(texts), join.NEAR.words))
+    sids = [join._set_hash(tokens, join.SET_SALT) for tokens in sets]
+    rows = [[7] * len(texts), sids, sids, texts]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(c[at : at + 100]) for c in rows], names=["tile", "sid", "label", "text"])
+        for at in range(0, len(texts), 100)
+    ]
+    of_sets = sum(tokens.nbytes for tokens in sets)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in join._tiler(join.NEAR)(iter(batches))) == 0
+        assert tracemalloc.get_traced_memory()[1] < 2.5 * of_sets
+    finally:
+        tracemalloc.stop()
