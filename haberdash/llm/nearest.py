@@ -9,8 +9,9 @@ probability. A vector is reranked on the original components if its upper bound
 the 20th best seen, at first among the rows of ``SEEDS`` times as many best estimates.
 
 Vectors lie in blocks of about ``BLOCK_BYTES`` chosen by hash, fewer while cores are idle,
-queries in smaller ones; each pair of blocks is one task row, so neither side is ever
-gathered, and a block of queries moves once for a large block of vectors. Every row is
+queries in smaller ones. A task gets the pieces of a block of vectors once, and then the
+blocks of queries one by one, so neither side is ever gathered, a block of queries moves once for a
+large block of vectors, and what is compared at once is a piece with a block of queries. Every row is
 indexed; the centre alone comes from a sample of ``SAMPLE`` rows.
 
 Defined cases: NULL ids, and NULL, empty, zero vectors or those with NULL or non-finite
@@ -34,9 +35,11 @@ from haberdash.llm.tables import stored, table
 
 NEIGHBOURS = 20
 QUERY_STEP = 20
-# Bytes of vectors in a block, and rows that are worth a block while cores are idle.
-BLOCK_BYTES = 16 << 20
+# Bytes of a block of the index, and rows that are worth a block while cores are idle.
+BLOCK_BYTES = 21 << 20
 BLOCK = 4096
+# Bytes of vectors, and rows, of a piece of a block, at most.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 4096
 QUERY_BLOCK = 512
 # One-bit codes of a vector, each by its own rotation.
 ROTATIONS = 4
@@ -53,7 +56,9 @@ ERRORS = 3.0
 HELD = 64
 
 _INDEX = "block long, dim int, ids binary, vectors binary, codes binary, length binary, lean binary"
-_QUERIES = "part long, dim int, query_ids binary, queries binary"
+_QUERIES = "part long, dim int, ids binary, vectors binary"
+# Pieces of the index come before the queries of their block.
+_PIECE = -1
 
 
 @lru_cache(maxsize=32)
@@ -105,16 +110,21 @@ def _counts(planes: np.ndarray, codes: np.ndarray, total: np.ndarray) -> None:
             np.add(total, np.bitwise_count(both, out=ones), out=total)
 
 
+def _rounded(queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries turned by each rotation and rounded."""
+    return [_planes(queries.astype(np.float64) @ rotation(queries.shape[1], turn).T) for turn in range(ROTATIONS)]
+
+
 def bounds(
-    queries: np.ndarray, codes: np.ndarray, length: np.ndarray, lean: np.ndarray, centre: np.ndarray
+    queries: np.ndarray, codes: np.ndarray, length: np.ndarray, lean: np.ndarray, centre: np.ndarray, rounded=None
 ) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products, queries by vectors, and their errors, from packed bits and scalars."""
     dim, kind = queries.shape[1], queries.dtype
     exact = queries.astype(np.float64)
     norm = np.linalg.norm(exact, axis=1)
+    rounded = rounded or _rounded(queries)
     scale = length[:, None] / (lean * np.sqrt(dim) * ROTATIONS)
     columns = [np.ascontiguousarray(codes[:, turn].T).T for turn in range(ROTATIONS)]
-    rounded = [_planes(exact @ rotation(dim, turn).T) for turn in range(ROTATIONS)]
     # What does not need the bits of both sides is one product of few columns.
     left, right = [exact @ centre], [np.ones(len(codes))]
     for turn, (planes, low, step, _) in enumerate(rounded):
@@ -179,10 +189,12 @@ def _indexer(centres: dict[int, np.ndarray], most: int, kind: type):
         out = []
         for dim, ids, vectors in _usable(group, kind):
             keep = _few_of_each(ids, vectors, most)
-            ids, vectors = ids[keep], vectors[keep]
-            codes, length, lean = encode(vectors, centres.get(dim, np.zeros(dim)))
-            arrays = (ids, vectors, codes, length, lean)
-            out.append((key[0].as_py(), dim, *(np.ascontiguousarray(x).tobytes() for x in arrays)))
+            rows = max(1, min(PIECE_ROWS, PIECE_BYTES // (dim * vectors.itemsize)))
+            for at in range(0, len(keep), rows):
+                some = keep[at : at + rows]
+                coded = encode(vectors[some], centres.get(dim, np.zeros(dim)))
+                arrays = (ids[some], vectors[some], *coded)
+                out.append((key[0].as_py(), dim, *(np.ascontiguousarray(x).tobytes() for x in arrays)))
         names = ["block", "dim", "ids", "vectors", "codes", "length", "lean"]
         return _blobs(names, out)
 
@@ -192,7 +204,7 @@ def _indexer(centres: dict[int, np.ndarray], most: int, kind: type):
 def _query_blocks(kind: type):
     def blocks(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         out = [(key[0].as_py(), dim, ids.tobytes(), vectors.tobytes()) for dim, ids, vectors in _usable(group, kind)]
-        return _blobs(["part", "dim", "query_ids", "queries"], out)
+        return _blobs(["part", "dim", "ids", "vectors"], out)
 
     return blocks
 
@@ -229,25 +241,38 @@ class _Best:
 
 
 def _searcher(centres: dict[int, np.ndarray], k: int, kind: type):
+    """Rows sorted by block, dimension and part: pieces of the index, then query blocks, to their best rows."""
+
+    def piece(row: dict, dim: int) -> tuple[np.ndarray, ...]:
+        ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], kind).reshape(-1, dim)
+        codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), ROTATIONS, -1)
+        return ids, vectors, codes, np.frombuffer(row["length"]), np.frombuffer(row["lean"]).reshape(len(ids), ROTATIONS)
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], _Best] = {}
+        at, pieces = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
                 dim = row["dim"]
+                if (row["block"], dim) != at:
+                    at, pieces = (row["block"], dim), []
+                if row["part"] == _PIECE:
+                    pieces.append(piece(row, dim))
+                    continue
+                if not pieces:
+                    continue
                 key = (row["part"], dim)
-                queries = np.frombuffer(row["queries"], kind).reshape(-1, dim)
-                query_ids = np.frombuffer(row["query_ids"], np.int64)
+                queries = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
+                query_ids = np.frombuffer(row["ids"], np.int64)
                 if key not in held:
                     if len(held) >= HELD:
                         yield held.pop(next(iter(held))).batch()
                     held[key] = _Best(query_ids, k)
-                ids = np.frombuffer(row["ids"], np.int64)
-                vectors = np.frombuffer(row["vectors"], kind).reshape(-1, dim)
-                codes = np.frombuffer(row["codes"], np.uint64).reshape(len(ids), ROTATIONS, -1)
-                length, lean = np.frombuffer(row["length"]), np.frombuffer(row["lean"]).reshape(len(ids), ROTATIONS)
-                centre = centres.get(dim, np.zeros(dim))
-                _search_block(held[key], queries, query_ids, ids, vectors, bounds(queries, codes, length, lean, centre))
+                centre, rounded = centres.get(dim, np.zeros(dim)), _rounded(queries)
+                for ids, vectors, *coded in pieces:
+                    guess = bounds(queries, *coded, centre, rounded)
+                    _search_block(held[key], queries, query_ids, ids, vectors, guess)
         for best in held.values():
             yield best.batch()
 
@@ -316,7 +341,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     centres = centres_of(vectors, kind)
     size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     idle = min(vectors.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // BLOCK))
-    room = size["n"] * (size["dim"] or 0) * np.dtype(kind).itemsize
+    dim = size["dim"] or 0
+    # An id, a vector, a length, and for each rotation a code and how much it leans.
+    room = size["n"] * (16 + dim * np.dtype(kind).itemsize + ROTATIONS * (-(-dim // 64) * 8 + 8))
     blocks = max(1, idle, -(-room // BLOCK_BYTES))
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     index = stored(
@@ -332,7 +359,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
         .applyInArrow(_query_blocks(kind), _QUERIES)
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     )
-    found = index.join(asked, ["block", "dim"]).mapInArrow(
+    pieces = index.withColumn("part", F.lit(_PIECE).cast("long"))
+    met = pieces.unionByName(asked, allowMissingColumns=True).repartition("block")
+    found = met.sortWithinPartitions("block", "dim", "part").mapInArrow(
         _searcher(centres, k, kind), "query_id long, vec_id long, score double"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from haberdash.llm import nearest as near
@@ -115,3 +118,33 @@ def test_few_rows_are_reranked(spark):
     found = set(zip(best.rows[0].tolist(), best.rows[1].tolist()))
     expected = {(q, int(ids[i])) for q, row in enumerate(exact) for i in np.argsort(-row)[:20]}
     assert len(found & expected) >= 0.99 * len(expected)
+
+
+def _table(ids, data):
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), data.shape[1]).cast(pa.list_(pa.float32()))
+    return pa.table({"vec_id": pa.array(ids), "embedding": vectors})
+
+
+def test_a_block_is_searched_piece_by_piece():
+    rng = np.random.default_rng(6)
+    data, ids = rng.standard_normal((40_000, 16)).astype(np.float32), np.arange(40_000)
+    centres = {16: data.mean(axis=0).astype(np.float64)}
+    index = near._indexer(centres, 21, np.float32)((pa.scalar(0),), _table(ids, data)).to_pylist()
+    assert max(len(r["vectors"]) for r in index) <= near.PIECE_BYTES
+    asked = near._query_blocks(np.float32)((pa.scalar(0),), _table(ids[:512], data[:512])).to_pylist()
+    kinds = [("block", pa.int64()), ("dim", pa.int32()), ("part", pa.int64())]
+    kinds += [(name, pa.binary()) for name in ("ids", "vectors", "codes", "length", "lean")]
+    rows = [r | {"part": -1} for r in index] + [r | {"block": 0} for r in asked]
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+    tracemalloc.start()
+    try:
+        found = pa.Table.from_batches(near._searcher(centres, 20, np.float32)(iter([batch])))
+        # All estimates of the block at once would take 512 * 40,000 * 8 bytes.
+        assert tracemalloc.get_traced_memory()[1] < 512 * 40_000 * 4
+    finally:
+        tracemalloc.stop()
+    exact = data[:512].astype(float) @ data.T.astype(float)
+    exact[np.arange(512), np.arange(512)] = -np.inf
+    expected = {(q, int(i)) for q in range(512) for i in np.argsort(-exact[q])[:20]}
+    got = {(r["query_id"], r["vec_id"]) for r in found.to_pylist()}
+    assert len(got & expected) >= 0.99 * len(expected)
