@@ -89,8 +89,9 @@ def rejected_rows(spark: SparkSession, relation: str, path: str) -> DataFrame:
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """Write a relation in the format :func:`read_csv` reads back unchanged."""
-    frame.write.mode("overwrite").options(**_CSV, timestampNTZFormat=_WRITTEN_TIME).csv(path)
+    """Write a relation in the format :func:`read_csv` reads back unchanged, each file packed."""
+    options = {**_CSV, "timestampNTZFormat": _WRITTEN_TIME, "compression": "gzip"}
+    frame.write.mode("overwrite").options(**options).csv(path)
 
 
 def read_parquet(spark: SparkSession, relation: str, path: str) -> DataFrame:
