@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haberdash.operators.sizes import sized
+
 
 def stacked(frames: Iterable[DataFrame]) -> DataFrame:
     """All rows of frames with the same columns."""
@@ -162,7 +164,7 @@ def mismatches(
         counts = counts.withColumn("_rows", F.lit(1).cast("bigint"))
     parents = parent.select(F.col(key).alias("_ref"), expected.alias("_expected"))
     return (
-        counts.join(parents, "_ref")
+        counts.join(sized(parents), "_ref")
         .where(F.col("_detail") != F.col("_expected"))
         .agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias(alias))
     )

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haberdash.operators.sizes import sized
+
 SLICE = "_slice"
 
 # Gives the stored table of a name, building it on first use.
@@ -114,7 +116,7 @@ def dense_ranks(
 
     ranked = keep(name, places).withColumnRenamed(key, f"_of_{key}")
     for measure, rank in measures.items():
-        own = ranked.where(F.col("_measure") == measure).withColumnRenamed("position", rank)
+        own = sized(ranked.where(F.col("_measure") == measure).withColumnRenamed("position", rank))
         rows = rows.join(
             own,
             rows[key].eqNullSafe(own[f"_of_{key}"]) & (-rows[measure]).eqNullSafe(own["_falling"]),

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haberdash.operators.sizes import sized
+
 SHARE = 1 / 2000
 # Fewer rows of a key than this never matter.
 LEAST_ROWS = 1000
@@ -39,6 +41,10 @@ def salted_join(rows: DataFrame, parents: DataFrame, key: str, heavy: tuple[list
 
     Without heavy keys it is the plain join.
     """
+    moved = sized(rows)
+    # Parents may have to be derived to be counted: only if few rows ask for them.
+    parents = sized(parents) if moved is rows else parents
+    rows = moved
     values, pieces = heavy
     if not values:
         return rows.join(parents, key)

@@ -30,6 +30,7 @@ from haberdash.functions.metrics import (
     total_where,
     unsold_at,
 )
+from haberdash.operators.sizes import sized
 from haberdash.plans.products import stock_totals
 
 
@@ -111,7 +112,7 @@ def logistics_by_center(orders_by_center: DataFrame, centers: DataFrame) -> Data
     return (
         orders_by_center.groupBy("distribution_center_id")
         .agg(*(total.alias(name) for name, total in sums.items()))
-        .join(centers, "distribution_center_id")
+        .join(sized(centers), "distribution_center_id")
         .groupBy("distribution_center_name")
         .agg(*add_up(*sums))
         .select(
@@ -161,7 +162,7 @@ def inventory_by_center(inventory: DataFrame, centers: DataFrame, cutoff: dt.dat
     name = "distribution_center_name"
     totals = (
         _stock_status(inventory, cutoff, "distribution_center_id")
-        .join(centers, "distribution_center_id")
+        .join(sized(centers), "distribution_center_id")
         .groupBy(name)
         .agg(
             *add_up(
@@ -205,7 +206,7 @@ def slow_movers(
             F.sum("inventory_cost").alias("unsold_inventory_cost"),
             average(F.col("inventory_age_days")).alias("average_inventory_age_days"),
         )
-        .join(products.select("product_id", "product_name", "category", "brand"), "product_id")
+        .join(sized(products.select("product_id", "product_name", "category", "brand")), "product_id")
         .withColumns(money("unsold_inventory_cost"))
         .select(
             "product_id",
@@ -252,7 +253,7 @@ def center_handling(centers: DataFrame, orders_by_center: DataFrame) -> DataFram
         *_lead_time_averages(),
         *add_up("net_revenue", "gross_profit"),
     )
-    return _zeros(centers.join(handled, "distribution_center_id", "left"), handled)
+    return _zeros(sized(centers).join(handled, "distribution_center_id", "left"), handled)
 
 
 def center_performance(

@@ -23,6 +23,7 @@ from haberdash.functions.metrics import (
     unsold_at,
 )
 from haberdash.operators.numbering import Keep, dense_ranks, group_totals
+from haberdash.operators.sizes import sized
 
 
 def product_items(items: DataFrame, cutoff: dt.date) -> DataFrame:
@@ -64,7 +65,7 @@ def _rates(frame: DataFrame) -> DataFrame:
 def _performance_by(attribute: str, per_product: DataFrame, products: DataFrame):
     totals = (
         product_sales(per_product)
-        .join(products.select("product_id", attribute), "product_id")
+        .join(sized(products.select("product_id", attribute)), "product_id")
         .groupBy(attribute)
         .agg(*add_up("total_items", "returned_items", "net_revenue", "gross_profit"))
     )
@@ -88,7 +89,7 @@ _NAMES = ("product_id", "product_name", "category", "brand")
 
 
 def _named(totals: DataFrame, products: DataFrame) -> DataFrame:
-    return totals.join(products.select(*_NAMES), "product_id")
+    return totals.join(sized(products.select(*_NAMES)), "product_id")
 
 
 def top_products(per_product: DataFrame, products: DataFrame, rows: int = 10) -> DataFrame:
@@ -111,7 +112,7 @@ def top_products(per_product: DataFrame, products: DataFrame, rows: int = 10) ->
 
 def rank_in_category(per_product: DataFrame, products: DataFrame, keep: Keep) -> DataFrame:
     """Each product's place in its category by revenue and by profit, and its share."""
-    named = products.select("product_id", "product_name", "category")
+    named = sized(products.select("product_id", "product_name", "category"))
     sold = keep(
         "product_totals",
         lambda: group_totals(
@@ -237,7 +238,8 @@ def product_performance(
     counts = [c for c in (*sales.columns, *stock.columns) if c not in ("product_id", "average_unsold_age_days")]
     amounts = [c for c in counts if c.endswith(("revenue", "profit", "value", "cost"))]
     frame = (
-        products.join(sales, "product_id", "left")
+        sized(products)
+        .join(sales, "product_id", "left")
         .join(stock, "product_id", "left")
         .withColumns({c: F.coalesce(c, F.lit(label)) for c, label in UNKNOWN.items()})
         .withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})

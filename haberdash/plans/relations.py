@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from haberdash.functions.columns import unpadded
 from haberdash.operators.keys import Reference, mismatches, orphans
+from haberdash.operators.sizes import sized
 
 # Issue label. Then child relation, reference, parent relation, parent key.
 REFERENCES = (
@@ -45,7 +46,7 @@ def mismatched_item_counts(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Orders whose stated size is not their number of items; empty orders are not judged."""
     actual = items.groupBy("order_id").agg(F.count("*").alias("actual_items"))
     return (
-        orders.select("order_id", "num_of_item")
+        sized(orders.select("order_id", "num_of_item"))
         .join(actual, "order_id")
         .where(F.col("num_of_item") != F.col("actual_items"))
         .agg(F.count("*").alias("orders_with_wrong_item_count"))

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from haberdash.functions.columns import PRICE
 from haberdash.operators import skew
 from haberdash.operators.numbering import numbered, sliced, totals_before
+from haberdash.operators.sizes import sized, too_large
 from haberdash.sources.files import fingerprints
 from haberdash.sources.schemas import SOURCE_SCHEMAS
 from haberdash.sources.warehouse import Store, Warehouse, digest, own_store
@@ -248,7 +249,9 @@ class Testbed:
         starts = totals_before(sizes, ["l_orderkey"], "_lines", "_start").select(
             key.alias("_order"), "_start"
         )
-        orders = self("orders")
+        if too_large(sizes.select("l_orderkey", "_lines")):
+            starts = starts.hint("merge")
+        orders = sized(self("orders"))
 
         def keyed(lines: DataFrame) -> DataFrame:
             # Lines without an order come first: nothing is before them.
@@ -346,11 +349,12 @@ class Testbed:
         )
         if not texts:
             products = products.drop(*PRODUCT_TEXTS)
+        repeated = sized(products) if texts else self._repeated_products()
         kept = [name for name in products.columns if name != "list_price"]
         day = F.to_date("created_at")
         sold = (
             self._stored_lines()
-            .join(products.select(*kept) if texts else self._repeated_products(), "product_id", "left")
+            .join(repeated.drop("list_price"), "product_id", "left")
             .select(
                 F.col("line_key").alias("id"),
                 *kept,
