@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from haberdash.functions.columns import age_band, days_between, percent, ratio
 from haberdash.functions.metrics import add_up, gross_profit, money, net_revenue, valid_sales
 from haberdash.operators.numbering import SLICE, numbered
+from haberdash.operators.sizes import sized
 from haberdash.plans.sales import customer_orders, customers_and_orders, year
 
 
@@ -110,7 +111,7 @@ def order_frequency(orders: DataFrame) -> DataFrame:
 
 def _grouped(orders: DataFrame, customers: DataFrame, group: Column, name: str) -> DataFrame:
     """Customers, orders and sales per group; an order can span customers, so both are distinct."""
-    placed = orders.join(customers.select("customer_id", group.alias(name)), "customer_id")
+    placed = orders.join(sized(customers.select("customer_id", group.alias(name))), "customer_id")
     sold, counted = customers_and_orders(placed, name)
     rows = counted.unionByName(sold, allowMissingColumns=True)  # two rows per group
     names = ["total_customers", "valid_orders", "net_revenue", "gross_profit"]
@@ -195,7 +196,7 @@ def customer_performance(items: DataFrame, customers: DataFrame, cutoff: dt.date
     )
     return (
         customer_totals(customer_orders(items, cutoff))
-        .join(attributes, "customer_id")
+        .join(sized(attributes), "customer_id")
         .withColumns(
             {
                 "age_group": age_band(F.col("age")),
